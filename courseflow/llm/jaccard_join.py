@@ -113,8 +113,9 @@ class Sets:
         key = tb.mix(total ^ tb.mix(tag, 71), 72)
         empty = np.where(active, cut - np.bincount(r, minlength=self.rows), 0)
         if last_seed:
+            filled = r
             for i in np.flatnonzero(active & (empty > spare)):
-                gone = np.setdiff1d(np.arange(cut[i], dtype=np.uint64), p[r == i])
+                gone = np.setdiff1d(np.arange(cut[i], dtype=np.uint64), p[filled == i])
                 tag = (tb.U(size_class[i]) << tb.U(34)) | (gone << tb.U(2)) | tb.U(seed)
                 r, key = np.concatenate([r, np.full(len(gone), i)]), np.concatenate([key, tb.mix(tag, 73)])
         return r, key, empty

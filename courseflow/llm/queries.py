@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courseflow.llm import chat_format, jaccard_join, mixing, quality_rules, substring_dedup, token_store, topk_search, warc
+from courseflow.llm import chat_format, jaccard_join, mixing, piece_sampling, quality_rules, substring_dedup, surrogates, token_store, topk_search, warc
 from courseflow.llm.shared import materialise
 
 
@@ -56,6 +56,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(_read(spark, sf_dir, "documents"))
 
 
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sampled_pieces(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), count_as="n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_store, op2_topk_search, op3_quality_rules, op4_chat_format, op5_jaccard_join, op6_warc, op7_substring_dedup, op8_mixing)
+    found = (op1_token_store, op2_topk_search, op3_quality_rules, op4_chat_format, op5_jaccard_join, op6_warc, op7_substring_dedup, op8_mixing, op9_piece_sampling, op10_surrogates)
     return {f.__name__: f for f in found}

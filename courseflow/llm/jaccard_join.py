@@ -37,6 +37,7 @@ from courseflow.llm.shared import free_name, materialise
 
 WORDS, PERCENT = 4, 85
 SEEDS, SKETCH_ROWS = 4, 2
+RESEEDED = 63  # the low six bits of a block key hold its size class, or this under a further seed
 
 
 def _class_bounds(most: int) -> np.ndarray:
@@ -110,14 +111,15 @@ class Sets:
         total = np.add.reduceat(tb.mix(h, 70), first) if len(first) else np.zeros(0, tb.U)
         r, p = row[first], piece[first]
         tag = (size_class[r].astype(tb.U) << tb.U(34)) | (p << tb.U(2)) | tb.U(seed)
-        key = tb.mix(total ^ tb.mix(tag, 71), 72)
+        low = np.where(seed > 0, RESEEDED, size_class).astype(tb.U)
+        key = (tb.mix(total ^ tb.mix(tag, 71), 72) & ~tb.U(63)) | low[r]
         empty = np.where(active, cut - np.bincount(r, minlength=self.rows), 0)
         if last_seed:
             filled = r
             for i in np.flatnonzero(active & (empty > spare)):
                 gone = np.setdiff1d(np.arange(cut[i], dtype=np.uint64), p[filled == i])
                 tag = (tb.U(size_class[i]) << tb.U(34)) | (gone << tb.U(2)) | tb.U(seed)
-                r, key = np.concatenate([r, np.full(len(gone), i)]), np.concatenate([key, tb.mix(tag, 73)])
+                r, key = np.concatenate([r, np.full(len(gone), i)]), np.concatenate([key, (tb.mix(tag, 73) & ~tb.U(63)) | low[i]])
         return r, key, empty
 
 
@@ -141,16 +143,22 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return plain.mapInArrow(sign, "doc_id long, n long, sig_a long, sig_b long, keys array<long>")
 
 
-def gram_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, grams): the n-gram hashes of each document."""
+def gram_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, grams): the n-gram hashes of the documents in ``wanted`` (doc_id). A bit filter of the
+    wanted ids, of bounded size, keeps most other texts from being cut up; texts are not shuffled."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    ids_in = lambda batch: batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    width = sketch.width_for(4 * wanted.count())
+    bits = sketch.repeated(wanted, lambda batch: iter([np.repeat(ids_in(batch), 2)]), SKETCH_ROWS, width)  # each id twice: all pass
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tb.parts(batch, "text"):
+            for part in tb.parts(batch.filter(pa.array(sketch.may_repeat(ids_in(batch), shared.value))), "text"):
                 sets = Sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), _lists(sets.row, sets.hash, sets.rows)], ["doc_id", "n", "grams"])
 
-    return docs.mapInArrow(read, "doc_id long, n long, grams array<long>")
+    return plain.mapInArrow(read, "doc_id long, n long, grams array<long>").join(wanted, "doc_id", "left_semi")
 
 
 def _repeated_keys(signed: DataFrame) -> DataFrame:
@@ -186,13 +194,27 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of documents whose whole sets reach the similarity."""
+    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    sets = materialise(gram_sets(docs, wanted, k), "sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-    overlap = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
+    overlap = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
     return overlap.where(f"100 * common >= {percent} * (sum - common) and sum > 0").select("a", "b").distinct()
 
 
+def _plausible(met: DataFrame, percent: int) -> DataFrame:
+    """Of rows (a, b, n, other, key), one a block that a and b share, the pairs whose sizes and number of
+    agreeing blocks do not rule out the similarity."""
+    bounds = _class_bounds(1 << 34)[:RESEEDED]
+    differ = [int(2 * (m - 1) * (100 - percent) // (100 + percent)) for m in bounds[1:]]
+    counted = met.where(f"100 * least(n, other) >= {percent} * greatest(n, other)").groupBy("a", "b", F.expr("cast(key & 63 as int)").alias("tag")).agg(F.count("*").alias("agree"), F.first("n").alias("n"), F.first("other").alias("other"))
+    allowed = f"(n + other) * {100 - percent} div {100 + percent}"
+    needed = F.element_at(F.array(*[F.lit(x) for x in differ]), F.least(F.col("tag") + 1, F.lit(len(differ)))) + 1 - F.expr(allowed)
+    return counted.where((F.col("tag") == RESEEDED) | (F.col("agree") >= needed)).select("a", "b").distinct()
+
+
 def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row a document."""
     signed = materialise(signatures(docs, k, percent), "signatures")
@@ -201,37 +223,35 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     classes = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     members = materialise(known.select("doc_id", *same).join(classes, same).select("doc_id", "rep").distinct(), "members")
     reps = _repeated_keys(known.select("doc_id", *same, "keys")).where(F.size("keys") > 0).join(classes, same).where("doc_id = rep")
-    keyed = materialise(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n").distinct(), "block-keys")
+    keyed = materialise(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n"), "block-keys")
     hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
     shared = materialise(keyed.join(hubs.select("key", "hub"), "key"), "shared-blocks")
-    fits = f"100 * least(n, other) >= {percent} * greatest(n, other)"
-    stars = shared.where("node <> hub.node").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("agree"), F.first("n").alias("n"), F.first("hub.n").alias("other")).where(fits)
-    stars = materialise(stars.select("a", "b"), "pairs")
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = materialise(gram_sets(wanted, k), "sets")
-    found = _linked(stars, sets, percent)
+    stars = shared.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("other"), "key")
+    stars = materialise(_plausible(stars, percent), "stars")
+    found = _linked(docs, stars, k, percent)
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id")
     extra = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     edges = materialise(found.unionByName(extra), "edges")
     joined = connected(edges)
-    late = _linked(_across(shared, joined, fits).join(stars, ["a", "b"], "left_anti"), sets, percent)
-    late = materialise(late, "late-edges")
-    if late.limit(1).count():
-        joined = connected(edges.unionByName(late))
+    across = materialise(_plausible(_across(shared, joined), percent).join(stars, ["a", "b"], "left_anti"), "across")
+    if across.limit(1).count():
+        late = materialise(_linked(docs, across, k, percent), "late-edges")
+        if late.limit(1).count():
+            joined = connected(edges.unionByName(late))
     placed = members.groupBy("doc_id").agg(F.min("rep").alias("node")).join(joined, "node", "left").select("doc_id", F.least("doc_id", F.coalesce("component", "node")).alias("component_id"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(shared: DataFrame, joined: DataFrame, fits: str) -> DataFrame:
-    """Pairs that share a block but not a component. In each block the component of most rows does not
-    meet itself: every pair has a row of another component in it."""
+def _across(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """(a, b, n, other, key): rows that share a block but not a component. In each block the component of
+    most rows does not meet itself: every pair has a row of another component in it."""
     rows = shared.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
     major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("major"))
     open_ = materialise(rows.join(major, "key"), "open-blocks")
     minor = open_.where("component <> major").select("key", F.col("node").alias("u"), F.col("n").alias("other"), F.col("component").alias("own"))
-    met = open_.join(minor, "key").where(f"component <> own and (component = major or node < u) and {fits}")
-    return met.select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b")).distinct()
+    met = open_.join(minor, "key").where("component <> own and (component = major or node < u)")
+    return met.select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b"), "n", "other", "key")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

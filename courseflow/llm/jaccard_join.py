@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 
 from courseflow.llm import sketch
 from courseflow.llm import textblock as tb
-from courseflow.llm.shared import free_name, materialise
+from courseflow.llm.shared import free_name, materialise, text_batches
 
 WORDS, PERCENT = 4, 85
 SEEDS, SKETCH_ROWS = 4, 2
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), pa.array(sets.signature(1).view(np.int64)), pa.array(sets.signature(2).view(np.int64)), _lists(row, key, sets.rows)], ["doc_id", "n", "sig_a", "sig_b", "keys"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(sign, "doc_id long, n long, sig_a long, sig_b long, keys array<long>")
+    return text_batches(plain).mapInArrow(sign, "doc_id long, n long, sig_a long, sig_b long, keys array<long>")
 
 
 def gram_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -158,7 +158,7 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = Sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), _lists(sets.row, sets.hash, sets.rows)], ["doc_id", "n", "grams"])
 
-    return plain.mapInArrow(read, "doc_id long, n long, grams array<long>").join(wanted, "doc_id", "left_semi")
+    return text_batches(plain).mapInArrow(read, "doc_id long, n long, grams array<long>").join(wanted, "doc_id", "left_semi")
 
 
 def _repeated_keys(signed: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courseflow.llm import textblock as tb
-from courseflow.llm.shared import free_name
+from courseflow.llm.shared import free_name, text_batches
 
 MAX_TRAIN = 2000
 MIN_CLASS = 5
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, threshold:
                 found = [_features(words, i, grams) for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label").cast(pa.int32()), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.float32).tobytes() for f in found], pa.binary())], ["doc_id", "label", "ids", "freq"])
 
-    rows = sorted(sample.mapInArrow(features, "doc_id long, label int, ids binary, freq binary").collect(), key=lambda r: r["doc_id"])
+    rows = sorted(text_batches(sample).mapInArrow(features, "doc_id long, label int, ids binary, freq binary").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in rows], float)
     if min((y == 0).sum(), (y == 1).sum()) < MIN_CLASS:
         return None
@@ -210,7 +210,7 @@ def annotate(docs: DataFrame, model: dict | None, into: str = "quality_rules") -
                 yield pa.RecordBatch.from_arrays([*part.columns, _judge(part.column("text"), shared.value)], [*part.schema.names, into])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(RESULT))])
-    return docs.mapInArrow(score, schema)
+    return text_batches(docs).mapInArrow(score, schema)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:

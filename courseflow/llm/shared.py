@@ -29,6 +29,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands whole texts to Python in small Arrow batches."""
+    name, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+    if not 0 < int(df.sparkSession.conf.get(name)) <= most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added while a column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

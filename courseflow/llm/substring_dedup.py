@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from courseflow.llm import sketch
 from courseflow.llm import textblock as tb
-from courseflow.llm.shared import free_name
+from courseflow.llm.shared import free_name, text_batches
 
 WINDOW, SKETCH_ROWS = 13, 3
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -33,7 +33,7 @@ RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, marks): the windows of each document that also start in one of smaller id, each packed
     as first word << 32 | 32 bits of its hash."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    docs = text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     width = sketch.width_for(size // 6)
 

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 
 from courseflow.llm import textblock as tb
 from courseflow.llm.files import open_ranges, write_whole
-from courseflow.llm.shared import materialise, scratch
+from courseflow.llm.shared import materialise, scratch, text_batches
 
 END_ID = 2
 KEYS_PER_BUCKET = 200_000
@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = END_ID, v
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    records = materialise(ranged.mapInArrow(write_shard, "doc_id long, ordinal long, shard int, offset long, n long"), "token-records")
+    records = materialise(text_batches(ranged).mapInArrow(write_shard, "doc_id long, ordinal long, shard int, offset long, n long"), "token-records")
     before = records.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a shard
     size = np.dtype(item).itemsize
     records = records.join(before, "shard").withColumn("start", F.col("before") + F.expr(f"offset div {size}")).drop("before")

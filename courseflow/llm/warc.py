@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from courseflow.llm import textblock as tb
 from courseflow.llm.files import open_ranges, write_whole
-from courseflow.llm.shared import materialise, scratch
+from courseflow.llm.shared import materialise, scratch, text_batches
 
 MOST_GAP, MOST_READ, STRETCH = 64 << 10, 8 << 20, 64 << 20
 _INDEX = "page_id long, url string, digest string, record_type string, shard string, offset long, length long"
@@ -90,7 +90,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
             write_whole(f"{path}/{shard}", (x for s in ([first], source) for x in s))
         yield from found
 
-    return materialise(decided(pages, min_bytes).mapInArrow(write, _INDEX), "warc-index")
+    return materialise(text_batches(decided(pages, min_bytes)).mapInArrow(write, _INDEX), "warc-index")
 
 
 def _parse(member: bytes) -> tuple:

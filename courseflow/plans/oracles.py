@@ -191,7 +191,7 @@ FROM (SELECT page_id, filename, lower(regexp_extract(filename, '\\.([^./]+)$', 1
   FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id < 20)
 SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS nth FROM s) WHERE nth <= 8""",
         "vector_upsert": "SELECT id, document, write_seq FROM (SELECT 'ku::' || (vec_id % 100) || '::v1' AS id, 'document ' || vec_id AS document, vec_id AS write_seq, row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id DESC) AS nth FROM embeddings) WHERE nth = 1",
-        "context_bundle": bundle + "SELECT request_id, position, knowledge_id, CAST(topic_score AS BIGINT) AS topic_score FROM bundle",
+        "context_bundle": bundle + "SELECT request_id, position, knowledge_id, CAST(coalesce(topic_score, -1) AS BIGINT) AS topic_score FROM bundle",
         "bundle_sources": bundle + "SELECT request_id, source_id, row_number() OVER (PARTITION BY request_id ORDER BY doc_id, source_id) AS position FROM (SELECT DISTINCT request_id, unnest(source_ref) AS source_id FROM bundle) JOIN (SELECT doc_id, 'src_' || doc_id AS source_id FROM documents) USING (source_id)",
         "bundle_trace": bundle + """SELECT r.request_id, coalesce(len(ids), 0)::BIGINT AS n_units, md5(coalesce(array_to_string(ids, '|'), '')) AS units_md5, md5(coalesce(array_to_string(refs, '|'), '')) AS sources_md5, trim(topic) <> '' AS used_scope
 FROM requests r LEFT JOIN (SELECT request_id, list(knowledge_id ORDER BY position) AS ids, list_sort(list_distinct(flatten(list(source_ref)))) AS refs FROM bundle GROUP BY 1) b ON r.request_id = b.request_id""",

@@ -264,7 +264,7 @@ def _bundle(s: SparkSession, d: str) -> DataFrame:
 
 
 def context_bundle(s: SparkSession, d: str) -> DataFrame:
-    return _bundle(s, d).select("request_id", F.col("position").cast("long").alias("position"), "knowledge_id", F.col("topic_score").cast("long").alias("topic_score"))
+    return _bundle(s, d).select("request_id", F.col("position").cast("long").alias("position"), "knowledge_id", F.coalesce("topic_score", F.lit(-1)).cast("long").alias("topic_score"))
 
 
 def context_bundle_semantic(s: SparkSession, d: str) -> DataFrame:

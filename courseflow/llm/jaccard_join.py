@@ -8,8 +8,8 @@ under the block's hash, their agreeing blocks are counted, and pairs whose sizes
 discarded before any set is fetched; the exact overlap of the others follows from the whole sets.
 
 Rows of exactly equal sets are one class and only their representative takes part. Block hashes that a
-count-min sketch shows to be unique are dropped before the shuffle. First every row meets the smallest
-row of each of its blocks; after these links are joined to components, rows that share a block but not a
+count-min sketch shows to be unique are dropped before the shuffle. First every row meets, of the
+smallest rows of its blocks, the HUBS with which it agrees most; after these links are joined to components, rows that share a block but not a
 component are compared, so all links between components are found, without all pairs of a large group.
 
 A document with more than g empty blocks could agree in empty blocks only; it is cut again under further
@@ -37,6 +37,7 @@ from courseflow.llm.shared import free_name, materialise, text_batches
 
 WORDS, PERCENT = 4, 85
 SEEDS, SKETCH_ROWS = 4, 2
+HUBS = 3  # smallest rows that each row meets first; the comparison across components finds what is left
 RESEEDED = 63  # the low six bits of a block key hold its size class, or this under a further seed
 
 
@@ -212,7 +213,7 @@ def _plausible(met: DataFrame, percent: int) -> DataFrame:
     counted = met.where(f"100 * least(n, other) >= {percent} * greatest(n, other)").groupBy("a", "b", F.expr("cast(key & 63 as int)").alias("tag")).agg(F.count("*").alias("agree"), F.first("n").alias("n"), F.first("other").alias("other"))
     allowed = f"(n + other) * {100 - percent} div {100 + percent}"
     needed = F.element_at(F.array(*[F.lit(x) for x in differ]), F.least(F.col("tag") + 1, F.lit(len(differ)))) + 1 - F.expr(allowed)
-    return counted.where((F.col("tag") == RESEEDED) | (F.col("agree") >= needed)).select("a", "b").distinct()
+    return counted.where((F.col("tag") == RESEEDED) | (F.col("agree") >= needed)).groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -227,7 +228,8 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
     shared = materialise(keyed.join(hubs.select("key", "hub"), "key"), "shared-blocks")
     stars = shared.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("other"), "key")
-    stars = materialise(_plausible(stars, percent), "stars")
+    best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
+    stars = materialise(_plausible(stars, percent).withColumn("nth", best).where(f"nth <= {HUBS}").select("a", "b"), "stars")
     found = _linked(docs, stars, k, percent)
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id")
     extra = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from courseflow.llm import textblock as tb
 
 BLOCK_BITS, LEAST_WIDTH, MOST_WIDTH = 20, 20, 28
-FLUSH = 2_000_000
+FLUSH = 4_000_000
+HOT = 48  # a task's flush counts a cell three times at most, so this takes 16 flushes or more
 
 
 def width_for(count: int) -> int:
@@ -30,13 +31,15 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return (tb.mix(hashes, 40 + row) >> np.uint64(64 - width)).astype(np.uint32)
 
 
-def _pack(gaps: np.ndarray) -> bytes:
-    """Byte planes of 32-bit gaps: the upper planes are nearly all zero and compress away."""
-    return gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _pack(gaps: np.ndarray, counts: np.ndarray) -> bytes:
+    """Byte planes of 32-bit gaps, then the counts: the upper planes and the counts are nearly constant
+    and compress away."""
+    return np.concatenate([gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel(), counts.astype(np.uint8)]).tobytes()
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
+    return np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), planes[4]
 
 
 def _partials(hashes: np.ndarray, rows: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -44,19 +47,20 @@ def _partials(hashes: np.ndarray, rows: int, width: int) -> Iterator[pa.RecordBa
         found = np.sort(cells(hashes, r, width))
         first = np.concatenate([[True], found[1:] != found[:-1]])
         at = np.flatnonzero(first)
-        unique, twice = found[at], np.diff(np.append(at, len(found))) > 1
+        unique, times = found[at], np.minimum(np.diff(np.append(at, len(found))), 3)
         cut = np.searchsorted(unique, np.arange(1, 1 << (width - BLOCK_BITS), dtype=np.uint64) << np.uint64(BLOCK_BITS))
         block, payload = [], []
-        for b, (u, t) in enumerate(zip(np.split(unique, cut), np.split(twice, cut))):
+        for b, (u, t) in enumerate(zip(np.split(unique, cut), np.split(times, cut))):
             if len(u):
                 inner = u - np.uint32(b << BLOCK_BITS)
                 block.append(b)
-                payload.append(_pack((np.diff(inner, prepend=np.uint32(0)) << np.uint32(1)) | t))
+                payload.append(_pack(np.diff(inner, prepend=np.uint32(0)), t))
         yield pa.RecordBatch.from_arrays([pa.array([r] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(payload, pa.binary())], ["row", "block", "payload"])
 
 
-def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, width: int) -> np.ndarray:
-    """Bits of the cells that were touched twice or more: an array (rows, 2**width / 8) of bytes."""
+def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, width: int, hot: bool = False) -> np.ndarray:
+    """Bits of the cells that were touched twice or more: an array (rows, 2**width / 8) of bytes. With
+    ``hot`` a last row tells which cells of the first row were touched HOT times or more."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -74,8 +78,11 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
         at, count = None, np.zeros(1 << BLOCK_BITS, np.uint8)
 
         def done():
-            bits = np.packbits(count > 1)
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["row", "block", "payload"])
+            out = [(at[0], at[1], np.packbits(count > 1).tobytes())]
+            if hot and at[0] == 0 and count.max() >= HOT:
+                out.append((rows, at[1], np.packbits(count >= HOT).tobytes()))
+            r, b, p = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(b, pa.int32()), pa.array(p, pa.binary())], ["row", "block", "payload"])
 
         for batch in batches:
             for r, b, raw in zip(*[batch.column(i).to_pylist() for i in range(3)]):
@@ -84,27 +91,35 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
                         yield done()
                     at = (r, b)
                     count[:] = 0
-                gaps = _unpack(raw)
-                cell = np.cumsum(gaps >> np.uint32(1))
-                count[cell] = np.minimum(count[cell] + 1 + (gaps & np.uint32(1)), 2)
+                gaps, times = _unpack(raw)
+                cell = np.cumsum(gaps)
+                count[cell] = np.minimum(count[cell] + times, 200)
         if at is not None:
             yield done()
 
     schema = "row int, block int, payload binary"
     merged = df.mapInArrow(build, schema).repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, schema)
-    bits = np.zeros((rows, 1 << (width - 3)), np.uint8)
+    bits = np.zeros((rows + hot, 1 << (width - 3)), np.uint8)
     step = 1 << (BLOCK_BITS - 3)
     for r in merged.toLocalIterator():  # at most rows * 2**(MOST_WIDTH - BLOCK_BITS) blocks of 128 KB
         bits[r["row"], r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["payload"], np.uint8)
     return bits
 
 
+def _bit(bits: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (bits[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & 1 == 1
+
+
 def may_repeat(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether each hash is estimated to occur twice or more."""
     width = (bits.shape[1] * 8).bit_length() - 1
     keep = np.ones(len(hashes), bool)
     for r in range(len(bits)):
         at = np.flatnonzero(keep)
-        c = cells(hashes[at], r, width)
-        keep[at] = (bits[r][c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & 1 == 1
+        keep[at] = _bit(bits[r], cells(hashes[at], r, width))
     return keep
+
+
+def may_be_hot(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash is estimated to occur HOT times or more; ``bits`` is the last row of a sketch."""
+    return _bit(bits, cells(hashes, 0, (len(bits) * 8).bit_length() - 1))

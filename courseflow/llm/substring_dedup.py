@@ -2,8 +2,8 @@
 
 A window is ``k`` consecutive words of one document. Pass one sketches the hashes of all windows in
 partitions and merges the sketches; pass two groups only the windows estimated to repeat, exactly, on 96
-bits of hash, pre-aggregated to the least doc_id before the shuffle; windows that also start in a
-document of smaller id mark their words, and the marked words go. Windows are judged on the input.
+bits of hash; windows that also start in a document of smaller id mark their words, and the marked words
+go. Windows are judged on the input.
 
 Defined cases: null or empty text has no words and stays as it is; rows with a null doc_id neither lose
 words nor make others lose any; rows that share a doc_id are one document of several texts, none smaller;
@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from courseflow.llm import sketch
 from courseflow.llm import textblock as tb
-from courseflow.llm.shared import free_name, text_batches
+from courseflow.llm.shared import free_name, materialise, text_batches
 
 WINDOW, SKETCH_ROWS = 13, 3
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -32,7 +33,10 @@ RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, marks): the windows of each document that also start in one of smaller id, each packed
-    as first word << 32 | 32 bits of its hash."""
+    as first word << 32 | 32 bits of its hash.
+
+    Windows that the sketch shows to be very frequent are pre-aggregated to their least doc_id and joined
+    back, which the adaptive join may split; the others meet under their hash in a window function."""
     docs = text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     width = sketch.width_for(size // 6)
@@ -42,25 +46,36 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             words = tb.Words(*tb.texts(part.column("text")))
             yield words.window_hash(words.windows(k), k)
 
-    shared = docs.sparkSession.sparkContext.broadcast(sketch.repeated(docs, hashes, SKETCH_ROWS, width))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.parts(batch, "text"):
-                words = tb.Words(*tb.texts(part.column("text")))
-                at = words.windows(k)
-                a = words.window_hash(at, k)
-                keep = sketch.may_repeat(a, shared.value)
-                at, a = at[keep], a[keep]
-                b = (words.window_hash(at, k, 1) >> np.uint64(32)).astype(np.uint32)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[words.row[at]]
-                mark = ((at - words.first[words.row[at]]).astype(np.int64) << 32) | b
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(ids.astype(np.int64)), pa.array(mark)], ["a", "b", "doc_id", "mark"])
-
-    windows = docs.mapInArrow(emit, "a long, b int, doc_id long, mark long")
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("a", "b", "least")
-    later = windows.join(least, ["a", "b"]).where("doc_id > least")
-    return later.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
+    bits = sketch.repeated(docs, hashes, SKETCH_ROWS, width, hot=True)
+    some_hot = bool(bits[-1].any())
+    shared = docs.sparkSession.sparkContext.broadcast(bits if some_hot else bits[:-1])
+
+    def emit(hot: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in tb.parts(batch, "text"):
+                    words = tb.Words(*tb.texts(part.column("text")))
+                    at = words.windows(k)
+                    a = words.window_hash(at, k)
+                    keep = sketch.may_repeat(a, shared.value[:SKETCH_ROWS])
+                    at, a = at[keep], a[keep]
+                    if some_hot:
+                        keep = sketch.may_be_hot(a, shared.value[-1]) == hot
+                        at, a = at[keep], a[keep]
+                    b = (words.window_hash(at, k, 1) >> np.uint64(32)).astype(np.uint32)
+                    ids = part.column("doc_id").to_numpy(zero_copy_only=False)[words.row[at]]
+                    pos = (at - words.first[words.row[at]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(ids.astype(np.int64)), pa.array(pos)], ["a", "b", "doc_id", "pos"])
+
+        return docs.mapInArrow(run, "a long, b int, doc_id long, pos int")
+
+    later = emit(False).withColumn("least", F.min("doc_id").over(W.partitionBy("a", "b"))).where("doc_id > least").drop("least")
+    if some_hot:
+        frequent = materialise(emit(True), "hot-windows")
+        least = frequent.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
+        later = later.unionByName(frequent.join(least, ["a", "b"]).where("doc_id > least").drop("least"))
+    mark = F.expr("shiftleft(cast(pos as long), 32) | (cast(b as long) & 4294967295)")
+    return later.groupBy("doc_id").agg(F.collect_list(mark).alias("marks"))
 
 
 def _strip(text: pa.Array, marks: pa.Array, k: int) -> pa.StructArray:
@@ -91,22 +106,43 @@ def _strip(text: pa.Array, marks: pa.Array, k: int) -> pa.StructArray:
 
 
 def annotate(docs: DataFrame, k: int = WINDOW, into: str = "substring_dedup", with_text: bool = True) -> DataFrame:
-    """``docs`` with a struct column: words, words removed, and the kept words joined by one space."""
+    """``docs`` with a struct column: words, words removed, and the kept words joined by one space.
+
+    A bit filter of the marked ids, of bounded size, splits the rows: those it excludes have no mark and
+    are done where they are read, only the others are shuffled to their marks."""
     into, marks = free_name(docs, into), free_name(docs, "dedup_marks")
-    found = repeated_windows(docs, k).select(F.col("doc_id").alias("_dedup_id"), F.col("marks").alias(marks))
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("_dedup_id"), "left").drop("_dedup_id").withColumn(marks, F.coalesce(F.col(f"`{marks}`"), F.array().cast("array<long>")))
+    found = materialise(repeated_windows(docs, k).withColumnRenamed("doc_id", "_dedup_id"), "marks")
+    numbers = lambda column: column.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
+    wanted = found.select("_dedup_id")
+    bits = sketch.repeated(wanted, lambda batch: iter([np.repeat(numbers(batch.column(0)), 2)]), 2, sketch.width_for(8 * wanted.count()))  # each id twice: all pass
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(RESULT))])
+
+    def finish(part: pa.RecordBatch, found_marks: pa.Array, keep: list[int]) -> pa.RecordBatch:
+        done = _strip(part.column("text"), found_marks, k)
+        if not with_text:
+            done = pa.StructArray.from_arrays([*done.flatten()[:3], pa.nulls(len(done), pa.string())], [f.name for f in done.type])
+        return pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], done], [*[part.schema.names[i] for i in keep], into])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sketch.may_repeat(numbers(batch.column("doc_id")), shared.value)))
+
+    def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tb.parts(batch.filter(pa.array(~sketch.may_repeat(numbers(batch.column("doc_id")), shared.value))), "text"):
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(part.num_rows + 1, np.int32)), pa.array([], pa.int64()))
+                yield finish(part, none, list(range(part.num_columns)))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.parts(batch, "text"):
-                done = _strip(part.column("text"), part.column(marks), k)
-                if not with_text:
-                    done = pa.StructArray.from_arrays([*done.flatten()[:3], pa.nulls(len(done), pa.string())], [f.name for f in done.type])
-                keep = [i for i, c in enumerate(part.schema.names) if c != marks]
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], done], [*[part.schema.names[i] for i in keep], into])
+                yield finish(part, part.column(marks), [i for i, c in enumerate(part.schema.names) if c != marks])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(RESULT))])
-    return joined.mapInArrow(strip, schema)
+    docs = text_batches(docs)
+    few = docs.mapInArrow(marked, docs.schema)
+    joined = few.join(found.withColumnRenamed("marks", marks), F.col("doc_id").cast("long") == F.col("_dedup_id"), "left").drop("_dedup_id").withColumn(marks, F.coalesce(F.col(f"`{marks}`"), F.array().cast("array<long>")))
+    return docs.mapInArrow(unmarked, schema).unionByName(joined.mapInArrow(strip, schema))
 
 
 def substring_digest(docs: DataFrame, k: int = WINDOW) -> DataFrame:

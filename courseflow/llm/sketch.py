@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from courseflow.llm import textblock as tb
 
 BLOCK_BITS, LEAST_WIDTH, MOST_WIDTH = 20, 20, 28
-FLUSH = 4_000_000
+FLUSH = 3_000_000
 HOT = 48  # a task's flush counts a cell three times at most, so this takes 16 flushes or more
 
 
@@ -42,9 +42,11 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), planes[4]
 
 
-def _partials(hashes: np.ndarray, rows: int, width: int) -> Iterator[pa.RecordBatch]:
-    for r in range(rows):
-        found = np.sort(cells(hashes, r, width))
+def _partials(touched: list[list[np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
+    for r, arrays in enumerate(touched):
+        found = np.concatenate(arrays)
+        arrays.clear()
+        found.sort()
         first = np.concatenate([[True], found[1:] != found[:-1]])
         at = np.flatnonzero(first)
         unique, times = found[at], np.minimum(np.diff(np.append(at, len(found))), 3)
@@ -63,16 +65,17 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
     ``hot`` a last row tells which cells of the first row were touched HOT times or more."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        touched, n = [[] for _ in range(rows)], 0
         for batch in batches:
             for h in hashes(batch):
-                held.append(h)
+                for r in range(rows):
+                    touched[r].append(cells(h, r, width))
                 n += len(h)
                 if n >= FLUSH:
-                    yield from _partials(np.concatenate(held), rows, width)
-                    held, n = [], 0
+                    yield from _partials(touched, width)
+                    n = 0
         if n:
-            yield from _partials(np.concatenate(held), rows, width)
+            yield from _partials(touched, width)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, count = None, np.zeros(1 << BLOCK_BITS, np.uint8)

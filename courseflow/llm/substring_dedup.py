@@ -64,18 +64,20 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
                         at, a = at[keep], a[keep]
                     b = (words.window_hash(at, k, 1) >> np.uint64(32)).astype(np.uint32)
                     ids = part.column("doc_id").to_numpy(zero_copy_only=False)[words.row[at]]
-                    pos = (at - words.first[words.row[at]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int32)), pa.array(ids.astype(np.int64)), pa.array(pos)], ["a", "b", "doc_id", "pos"])
+                    mark = ((at - words.first[words.row[at]]).astype(np.int64) << 32) | b
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(mark), pa.array(ids.astype(np.int64))], ["a", "mark", "doc_id"])
 
-        return docs.mapInArrow(run, "a long, b int, doc_id long, pos int")
+        return docs.mapInArrow(run, "a long, mark long, doc_id long")
 
-    later = emit(False).withColumn("least", F.min("doc_id").over(W.partitionBy("a", "b"))).where("doc_id > least").drop("least")
+    b = F.expr("cast(mark & 4294967295 as long)").alias("b")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = emit(False).repartition(parts, "a").select("a", b, "mark", "doc_id")  # b travels within the mark
+    later = dealt.withColumn("least", F.min("doc_id").over(W.partitionBy("a", "b"))).where("doc_id > least").select("doc_id", "mark")
     if some_hot:
-        frequent = materialise(emit(True), "hot-windows")
+        frequent = materialise(emit(True).select("a", b, "mark", "doc_id"), "hot-windows")
         least = frequent.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
-        later = later.unionByName(frequent.join(least, ["a", "b"]).where("doc_id > least").drop("least"))
-    mark = F.expr("shiftleft(cast(pos as long), 32) | (cast(b as long) & 4294967295)")
-    return later.groupBy("doc_id").agg(F.collect_list(mark).alias("marks"))
+        later = later.unionByName(frequent.join(least, ["a", "b"]).where("doc_id > least").select("doc_id", "mark"))
+    return later.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
 
 def _strip(text: pa.Array, marks: pa.Array, k: int) -> pa.StructArray:

@@ -29,10 +29,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
+def text_batches(df: DataFrame, most: int = 500) -> DataFrame:
     """``df``, in a session that hands whole texts to Python in small Arrow batches."""
-    name, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
-    if not 0 < int(df.sparkSession.conf.get(name)) <= most:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(name)) != most:
         df.sparkSession.conf.set(name, str(most))
     return df
 

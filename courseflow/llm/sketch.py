@@ -19,7 +19,7 @@ from courseflow.llm import textblock as tb
 
 BLOCK_BITS, LEAST_WIDTH, MOST_WIDTH = 20, 20, 28
 FLUSH = 3_000_000
-HOT = 48  # a task's flush counts a cell three times at most, so this takes 16 flushes or more
+HOT = 200  # as far as a cell is counted; a flush counts a cell three times at most, so a hot one is found by 67 flushes
 
 
 def width_for(count: int) -> int:
@@ -96,7 +96,7 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
                     count[:] = 0
                 gaps, times = _unpack(raw)
                 cell = np.cumsum(gaps)
-                count[cell] = np.minimum(count[cell] + times, 200)
+                count[cell] = np.minimum(count[cell] + times, HOT)
         if at is not None:
             yield done()
 

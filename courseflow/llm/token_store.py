@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,8 @@ from courseflow.llm.shared import materialise, scratch, text_batches
 END_ID = 2
 KEYS_PER_BUCKET = 200_000
 GAMMA, LEVELS = 2.0, 64
-MOST_CACHED = 400_000
+MOST_CACHED = 300_000
+CUT = "\ud800"  # cannot be in a valid text
 _HEAD = struct.Struct("<4sIQ")
 _ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n", "<i8"), ("start", "<i8")])
 
@@ -51,32 +53,34 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, pieces: list[str]) -> None:
+        for piece in pieces:
+            self.known[piece] = len(self.known)
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ends = self.bounds[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        self.bounds = np.concatenate([self.bounds, ends])
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text, the end id included."""
         if len(self.known) > MOST_CACHED:
-            self.known, self.ids = {}, []
-        split = []
-        for text in texts:
-            if self._odd.search(text):
-                split.append([text])
-            else:
-                head, *rest = text.split(" ")
-                split.append([head, *[" " + x for x in rest]])
-        known = self.known
-        fresh = list({p for pieces in split for p in pieces if p not in known})
-        for piece, ids in zip(fresh, self._encode(fresh)):
-            known[piece] = len(self.ids)
-            self.ids.append(ids)
-        done = np.array([end], np.uint32)
-        look, table = known.__getitem__, self.ids
-        rows = [np.concatenate([*[table[look(p)] for p in pieces], done]) for pieces in split]
-        return np.concatenate(rows) if rows else np.zeros(0, np.uint32), np.array([len(r) for r in rows], np.int64)
+            self._forget()
+        cut = [[text] if self._odd.search(text) else text.replace(" ", f"{CUT} ").split(CUT) for text in texts]
+        pieces = list(chain.from_iterable(cut))
+        self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
+        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        sizes = np.diff(self.bounds)[number]
+        first = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.bounds[number] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = ends[first - 1] if len(first) else np.zeros(0, np.int64)
+        return np.insert(ids, stops, np.uint32(end)), np.diff(stops, prepend=0) + 1
 
 
 _encoders: dict[str, Encoder] = {}

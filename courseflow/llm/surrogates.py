@@ -37,11 +37,11 @@ SYLLABLES = {"latin": "ba den fel gor han kel lin mar nel por ran sel tor val we
 _TITLE = "|".join((MALE + " " + FEMALE).split())
 _LETTERS = "|".join(
     [
-        r"(?i:password|passwd|secret|token|api_?key)[\"']?[ ]?[=:][ ]?[\"']?[^\s\"',;]{6,}",
+        r"(?=[pPsStTaA])(?i:password|passwd|secret|token|api_?key)[\"']?[ ]?[=:][ ]?[\"']?[^\s\"',;]{6,}",
         r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
         r"[0-9a-f]{32,64}(?![A-Za-z0-9])",
-        rf"(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+        rf"(?=[MHSDFгГ])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
     ]
 )
 _DIGITS = "|".join(
@@ -55,7 +55,8 @@ _DIGITS = "|".join(
         r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     ]
 )
-ENTITY = rf"(?<![\p{{L}}\p{{N}}_.%+-])(?:{_LETTERS})|(?<![\p{{L}}\p{{N}}.])(?:{_DIGITS})"
+#: The look-aheads and the first look-behind only spare the longer tests at most characters.
+ENTITY = rf"(?<![A-Za-z0-9.])(?=[A-Za-z0-9._%+(\-гГ])(?<![\p{{L}}\p{{N}}.])(?:(?<![_%+-])(?:{_LETTERS})|(?=[+(\d])(?:{_DIGITS}))"
 
 
 def entities(text: Column) -> Column:
@@ -166,19 +167,22 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: str = KEY, count_as: str | None = None) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced; ``count_as`` names a column for their number."""
-    row, found, pairs = (free_name(docs, x) for x in ("pii_row", "pii_found", "pii_pairs"))
-    marked = docs.withColumn(found, F.coalesce(entities(F.col("text")), F.array().cast("array<string>")))
+    row, pairs = (free_name(docs, x) for x in ("pii_row", "pii_pairs"))
     # Rows that agree in this hash share their pairs, which are looked up by entity: no row can get wrong ones.
-    hashed = marked.where(F.size(f"`{found}`") > 0).withColumn(row, F.xxhash64("text"))
-    each = materialise(hashed.select(F.col(f"`{row}`").alias("row"), F.explode(F.array_distinct(F.col(f"`{found}`"))).alias("entity")), "found")
+    # The outer explode keeps the optimizer from a filter that would search every text a second time.
+    found = docs.select(F.xxhash64("text").alias("row"), F.explode_outer(F.array_distinct(entities(F.col("text")))).alias("entity"))
+    each = materialise(found.where("entity is not null").distinct(), "found")
     chosen = each.join(assign(each.select("entity").distinct(), key), "entity")
-    maps = chosen.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias(pairs)).withColumnRenamed("row", row)
-    joined = hashed.join(maps, row)
-    swapped = F.transform(F.col(f"`{found}`"), lambda e: F.element_at(F.col(f"`{pairs}`"), e))
-    woven = F.zip_with(F.split("text", ENTITY, -1), swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    counted = [] if count_as is None else [F.size(f"`{found}`").cast("long").alias(count_as)]
-    changed = joined.withColumn("text", F.array_join(woven, ""))
+    maps = materialise(chosen.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(pairs)).withColumnRenamed("row", row), "pairs")
+    joined = docs.withColumn(row, F.xxhash64("text")).join(maps, row, "left")
+    text, known = F.col("text"), F.col(f"`{pairs}`")
+    # Only texts that have pairs are searched again.
+    swapped = F.transform(entities(text), lambda e: F.element_at(known, e))
+    woven = F.array_join(F.zip_with(F.split(text, ENTITY, -1), swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    new = F.when(known.isNull(), text).otherwise(woven)
+    if count_as is not None:
+        joined = joined.withColumn(count_as, F.when(known.isNull(), 0).otherwise(F.size(entities(text))).cast("long"))
+    changed = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.where(F.size(f"`{found}`") == 0).select(*keep, *counted).unionByName(changed.select(*keep, *counted))
+        changed = changed.withColumn("n_chars", F.when(known.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns], *([] if count_as is None else [F.col(f"`{count_as}`")]))

@@ -174,7 +174,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, count_as: str | None = None) -
     each = materialise(found.where("entity is not null").distinct(), "found")
     chosen = each.join(assign(each.select("entity").distinct(), key), "entity")
     maps = materialise(chosen.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(pairs)).withColumnRenamed("row", row), "pairs")
-    joined = docs.withColumn(row, F.xxhash64("text")).join(maps, row, "left")
+    joined = docs.withColumn(row, F.xxhash64("text")).join(maps.hint("merge"), row, "left")  # one plan at every size
     text, known = F.col("text"), F.col(f"`{pairs}`")
     # Only texts that have pairs are searched again.
     swapped = F.transform(entities(text), lambda e: F.element_at(known, e))

@@ -2,18 +2,20 @@
 
 The incidence matrix has a row a document and a column an n-gram (a 64-bit hash). Columns are cut into
 blocks, so many that two rows of linking sizes must agree in at least one whole block: sets of at most M
-n-grams that reach similarity t differ in at most H = 2M(1-t)/(1+t) n-grams, so among H + 1 + g blocks
-more than g agree. The product is accumulated block by block: rows with an equal, non-empty block meet
-under the block's hash, their agreeing blocks are counted, and pairs whose sizes cannot reach t are
-discarded before any set is fetched; the exact overlap of the others follows from the whole sets.
+n-grams that reach similarity t differ in at most H = 2M(1-t)/(1+t) n-grams, and each of these spoils one
+block, so a row with f non-empty blocks agrees with a partner in at least f less the n-grams in which rows
+of their sizes may differ. The product is accumulated block by block: rows with an equal, non-empty block
+meet under the block's hash, their agreeing blocks are counted, and pairs below that size-derived bound are
+discarded before any set is fetched; the exact overlap of the others follows from the whole sets. There are
+2H + 2 blocks: with fewer, rows well below t pass the bound, with more, too many blocks are empty.
 
 Rows of exactly equal sets are one class and only their representative takes part. Block hashes that a
 count-min sketch shows to be unique are dropped before the shuffle. First every row meets, of the
 smallest rows of its blocks, the HUBS with which it agrees most; after these links are joined to components, rows that share a block but not a
 component are compared, so all links between components are found, without all pairs of a large group.
 
-A document with more than g empty blocks could agree in empty blocks only; it is cut again under further
-seeds, and after the last one its empty blocks count as blocks, so no link is lost.
+A document with so few non-empty blocks that the bound is not positive could agree in empty blocks only; it
+is cut again under further seeds, and after the last one its empty blocks count as blocks, so no link is lost.
 
 Defined cases: null text or no words: empty set, linked with nothing; fewer than k words: the whole
 sequence is the one n-gram; rows with a null doc_id are linked with nothing and have a null component;
@@ -77,28 +79,35 @@ class Sets:
         np.cumsum(tb.mix(self.hash, seed), out=total[1:])
         return tb.mix(total[self.first[1:]] - total[self.first[:-1]] + self.n.astype(tb.U), seed)
 
-    def block_keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, key) of the blocks of every row in each size class where it may have a partner."""
+    def block_keys(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key) of the blocks of every row in each size class where it may have a partner; each row's
+        own size class; and, by row and class from the own one on, how many of its blocks are not empty."""
         bounds = _class_bounds(int(self.n.max(initial=1)) * 100 // percent + 1)
-        own = np.searchsorted(bounds, self.n, "right") - 1
-        last = np.searchsorted(bounds, self.n * 100 // percent, "right") - 1
-        rows, keys = [], []
-        for step in range(int((last - own).max(initial=0)) + 1):
+        largest = self.n * 100 // percent  # partner
+        own, last = (np.searchsorted(bounds, x, "right") - 1 for x in (self.n, largest))
+        steps = int((last - own).max(initial=0)) + 1
+        rows, keys, full = [], [], np.zeros((self.rows, steps), np.int32)
+        for step in range(steps):
             active = (self.n > 0) & (own + step <= last)
             size_class = np.minimum(own + step, len(bounds) - 2)
-            differ = 2 * (bounds[size_class + 1] - 1) * (100 - percent) // (100 + percent)
+            most = bounds[size_class + 1] - 1
+            differ = 2 * most * (100 - percent) // (100 + percent)
             active &= differ > 0  # else only equal sets link
-            spare = 1 + differ // 10
-            cut = differ + 1 + spare
+            may_differ = (self.n + np.minimum(largest, most)) * (100 - percent) // (100 + percent)
             for seed in range(SEEDS):
                 if not active.any():
                     break
-                r, k, empty = self._cut(active, cut, size_class, seed, last_seed=seed == SEEDS - 1, spare=spare)
+                r, k, filled = self._cut(active, 2 * differ + 2, size_class, seed, may_differ if seed == SEEDS - 1 else None)
                 rows.append(r), keys.append(k)
-                active = active & (empty > spare)
-        return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, tb.U))
-
-    def _cut(self, active, cut, size_class, seed, last_seed, spare):
+                if not seed:
+                    full[:, step] = filled
+                active = active & (filled <= may_differ)
+        found = (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, tb.U))
+        return *found, own, full
+
+    def _cut(self, active, cut, size_class, seed, fill_below):
+        """(row, key, non-empty blocks a row); with ``fill_below`` the empty blocks of rows that have at
+        most so many others get keys too."""
         at = np.flatnonzero(active[self.row])
         h, row = self.hash[at], self.row[at]
         if seed:
@@ -114,14 +123,14 @@ class Sets:
         tag = (size_class[r].astype(tb.U) << tb.U(34)) | (p << tb.U(2)) | tb.U(seed)
         low = np.where(seed > 0, RESEEDED, size_class).astype(tb.U)
         key = (tb.mix(total ^ tb.mix(tag, 71), 72) & ~tb.U(63)) | low[r]
-        empty = np.where(active, cut - np.bincount(r, minlength=self.rows), 0)
-        if last_seed:
-            filled = r
-            for i in np.flatnonzero(active & (empty > spare)):
-                gone = np.setdiff1d(np.arange(cut[i], dtype=np.uint64), p[filled == i])
+        filled = np.bincount(r, minlength=self.rows)
+        if fill_below is not None:
+            have = r
+            for i in np.flatnonzero(active & (filled <= fill_below)):
+                gone = np.setdiff1d(np.arange(cut[i], dtype=np.uint64), p[have == i])
                 tag = (tb.U(size_class[i]) << tb.U(34)) | (gone << tb.U(2)) | tb.U(seed)
                 r, key = np.concatenate([r, np.full(len(gone), i)]), np.concatenate([key, (tb.mix(tag, 73) & ~tb.U(63)) | low[i]])
-        return r, key, empty
+        return r, key, filled
 
 
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
@@ -131,17 +140,19 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, keys): size, 128-bit hash and block keys of each document's set."""
+    """(doc_id, n, sig_a, sig_b, own, full, keys): size, 128-bit hash, size class, non-empty blocks by class
+    from the own one on, and block keys of each document's set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.parts(batch, "text"):
                 sets = Sets(part.column("text"), k)
-                row, key = sets.block_keys(percent)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), pa.array(sets.signature(1).view(np.int64)), pa.array(sets.signature(2).view(np.int64)), _lists(row, key, sets.rows)], ["doc_id", "n", "sig_a", "sig_b", "keys"])
+                row, key, own, full = sets.block_keys(percent)
+                fulls = pa.ListArray.from_arrays(pa.array(np.arange(sets.rows + 1, dtype=np.int32) * full.shape[1]), pa.array(full.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), pa.array(sets.signature(1).view(np.int64)), pa.array(sets.signature(2).view(np.int64)), pa.array(own.astype(np.int32)), fulls, _lists(row, key, sets.rows)], ["doc_id", "n", "sig_a", "sig_b", "own", "full", "keys"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text_batches(plain).mapInArrow(sign, "doc_id long, n long, sig_a long, sig_b long, keys array<long>")
+    return text_batches(plain).mapInArrow(sign, "doc_id long, n long, sig_a long, sig_b long, own int, full array<int>, keys array<long>")
 
 
 def gram_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -206,14 +217,10 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
 
 
 def _plausible(met: DataFrame, percent: int) -> DataFrame:
-    """Of rows (a, b, n, other, key), one a block that a and b share, the pairs whose sizes and number of
-    agreeing blocks do not rule out the similarity."""
-    bounds = _class_bounds(1 << 34)[:RESEEDED]
-    differ = [int(2 * (m - 1) * (100 - percent) // (100 + percent)) for m in bounds[1:]]
-    counted = met.where(f"100 * least(n, other) >= {percent} * greatest(n, other)").groupBy("a", "b", F.expr("cast(key & 63 as int)").alias("tag")).agg(F.count("*").alias("agree"), F.first("n").alias("n"), F.first("other").alias("other"))
-    allowed = f"(n + other) * {100 - percent} div {100 + percent}"
-    needed = F.element_at(F.array(*[F.lit(x) for x in differ]), F.least(F.col("tag") + 1, F.lit(len(differ)))) + 1 - F.expr(allowed)
-    return counted.where((F.col("tag") == RESEEDED) | (F.col("agree") >= needed)).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    """Of rows (a, b, n, other, full, key), one a block that a and b share, the pairs whose sizes and number
+    of agreeing blocks do not rule out the similarity; ``full`` is the larger number of non-empty blocks."""
+    counted = met.where(f"100 * least(n, other) >= {percent} * greatest(n, other)").groupBy("a", "b", F.expr("cast(key & 63 as int)").alias("tag")).agg(F.count("*").alias("agree"), F.first("n").alias("n"), F.first("other").alias("other"), F.max("full").alias("full"))
+    return counted.where(f"tag = {RESEEDED} or agree >= full - (n + other) * {100 - percent} div {100 + percent}").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -223,11 +230,12 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     same = ["n", "sig_a", "sig_b"]
     classes = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     members = materialise(known.select("doc_id", *same).join(classes, same).select("doc_id", "rep").distinct(), "members")
-    reps = _repeated_keys(known.select("doc_id", *same, "keys")).where(F.size("keys") > 0).join(classes, same).where("doc_id = rep")
-    keyed = materialise(reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n"), "block-keys")
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
+    reps = _repeated_keys(known.select("doc_id", *same, "own", "full", "keys")).where(F.size("keys") > 0).join(classes, same).where("doc_id = rep")
+    exploded = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n", "own", "full")
+    keyed = materialise(exploded.select("key", "node", "n", F.expr(f"if(key & 63 = {RESEEDED}, null, get(full, cast(key & 63 as int) - own))").alias("full")), "block-keys")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n", "full")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
     shared = materialise(keyed.join(hubs.select("key", "hub"), "key"), "shared-blocks")
-    stars = shared.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("other"), "key")
+    stars = shared.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("other"), F.greatest("full", "hub.full").alias("full"), "key")
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
     stars = materialise(_plausible(stars, percent).withColumn("nth", best).where(f"nth <= {HUBS}").select("a", "b"), "stars")
     found = _linked(docs, stars, k, percent)
@@ -245,15 +253,15 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def _across(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """(a, b, n, other, key): rows that share a block but not a component. In each block the component of
+    """(a, b, n, other, full, key): rows that share a block but not a component. In each block the component of
     most rows does not meet itself: every pair has a row of another component in it."""
-    rows = shared.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = shared.select("key", "node", "n", "full").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
     major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("major"))
     open_ = materialise(rows.join(major, "key"), "open-blocks")
-    minor = open_.where("component <> major").select("key", F.col("node").alias("u"), F.col("n").alias("other"), F.col("component").alias("own"))
+    minor = open_.where("component <> major").select("key", F.col("node").alias("u"), F.col("n").alias("other"), F.col("full").alias("other_full"), F.col("component").alias("own"))
     met = open_.join(minor, "key").where("component <> own and (component = major or node < u)")
-    return met.select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b"), "n", "other", "key")
+    return met.select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b"), "n", "other", F.greatest("full", "other_full").alias("full"), "key")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -11,8 +11,9 @@ discarded before any set is fetched; the exact overlap of the others follows fro
 
 Rows of exactly equal sets are one class and only their representative takes part. Block hashes that a
 count-min sketch shows to be unique are dropped before the shuffle. First every row meets, of the
-smallest rows of its blocks, the HUBS with which it agrees most; after these links are joined to components, rows that share a block but not a
-component are compared, so all links between components are found, without all pairs of a large group.
+smallest rows of its blocks, the HUBS with which it agrees most; after these links are joined to
+components, rows that share a block but not a component are multiplied tile by tile, so all links between
+components are found, and the pairs of a large group never become rows unless they are plausible.
 
 A document with so few non-empty blocks that the bound is not positive could agree in empty blocks only; it
 is cut again under further seeds, and after the last one its empty blocks count as blocks, so no link is lost.
@@ -39,6 +40,7 @@ from courseflow.llm.shared import free_name, materialise, text_batches
 
 WORDS, PERCENT = 4, 85
 SEEDS, SKETCH_ROWS = 4, 2
+TILE_KEYS = 20_000  # block keys of the rows that are multiplied as one piece, about
 HUBS = 3  # smallest rows that each row meets first; the comparison across components finds what is left
 RESEEDED = 63  # the low six bits of a block key hold its size class, or this under a further seed
 
@@ -219,7 +221,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
 def _plausible(met: DataFrame, percent: int) -> DataFrame:
     """Of rows (a, b, n, other, full, key), one a block that a and b share, the pairs whose sizes and number
     of agreeing blocks do not rule out the similarity; ``full`` is the larger number of non-empty blocks."""
-    counted = met.where(f"100 * least(n, other) >= {percent} * greatest(n, other)").groupBy("a", "b", F.expr("cast(key & 63 as int)").alias("tag")).agg(F.count("*").alias("agree"), F.first("n").alias("n"), F.first("other").alias("other"), F.max("full").alias("full"))
+    counted = met.where(f"100 * least(n, other) >= {percent} * greatest(n, other)").groupBy("a", "b", "n", "other", F.expr("cast(key & 63 as int)").alias("tag")).agg(F.count("*").alias("agree"), F.min("full").alias("full"))
     return counted.where(f"tag = {RESEEDED} or agree >= full - (n + other) * {100 - percent} div {100 + percent}").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
@@ -243,7 +245,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     extra = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     edges = materialise(found.unionByName(extra), "edges")
     joined = connected(edges)
-    across = materialise(_plausible(_across(shared, joined), percent).join(stars, ["a", "b"], "left_anti"), "across")
+    across = materialise(_across(shared, joined, percent).join(stars, ["a", "b"], "left_anti"), "across")
     if across.limit(1).count():
         late = materialise(_linked(docs, across, k, percent), "late-edges")
         if late.limit(1).count():
@@ -252,16 +254,88 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """(a, b, n, other, full, key): rows that share a block but not a component. In each block the component of
-    most rows does not meet itself: every pair has a row of another component in it."""
+def _across(shared: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """(a, b): plausible pairs of rows that share a block but not a component.
+
+    Rows are dealt to tiles of bounded size, by the most common of their blocks and apart from the component
+    of most rows there; two tiles that share a block are multiplied in one piece, so that of a large group
+    only the plausible pairs become rows."""
     rows = shared.select("key", "node", "n", "full").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("major"))
-    open_ = materialise(rows.join(major, "key"), "open-blocks")
-    minor = open_.where("component <> major").select("key", F.col("node").alias("u"), F.col("n").alias("other"), F.col("full").alias("other_full"), F.col("component").alias("own"))
-    met = open_.join(minor, "key").where("component <> own and (component = major or node < u)")
-    return met.select(F.least("node", "u").alias("a"), F.greatest("node", "u").alias("b"), "n", "other", F.greatest("full", "other_full").alias("full"), "key")
+    major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("parts")).where("parts > 1").select("key", "rows", F.col("top.component").alias("major"))
+    open_ = rows.join(major, "key").groupBy("node", "n", "component").agg(F.max(F.struct("rows", "key", "major")).alias("most"), F.collect_list(F.struct("key", "full")).alias("blocks"))
+    piece = F.expr(f"pmod(xxhash64(node), ceil(most.rows * size(blocks) / {TILE_KEYS}))")
+    dealt = materialise(open_.withColumn("tile", F.xxhash64("most.key", F.expr("component = most.major"), piece)).drop("most"), "open-rows")
+    grouped = dealt.groupBy("tile").agg(F.collect_list(F.struct("node", "n", "component", "blocks")).alias("rows"))
+    tiles = materialise(text_batches(grouped, 64).mapInArrow(_packed, "tile long, rows binary"), "tiles")
+    keys = dealt.select("tile", "component", F.explode("blocks.key").alias("key")).groupBy("key", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    other = keys.select("key", *[F.col(c).alias(f"{c}_y") for c in ("tile", "lo", "hi")])
+    meet = keys.join(other, "key").where("tile <= tile_y and not (lo = hi and lo_y = hi_y and lo = lo_y)").select("tile", "tile_y").distinct()
+    sides = meet.join(tiles.withColumnRenamed("rows", "x"), "tile").join(tiles.select(F.col("tile").alias("tile_y"), F.col("rows").alias("y")), "tile_y").select("x", "y")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = _Tile(batch.column(0)[i].as_py()).plausible(_Tile(batch.column(1)[i].as_py()), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return text_batches(sides, 16).mapInArrow(multiply, "a long, b long").distinct()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each tile as 64-bit integers: numbers of rows and cells; node, n, component by row; row, key, full by cell."""
+    for batch in batches:
+        payload = []
+        for i in range(batch.num_rows):
+            table = batch.column("rows").slice(i, 1).flatten()
+            blocks = table.field("blocks")
+            cells = blocks.flatten()
+            by_row = [table.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component")]
+            row = np.repeat(np.arange(len(table)), np.diff(blocks.offsets.to_numpy()))
+            by_cell = [row, cells.field("key").to_numpy(zero_copy_only=False), cells.field("full").fill_null(0).to_numpy(zero_copy_only=False)]
+            payload.append(np.concatenate([[len(table), len(row)], *by_row, *by_cell]).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(payload, pa.binary())], ["tile", "rows"])
+
+
+class _Tile:
+    """Rows of the incidence matrix: documents by blocks."""
+
+    def __init__(self, packed: bytes):
+        head = np.frombuffer(packed, "<i8")
+        rows = int(head[0])
+        self.node, self.n, self.component = head[2 : 2 + 3 * rows].reshape(3, -1)
+        self.row, self.key, self.full = head[2 + 3 * rows :].reshape(3, -1)
+
+    def columns(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, self.key), len(keys) - 1)
+        hit = keys[at] == self.key
+        out = np.zeros((len(self.node), len(keys)), np.float32)
+        out[self.row[hit], at[hit]] = 1
+        return out
+
+    def filled(self, tag: int) -> np.ndarray:
+        """Non-empty blocks of each row in a size class; the least, if a document has several sets."""
+        out = np.full(len(self.node), np.iinfo(np.int32).max, np.int64)
+        at = np.flatnonzero((self.key & 63) == tag)
+        np.minimum.at(out, self.row[at], self.full[at])
+        return out
+
+    def plausible(self, other: _Tile, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        shared = np.intersect1d(self.key, other.key)
+        n, m = self.n[:, None], other.n[None, :]
+        fits = (self.component[:, None] != other.component[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        may_differ, found = (n + m) * (100 - percent) // (100 + percent), np.zeros(fits.shape, bool)
+        for tag in np.unique(shared & 63):
+            keys = shared[(shared & 63) == tag]
+            agree = np.zeros(fits.shape, np.float32)
+            for first in range(0, len(keys), 2048):
+                part = keys[first : first + 2048]
+                agree += self.columns(part) @ other.columns(part).T
+            needed = 1 if tag == RESEEDED else np.maximum(self.filled(tag)[:, None], other.filled(tag)[None, :]) - may_differ
+            found |= (agree > 0) & (agree >= needed)
+        x, y = np.nonzero(found & fits)
+        a, b = self.node[x], other.node[y]
+        return np.minimum(a, b), np.maximum(a, b)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

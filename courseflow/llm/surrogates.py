@@ -6,6 +6,9 @@ address. A surrogate is drawn from SHA-512 of (key, type, canonical entity, atte
 type's form: character classes, separators, prefixes, country code, Luhn validity; names keep form of
 address, gender, script, case and number of parts. Equal entities get equal surrogates in all documents;
 spellings that differ in case only, or telephone and card numbers in separators only, stay the same person.
+Names are keyed by their family name (the last word, without form of address, dot and 's), given names by
+family and gender, so 'Mr John Smith', 'Mr. Smith' and 'Mr Smith' stay one family; in a text that names a
+family after a form of address, the family name standing alone is replaced too.
 
 Collisions: a surrogate must differ from every entity found in the input and from every other surrogate;
 of equal candidates the least canonical entity keeps it and the others draw again, until none is left.
@@ -38,10 +41,10 @@ _TITLE = "|".join((MALE + " " + FEMALE).split())
 _LETTERS = "|".join(
     [
         r"(?=[pPsStTaA])(?i:password|passwd|secret|token|api_?key)[\"']?[ ]?[=:][ ]?[\"']?[^\s\"',;]{6,}",
-        r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        r"(?<![_%+-])(?<![\p{IsLatin}0-9._%+-]\.)(?!\.)[\p{IsLatin}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-        r"[0-9a-f]{32,64}(?![A-Za-z0-9])",
-        rf"(?=[MHSDFгГ])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+        r"(?<!\d\.)[0-9a-f]{32,64}(?![A-Za-z0-9])",
+        rf"(?=[MHSDFгГ])(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
     ]
 )
 _DIGITS = "|".join(
@@ -55,8 +58,12 @@ _DIGITS = "|".join(
         r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     ]
 )
-#: The look-aheads and the first look-behind only spare the longer tests at most characters.
-ENTITY = rf"(?<![A-Za-z0-9.])(?=[A-Za-z0-9._%+(\-гГ])(?<![\p{{L}}\p{{N}}.])(?:(?<![_%+-])(?:{_LETTERS})|(?=[+(\d])(?:{_DIGITS}))"
+#: The look-aheads only spare the longer tests at most characters. Letters of other scripts and a full stop may
+#: touch an entity, but a number may not be the fraction of another one.
+ENTITY = rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9._%+(\-гГ])(?:{_LETTERS}|(?=[+(\d])(?<!\d\.)(?:{_DIGITS}))"
+#: A word that may be a family name standing alone, and what may follow a family name within its word.
+_BARE, _AFTER = r"(?<!\p{L})\p{Lu}\p{L}*(?:['-]\p{Lu}\p{L}*)*", r"(?:'[sS]|['-])+$"
+_FAMILY = "\u0001"  # before a family name among the pairs of a text
 
 
 def entities(text: Column) -> Column:
@@ -117,7 +124,7 @@ def surrogate(entity: Column, kind: Column, canonical: Column, attempt: int, key
         v = byte(at)
         digit = F.when(kind == "phone", v % 8 + 2).otherwise(v % 10).cast("string")
         lower, upper = F.char((v % F.when(only_hex, 6).otherwise(26) + 97).cast("long")), F.char((v % F.when(only_hex, 6).otherwise(26) + 65).cast("long"))
-        return F.when((i < first_kept) | (i >= size - last_kept), c).when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), lower).when(c.rlike("[A-Z]"), upper).otherwise(c)
+        return F.when((i < first_kept) | (i >= size - last_kept), c).when(c.rlike("[0-9]"), digit).when(c.rlike(r"\p{Lu}"), upper).when(c.rlike(r"\p{L}"), lower).otherwise(c)
 
     scrambled = F.array_join(F.transform(F.split(entity, ""), one), "")
     # A card that was Luhn-valid stays so: its last digit makes up the sum.
@@ -125,18 +132,29 @@ def surrogate(entity: Column, kind: Column, canonical: Column, attempt: int, key
     need = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(_digits(body), F.lit("0"))), F.lit(10)), F.lit(10))
     card = F.when(F.pmod(_luhn(_digits(entity)), F.lit(10)) == 0, F.concat(body, need.cast("string"))).otherwise(scrambled)
     ip = F.concat_ws(".", *[(byte(F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
-    title = F.regexp_extract(entity, rf"^({_TITLE})\.? ", 0)
-    bare = F.regexp_replace(F.trim(title), r"\.$", "")
-    female, cyrillic = bare.isin(*FEMALE.split()), F.substring(entity, F.length(title) + 1, size).rlike(r"\p{IsCyrillic}")
+    cyrillic = canonical.rlike(r"\p{IsCyrillic}")
+    drawn = lambda first, n: F.when(cyrillic, F.concat(*[_pick(SYLLABLES["cyrillic"], number(first + i)) for i in range(n)])).otherwise(F.concat(*[_pick(SYLLABLES["latin"], number(first + i)) for i in range(n)]))
     given = F.lit(None).cast("string")
     for (gender, script), names in GIVEN.items():
-        given = F.when((female == (gender == "f")) & (cyrillic == (script == "cyrillic")), _pick(names, number(0))).otherwise(given)
-    parts = 3 + attempt // 8
-    family = F.initcap(F.when(cyrillic, F.concat(*[_pick(SYLLABLES["cyrillic"], number(1 + i)) for i in range(parts)])).otherwise(F.concat(*[_pick(SYLLABLES["latin"], number(1 + i)) for i in range(parts)])))
-    said = F.substring(entity, F.length(title) + 1, size)
-    plain = F.when(said.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
-    name = F.concat(title, F.when(said == F.upper(said), F.upper(plain)).otherwise(plain))
-    return F.when(kind == "ip", ip).when(kind == "name", name).when(kind == "card", card).otherwise(scrambled)
+        given = F.when(canonical.startswith(gender) & (cyrillic == (script == "cyrillic")), F.lower(_pick(names, number(0)))).otherwise(given)
+    # Later attempts draw from more names. The family stays before the given name, so only namesakes collide.
+    given = given if attempt < 3 else F.concat(given, drawn(1, min(attempt // 3, 14)))
+    given = F.concat(F.regexp_extract(canonical, r"^.*\|", 0), given)
+    family = F.concat(F.lit(_FAMILY), drawn(1, min(3 + attempt // 3, 14)))
+    return F.when(kind == "ip", ip).when(kind == "family", family).when(kind == "given", given).when(kind == "card", card).otherwise(scrambled)
+
+
+def name_parts(entity: Column) -> dict[str, Column]:
+    """Form of address, given name (empty if none), family name, and what follows it in its word."""
+    title = F.regexp_extract(entity, rf"^({_TITLE})\.? ", 0)
+    said = F.substring(entity, F.length(title) + 1, F.length(entity))
+    after, core = F.regexp_extract(said, _AFTER, 0), F.regexp_replace(said, _AFTER, "")
+    return {"title": title, "given": F.when(core.contains(" "), F.substring_index(core, " ", 1)).otherwise(""), "family": F.substring_index(core, " ", -1), "after": after}
+
+
+def _cased(new: Column, like: Column) -> Column:
+    """A lower-case name in the case of another."""
+    return F.when((F.length(like) > 1) & (like == F.upper(like)), F.upper(new)).otherwise(F.initcap(new))
 
 
 def canonical(entity: Column, kind: Column) -> Column:
@@ -144,9 +162,26 @@ def canonical(entity: Column, kind: Column) -> Column:
 
 
 def assign(found: DataFrame, key: str = KEY) -> DataFrame:
-    """(entity, kind, surrogate) for distinct rows of (entity)."""
-    kind = kind_of(F.col("entity"))
-    every = materialise(found.select("entity", kind.alias("kind")).distinct().withColumn("canonical", canonical(F.col("entity"), F.col("kind"))), "entities")
+    """(entity, kind, surrogate) for distinct rows of (entity), and for the families among them."""
+    kinds = materialise(found.select("entity", kind_of(F.col("entity")).alias("kind")).distinct(), "kinds")
+    title, given, family = (name_parts(F.col("entity"))[x] for x in ("title", "given", "family"))
+    gender = F.when(F.regexp_replace(F.trim(title), r"\.$", "").isin(*FEMALE.split()), "f").otherwise("m")
+    names = kinds.where("kind = 'name'").select("entity", F.concat(F.lit(_FAMILY), F.lower(family)).alias("family"), F.when(given != "", F.concat_ws("|", gender, F.lower(family), F.lower(given))).alias("given"))
+    others = kinds.where("kind <> 'name'")
+    for part in ("family", "given"):
+        others = others.unionByName(names.where(F.col(part).isNotNull()).select(F.col(part).alias("entity"), F.lit(part).alias("kind")))
+    every = materialise(others.distinct().withColumn("canonical", canonical(F.col("entity"), F.col("kind"))), "entities")
+    chosen = _draw(every, key)
+    drawn = chosen.select("entity", "surrogate")
+    both = names.join(drawn.toDF("family", "new_family"), "family").join(drawn.toDF("given", "new_given"), "given", "left")
+    parts = name_parts(F.col("entity"))
+    new_given, new_family = F.substring_index("new_given", "|", -1), F.substring(F.col("new_family"), F.lit(2), F.length("new_family"))
+    name = F.concat(parts["title"], F.when(F.col("new_given").isNull(), "").otherwise(F.concat(_cased(new_given, parts["given"]), F.lit(" "))), _cased(new_family, parts["family"]), parts["after"])
+    return chosen.where("kind <> 'given'").unionByName(both.select("entity", F.lit("name").alias("kind"), name.alias("surrogate")))
+
+
+def _draw(every: DataFrame, key: str) -> DataFrame:
+    """(entity, kind, surrogate) for rows of (entity, kind, canonical)."""
     todo, done = every, None
     for attempt in range(ATTEMPTS):
         tried = materialise(todo.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), F.col("canonical"), attempt, key)), "tried")
@@ -172,16 +207,27 @@ def pseudonymise(docs: DataFrame, key: str = KEY, count_as: str | None = None) -
     # The outer explode keeps the optimizer from a filter that would search every text a second time.
     found = docs.select(F.xxhash64("text").alias("row"), F.explode_outer(F.array_distinct(entities(F.col("text")))).alias("entity"))
     each = materialise(found.where("entity is not null").distinct(), "found")
-    chosen = each.join(assign(each.select("entity").distinct(), key), "entity")
+    of_names = each.where(kind_of(F.col("entity")) == "name").select("row", F.concat(F.lit(_FAMILY), F.lower(name_parts(F.col("entity"))["family"])).alias("entity"))
+    chosen = each.unionByName(of_names.distinct()).join(assign(each.select("entity").distinct(), key), "entity")
     maps = materialise(chosen.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(pairs)).withColumnRenamed("row", row), "pairs")
     joined = docs.withColumn(row, F.xxhash64("text")).join(maps.hint("merge"), row, "left")  # one plan at every size
     text, known = F.col("text"), F.col(f"`{pairs}`")
     # Only texts that have pairs are searched again.
     swapped = F.transform(entities(text), lambda e: F.element_at(known, e))
-    woven = F.array_join(F.zip_with(F.split(text, ENTITY, -1), swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    between, has_names = F.split(text, ENTITY, -1), F.exists(F.map_keys(known), lambda x: x.startswith(_FAMILY))
+    in_map = lambda w: F.concat(F.lit(_FAMILY), F.lower(F.regexp_replace(w, _AFTER, "")))
+
+    def renamed(word: Column) -> Column:
+        new = F.try_element_at(known, in_map(word))
+        return F.when(new.isNull(), word).otherwise(F.concat(_cased(F.substring(new, F.lit(2), F.length(new)), F.regexp_replace(word, _AFTER, "")), F.regexp_extract(word, _AFTER, 0)))
+
+    bare = lambda x: F.regexp_extract_all(x, F.lit(_BARE), F.lit(0))
+    linked = F.transform(between, lambda x: F.array_join(F.zip_with(F.split(x, _BARE, -1), F.transform(bare(x), renamed), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""))
+    woven = F.array_join(F.zip_with(F.when(has_names, linked).otherwise(between), swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     new = F.when(known.isNull(), text).otherwise(woven)
+    alone = F.aggregate(between, F.lit(0), lambda n, x: n + F.size(F.filter(bare(x), lambda w: F.map_contains_key(known, in_map(w)))))
     if count_as is not None:
-        joined = joined.withColumn(count_as, F.when(known.isNull(), 0).otherwise(F.size(entities(text))).cast("long"))
+        joined = joined.withColumn(count_as, F.when(known.isNull(), 0).otherwise(F.size(entities(text)) + F.when(has_names, alone).otherwise(0)).cast("long"))
     changed = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(known.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

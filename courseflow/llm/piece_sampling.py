@@ -1,7 +1,7 @@
 """Distinct sampled segmentations into the pieces of a SentencePiece model, and back.
 
-A text becomes U+2581 + text with spaces as U+2581, cut before every such mark and around line feeds (no
-piece crosses those cuts); the pieces that fit each stretch form a lattice, a character without a piece
+A text becomes U+2581 + text with spaces as U+2581, cut before every such mark that follows another character
+and around line feeds (no piece crosses those cuts, which is checked when a model is read); the pieces that fit each stretch form a lattice, a character without a piece
 being one edge of byte pieces. A piece weighs -log(2 - score), score being the model's (the merge rank
 with the sign turned), and backward sums over the lattice turn weights into the probability of every
 edge given its place, so a segmentation's probability is the product of its edges'.
@@ -68,7 +68,9 @@ class Pieces:
             if model.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
                 self.surface[i] = bytes([int(piece[3:5], 16)])
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or MARK in piece[1:]):
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
+                if MARK in piece.lstrip(MARK) or "\n" in piece:
+                    raise ValueError(f"piece {piece!r} crosses the cuts between stretches")
                 codes = _codes(piece)
                 h = _code_hash(codes)[-1]
                 by_length.setdefault(len(codes), []).append((int(h), i))
@@ -230,7 +232,7 @@ def _walk(lattice, stretch, state, row, nth, seeds, number):
 
 def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int):
     """The lattice and, best first, samples of all rows; a row without a further one has value -inf."""
-    cuts = [list(filter(None, (MARK + text.replace(MARK, OWN_MARK).replace(" ", CUT + MARK).replace("\n", f"{CUT}\n{CUT}")).split(CUT))) if text else [] for text in texts]
+    cuts = [list(filter(None, (MARK + text.replace(MARK, OWN_MARK).replace(" ", CUT + MARK)).replace(MARK + CUT, MARK).replace("\n", f"{CUT}\n{CUT}").split(CUT))) if text else [] for text in texts]
     counts, flat = list(map(len, cuts)), list(chain.from_iterable(cuts))
     known = {x: i for i, x in enumerate(dict.fromkeys(flat))}
     lattice = Lattice(list(known), pieces)

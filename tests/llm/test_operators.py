@@ -148,6 +148,22 @@ def test_piece_samples(docs, empty):
     assert piece_sampling.sampled_pieces(empty, model).count() == 0
 
 
+def test_piece_samples_reach_the_models_own_segmentation():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, pieces = sentencepiece.SentencePieceProcessor(model_file=path), piece_sampling.Pieces(path)
+    for text in ("    x = 1", "a  b", "if x:\n        y\n\n    z", "   ", "two  \n   lines "):
+        own, n = model.encode(text), 2000
+        lattice, samples = piece_sampling.sample_texts([text] * n, np.arange(n), pieces, 3, 1)
+        got = Counter()
+        for s in samples:
+            ids, bounds = piece_sampling._expand(lattice, pieces, s)
+            assert all(raw == text.encode() for raw, v in zip(piece_sampling.decode(ids, bounds, pieces), s.value) if np.isfinite(v))
+            got.update(tuple(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:]))
+        assert got[tuple(own)], (text, model.id_to_piece(own))
+
+
 def test_piece_samples_follow_the_distribution():
     pieces = piece_sampling.Pieces(tokenizer_path("piece_bpe_32k.model"))
     keys, k = np.arange(4000), 3

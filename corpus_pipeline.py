@@ -31,7 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of each document."""
-    return piece_sampling.sampled_pieces(docs, tokenizer_path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+    return piece_sampling.sampled_pieces(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("pii", private_data), ("mixing", mix), ("sentencepiece", pieces)]

@@ -57,7 +57,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sampled_pieces(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+    return piece_sampling.sampled_pieces(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,18 @@ def test_piece_samples(docs, empty):
     assert piece_sampling.sampled_pieces(empty, model).count() == 0
 
 
+def test_piece_samples_return_their_ids(spark, docs, tmp_path):
+    import zlib
+
+    import corpus_pipeline
+    from courseflow.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for df in (queries.op9_piece_sampling(spark, str(tmp_path)), corpus_pipeline.pieces(spark, docs, str(tmp_path))):
+        rows = df.collect()
+        assert rows and all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<i4").tobytes()) == r.ids_crc32 for r in rows)
+
+
 def test_piece_samples_reach_the_models_own_segmentation():
     import sentencepiece
 

@@ -204,11 +204,13 @@ def compile_status(s: SparkSession, d: str) -> DataFrame:
 
 
 def _book(s: SparkSession, d: str) -> DataFrame:
-    """Books with a table of contents derived from ``documents``: page 1 lists every page's first words."""
-    pages = b.page_texts(s, d).withColumn("words", F.slice(F.split(fx.collapse(F.regexp_replace("text", "[^A-Za-z ]", " ")), " "), 1, 4)).where(F.size("words") >= 4)
-    numbered = pages.withColumn("n", F.row_number().over(W.partitionBy("source_id").orderBy("page_number"))).where("n <= 30")
+    """Books with a table of contents derived from ``documents``: page 1 lists every page's first words. A
+    source is as many books of 30 pages as it needs, so every document takes part."""
+    pages = b.page_texts(s, d).withColumn("words", F.slice(F.split(fx.collapse(F.regexp_replace("text", "[^A-Za-z ]", " ")), " "), 1, 4))
+    book = F.floor((F.col("page_number") - 1) / 30)
+    numbered = pages.withColumn("n", (F.col("page_number") - 1) % 30 + 1).withColumn("source_id", F.concat_ws("#", "source_id", book.cast("string")))
     titled = numbered.withColumn("heading", F.concat(F.when(F.col("n") % 5 == 1, F.concat(F.lit("Chapter "), "n", F.lit(": "))).otherwise(F.lit("")), F.array_join("words", " ")))
-    index = titled.groupBy("source_id").agg(F.concat(F.lit("Table of Contents\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat("heading", F.lit(" "), "n").alias("line")))), lambda x: x["line"]), "\n"), F.lit("\nIndex 99")).alias("text")).withColumn("page_number", F.lit(1))
+    index = titled.where("array_join(words, '') <> ''").groupBy("source_id").agg(F.concat(F.lit("Table of Contents\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat("heading", F.lit(" "), "n").alias("line")))), lambda x: x["line"]), "\n"), F.lit("\nIndex 99")).alias("text")).withColumn("page_number", F.lit(1))
     bodies = titled.select("source_id", F.concat(F.lit("[ "), "n", F.lit(" ]\n"), F.array_join("words", " "), F.lit("\n"), "text").alias("text"), (F.col("n") + 1).alias("page_number"))
     return index.select("source_id", "page_number", "text").unionByName(bodies.select("source_id", "page_number", "text"))
 

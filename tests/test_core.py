@@ -82,6 +82,18 @@ def test_contents_route(spark):
     assert units[1].prerequisite_key == units[0].key and units[2].prerequisite_key == units[1].key
 
 
+def test_every_document_is_a_page_of_a_book(spark, tmp_path):
+    from courseflow.plans import queries
+
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    rows = [(i, f"{word(i)} topic of page", "hot" if i < 75 else None) for i in range(80)] + [(80, "short", "few"), (81, "12", "few")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    pages = queries._book(spark, str(tmp_path))
+    assert pages.where("page_number > 1").count() == 82 and pages.groupBy("source_id").count().where("count > 31").count() == 0
+    titles = [r.title.split(": ")[-1] for r in queries.toc_entries(spark, str(tmp_path)).collect()]
+    assert sorted(titles) == sorted([*(f"{word(i)} topic of page" for i in range(80)), "short"])
+
+
 def test_qa_uplift(spark):
     rows = [("b", "before", f"q{i}", i < 2) for i in range(10)] + [("b", "after", f"q{i}", i < 8) for i in range(10)]
     df = spark.createDataFrame(rows, "benchmark_id string, stage string, question_id string, is_correct boolean")

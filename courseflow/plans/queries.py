@@ -72,8 +72,11 @@ def evaluation_grid(s: SparkSession, d: str) -> DataFrame:
 def rule_tags(s: SparkSession, d: str) -> DataFrame:
     grid = signals.evaluation_grid(signals.structured_slides(b.page_slides(s, d)))
     tags = signals.rule_tags(grid)
-    each = tags.select("deck_id", "student_profile", "task_type", F.explode(F.concat("confusion_tags", F.filter("missed_prerequisites", lambda t: t == "basic_statistics"), F.filter("misconception_flags", lambda t: t != "missing_counterexample"))).alias("tag"))
-    return each.groupBy("deck_id", "student_profile", "task_type", "tag").agg(F.count("*").alias("n"))
+    kinds = {"confusion": "confusion_tags", "prerequisite": "missed_prerequisites", "misconception": "misconception_flags"}
+    of_kind = lambda kind, name: F.transform(name, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("tag")))
+    every = F.concat(*[of_kind(kind, name) for kind, name in kinds.items()])
+    each = tags.select("deck_id", "student_profile", "task_type", F.explode(every).alias("t")).select("deck_id", "student_profile", "task_type", "t.*")
+    return each.groupBy("deck_id", "student_profile", "task_type", "kind", "tag").agg(F.count("*").alias("n"))
 
 
 def structured_slides(s: SparkSession, d: str) -> DataFrame:

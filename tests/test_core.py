@@ -94,6 +94,37 @@ def test_every_document_is_a_page_of_a_book(spark, tmp_path):
     assert sorted(titles) == sorted([*(f"{word(i)} topic of page" for i in range(80)), "short"])
 
 
+def test_rule_tags_keep_all_kinds(spark, tmp_path):
+    from collections import Counter
+
+    from courseflow.plans import queries
+
+    rows = [(1, "Model Basics\nSupervised Learning uses a pattern", "a"), (2, "Plain\nFor example one", "a"), (3, "Decision Tree algorithm", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    slides = queries.structured_slides(spark, str(tmp_path)).collect()
+    want = Counter()
+    for s in slides:
+        text = rows[int(s.slide_id[1:]) - 1][1].lower()
+        for profile in signals.PROFILES:
+            for task in signals.TASKS:
+                if task == "coverage_check" and profile != "strong":
+                    continue
+                confusion = {"label_usage"} if "supervised" in text else set()
+                confusion |= {"pattern_definition"} if "pattern" in text else set()
+                confusion |= {"needs_worked_example"} if task == "confusion_report" and "example" not in text else set()
+                confusion |= {"weak": {"terminology_overload"}, "average": {"pace_jump"}}.get(profile, set())
+                missed = {"basic_statistics"} if "model" in text or "algorithm" in text else set()
+                missed |= {s.terms.split("|")[0]} - {""} if profile == "weak" else set()
+                wrong = {"missing_boundary_conditions"} if task == "coverage_check" else set()
+                wrong |= {"oversimplified_explanation"} if profile == "strong" else set()
+                wrong |= {"missing_counterexample"} if profile == "strong" and not s.n_examples else set()
+                for kind, tags in (("confusion", confusion), ("prerequisite", missed), ("misconception", wrong)):
+                    want.update((s.deck_id, profile, task, kind, tag) for tag in tags)
+    got = {tuple(r)[:-1]: r.n for r in queries.rule_tags(spark, str(tmp_path)).collect()}
+    assert got == dict(want) and {"missing_counterexample"} <= {k[-1] for k in got}
+    assert {k[-1] for k in got if k[3] == "prerequisite"} > {"basic_statistics"}
+
+
 def test_qa_uplift(spark):
     rows = [("b", "before", f"q{i}", i < 2) for i in range(10)] + [("b", "after", f"q{i}", i < 8) for i in range(10)]
     df = spark.createDataFrame(rows, "benchmark_id string, stage string, question_id string, is_correct boolean")

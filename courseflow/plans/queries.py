@@ -169,8 +169,7 @@ def chunk_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_pages(s: SparkSession, d: str) -> DataFrame:
-    pages = b.page_texts(s, d)
-    found = chunks.chunk_pages(chunks.text_chunks(chunks.joined_texts(pages)), chunks.page_ranges(pages))
+    found = chunks.page_chunk_pages(b.page_texts(s, d))
     return found.select("source_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "page_start", "page_end")])
 
 

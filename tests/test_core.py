@@ -125,6 +125,21 @@ def test_rule_tags_keep_all_kinds(spark, tmp_path):
     assert {k[-1] for k in got if k[3] == "prerequisite"} > {"basic_statistics"}
 
 
+def test_chunk_pages_without_a_joined_text(spark):
+    from courseflow.plans import queries
+
+    pages = [("a", i, t) for i, t in enumerate(["", " \n  ", "  lead " + "x" * 2500, " " * 3000, "y " * 700, "", "é" * 99, "z", "q" * 1400 + "  \n"], 1)]
+    pages += [("b", i, "w" * (i * 37 % 400)) for i in range(1, 60)] + [("c", 1, "  "), ("d", 1, "one"), ("e", 1, "p" * 1000), ("e", 2, "p" * 898), ("e", 3, "x"), ("f", 1, " " * 2500 + "x" * 50), (None, 1, "text")]
+    df = spark.createDataFrame(pages, "source_id string, page_number int, text string")
+    key = lambda r: (r[0] or "", r[1])
+    rows = lambda f: sorted((tuple(r) for r in f.select("source_id", "chunk_index", "char_start", "char_end", "page_start", "page_end").collect()), key=key)
+    new = chunks.page_chunk_pages(df)
+    want = rows(chunks.chunk_pages(chunks.text_chunks(chunks.joined_texts(df)), chunks.page_ranges(df)))
+    assert [r for r in rows(new) if r[0]] == [r for r in want if r[0]]
+    assert [r for r in rows(new) if not r[0]] == [(None, 0, 0, 4, 1, 1)]
+    assert "chunk_text" not in queries.chunk_pages.__code__.co_names and "joined_texts" not in queries.chunk_pages.__code__.co_names
+
+
 def test_qa_uplift(spark):
     rows = [("b", "before", f"q{i}", i < 2) for i in range(10)] + [("b", "after", f"q{i}", i < 8) for i in range(10)]
     df = spark.createDataFrame(rows, "benchmark_id string, stage string, question_id string, is_correct boolean")

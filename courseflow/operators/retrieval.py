@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from courseflow.functions import text as fx
 
 MOST_QUERIES = 10_000
+QUERY_BLOCK, RECORD_BLOCK = 256, 4096
 ROLE_ORDER = {"concept": 0, "example": 1, "caution": 2, "prerequisite": 3}
 
 
@@ -63,41 +64,49 @@ def matches(requests: DataFrame, units: DataFrame) -> DataFrame:
 def vector_topk(queries: DataFrame, records: DataFrame, k: Column | int, filters: dict[str, str] | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k records of largest cosine for each query, ties by id.
 
-    ``queries`` (query_id, vector) of at most MOST_QUERIES rows go to every task as one matrix; each Arrow
-    batch keeps k rows a query, and a window merges them. ``filters`` maps record to query columns."""
+    Blocks of ``queries`` (query_id, vector) meet blocks of records over an explicit key; each pair of blocks
+    keeps a query's own k rows, and a window merges them. ``filters`` maps record to query columns."""
     filters = filters or {}
-    asked = queries.limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one call; search in parts")
-    most = k if isinstance(k, int) else max((r["k"] for r in asked), default=0)
-    if not asked:
-        return records.limit(0).select(F.lit("").alias("query_id"), F.col("id").cast("string").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    matrix = np.array([r["vector"] for r in asked], float)
-    length = np.linalg.norm(matrix, axis=1)
-    matrix = matrix / np.where(length == 0, 1.0, length)[:, None]
-    names, wanted = [str(r["query_id"]) for r in asked], {c: [r[q] for r in asked] for c, q in filters.items()}
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.array(pdf["embedding"].tolist(), float)
-            n = np.linalg.norm(v, axis=1)
-            score = (v / np.where(n == 0, 1.0, n)[:, None]) @ matrix.T
-            ids, out = pdf["id"].astype(str).to_numpy(), []
-            for j, name in enumerate(names):
-                fit = np.ones(len(pdf), bool)
-                for column, values in wanted.items():
-                    if values[j] is not None:
-                        fit &= (pdf[column].fillna("") == values[j]).to_numpy()
-                at = np.flatnonzero(fit)
-                at = at[np.lexsort((ids[at], -score[at, j]))[:most]]
-                out.append(pd.DataFrame({"query_id": name, "id": ids[at], "score": score[at, j]}))
-            yield pd.concat(out)
-
-    found = records.select(F.col("id").cast("string").alias("id"), "embedding", *[F.coalesce(c, F.lit("")).alias(c) for c in filters]).mapInPandas(best, "query_id string, id string, score double")
+    n_filters = len(filters)
+    own = F.lit(k) if isinstance(k, int) else k
+    fits = [F.col(q).alias(f"f{i}") for i, q in enumerate(filters.values())]
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), own.cast("int").alias("k"), *fits)
+    kept = records.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.coalesce(c, F.lit("")).alias(f"f{i}") for i, c in enumerate(filters)])
+    parts, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (records, RECORD_BLOCK)))
+    dealt = lambda df, n, key: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"))
+    q = dealt(asked, parts, "query_id").agg(F.collect_list(F.struct(*asked.columns)).alias("q")).withColumnRenamed("block", "part")
+    r = dealt(kept, blocks, "id").agg(F.collect_list(F.struct(*kept.columns)).alias("r")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    pairs = r.repartition(max(1, min(10_000, parts * blocks)), "part", "block").join(q, "part").select("q", "r")
+
+    def unit(rows: list) -> np.ndarray:
+        v = np.array([list(x) for x in rows], float)
+        n = np.linalg.norm(v, axis=1)
+        return v / np.where(n == 0, 1.0, n)[:, None]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1).to_pylist()[0]
+                ids = np.array([x["id"] for x in one["r"]], object)
+                score = unit([x["embedding"] for x in one["r"]]) @ unit([x["vector"] for x in one["q"]]).T
+                columns = [np.array([x[f"f{n}"] for x in one["r"]], object) for n in range(n_filters)]
+                names, found, scores, most = [], [], [], []
+                for j, x in enumerate(one["q"]):
+                    fit = np.ones(len(ids), bool)
+                    for n, values in enumerate(columns):
+                        if x[f"f{n}"] is not None:
+                            fit &= values == x[f"f{n}"]
+                    at = np.flatnonzero(fit)
+                    at = at[np.lexsort((ids[at], -score[at, j]))[: x["k"]]]
+                    names += [x["query_id"]] * len(at)
+                    found += ids[at].tolist()
+                    scores += score[at, j].tolist()
+                    most += [x["k"]] * len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(most, pa.int32())], ["query_id", "id", "score", "k"])
+
+    hits = pairs.mapInArrow(best, "query_id string, id string, score double, k int")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= most)
+    return hits.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).drop("k")
 
 
 def request_vectors(requests: DataFrame) -> DataFrame:

@@ -164,6 +164,13 @@ def test_vector_topk_breaks_ties_by_id(spark):
     assert [(r.id, r["rank"]) for r in retrieval.vector_topk(asked, records, 2).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
 
 
+def test_vector_topk_takes_many_queries_each_with_its_own_k(spark):
+    records = spark.createDataFrame([(i, [1.0, float(i)], "x" if i < 3 else None) for i in range(5)], "id long, embedding array<double>, label string")
+    asked = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"), (F.col("id") % 4).cast("int").alias("k"), F.when(F.col("id") % 8 == 3, "x").alias("want"))
+    rows = retrieval.vector_topk(asked, records, F.col("k"), {"label": "want"}).groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    assert {int(r.query_id): r.ids for r in rows} == {i: [str(j) for j in range(i % 4)] for i in range(10_050) if i % 4}
+
+
 def test_registry_has_an_oracle_for_known_queries_only():
     import __spark_entry__ as e
 

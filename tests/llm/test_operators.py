@@ -253,3 +253,60 @@ def test_pipeline_keeps_columns(spark, docs, tmp_path):
     groups = {c for d, _, c in brute.op5([r for r in ROWS if r[0] in kept], 5, 80)}
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert pieces and {r.doc_id for r in pieces} <= groups and all(r.decoded for r in pieces)
+
+
+def test_piece_sample_scores_of_enumerable_texts(spark):
+    """log_prob, n_pieces and log_inclusion against all segmentations of short texts, counted one by one."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    pieces = piece_sampling.Pieces(path)
+    texts = ["to be", "an", "x\ny", "", "né 𝔘", "  a"]
+    rows = [(i, texts[i % len(texts)]) for i in range(120)] + [(None, "an"), (None, "an"), (7, "an")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    every = {}
+    for text in set(texts):
+        lattice, _ = piece_sampling.sample_texts([text], np.arange(1), pieces, 1, 1)
+        found = {(): 1.0}
+        for stretch in piece_sampling._stretches(text):
+            ids = {x: i for i, x in enumerate(dict.fromkeys(piece_sampling._stretches(text)))}
+            start = lattice.start[ids[stretch]]
+
+            def ways(node):
+                if lattice.is_end[node]:
+                    return {(): 1.0}
+                out = Counter()
+                for e in range(lattice.first[node], lattice.first[node + 1]):
+                    number = int(lattice.id[e])
+                    own = (number,) if number < pieces.size else tuple(map(int, lattice.sequence[number - pieces.size]))
+                    for rest, p in ways(lattice.to[e]).items():
+                        out[own + rest] += p * math.exp(lattice.log_prob[e])
+                return out
+
+            found = {a + b: p * q for a, p in found.items() for b, q in ways(start).items()}
+        assert math.isclose(sum(found.values()), 1, rel_tol=1e-9)
+        every[text] = found
+    k = 3
+    got = {}
+    for r in piece_sampling.sampled_pieces(df, path, k).collect():
+        got.setdefault((r.doc_id, r.n_pieces and tuple(r.ids)), []).append(r)
+        assert r.n_pieces == len(r.ids) and r.decoded
+    for i in range(120):
+        if i == 7:
+            continue
+        mine = [r for (d, _), rs in got.items() if d == i for r in rs]
+        want = every[texts[i % len(texts)]]
+        assert len(mine) == min(k, len(want)) and {tuple(r.ids) for r in mine} <= set(want)
+        mine.sort(key=lambda r: r.sample)
+        assert [r.sample for r in mine] == list(range(1, len(mine) + 1))
+        assert all(a.perturbed >= b.perturbed for a, b in zip(mine, mine[1:]))
+        for r in mine:
+            assert math.isclose(r.log_prob, math.log(want[tuple(r.ids)]), abs_tol=1e-9)
+            assert r.log_inclusion <= 0 and (len(want) > k or r.log_inclusion == 0)
+    # One threshold a row: what the scores say about it must agree over the row's samples.
+    for i in range(120):
+        mine = [r for (d, _), rs in got.items() if d == i and i != 7 for r in rs if -5 < r.log_inclusion < -1e-4]
+        at = [r.log_prob - math.log(-math.log1p(-math.exp(r.log_inclusion))) for r in mine]
+        assert all(math.isclose(x, at[0], abs_tol=1e-6) for x in at) and all(x <= r.perturbed for x, r in zip(at, mine))
+    # Horvitz-Thompson: weights prob / inclusion sum to one on average.
+    texts_many = spark.createDataFrame([(i, "to be") for i in range(3000)], "doc_id long, text string")
+    total = sum(math.exp(r.log_prob - r.log_inclusion) for r in piece_sampling.sampled_pieces(texts_many, path, k).collect())
+    assert abs(total / 3000 - 1) < 0.06

@@ -1,22 +1,20 @@
 """Self-join of documents by Jaccard similarity of their word n-gram sets, as a blocked sparse product.
 
-The incidence matrix has a row a document and a column an n-gram (a 64-bit hash). Columns are cut into
-blocks, so many that two rows of linking sizes must agree in at least one whole block: sets of at most M
-n-grams that reach similarity t differ in at most H = 2M(1-t)/(1+t) n-grams, and each of these spoils one
-block, so a row with f non-empty blocks agrees with a partner in at least f less the n-grams in which rows
-of their sizes may differ. The product is accumulated block by block: rows with an equal, non-empty block
-meet under the block's hash, their agreeing blocks are counted, and pairs below that size-derived bound are
-discarded before any set is fetched; the exact overlap of the others follows from the whole sets. There are
-2H + 2 blocks: with fewer, rows well below t pass the bound, with more, too many blocks are empty.
-
-Rows of exactly equal sets are one class and only their representative takes part. Block hashes that a
-count-min sketch shows to be unique are dropped before the shuffle. First every row meets, of the
-smallest rows of its blocks, the HUBS with which it agrees most; after these links are joined to
-components, rows that share a block but not a component are multiplied tile by tile, so all links between
-components are found, and the pairs of a large group never become rows unless they are plausible.
-
-A document with so few non-empty blocks that the bound is not positive could agree in empty blocks only; it
-is cut again under further seeds, and after the last one its empty blocks count as blocks, so no link is lost.
+The incidence matrix has a row a document and a column an n-gram (a 64-bit hash). Its product with itself
+holds the overlap of every two rows; size-derived bounds leave out most of it:
+
+* Rows of equal sets are one class, of which one representative takes part.
+* A row of n n-grams reaches similarity t only with rows that share ceil(t n) of them, so they share one of
+  its first n - ceil(t n) + 1 in any fixed order of the columns (its keys). The order is by how often a
+  count-min sketch saw a column: once, a few times, often; within that by hash. Columns seen once take up
+  keys and match nothing, so a document with enough text of its own has no key to be shuffled.
+* Two rows meet only under a common key and if their sizes allow the similarity.
+
+Rows that meet are multiplied in blocks over all their columns, and the accumulated overlap decides. First
+every row meets, of the smallest rows under its keys, the HUBS with which it shares most keys; after these
+links are joined to components, rows that share a key but not a component are multiplied tile by tile (all
+links between components are found, those within a component are not needed), and each product of two
+tiles returns a forest of its links, never more rows than the tiles have.
 
 Defined cases: null text or no words: empty set, linked with nothing; fewer than k words: the whole
 sequence is the one n-gram; rows with a null doc_id are linked with nothing and have a null component;
@@ -26,6 +24,7 @@ met by the exact comparison in integers; further columns pass through ``keep_one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +38,10 @@ from courseflow.llm import textblock as tb
 from courseflow.llm.shared import free_name, materialise, text_batches
 
 WORDS, PERCENT = 4, 85
-SEEDS, SKETCH_ROWS = 4, 2
-TILE_KEYS = 20_000  # block keys of the rows that are multiplied as one piece, about
 HUBS = 3  # smallest rows that each row meets first; the comparison across components finds what is left
-RESEEDED = 63  # the low six bits of a block key hold its size class, or this under a further seed
-
-
-def _class_bounds(most: int) -> np.ndarray:
-    """Least set size of each size class; a class spans sizes up to half as large again."""
-    bounds = [1]
-    while bounds[-1] <= most:
-        bounds.append(max(bounds[-1] + 1, bounds[-1] * 3 // 2))
-    return np.array(bounds, np.int64)
+TILE_ROWS, TILE_GRAMS = 1024, 400_000  # rows that are multiplied as one block, about
+DENSE = 8192  # products of a column's two counts above which it is multiplied densely
+FEW = 32  # a column seen less often comes before more frequent ones
 
 
 class Sets:
@@ -81,115 +72,88 @@ class Sets:
         np.cumsum(tb.mix(self.hash, seed), out=total[1:])
         return tb.mix(total[self.first[1:]] - total[self.first[:-1]] + self.n.astype(tb.U), seed)
 
-    def block_keys(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, key) of the blocks of every row in each size class where it may have a partner; each row's
-        own size class; and, by row and class from the own one on, how many of its blocks are not empty."""
-        bounds = _class_bounds(int(self.n.max(initial=1)) * 100 // percent + 1)
-        largest = self.n * 100 // percent  # partner
-        own, last = (np.searchsorted(bounds, x, "right") - 1 for x in (self.n, largest))
-        steps = int((last - own).max(initial=0)) + 1
-        rows, keys, full = [], [], np.zeros((self.rows, steps), np.int32)
-        for step in range(steps):
-            active = (self.n > 0) & (own + step <= last)
-            size_class = np.minimum(own + step, len(bounds) - 2)
-            most = bounds[size_class + 1] - 1
-            differ = 2 * most * (100 - percent) // (100 + percent)
-            active &= differ > 0  # else only equal sets link
-            may_differ = (self.n + np.minimum(largest, most)) * (100 - percent) // (100 + percent)
-            for seed in range(SEEDS):
-                if not active.any():
-                    break
-                r, k, filled = self._cut(active, 2 * differ + 2, size_class, seed, may_differ if seed == SEEDS - 1 else None)
-                rows.append(r), keys.append(k)
-                if not seed:
-                    full[:, step] = filled
-                active = active & (filled <= may_differ)
-        found = (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, tb.U))
-        return *found, own, full
-
-    def _cut(self, active, cut, size_class, seed, fill_below):
-        """(row, key, non-empty blocks a row); with ``fill_below`` the empty blocks of rows that have at
-        most so many others get keys too."""
-        at = np.flatnonzero(active[self.row])
-        h, row = self.hash[at], self.row[at]
-        if seed:
-            h = tb.mix(h, 60 + seed)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-        piece = ((h >> tb.U(32)) * cut[row].astype(tb.U)) >> tb.U(32)
-        new = np.ones(len(h), bool)
-        new[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(tb.mix(h, 70), first) if len(first) else np.zeros(0, tb.U)
-        r, p = row[first], piece[first]
-        tag = (size_class[r].astype(tb.U) << tb.U(34)) | (p << tb.U(2)) | tb.U(seed)
-        low = np.where(seed > 0, RESEEDED, size_class).astype(tb.U)
-        key = (tb.mix(total ^ tb.mix(tag, 71), 72) & ~tb.U(63)) | low[r]
-        filled = np.bincount(r, minlength=self.rows)
-        if fill_below is not None:
-            have = r
-            for i in np.flatnonzero(active & (filled <= fill_below)):
-                gone = np.setdiff1d(np.arange(cut[i], dtype=np.uint64), p[have == i])
-                tag = (tb.U(size_class[i]) << tb.U(34)) | (gone << tb.U(2)) | tb.U(seed)
-                r, key = np.concatenate([r, np.full(len(gone), i)]), np.concatenate([key, (tb.mix(tag, 73) & ~tb.U(63)) | low[i]])
-        return r, key, filled
+    def keys(self, percent: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, key): the first columns of every row, without those seen once."""
+        cell = sketch.cells(self.hash, 0, sketch.width_of(bits))
+        again, often = sketch.bit(bits[0], cell), sketch.bit(bits[1], cell)
+        first = np.where(100 * self.n >= percent * (self.n + 1), self.n - -(-percent * self.n // 100) + 1, 0)  # of small sets only equal ones link
+        chosen = np.zeros(len(self.hash), bool)
+        for group in (~again, again & ~often, again & often):
+            total = np.concatenate([[0], np.cumsum(group)])
+            nth = total[1:] - total[self.first[self.row]]
+            chosen |= group & (nth <= first[self.row])
+            first = np.maximum(first - (total[self.first[1:]] - total[self.first[:-1]]), 0)
+        at = np.flatnonzero(chosen & again)
+        return self.row[at], self.hash[at]
 
 
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
-    order = np.argsort(row, kind="stable")
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values[order].view(np.int64)))
+    """Lists of 64-bit values by row; ``row`` ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, own, full, keys): size, 128-bit hash, size class, non-empty blocks by class
-    from the own one on, and block keys of each document's set."""
+def _mapped(docs: DataFrame, k: int, finish, schema: str) -> DataFrame:
+    """Rows that ``finish(part, sets)`` makes of the texts of ``docs``."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tb.parts(batch, "text"):
-                sets = Sets(part.column("text"), k)
-                row, key, own, full = sets.block_keys(percent)
-                fulls = pa.ListArray.from_arrays(pa.array(np.arange(sets.rows + 1, dtype=np.int32) * full.shape[1]), pa.array(full.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), pa.array(sets.signature(1).view(np.int64)), pa.array(sets.signature(2).view(np.int64)), pa.array(own.astype(np.int32)), fulls, _lists(row, key, sets.rows)], ["doc_id", "n", "sig_a", "sig_b", "own", "full", "keys"])
+                yield finish(part, Sets(part.column("text"), k))
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text_batches(plain).mapInArrow(sign, "doc_id long, n long, sig_a long, sig_b long, own int, full array<int>, keys array<long>")
+    return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
-def gram_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, grams): the n-gram hashes of the documents in ``wanted`` (doc_id). A bit filter of the
-    wanted ids, of bounded size, keeps most other texts from being cut up; texts are not shuffled."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    ids_in = lambda batch: batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    width = sketch.width_for(4 * wanted.count())
-    bits = sketch.repeated(wanted, lambda batch: iter([np.repeat(ids_in(batch), 2)]), SKETCH_ROWS, width)  # each id twice: all pass
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, sig_a, sig_b): size and 128-bit hash of each document's set."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tb.parts(batch.filter(pa.array(sketch.may_repeat(ids_in(batch), shared.value))), "text"):
-                sets = Sets(part.column("text"), k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), _lists(sets.row, sets.hash, sets.rows)], ["doc_id", "n", "grams"])
+    def sign(part: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *_size_and_hash(sets)], ["doc_id", "n", "sig_a", "sig_b"])
+
+    return _mapped(docs, k, sign, "doc_id long, n long, sig_a long, sig_b long")
+
+
+def _size_and_hash(sets: Sets) -> list[pa.Array]:
+    return [pa.array(sets.n.astype(np.int64)), *[pa.array(sets.signature(seed).view(np.int64)) for seed in (1, 2)]]
+
+
+def row_keys(docs: DataFrame, k: int, percent: int, grams: int) -> DataFrame:
+    """(doc_id, n, sig_a, sig_b, keys) of the documents that have keys; ``grams`` is the sum of all sizes."""
+    width = sketch.width_for(grams)
+    load = grams / 2**width
+    often = max(FEW, math.ceil(load + 6 * math.sqrt(load)) + 1)  # what chance alone puts in few cells
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in tb.parts(batch, "text"):
+            yield Sets(part.column("text"), k).hash
+
+    bits = sketch.repeated(text_batches(docs.select("text")), hashes, 1, width, often)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # two bits a cell: 64 MB at most
 
-    return text_batches(plain).mapInArrow(read, "doc_id long, n long, grams array<long>").join(wanted, "doc_id", "left_semi")
+    def cut(part: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
+        row, key = sets.keys(percent, shared.value)
+        batch = pa.RecordBatch.from_arrays([part.column("doc_id"), *_size_and_hash(sets), _lists(row, key, sets.rows)], ["doc_id", "n", "sig_a", "sig_b", "keys"])
+        return batch.filter(pa.array(np.bincount(row, minlength=sets.rows) > 0))
 
+    return _mapped(docs.where("doc_id is not null"), k, cut, "doc_id long, n long, sig_a long, sig_b long, keys array<long>")
 
-def _repeated_keys(signed: DataFrame) -> DataFrame:
-    """``signed`` with only those block keys that the sketch cannot show to be unique."""
-    keys_in = lambda batch: batch.column("keys").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    count = signed.agg(F.sum(F.size("keys")).alias("n")).first()["n"] or 0
-    bits = sketch.repeated(signed.select("keys"), lambda batch: iter([keys_in(batch)]), SKETCH_ROWS, sketch.width_for(count))
-    shared = signed.sparkSession.sparkContext.broadcast(bits)
 
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def gram_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, n, grams): the rows of the incidence matrix of the documents in ``wanted`` (node). A bit filter of
+    the wanted ids, of bounded size, keeps most other texts from being cut up; texts are not shuffled."""
+    known = docs.where("doc_id is not null")
+    ids_in = lambda batch, name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    bits = sketch.members(wanted, lambda batch: ids_in(batch, "node"), wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = keys_in(batch)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("keys").offsets.to_numpy()))
-            keep = sketch.may_repeat(keys, shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(row[keep], keys[keep], batch.num_rows)], batch.schema.names)
+            yield batch.filter(pa.array(sketch.may_repeat(ids_in(batch, "doc_id"), shared.value)))
 
-    return signed.mapInArrow(drop, signed.schema)
+    def read(part: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), _lists(sets.row, sets.hash, sets.rows)], ["node", "n", "grams"])
+
+    plain = text_batches(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return _mapped(plain.mapInArrow(some, "doc_id long, text string"), k, read, "node long, n long, grams array<long>").join(wanted, "node", "left_semi")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -208,67 +172,82 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents whose whole sets reach the similarity."""
-    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
-    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    sets = materialise(gram_sets(docs, wanted, k), "sets")
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-    overlap = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return overlap.where(f"100 * common >= {percent} * (sum - common) and sum > 0").select("a", "b").distinct()
+def _links(n: np.ndarray, m: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    return (common > 0) & (100 * common >= percent * (n + m - common))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column in a row, and their bounds."""
+    bounds = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].view(np.uint64), bounds - bounds[0]
 
 
-def _plausible(met: DataFrame, percent: int) -> DataFrame:
-    """Of rows (a, b, n, other, full, key), one a block that a and b share, the pairs whose sizes and number
-    of agreeing blocks do not rule out the similarity; ``full`` is the larger number of non-empty blocks."""
-    counted = met.where(f"100 * least(n, other) >= {percent} * greatest(n, other)").groupBy("a", "b", "n", "other", F.expr("cast(key & 63 as int)").alias("tag")).agg(F.count("*").alias("agree"), F.min("full").alias("full"))
-    return counted.where(f"tag = {RESEEDED} or agree >= full - (n + other) * {100 - percent} div {100 + percent}").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+def _hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity: blocks of rows times the row of their hub a."""
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n", "m"))
+            (x, at), (y, to) = _flat(batch.column("x")), _flat(batch.column("y"))
+            # A run of rows with the same hub set is one block.
+            hubs = [x[at[i] : at[i + 1]] for i in range(len(a))]
+            first = [i for i in range(len(a)) if not i or a[i] != a[i - 1] or not np.array_equal(hubs[i], hubs[i - 1])]
+            common = np.zeros(len(a), np.int64)
+            for lo, hi in zip(first, [*first[1:], len(a)]):
+                hub, cells = hubs[lo], y[to[lo] : to[hi]]
+                hit = hub[np.minimum(np.searchsorted(hub, cells), len(hub) - 1)] == cells
+                common[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), np.diff(to[lo : hi + 1])), hit, hi - lo)
+            good = _links(n, m, common, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+
+    left = sets.select(F.col("node").alias("a"), "n", F.col("grams").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("grams").alias("y"))
+    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y")
+    return text_batches(rows).mapInArrow(multiply, "a long, b long").distinct()
 
 
 def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row a document."""
-    signed = materialise(signatures(docs, k, percent), "signatures")
+    signed = materialise(signatures(docs, k), "signatures")
     known = signed.where("doc_id is not null and n > 0")
     same = ["n", "sig_a", "sig_b"]
     classes = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    members = materialise(known.select("doc_id", *same).join(classes, same).select("doc_id", "rep").distinct(), "members")
-    reps = _repeated_keys(known.select("doc_id", *same, "own", "full", "keys")).where(F.size("keys") > 0).join(classes, same).where("doc_id = rep")
-    exploded = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n", "own", "full")
-    keyed = materialise(exploded.select("key", "node", "n", F.expr(f"if(key & 63 = {RESEEDED}, null, get(full, cast(key & 63 as int) - own))").alias("full")), "block-keys")
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n", "full")).alias("hub"), F.max("node").alias("last")).where("hub.node < last")
-    shared = materialise(keyed.join(hubs.select("key", "hub"), "key"), "shared-blocks")
-    stars = shared.where("node <> hub.node").select(F.col("hub.node").alias("a"), F.col("node").alias("b"), "n", F.col("hub.n").alias("other"), F.greatest("full", "hub.full").alias("full"), "key")
+    members = materialise(known.join(classes, same).select("doc_id", "rep", *same).distinct(), "members")
+    grams = signed.agg(F.sum("n").alias("n")).first()["n"] or 0
+    reps = members.where("doc_id = rep").select("doc_id", *same)
+    keys = row_keys(docs, k, percent, grams).join(reps, ["doc_id", *same], "left_semi")
+    keyed = materialise(keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n"), "keys")
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node < last").select("key", "hub")
+    shared = materialise(keyed.join(hubs, "key"), "shared-keys")
+    stars = shared.where(f"node <> hub.node and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("agree"))
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
-    stars = materialise(_plausible(stars, percent).withColumn("nth", best).where(f"nth <= {HUBS}").select("a", "b"), "stars")
-    found = _linked(docs, stars, k, percent)
+    stars = materialise(stars.withColumn("nth", best).where(f"nth <= {HUBS}").select("a", "b"), "stars")
+    sets = materialise(gram_sets(docs, materialise(shared.select("node").distinct(), "wanted"), k), "sets")
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id")
     extra = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    edges = materialise(found.unionByName(extra), "edges")
+    edges = materialise(_hub_links(stars, sets, percent).unionByName(extra), "edges")
     joined = connected(edges)
-    across = materialise(_across(shared, joined, percent).join(stars, ["a", "b"], "left_anti"), "across")
-    if across.limit(1).count():
-        late = materialise(_linked(docs, across, k, percent), "late-edges")
-        if late.limit(1).count():
-            joined = connected(edges.unionByName(late))
+    late = materialise(_across(shared, joined, sets, percent), "late-edges")
+    if late.limit(1).count():
+        joined = connected(edges.unionByName(late))
     placed = members.groupBy("doc_id").agg(F.min("rep").alias("node")).join(joined, "node", "left").select("doc_id", F.least("doc_id", F.coalesce("component", "node")).alias("component_id"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(shared: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """(a, b): plausible pairs of rows that share a block but not a component.
+def _across(shared: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of rows that share a key but not a component.
 
-    Rows are dealt to tiles of bounded size, by the most common of their blocks and apart from the component
-    of most rows there; two tiles that share a block are multiplied in one piece, so that of a large group
-    only the plausible pairs become rows."""
-    rows = shared.select("key", "node", "n", "full").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("parts")).where("parts > 1").select("key", "rows", F.col("top.component").alias("major"))
-    open_ = rows.join(major, "key").groupBy("node", "n", "component").agg(F.max(F.struct("rows", "key", "major")).alias("most"), F.collect_list(F.struct("key", "full")).alias("blocks"))
-    piece = F.expr(f"pmod(xxhash64(node), ceil(most.rows * size(blocks) / {TILE_KEYS}))")
+    Rows are dealt to tiles of bounded size, by the most common of their keys and apart from the component
+    of most rows there; two tiles that share a key are multiplied in one piece."""
+    rows = shared.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
+    major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.count("*").alias("parts")).where("parts > 1").select("key", "rows", "grams", F.col("top.component").alias("major"))
+    open_ = rows.join(major, "key").groupBy("node", "component").agg(F.max(F.struct("rows", "grams", "key", "major")).alias("most"), F.collect_set("key").alias("keys"))
+    piece = F.expr(f"pmod(xxhash64(node), ceil(greatest(most.rows / {TILE_ROWS}, most.grams / {TILE_GRAMS})))")
     dealt = materialise(open_.withColumn("tile", F.xxhash64("most.key", F.expr("component = most.major"), piece)).drop("most"), "open-rows")
-    grouped = dealt.groupBy("tile").agg(F.collect_list(F.struct("node", "n", "component", "blocks")).alias("rows"))
-    tiles = materialise(text_batches(grouped, 64).mapInArrow(_packed, "tile long, rows binary"), "tiles")
-    keys = dealt.select("tile", "component", F.explode("blocks.key").alias("key")).groupBy("key", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    grouped = dealt.select("node", "component", "tile").join(sets, "node").groupBy("tile").agg(F.collect_list(F.struct("node", "n", "component", "grams")).alias("rows"))
+    tiles = materialise(text_batches(grouped).mapInArrow(_packed, "tile long, rows binary"), "tiles")
+    keys = dealt.select("tile", "component", F.explode("keys").alias("key")).groupBy("key", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     other = keys.select("key", *[F.col(c).alias(f"{c}_y") for c in ("tile", "lo", "hi")])
     meet = keys.join(other, "key").where("tile <= tile_y and not (lo = hi and lo_y = hi_y and lo = lo_y)").select("tile", "tile_y").distinct()
     sides = meet.join(tiles.withColumnRenamed("rows", "x"), "tile").join(tiles.select(F.col("tile").alias("tile_y"), F.col("rows").alias("y")), "tile_y").select("x", "y")
@@ -276,73 +255,93 @@ def _across(shared: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = _Tile(batch.column(0)[i].as_py()).plausible(_Tile(batch.column(1)[i].as_py()), percent)
+                a, b = Tile(batch.column(0)[i].as_py()).links(Tile(batch.column(1)[i].as_py()), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return text_batches(sides, 16).mapInArrow(multiply, "a long, b long").distinct()
+    return text_batches(sides).mapInArrow(multiply, "a long, b long").distinct()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each tile as 64-bit integers: numbers of rows and cells; node, n, component by row; row, key, full by cell."""
+    """Each tile as 64-bit integers: numbers of rows and cells; node, n, component by row; row, gram by cell."""
     for batch in batches:
         payload = []
         for i in range(batch.num_rows):
             table = batch.column("rows").slice(i, 1).flatten()
-            blocks = table.field("blocks")
-            cells = blocks.flatten()
+            grams, bounds = _flat(table.field("grams"))
             by_row = [table.field(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "component")]
-            row = np.repeat(np.arange(len(table)), np.diff(blocks.offsets.to_numpy()))
-            by_cell = [row, cells.field("key").to_numpy(zero_copy_only=False), cells.field("full").fill_null(0).to_numpy(zero_copy_only=False)]
-            payload.append(np.concatenate([[len(table), len(row)], *by_row, *by_cell]).astype("<i8").tobytes())
+            payload.append(np.concatenate([[len(table), len(grams)], *by_row, np.repeat(np.arange(len(table)), np.diff(bounds)), grams.view(np.int64)]).astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(payload, pa.binary())], ["tile", "rows"])
 
 
-class _Tile:
-    """Rows of the incidence matrix: documents by blocks."""
+class Tile:
+    """Some rows of the incidence matrix, its cells in the order of their columns."""
 
     def __init__(self, packed: bytes):
         head = np.frombuffer(packed, "<i8")
         rows = int(head[0])
         self.node, self.n, self.component = head[2 : 2 + 3 * rows].reshape(3, -1)
-        self.row, self.key, self.full = head[2 + 3 * rows :].reshape(3, -1)
-
-    def columns(self, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, self.key), len(keys) - 1)
-        hit = keys[at] == self.key
-        out = np.zeros((len(self.node), len(keys)), np.float32)
-        out[self.row[hit], at[hit]] = 1
-        return out
-
-    def filled(self, tag: int) -> np.ndarray:
-        """Non-empty blocks of each row in a size class; the least, if a document has several sets."""
-        out = np.full(len(self.node), np.iinfo(np.int32).max, np.int64)
-        at = np.flatnonzero((self.key & 63) == tag)
-        np.minimum.at(out, self.row[at], self.full[at])
+        row, gram = head[2 + 3 * rows :].reshape(2, -1)
+        order = np.argsort(gram, kind="stable")
+        self.row, gram = row[order], gram[order]
+        self.column, first = np.unique(gram, return_index=True)
+        self.first = np.append(first, len(gram))
+
+    def overlaps(self, other: Tile) -> np.ndarray:
+        """How many columns each row of this tile shares with each of the other."""
+        _, i, j = np.intersect1d(self.column, other.column, assume_unique=True, return_indices=True)
+        n, m = self.first[i + 1] - self.first[i], other.first[j + 1] - other.first[j]
+        total, shape = np.zeros((len(self.n), len(other.n)), np.int32), (len(self.n), len(other.n))
+        dense = np.flatnonzero(n * m > DENSE)
+        for at in range(0, len(dense), 2048):
+            some = dense[at : at + 2048]
+            total += (self._block(i[some]) @ other._block(j[some]).T).astype(np.int32)
+        few = np.flatnonzero(n * m <= DENSE)
+        cells = np.cumsum((n * m)[few])
+        for at in range(0, int(cells[-1]) if len(few) else 0, 1 << 21):  # about two million products at a time
+            some = few[np.searchsorted(cells, at, "right") : np.searchsorted(cells, at + (1 << 21), "right")]
+            size = (n * m)[some]
+            which = np.repeat(np.arange(len(some)), size)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+            x = self.row[self.first[i[some]][which] + nth // m[some][which]]
+            y = other.row[other.first[j[some]][which] + nth % m[some][which]]
+            total += np.bincount(x * shape[1] + y, minlength=shape[0] * shape[1]).reshape(shape).astype(np.int32)
+        return total
+
+    def _block(self, columns: np.ndarray) -> np.ndarray:
+        n = self.first[columns + 1] - self.first[columns]
+        ends = np.cumsum(n)
+        at = np.repeat(self.first[columns] - (ends - n), n) + np.arange(ends[-1])
+        out = np.zeros((len(self.n), len(columns)), np.float32)
+        out[self.row[at], np.repeat(np.arange(len(columns)), n)] = 1
         return out
 
-    def plausible(self, other: _Tile, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        shared = np.intersect1d(self.key, other.key)
-        n, m = self.n[:, None], other.n[None, :]
-        fits = (self.component[:, None] != other.component[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        may_differ, found = (n + m) * (100 - percent) // (100 + percent), np.zeros(fits.shape, bool)
-        for tag in np.unique(shared & 63):
-            keys = shared[(shared & 63) == tag]
-            agree = np.zeros(fits.shape, np.float32)
-            for first in range(0, len(keys), 2048):
-                part = keys[first : first + 2048]
-                agree += self.columns(part) @ other.columns(part).T
-            needed = 1 if tag == RESEEDED else np.maximum(self.filled(tag)[:, None], other.filled(tag)[None, :]) - may_differ
-            found |= (agree > 0) & (agree >= needed)
-        x, y = np.nonzero(found & fits)
+    def links(self, other: Tile, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(root, node): a forest of the links between components, each node under the least node of its tree."""
+        linked = _links(self.n[:, None], other.n[None, :], self.overlaps(other), percent)
+        linked &= self.component[:, None] != other.component[None, :]
+        x, y = np.nonzero(linked)
         a, b = self.node[x], other.node[y]
-        return np.minimum(a, b), np.maximum(a, b)
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+        while True:
+            least = np.minimum(root[x], root[y])
+            new = root.copy()
+            np.minimum.at(new, x, least)
+            np.minimum.at(new, y, least)
+            new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+        below = np.flatnonzero(root != np.arange(len(nodes)))
+        return nodes[root[below]], nodes[below]
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that a linked document of smaller id stands for; all columns stay.
     Of rows that repeat a doc_id one stays, the one of least text hash; rows with a null doc_id all stay."""
-    gone = components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    other = free_name(docs, "doc_id_gone")
+    gone = components(docs, k, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(other)).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col(f"`{other}`"), "left_anti")
     nth = free_name(docs, "nth_row")
     numbered = left.withColumn(nth, F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
     return numbered.where(F.col("doc_id").isNull() | (F.col(f"`{nth}`") == 1)).drop(nth)

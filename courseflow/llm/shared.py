@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 2 << 20
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``.
 
@@ -29,11 +32,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(df: DataFrame, most: int = 500) -> DataFrame:
-    """``df``, in a session that hands whole texts to Python in small Arrow batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(name)) != most:
-        df.sparkSession.conf.set(name, str(most))
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands rows to Python in Arrow batches of bounded bytes, however long its texts are.
+    A smaller bound of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = df.sparkSession.conf.get(name, None)
+    if own is None or not 0 < int(own) <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df
 
 

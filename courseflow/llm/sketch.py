@@ -19,7 +19,7 @@ from courseflow.llm import textblock as tb
 
 BLOCK_BITS, LEAST_WIDTH, MOST_WIDTH = 20, 20, 28
 FLUSH = 3_000_000
-HOT = 200  # as far as a cell is counted; a flush counts a cell three times at most, so a hot one is found by 67 flushes
+MOST_SENT = 255  # touches of one cell that a flush sends; a cell touched as often is frequent in any case
 
 
 def width_for(count: int) -> int:
@@ -49,7 +49,7 @@ def _partials(touched: list[list[np.ndarray]], width: int) -> Iterator[pa.Record
         found.sort()
         first = np.concatenate([[True], found[1:] != found[:-1]])
         at = np.flatnonzero(first)
-        unique, times = found[at], np.minimum(np.diff(np.append(at, len(found))), 3)
+        unique, times = found[at], np.minimum(np.diff(np.append(at, len(found))), MOST_SENT)
         cut = np.searchsorted(unique, np.arange(1, 1 << (width - BLOCK_BITS), dtype=np.uint64) << np.uint64(BLOCK_BITS))
         block, payload = [], []
         for b, (u, t) in enumerate(zip(np.split(unique, cut), np.split(times, cut))):
@@ -60,9 +60,9 @@ def _partials(touched: list[list[np.ndarray]], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([r] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(payload, pa.binary())], ["row", "block", "payload"])
 
 
-def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, width: int, hot: bool = False) -> np.ndarray:
+def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, width: int, hot: int = 0) -> np.ndarray:
     """Bits of the cells that were touched twice or more: an array (rows, 2**width / 8) of bytes. With
-    ``hot`` a last row tells which cells of the first row were touched HOT times or more."""
+    ``hot`` a last row tells which cells of the first row were touched so often or more."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         touched, n = [[] for _ in range(rows)], 0
@@ -78,12 +78,12 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
             yield from _partials(touched, width)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, count = None, np.zeros(1 << BLOCK_BITS, np.uint8)
+        at, count = None, np.zeros(1 << BLOCK_BITS, np.int64)
 
         def done():
             out = [(at[0], at[1], np.packbits(count > 1).tobytes())]
-            if hot and at[0] == 0 and count.max() >= HOT:
-                out.append((rows, at[1], np.packbits(count >= HOT).tobytes()))
+            if hot and at[0] == 0 and count.max() >= hot:
+                out.append((rows, at[1], np.packbits(count >= hot).tobytes()))
             r, b, p = zip(*out)
             return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(b, pa.int32()), pa.array(p, pa.binary())], ["row", "block", "payload"])
 
@@ -95,34 +95,42 @@ def repeated(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
                     at = (r, b)
                     count[:] = 0
                 gaps, times = _unpack(raw)
-                cell = np.cumsum(gaps)
-                count[cell] = np.minimum(count[cell] + times, HOT)
+                count[np.cumsum(gaps)] += times
         if at is not None:
             yield done()
 
     schema = "row int, block int, payload binary"
     merged = df.mapInArrow(build, schema).repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(merge, schema)
-    bits = np.zeros((rows + hot, 1 << (width - 3)), np.uint8)
+    bits = np.zeros((rows + bool(hot), 1 << (width - 3)), np.uint8)
     step = 1 << (BLOCK_BITS - 3)
     for r in merged.toLocalIterator():  # at most rows * 2**(MOST_WIDTH - BLOCK_BITS) blocks of 128 KB
         bits[r["row"], r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["payload"], np.uint8)
     return bits
 
 
-def _bit(bits: np.ndarray, c: np.ndarray) -> np.ndarray:
+def members(df: DataFrame, ids: Callable[[pa.RecordBatch], np.ndarray], count: int) -> np.ndarray:
+    """Bits by which ``may_repeat`` passes every id of ``df`` and few others."""
+    return repeated(df, lambda batch: iter([np.repeat(ids(batch), 2)]), 2, width_for(4 * count))  # each id counts twice
+
+
+def width_of(bits: np.ndarray) -> int:
+    return (bits.shape[-1] * 8).bit_length() - 1
+
+
+def bit(bits: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (bits[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & 1 == 1
 
 
 def may_repeat(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Whether each hash is estimated to occur twice or more."""
-    width = (bits.shape[1] * 8).bit_length() - 1
+    width = width_of(bits)
     keep = np.ones(len(hashes), bool)
     for r in range(len(bits)):
         at = np.flatnonzero(keep)
-        keep[at] = _bit(bits[r], cells(hashes[at], r, width))
+        keep[at] = bit(bits[r], cells(hashes[at], r, width))
     return keep
 
 
 def may_be_hot(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether each hash is estimated to occur HOT times or more; ``bits`` is the last row of a sketch."""
-    return _bit(bits, cells(hashes, 0, (len(bits) * 8).bit_length() - 1))
+    """Whether each hash is estimated to occur as often as ``hot`` says; ``bits`` is the last row of a sketch."""
+    return bit(bits, cells(hashes, 0, width_of(bits)))

@@ -28,6 +28,7 @@ from courseflow.llm import textblock as tb
 from courseflow.llm.shared import free_name, materialise, text_batches
 
 WINDOW, SKETCH_ROWS = 13, 3
+HOT = 200  # a window estimated to occur so often is split over tasks
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -46,7 +47,7 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             words = tb.Words(*tb.texts(part.column("text")))
             yield words.window_hash(words.windows(k), k)
 
-    bits = sketch.repeated(docs, hashes, SKETCH_ROWS, width, hot=True)
+    bits = sketch.repeated(docs, hashes, SKETCH_ROWS, width, HOT)
     some_hot = bool(bits[-1].any())
     shared = docs.sparkSession.sparkContext.broadcast(bits if some_hot else bits[:-1])
 

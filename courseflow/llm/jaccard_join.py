@@ -41,6 +41,7 @@ WORDS, PERCENT = 4, 85
 HUBS = 3  # smallest rows that each row meets first; the comparison across components finds what is left
 TILE_ROWS, TILE_GRAMS = 1024, 400_000  # rows that are multiplied as one block, about
 DENSE = 8192  # products of a column's two counts above which it is multiplied densely
+PART = 1 << 19  # bytes of text that are cut into n-grams at once, about
 FEW = 32  # a column seen less often comes before more frequent ones
 
 
@@ -92,12 +93,12 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _mapped(docs: DataFrame, k: int, finish, schema: str) -> DataFrame:
-    """Rows that ``finish(part, sets)`` makes of the texts of ``docs``."""
+def _mapped(docs: DataFrame, k: int, finish, schema: str, wanted=None) -> DataFrame:
+    """Rows that ``finish(part, sets)`` makes of the texts of ``docs``, of those alone that ``wanted(batch)`` tells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tb.parts(batch, "text"):
+            for part in tb.parts(batch if wanted is None else batch.filter(pa.array(wanted(batch))), "text", PART):
                 yield finish(part, Sets(part.column("text"), k))
 
     return text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
@@ -118,12 +119,12 @@ def _size_and_hash(sets: Sets) -> list[pa.Array]:
 
 def row_keys(docs: DataFrame, k: int, percent: int, grams: int) -> DataFrame:
     """(doc_id, n, sig_a, sig_b, keys) of the documents that have keys; ``grams`` is the sum of all sizes."""
-    width = sketch.width_for(grams)
+    width = sketch.width_for(grams // 2)
     load = grams / 2**width
     often = max(FEW, math.ceil(load + 6 * math.sqrt(load)) + 1)  # what chance alone puts in few cells
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in tb.parts(batch, "text"):
+        for part in tb.parts(batch, "text", PART):
             yield Sets(part.column("text"), k).hash
 
     bits = sketch.repeated(text_batches(docs.select("text")), hashes, 1, width, often)
@@ -140,20 +141,15 @@ def row_keys(docs: DataFrame, k: int, percent: int, grams: int) -> DataFrame:
 def gram_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, n, grams): the rows of the incidence matrix of the documents in ``wanted`` (node). A bit filter of
     the wanted ids, of bounded size, keeps most other texts from being cut up; texts are not shuffled."""
-    known = docs.where("doc_id is not null")
     ids_in = lambda batch, name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     bits = sketch.members(wanted, lambda batch: ids_in(batch, "node"), wanted.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(sketch.may_repeat(ids_in(batch, "doc_id"), shared.value)))
-
     def read(part: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), _lists(sets.row, sets.hash, sets.rows)], ["node", "n", "grams"])
 
-    plain = text_batches(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return _mapped(plain.mapInArrow(some, "doc_id long, text string"), k, read, "node long, n long, grams array<long>").join(wanted, "node", "left_semi")
+    some = lambda batch: sketch.may_repeat(ids_in(batch, "doc_id"), shared.value)
+    return _mapped(docs.where("doc_id is not null"), k, read, "node long, n long, grams array<long>", some).join(wanted, "node", "left_semi")
 
 
 def connected(edges: DataFrame) -> DataFrame:

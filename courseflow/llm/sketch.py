@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from courseflow.llm import textblock as tb
 
 BLOCK_BITS, LEAST_WIDTH, MOST_WIDTH = 20, 20, 28
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 MOST_SENT = 255  # touches of one cell that a flush sends; a cell touched as often is frequent in any case
 
 

@@ -14,7 +14,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,52 +34,139 @@ from courseflow.llm.shared import materialise, scratch, text_batches
 END_ID = 2
 KEYS_PER_BUCKET = 200_000
 GAMMA, LEVELS = 2.0, 64
-MOST_CACHED = 300_000
-CUT = "\ud800"  # cannot be in a valid text
+SLOT_BITS, MOST_KNOWN, LONGEST = 21, 1_000_000, 48  # known pieces: at most 48 MB of text, about 100 MB in all
+STRETCH = 64 << 20  # bytes that a task reads back, or writes as a shard, about
 _HEAD = struct.Struct("<4sIQ")
 _ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n", "<i8"), ("start", "<i8")])
 
 
+class Lists:
+    """Arrays one after the other, which grow in place."""
+
+    def __init__(self, kind):
+        self.values, self.first, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), 0
+
+    def append(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        at, n = int(self.first[self.n]), self.n + len(sizes)
+        if at + len(values) > len(self.values):
+            self.values = np.concatenate([self.values[:at], np.zeros(at + 2 * len(values), self.values.dtype)])
+        if n + 1 > len(self.first):
+            self.first = np.concatenate([self.first[: self.n + 1], np.zeros(2 * n, np.int64)])
+        self.values[at : at + len(values)] = values
+        self.first[self.n + 1 : n + 1] = at + np.cumsum(sizes)
+        self.n = n
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the numbered arrays in a row, and their sizes."""
+        first = self.first[numbers]
+        sizes = self.first[numbers + 1] - first
+        return self.values[ranges(first, sizes)], sizes
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
-    """Ids of whole texts. A byte-level pre-tokenizer never joins over a single space between two
-    other characters, so a text may be cut before such spaces and each distinct piece encoded once;
-    texts with other white space around a space are encoded in one piece."""
+    """Ids of whole texts by the tokenizers library, each distinct piece of text encoded once while it is known.
 
-    _odd = re.compile(r"\A\s|\s\Z| \s|[^\S ] ")
+    A byte-level pre-tokenizer splits wherever white space follows another character, and neither side of
+    such a place changes how the other is encoded; added tokens hold no white space. So a text is cut
+    there into pieces of leading white space and what follows. Known pieces are found by a 64-bit hash in
+    a table of slots and compared byte by byte; longer ones than ``LONGEST`` are always encoded anew."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece in pieces:
-            self.known[piece] = len(self.known)
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        ends = self.bounds[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        self.bounds = np.concatenate([self.bounds, ends])
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.slots, self.number = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.ids, self.bytes = Lists(np.uint32), Lists(np.uint8)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it is not known."""
+        out, left = np.full(len(h), -1, np.int32), np.arange(len(h))
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(left):
+            there = self.slots[slot]
+            hit = there == h[left]
+            out[left[hit]] = self.number[slot[hit]]
+            on = np.flatnonzero(~hit & (there != 0))
+            left, slot = left[on], (slot[on] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def _settle(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Puts distinct new hashes into free slots: of several hashes for one slot one stays, the others move on."""
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.slots[slot] == 0)
+            self.slots[slot[free]] = h[free]
+            here = self.slots[slot] == h
+            self.number[slot[here]] = numbers[here]
+            h, numbers, slot = h[~here], numbers[~here], (slot[~here] + 1) & ((1 << SLOT_BITS) - 1)
+
+    def _encoded(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bounds, part = np.concatenate([[0], np.cumsum(end - start)]), raw[ranges(start, end - start)]
+        texts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(part)).to_pylist()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+    def encode(self, raw: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of ids of each text, the end id included."""
-        if len(self.known) > MOST_CACHED:
-            self._forget()
-        cut = [[text] if self._odd.search(text) else text.replace(" ", f"{CUT} ").split(CUT) for text in texts]
-        pieces = list(chain.from_iterable(cut))
-        self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-        number = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        sizes = np.diff(self.bounds)[number]
-        first = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.bounds[number] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = ends[first - 1] if len(first) else np.zeros(0, np.int64)
-        return np.insert(ids, stops, np.uint32(end)), np.diff(stops, prepend=0) + 1
+        start = cuts(raw, at)
+        stop = np.append(start[1:], len(raw))
+        h = np.maximum(tb.span_hash(raw, start, stop), np.uint64(1))
+        number = np.full(len(start), -1, np.int32)
+        short = np.flatnonzero(stop - start <= LONGEST)
+        number[short] = self._find(h[short])
+        new = short[number[short] < 0]
+        if len(new):
+            distinct, first = np.unique(h[new], return_index=True)
+            if self.ids.n + len(distinct) > MOST_KNOWN:
+                self._forget()
+                distinct, first = np.unique(h[short], return_index=True)
+                new = short
+            first = new[first]
+            self.ids.append(*self._encoded(raw, start[first], stop[first]))
+            self.bytes.append(raw[ranges(start[first], stop[first] - start[first])], stop[first] - start[first])
+            self._settle(distinct, np.arange(self.ids.n - len(distinct), self.ids.n, dtype=np.int32))
+            number[new] = self._find(h[new])
+        number[short[~self._same(raw, start[short], stop[short], number[short])]] = -1
+        known, other = self.ids.n, np.flatnonzero(number < 0)
+        if len(other):  # for this call only
+            number[other] = known + np.arange(len(other), dtype=np.int32)
+            self.ids.append(*self._encoded(raw, start[other], stop[other]))
+        ids, sizes = self.ids.take(number)
+        self.ids.n = known
+        stops = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, at)]
+        return np.insert(ids, stops[1:], np.uint32(end)), np.diff(stops) + 1
+
+    def _same(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether each piece has the bytes of the known piece of its number."""
+        known, sizes = self.bytes.take(number)
+        same = sizes == stop - start
+        if not same.all():
+            return same & (number < 0)  # a hash met twice, which is not to be expected: encode the whole call anew
+        differ = np.flatnonzero(raw[ranges(start, sizes)] != known)
+        same[np.searchsorted(np.cumsum(sizes), differ, "right")] = False
+        return same
+
+
+def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where pieces start: at texts, and at white space after a character that is surely none."""
+    space = np.flatnonzero(tb.SEPARATOR[raw[1:]]) + 1
+    last = raw[space - 1]
+    one, two = raw[np.maximum(space - 2, 0)], raw[np.maximum(space - 3, 0)]
+    # Of the longer characters those that begin like a Unicode white space are not cut after.
+    odd = (one == 0xC2) | ((two == 0xE1) & (one == 0x9A)) | ((two == 0xE2) & ((one == 0x80) | (one == 0x81))) | ((two == 0xE3) & (one == 0x80))
+    solid = ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~odd)
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[at[:-1]] = cut[space[solid]] = True
+    return np.flatnonzero(cut[:-1])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -99,7 +185,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = END_ID, v
             at, last, ordinal = 0, None, -1
             for batch in batches:
                 for part in tb.parts(batch, "text"):
-                    ids, n = encoder.encode(part.column("text").fill_null("").to_pylist(), end)
+                    ids, n = encoder.encode(*tb.texts(part.column("text")), end)
                     offset = at + np.concatenate([[0], np.cumsum(n)[:-1]]) * np.dtype(item).itemsize
                     ordinals = []
                     for key in part.column("doc_id").to_pylist():
@@ -117,7 +203,8 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = END_ID, v
             write_whole(f"{path}/shard-{shard:05d}.ids", (x for s in ([first], source) for x in s))
         yield from records
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = tasks_for(spark, size // 2)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     records = materialise(text_batches(ranged).mapInArrow(write_shard, "doc_id long, ordinal long, shard int, offset long, n long"), "token-records")
     before = records.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a shard
@@ -211,6 +298,11 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     return _hashed(keys, meta["buckets"]).groupBy("bucket").applyInPandas(probe, "doc_id long, ordinal long, shard int, offset long, n long, start long")
 
 
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """Tasks of about STRETCH bytes each, as many as the session's shuffles have at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // STRETCH))
+
+
 def read_ids(spark: SparkSession, path: str, found: DataFrame, digest: bool = False) -> DataFrame:
     """The ids of looked-up keys, or their CRC-32 as 32-bit integers; rows of a shard in file order."""
     item = np.dtype(spark.read.schema("buckets long, item string").json(f"{path}/meta").first()["item"])
@@ -227,7 +319,8 @@ def read_ids(spark: SparkSession, path: str, found: DataFrame, digest: bool = Fa
             last = pa.array(values, pa.int64()) if digest else pa.array(values, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "ordinal", "start", "n")], last], ["doc_id", "ordinal", "start", "n", "ids_crc32" if digest else "ids"])
 
-    ordered = found.repartition("shard", F.expr("offset div 67108864")).sortWithinPartitions("shard", "offset")
+    size = (found.agg(F.sum("n").alias("n")).first()["n"] or 0) * item.itemsize
+    ordered = found.repartition(tasks_for(spark, size), "shard", F.expr(f"offset div {STRETCH // 16}")).sortWithinPartitions("shard", "offset")
     return ordered.mapInArrow(read, f"doc_id long, ordinal long, start long, n long, {'ids_crc32 long' if digest else 'ids array<int>'}")
 
 
@@ -242,5 +335,5 @@ def token_store_digest(docs: DataFrame, tokenizer: str, path: str | None = None)
     spark = docs.sparkSession
     path = path or scratch(spark, "tokens")
     write_store(docs, tokenizer, path)
-    rows = read_ids(spark, path, look_up(spark, path, keys_of(docs)), digest=True)
+    rows = read_ids(spark, path, materialise(look_up(spark, path, keys_of(docs)), "token-places"), digest=True)
     return rows.select("doc_id", "start", F.col("n").alias("n_tokens"), "ids_crc32")

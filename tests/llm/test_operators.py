@@ -34,18 +34,37 @@ def empty(docs):
     return docs.limit(0)
 
 
-def test_token_store(docs, empty):
+def test_token_store(spark, docs, empty):
     from tokenizers import Tokenizer
 
     path = tokenizer_path("byte_bpe_50k.json")
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    want = {k: v[0] for k, v in brute.op1(ROWS, lambda x: t.encode(x, add_special_tokens=False).ids).items()}
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.token_store_digest(docs, path).collect()}
-    assert got == want
+    t = Tokenizer.from_file(path)  # as it is: its added tokens keep their meaning
+    odd = [(30, "end of one <|endoftext|> start of two"), (31, " <|endoftext|>  x"), (None, "no key"), (None, None), (32, "twice"), (32, "twice"), (32, None), (33, "词语" * 9000), (34, " a\u00a0 b\u3000 c\x1c d \u2019 e"), (35, "x" * 20_000)]
+    rows = [(d, x) for d, x in ROWS] + odd
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(d, x, "?") for d, x in odd], "doc_id long, text string, lang string"))
+    want = {k: sorted(v) for k, v in brute.op1(rows, lambda x: t.encode(x, add_special_tokens=False).ids).items()}
+    got = {}
+    for r in token_store.token_store_digest(df, path).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in got.items()} == want
     assert token_store.token_store_digest(empty, path).count() == 0
 
 
+def test_token_pieces_encode_like_whole_texts():
+    import pyarrow as pa
+    from courseflow.llm import textblock
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain, encoder, draw = Tokenizer.from_file(path), token_store.Encoder(path), random.Random(5)
+    letters = " \n\t\u00a0\u2003\u3000aé'sll.1’«»\x1c\x85\r词"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(1500)] + ["it's  we'll", "<|endoftext|>a b<|endoftext|>", ""]
+    for many in (texts, texts[::-1], [None, *texts]):
+        ids, n = encoder.encode(*textblock.texts(pa.array(many, pa.string())), 2)
+        ends = np.cumsum(n)
+        assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [[*plain.encode(x or "", add_special_tokens=False).ids, 2] for x in many]
+
+
 def test_perfect_hash_rejects_foreign_keys():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, (2, 5000), dtype=np.uint64)

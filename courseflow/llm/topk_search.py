@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from courseflow.llm.shared import materialise
+from courseflow.llm.shared import materialise, text_batches
 
 BLOCK, QUERY_BLOCK, LEVELS = 16_384, 256, 32
 CHECK_EVERY, FEW = 96, 256
@@ -80,7 +80,7 @@ class ImpactIndex:
         n, dims = self.matrix.shape
         own = self.ids == query_id
         possible = np.flatnonzero(~own)
-        if len(self.dim) and len(possible) > max(FEW, k):
+        if len(self.dim) and len(possible) > k:
             possible = self._members(query[: dims], own, k)
         score = self.matrix[possible].astype(np.int64) @ query[:dims]
         best = np.lexsort((self.ids[possible], -score))[:k]
@@ -122,9 +122,13 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     is_query = F.pmod("vec_id", F.lit(every)) == 0
     counts = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     data = blocks(vectors, BLOCK, counts["n"])
-    query_blocks = max(1, -(-counts["q"] // QUERY_BLOCK))
-    asked = blocks(vectors.where(is_query), QUERY_BLOCK, counts["q"]).select(F.col("block").alias("part"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dims").alias("q_dims"))
-    numbered = data.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    query_blocks, data_blocks = max(1, -(-counts["q"] // QUERY_BLOCK)), max(1, -(-counts["n"] // BLOCK))
+    # Queries go to every data block. Data blocks are only repeated, for groups of query blocks, while there
+    # are fewer of them than the session's shuffles have tasks.
+    groups = min(query_blocks, -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // data_blocks))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = blocks(vectors.where(is_query), QUERY_BLOCK, counts["q"]).select(F.pmod("block", F.lit(groups)).alias("group"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("dims").alias("q_dims")).withColumn("block", numbers(data_blocks))
+    tasks, keys = min(10_000, data_blocks * groups), ["block", "group"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, index = None, None
@@ -139,7 +143,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                 found = [(int(q), *index.search(int(q), v, k)) for q, v in zip(q_ids, queries)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], ["query_id", "vec_id", "score"])
 
-    pairs = numbered.repartition(max(1, min(10_000, query_blocks * (1 + counts["n"] // BLOCK))), "part", "block").join(asked, "part").sortWithinPartitions("block")
-    best = pairs.select("block", "ids", "matrix", "dims", "q_ids", "q_matrix", "q_dims").mapInArrow(search, "query_id long, vec_id long, score long")
+    pairs = data.withColumn("group", numbers(groups)).repartition(tasks, *keys).hint("merge").join(asked.repartition(tasks, *keys), keys)  # comes sorted by block
+    best = text_batches(pairs.select("block", "ids", "matrix", "dims", "q_ids", "q_matrix", "q_dims")).mapInArrow(search, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,14 +1,15 @@
 """Quality rules: fixed counts, then a hashed n-gram logistic regression with calibrated probability.
 
-Features are relative frequencies of hashed word 1- and 2-grams and of byte 3- and 4-grams over the
-whole text. The model is fitted on at most ``MAX_TRAIN`` labelled rows (a documented bound, half of
+Features are relative frequencies of hashed word 1- and 2-grams and of character (code point) 3- and
+4-grams over the whole text. The model is fitted on at most ``MAX_TRAIN`` labelled rows (a documented bound, half of
 each class, the rows of smallest key hash), calibrated on a held-out fifth of them (Platt scaling with
 both classes weighing the same, so the fixed threshold of 0.5 means "likelier good than bad at even
 odds"), and applied to every row in Arrow batches.
 
 Defined cases: a null or empty text has no words and fails; labels with a null key, null quality or
 both classes for one key are left out; with fewer than ``MIN_CLASS`` rows of a class there is no model
-and only the fixed rules decide; repeated rows are each scored alike; an empty table gives no rows;
+and only the fixed rules decide; repeated rows are each scored alike (of a repeated key the text of
+least hash is trained on); an empty table gives no rows;
 further columns of any name pass through ``annotate`` untouched.
 """
 
@@ -43,12 +44,14 @@ def _grams(words: tb.Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     found = [(tb.mix(h, 11) >> shift, words.first[:-1], words.first[1:])]
     two = tb.mix(h[:-1] * tb.U(3) + h[1:], 12) >> shift if len(h) > 1 else np.zeros(0, tb.U)
     found.append((two, np.minimum(words.first[:-1], len(two)), np.clip(words.first[1:] - 1, 0, len(two))))
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    place = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]  # of each text among the code points
     for k in (3, 4):
-        code = np.zeros(max(0, len(raw) - k + 1), np.uint32)
+        code = np.full(max(0, len(points) - k + 1), k, np.uint32)
         for j in range(k):
-            code = (code << np.uint32(8)) | raw[j : len(raw) - k + 1 + j]
-        code = (code * np.uint32(2654435761) + np.uint32(k)) * np.uint32(2246822519)
-        found.append((code >> np.uint32(32 - BITS), np.minimum(at[:-1], len(code)), np.clip(at[1:] - k + 1, 0, len(code))))
+            code = (code ^ points[j : len(points) - k + 1 + j]) * np.uint32(2654435761)
+            code ^= code >> np.uint32(15)
+        found.append((code * np.uint32(2246822519) >> np.uint32(32 - BITS), np.minimum(place[:-1], len(code)), np.clip(place[1:] - k + 1, 0, len(code))))
     return [(g.astype(np.int64), a, np.maximum(a, b)) for g, a, b in found]
 
 
@@ -90,8 +93,9 @@ def _dup_lines(words: tb.Words) -> np.ndarray:
     raw, at = words.raw, words.at
     n = len(at) - 1
     breaks = np.flatnonzero(raw == 10)
-    start = np.unique(np.concatenate([at[:-1], breaks + 1]))
-    start = start[start < len(raw)]
+    first = np.zeros(len(raw) + 1, bool)
+    first[at[:-1]] = first[breaks + 1] = True
+    start = np.flatnonzero(first[:-1])
     if not len(start):
         return np.zeros(n, np.int64)
     row = np.searchsorted(at, start, "right") - 1
@@ -134,7 +138,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -
     pick = lambda c: one.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2)
     few = pick(0).unionByName(pick(1))  # bounded by ``most`` rows, so it may be broadcast
     text = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    return text.dropDuplicates(["doc_id"])
+    return text.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))  # of repeated ids always the same text
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, threshold: float = THRESHOLD) -> dict | None:

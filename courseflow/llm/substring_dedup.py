@@ -27,8 +27,8 @@ from courseflow.llm import sketch
 from courseflow.llm import textblock as tb
 from courseflow.llm.shared import free_name, materialise, text_batches
 
-WINDOW, SKETCH_ROWS = 13, 3
-HOT = 200  # a window estimated to occur so often is split over tasks
+WINDOW, SKETCH_ROWS = 13, 2
+HOT, HOT_SHARE = 200, 20_000  # a window estimated to occur so often, and to be so large a part of all, is split over tasks
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -47,7 +47,7 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             words = tb.Words(*tb.texts(part.column("text")))
             yield words.window_hash(words.windows(k), k)
 
-    bits = sketch.repeated(docs, hashes, SKETCH_ROWS, width, HOT)
+    bits = sketch.repeated(docs, hashes, SKETCH_ROWS, width, max(HOT, size // 6 // HOT_SHARE))
     some_hot = bool(bits[-1].any())
     shared = docs.sparkSession.sparkContext.broadcast(bits if some_hot else bits[:-1])
 
@@ -114,10 +114,11 @@ def annotate(docs: DataFrame, k: int = WINDOW, into: str = "substring_dedup", wi
     A bit filter of the marked ids, of bounded size, splits the rows: those it excludes have no mark and
     are done where they are read, only the others are shuffled to their marks."""
     into, marks = free_name(docs, into), free_name(docs, "dedup_marks")
-    found = materialise(repeated_windows(docs, k).withColumnRenamed("doc_id", "_dedup_id"), "marks")
+    own = free_name(docs, "dedup_id")
+    found = materialise(repeated_windows(docs, k).withColumnRenamed("doc_id", own), "marks")
     numbers = lambda column: column.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)
-    wanted = found.select("_dedup_id")
-    bits = sketch.repeated(wanted, lambda batch: iter([np.repeat(numbers(batch.column(0)), 2)]), 2, sketch.width_for(8 * wanted.count()))  # each id twice: all pass
+    wanted = found.select(own)
+    bits = sketch.members(wanted, lambda batch: numbers(batch.column(0)), 2 * wanted.count())
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T._parse_datatype_string(RESULT))])
 
@@ -144,7 +145,7 @@ def annotate(docs: DataFrame, k: int = WINDOW, into: str = "substring_dedup", wi
 
     docs = text_batches(docs)
     few = docs.mapInArrow(marked, docs.schema)
-    joined = few.join(found.withColumnRenamed("marks", marks), F.col("doc_id").cast("long") == F.col("_dedup_id"), "left").drop("_dedup_id").withColumn(marks, F.coalesce(F.col(f"`{marks}`"), F.array().cast("array<long>")))
+    joined = few.join(found.withColumnRenamed("marks", marks), F.col("doc_id").cast("long") == F.col(f"`{own}`"), "left").drop(own).withColumn(marks, F.coalesce(F.col(f"`{marks}`"), F.array().cast("array<long>")))
     return docs.mapInArrow(unmarked, schema).unionByName(joined.mapInArrow(strip, schema))
 
 

@@ -11,7 +11,7 @@ weight; the integral of that rate is its cumulative demand, and inverting it at
 span gives the span's training position. Placements are range-sorted by position.
 
 Prefix sums run over (source, hash bucket) first, so that a source holding a third of all rows is dealt
-over BUCKETS tasks. Defined cases: null text has size 0 and is never taken; a null source is a source; a
+over many tasks. Defined cases: null text has size 0 and is never taken; a null source is a source; a
 null key hashes as empty; repeated rows are separate documents; an empty table gives no rows; further
 columns ride along in ``mixed``.
 """
@@ -28,7 +28,7 @@ from courseflow.llm.shared import free_name, materialise, n_words
 WEIGHTS, CAP = (5, 2, 1), 3
 #: How much later (positive) or earlier (negative) a weight's documents come: -1 to 1.
 RAMPS = {5: -0.5, 2: 0.0, 1: 0.5}
-HASH_DIGITS = 3  # 16 ** 3 buckets a source
+LEAST_DIGITS, BUCKET_ROWS = 3, 50_000  # a source has 16 ** 3 buckets at least, and no more than about so many rows in each
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -49,11 +49,19 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return rated.select("source", "source_size", "weight", F.coalesce(target, F.col("limit").cast("double")).alias("target"))
 
 
+def bucket_digits(rows: int) -> int:
+    """Hexadecimal digits of a key's hash that name its bucket, so that no table size makes buckets large."""
+    digits = LEAST_DIGITS
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def stream(docs: DataFrame) -> DataFrame:
     """Each document with its source's target and its place ``begin`` in the source's stream."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("hash")).withColumn("bucket", F.substring("hash", 1, HASH_DIGITS))
-    return _stream(materialise(sized, "mix-sizes"))
+    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("hash")), "mix-sizes")
+    return _stream(sized.withColumn("bucket", F.substring("hash", 1, bucket_digits(sized.count()))))
 
 
 def _stream(sized: DataFrame) -> DataFrame:
@@ -98,10 +106,11 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, whole, repeated as taken, with all their columns, in training order."""
-    rank, key = free_name(docs, "mix_nth"), free_name(docs, "mix_key")
+    rank, key, source, bucket, nth, position, copy = (free_name(docs, f"mix_{x}") for x in ("rank", "key", "source", "bucket", "nth", "position", "copy"))
+    digits = bucket_digits(docs.count())
     key_of = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    same = W.partitionBy("source", F.substring(F.col(f"`{key}`"), 1, HASH_DIGITS)).orderBy(F.col(f"`{key}`"), n_words(F.col("text")))
+    same = W.partitionBy("source", F.substring(F.col(f"`{key}`"), 1, digits)).orderBy(F.col(f"`{key}`"), n_words(F.col("text")))
     numbered = docs.withColumn(key, key_of).withColumn(rank, F.row_number().over(same))
-    chosen = placements(docs, "whole").where("copy is not null").select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.col("nth").alias("_n"), F.col("position").alias("_p"), F.col("copy").alias("_c"))
-    joined = numbered.join(chosen, F.expr(f"source <=> _s and substring(`{key}`, 1, {HASH_DIGITS}) = _b and `{rank}` = _n"))
-    return joined.orderBy("_p", "_c", f"`{key}`").select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = placements(docs, "whole").where("copy is not null").select(F.col("source").alias(source), F.col("bucket").alias(bucket), F.col("nth").alias(nth), F.col("position").alias(position), F.col("copy").alias(copy))
+    joined = numbered.join(chosen, F.expr(f"source <=> `{source}` and substring(`{key}`, 1, {digits}) = `{bucket}` and `{rank}` = `{nth}`"))
+    return joined.orderBy(f"`{position}`", f"`{copy}`", f"`{key}`").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,12 +13,12 @@ BATCH_BYTES = 2 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``.
-
-    Only where that setting is empty (local tests) a temporary folder takes its place.
-    """
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Where that setting is empty, a local session
+    gets a temporary folder; on a cluster, where executors would not share it, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="courseflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/courseflow/{name}-{uuid.uuid4().hex}"
@@ -50,11 +50,6 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns of ``df``."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def words_regex() -> str:
     """Fixed value: a word is a run of characters other than space and U+0009 to U+000D."""
     return r"[^\x20\x09-\x0D]+"

@@ -238,6 +238,7 @@ def _across(shared: DataFrame, joined: DataFrame, sets: DataFrame, percent: int)
     rows = shared.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.count("*").alias("parts")).where("parts > 1").select("key", "rows", "grams", F.col("top.component").alias("major"))
+    major = materialise(major, "open-keys")  # a plain table, so that a frequent key can be split in the join
     open_ = rows.join(major, "key").groupBy("node", "component").agg(F.max(F.struct("rows", "grams", "key", "major")).alias("most"), F.collect_set("key").alias("keys"))
     piece = F.expr(f"pmod(xxhash64(node), ceil(greatest(most.rows / {TILE_ROWS}, most.grams / {TILE_GRAMS})))")
     dealt = materialise(open_.withColumn("tile", F.xxhash64("most.key", F.expr("component = most.major"), piece)).drop("most"), "open-rows")

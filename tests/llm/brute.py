@@ -127,3 +127,31 @@ def targets(sizes):
         if not over:
             return {s: float(x) for s, x in {**full, **share}.items()}
         full |= {s: 3 * sizes[s] for s in over}
+
+
+def mix_plan(rows, whole=False, cap=3):
+    """[(position, copy, doc_id, taken)] in training order; rows: (doc_id, source, text)."""
+    sizes = defaultdict(int)
+    for _, s, t in rows:
+        sizes[s] += len(words(t))
+    target = targets(sizes)
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    out = []
+    for s in order:
+        weight = (5, 2, 1)[order.index(s) % 3]
+        ramp, due, total = {5: -0.5, 2: 0.0, 1: 0.5}[weight], math.floor(target[s]), sizes[s]
+        mine = sorted((hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), len(words(t)), d) for d, x, t in rows if x == s)
+        for copy in range(cap + 1):
+            at = copy * total
+            for h, size, d in mine:
+                taken = min(size, max(0, due - at))
+                if whole:
+                    taken = size if 2 * taken >= size else 0
+                if taken:
+                    share = min((at + taken / 2) / max(due, 1), 1.0)
+                    # The time at which the integral of 1 + ramp (2 t - 1) reaches the share.
+                    time = share if not ramp else (-(1 - ramp) + math.sqrt((1 - ramp) ** 2 + 4 * ramp * share)) / (2 * ramp)
+                    out.append((time, copy, h, d, taken))
+                at += size
+    out.sort(key=lambda x: x[:3])
+    return [(t, c, d, n) for t, c, _, d, n in out]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from courseflow.plans import compile_oracles
+
 RUNS = """
 e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 runs AS (
@@ -96,13 +98,30 @@ units AS (
   SELECT p_partkey, 'ku_' || p_partkey AS knowledge_id, p_name AS title, 'About ' || p_name AS summary, 'The ' || p_type || ' ' || p_name || ' of ' || p_brand || '.' AS body_text,
     p_brand AS module_tag, 'week_' || (p_size % 12) AS week_tag, [p_type, p_brand] AS topic_tags, ['easy', 'medium', 'hard'][p_size % 3 + 1] AS difficulty_level,
     ['concept', 'example', 'caution', 'prerequisite', 'other'][p_size % 5 + 1] AS pedagogical_role, CASE WHEN p_partkey % 2 = 0 THEN 'approved' ELSE 'draft' END AS approval_status,
+    CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'pdf' END AS source_type, 1 + p_size % 3 AS version_number, 1704067200 + p_partkey AS updated_s, 1704067200 + p_partkey % 50 AS created_s,
     ['src_' || (p_partkey % 200), 'src_' || p_size] AS source_ref, CASE WHEN p_partkey % 4 = 0 THEN ['ku_' || (p_partkey + 1), 'ku_missing'] ELSE CAST([] AS VARCHAR[]) END AS prerequisite_links
   FROM part),
 edges AS (
-  SELECT knowledge_id AS source, unnest(source_ref) AS target, 'derived_from' AS edge_type FROM units
+  SELECT unnest(source_ref) AS source, knowledge_id AS target, 'derived_from' AS edge_type FROM units
   UNION ALL SELECT source, target, 'prerequisite' FROM (SELECT unnest(prerequisite_links) AS source, knowledge_id AS target FROM units) WHERE source IN (SELECT knowledge_id FROM units))"""
 
 
+NODES = """
+nodes AS (
+  SELECT 'src_' || doc_id AS node_id, 'source' AS node_type, 'doc_' || doc_id || '.txt' AS label, NULL AS summary, 'text' AS source_type, lang AS module_tag, source AS week_tag, 'tester' AS uploader,
+    NULL AS approval_status, NULL AS pedagogical_role, CAST([] AS VARCHAR[]) AS topic_tags, CAST([] AS VARCHAR[]) AS source_ref, 1704067200 + doc_id AS updated_at FROM documents
+  UNION ALL SELECT knowledge_id, 'knowledge_unit', title, summary, NULL, module_tag, week_tag, NULL, approval_status, pedagogical_role, topic_tags, source_ref, updated_s FROM units)
+"""
+
+
+def seen(search: str, passes: str) -> str:
+    """Visible nodes: units that pass and are found; sources that pass and are found or lead to a visible unit."""
+    found = f"contains(lower(concat_ws(' ', label, node_id, coalesce(summary, ''), coalesce(array_to_string(topic_tags, ' '), ''), coalesce(source_type, ''))), trim({search}))"
+    return f""", shown AS (SELECT node_id FROM nodes WHERE node_type = 'knowledge_unit' AND {passes} AND {found}),
+seen AS (SELECT node_id FROM shown UNION SELECT node_id FROM nodes WHERE node_type = 'source' AND {passes} AND ({found} OR node_id IN (SELECT source FROM edges WHERE edge_type = 'derived_from' AND target IN (SELECT node_id FROM shown))))
+"""
+
+
 def _norm(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -143,9 +162,9 @@ pages AS (SELECT source AS source_id, row_number() OVER (PARTITION BY source ORD
 
 def oracle_sql() -> dict[str, str]:
     r, q, u, c, p = (f"WITH {x}\n" for x in (RUNS, QA, UNITS, CHUNKS, PAGES))
-    bundle = f"WITH {UNITS},{REQUESTS}\n"
+    bundle, n = f"WITH {UNITS},{REQUESTS}\n", f"WITH {UNITS},{NODES}"
     search = f"(SELECT *, least(list_min([{_score("'ring'", 'title')}, {_score("'red widget'", 'title')}]), 3 + list_min(list_filter([{_score("'ring'", 'topic_tags[1]')}, {_score("'ring'", 'topic_tags[2]')}, {_score("'red widget'", 'topic_tags[1]')}, {_score("'red widget'", 'topic_tags[2]')}], lambda x: x IS NOT NULL))) AS topic_score FROM units)"
-    return {
+    return compile_oracles.oracle_sql() | {
         "tag_counts": r + "SELECT deck_id, kind, tag, n FROM counts",
         "tag_counts_by_profile": r + "SELECT deck_id, student_profile, kind, tag, count(*) AS n FROM tags GROUP BY ALL",
         "tag_counts_all_levels": r + "SELECT deck_id, coalesce(student_profile, 'all') AS student_profile, kind, tag, count(*) AS n FROM tags GROUP BY GROUPING SETS ((deck_id, kind, tag), (deck_id, student_profile, kind, tag))",
@@ -195,12 +214,12 @@ SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER
         "bundle_sources": bundle + "SELECT request_id, source_id, row_number() OVER (PARTITION BY request_id ORDER BY doc_id, source_id) AS position FROM (SELECT DISTINCT request_id, unnest(source_ref) AS source_id FROM bundle) JOIN (SELECT doc_id, 'src_' || doc_id AS source_id FROM documents) USING (source_id)",
         "bundle_trace": bundle + """SELECT r.request_id, coalesce(len(ids), 0)::BIGINT AS n_units, md5(coalesce(array_to_string(ids, '|'), '')) AS units_md5, md5(coalesce(array_to_string(refs, '|'), '')) AS sources_md5, trim(topic) <> '' AS used_scope
 FROM requests r LEFT JOIN (SELECT request_id, list(knowledge_id ORDER BY position) AS ids, list_sort(list_distinct(flatten(list(source_ref)))) AS refs FROM bundle GROUP BY 1) b ON r.request_id = b.request_id""",
-        "graph_nodes": u + "SELECT 'src_' || doc_id AS node_id, 'source' AS node_type, 'doc_' || doc_id || '.txt' AS label, lang AS module_tag FROM documents UNION ALL SELECT knowledge_id, 'knowledge_unit', title, module_tag FROM units",
+        "graph_nodes": n + "SELECT node_id, node_type, label, summary, source_type, module_tag, week_tag, uploader, approval_status, pedagogical_role, array_to_string(topic_tags, '|') AS topic_tags, array_to_string(source_ref, '|') AS source_ref, updated_at FROM nodes",
         "graph_edges": u + "SELECT source, target, edge_type, edge_type || ':' || source || '->' || target AS edge_id FROM edges",
         "graph_neighbours": u + "SELECT node_id, count(*) AS degree, min(neighbour) AS first_neighbour FROM (SELECT source AS node_id, target AS neighbour FROM edges UNION SELECT target, source FROM edges) WHERE node_id <> neighbour GROUP BY node_id",
-        "visible_edges": u + """, seen AS (SELECT knowledge_id AS id FROM units WHERE approval_status = 'approved' AND contains(lower(concat_ws(' ', title, knowledge_id, array_to_string(topic_tags, ' '))), 'ring')),
-near AS (SELECT id FROM seen UNION SELECT target FROM edges WHERE edge_type = 'derived_from' AND source IN (SELECT id FROM seen) AND target IN (SELECT 'src_' || doc_id FROM documents))
-SELECT source, target, edge_type FROM edges WHERE source IN (SELECT id FROM near) AND target IN (SELECT id FROM near)""",
+        "visible_nodes": n + seen("' 12'", "(node_type = 'source' AND source_type = 'text' OR node_type = 'knowledge_unit' AND approval_status = 'approved')") + "SELECT node_id FROM seen",
+        "visible_edges": n + seen("'about red'", "(node_type = 'source' OR approval_status = 'approved')") + "SELECT source, target, edge_type FROM edges WHERE source IN (SELECT node_id FROM seen) AND target IN (SELECT node_id FROM seen)",
+        "visible_in_week": n + seen("''", "week_tag = 'week_3' AND (node_type = 'source' OR pedagogical_role = 'concept')") + "SELECT node_id FROM seen",
         "top_topics": u + "SELECT tag, count(*) AS n FROM (SELECT unnest(topic_tags) AS tag FROM units) GROUP BY tag ORDER BY n DESC, tag LIMIT 5",
-        "facets": u + "SELECT " + ", ".join(f"string_agg(DISTINCT {x}, '|' ORDER BY {x}) AS {x}" for x in ("module_tag", "week_tag", "pedagogical_role", "difficulty_level")) + " FROM units",
+        "facets": n + "SELECT " + ", ".join(f"string_agg(DISTINCT {x}, '|' ORDER BY {x}) FILTER (WHERE {x} <> '') AS {x}" for x in ("module_tag", "week_tag", "pedagogical_role", "source_type")) + " FROM nodes",
     }

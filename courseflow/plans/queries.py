@@ -178,25 +178,29 @@ def extraction_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_sections(s: SparkSession, d: str) -> DataFrame:
-    return chunks.sections(_texts(s, d)).select("source_id", F.col("section_index").cast("long").alias("section_index"), "key", "title", F.md5("body").alias("body_md5"), "prerequisite_key")
+    return chunks.sections(b.headed_texts(s, d)).select("source_id", F.col("section_index").cast("long").alias("section_index"), "key", "title", F.md5("body").alias("body_md5"), "prerequisite_key")
 
 
 def _compiled(s: SparkSession, d: str) -> DataFrame:
-    return comp.compiled_units(_texts(s, d))
+    return comp.compiled_units(b.headed_texts(s, d))
+
+
+def _fresh(s: SparkSession, d: str) -> DataFrame:
+    units = _compiled(s, d)
+    known = units.where(F.length("title") % 2 == 0).select("title", F.array("source_id").alias("source_ref"))
+    return comp.new_units(units, known)
 
 
 def compiled_units(s: SparkSession, d: str) -> DataFrame:
-    return _compiled(s, d).select("source_id", "key", "title", F.md5("summary").alias("summary_md5"), F.md5("body_text").alias("body_md5"), _joined("topic_tags"), "pedagogical_role", "prerequisite_key")
+    return _compiled(s, d).select("source_id", F.col("entry").cast("long").alias("entry"), "key", "title", F.md5("summary").alias("summary_md5"), F.md5("body_text").alias("body_md5"), _joined("topic_tags"), "pedagogical_role", "prerequisite_key")
 
 
 def new_units(s: SparkSession, d: str) -> DataFrame:
-    units = _compiled(s, d)
-    known = units.where(F.crc32("title") % 2 == 0).select("title", F.array("source_id").alias("source_ref"))
-    return comp.new_units(units, known).groupBy("source_id").agg(F.count("*").alias("n"), F.min("title").alias("first_title"))
+    return _fresh(s, d).groupBy("source_id").agg(F.count("*").alias("n"), F.min("title").alias("first_title"))
 
 
 def unit_prerequisites(s: SparkSession, d: str) -> DataFrame:
-    return comp.stored_units(_compiled(s, d), b.sources(s, d)).select("knowledge_id", "source_id", "title", "module_tag", "week_tag", "approval_status", _joined("prerequisite_links"))
+    return comp.stored_units(_fresh(s, d), b.sources(s, d)).select("knowledge_id", "source_id", "title", "module_tag", "week_tag", "approval_status", "difficulty_level", "source_type", _joined("source_ref"), _joined("prerequisite_links"))
 
 
 def compile_status(s: SparkSession, d: str) -> DataFrame:
@@ -205,6 +209,14 @@ def compile_status(s: SparkSession, d: str) -> DataFrame:
     return comp.compile_status(b.sources(s, d), units, comp.new_units(units, known))
 
 
+def compile_summary(s: SparkSession, d: str) -> DataFrame:
+    return comp.compile_summary(_compiled(s, d)).select("source_id", "generated_unit_count", _joined("titles"))
+
+
+def existing_units(s: SparkSession, d: str) -> DataFrame:
+    return comp.existing_units(comp.stored_units(_fresh(s, d), b.sources(s, d))).select("source_id", F.col("position").cast("long").alias("position"), "knowledge_id", "title")
+
+
 def _book(s: SparkSession, d: str) -> DataFrame:
     """Books with a table of contents derived from ``documents``: page 1 lists every page's first words. A
     source is as many books of 30 pages as it needs, so every document takes part."""
@@ -218,7 +230,11 @@ def _book(s: SparkSession, d: str) -> DataFrame:
 
 
 def toc_entries(s: SparkSession, d: str) -> DataFrame:
-    return comp.toc_entries(_book(s, d)).select("source_id", "entry", "kind", "key", "title", "anchor", "chapter_key", "pdf_page")
+    return comp.toc_entries(_book(s, d)).select("source_id", F.col("entry").cast("long").alias("entry"), "kind", "key", "title", "anchor", "chapter_key", "pdf_page")
+
+
+def printed_offsets(s: SparkSession, d: str) -> DataFrame:
+    return comp.printed_offset(_book(s, d)).select("source_id", F.col("printed_offset").cast("long").alias("printed_offset"))
 
 
 def toc_units(s: SparkSession, d: str) -> DataFrame:
@@ -296,8 +312,13 @@ def supporting_chunks(s: SparkSession, d: str) -> DataFrame:
     return retrieval.supporting_chunks(hits, pieces, refs)
 
 
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return graph.nodes(b.sources(s, d), b.units(s, d))
+
+
 def graph_nodes(s: SparkSession, d: str) -> DataFrame:
-    return graph.nodes(b.sources(s, d), b.units(s, d)).select("node_id", "node_type", "label", "module_tag")
+    fields = ("node_id", "node_type", "label", "summary", "source_type", "module_tag", "week_tag", "uploader", "approval_status", "pedagogical_role")
+    return _nodes(s, d).select(*fields, _joined("topic_tags"), _joined("source_ref"), F.unix_timestamp("updated_at").alias("updated_at"))
 
 
 def graph_edges(s: SparkSession, d: str) -> DataFrame:
@@ -308,10 +329,16 @@ def graph_neighbours(s: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(graph.edges(b.units(s, d))).groupBy("node_id").agg(F.count("*").alias("degree"), F.min("neighbour").alias("first_neighbour"))
 
 
+def visible_nodes(s: SparkSession, d: str) -> DataFrame:
+    return graph.visible(_nodes(s, d), graph.edges(b.units(s, d)), search=" 12", status="approved", source_type="text")[0]
+
+
 def visible_edges(s: SparkSession, d: str) -> DataFrame:
-    units = b.units(s, d)
-    _, links = graph.visible(graph.nodes(b.sources(s, d), units), graph.edges(units), search="ring", status="approved")
-    return links.select("source", "target", "edge_type")
+    return graph.visible(_nodes(s, d), graph.edges(b.units(s, d)), search="About red", status="approved")[1].select("source", "target", "edge_type")
+
+
+def visible_in_week(s: SparkSession, d: str) -> DataFrame:
+    return graph.visible(_nodes(s, d), graph.edges(b.units(s, d)), week="week_3", role="concept")[0]
 
 
 def top_topics(s: SparkSession, d: str) -> DataFrame:
@@ -319,7 +346,7 @@ def top_topics(s: SparkSession, d: str) -> DataFrame:
 
 
 def facets(s: SparkSession, d: str) -> DataFrame:
-    return graph.facets(b.units(s, d)).select(*[_joined(c) for c in ("module_tag", "week_tag", "pedagogical_role", "difficulty_level")])
+    return graph.facets(_nodes(s, d)).select(*[_joined(c) for c in ("module_tag", "week_tag", "pedagogical_role", "source_type")])
 
 
 def model_answers(s: SparkSession, d: str) -> DataFrame:
@@ -331,7 +358,7 @@ def model_answers(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         weak_topics_top5, tag_counts, tag_counts_by_profile, tag_counts_all_levels, top_labels_all, tag_shares, slide_issue_counts, revision_targets, representative_evidence, evidence_refs, flatten_runs, evaluation_grid, rule_tags, structured_slides, job_status, profile_coverage, cohort_signal, signal_completeness,
-        issues_ranked, recommendations, proposals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, toc_entries, toc_units,
-        topic_search, text_query, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, graph_nodes, graph_edges, graph_neighbours, visible_edges, top_topics, facets, model_answers,
+        issues_ranked, recommendations, proposals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units,
+        topic_search, text_query, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, graph_nodes, graph_edges, graph_neighbours, visible_nodes, visible_edges, visible_in_week, top_topics, facets, model_answers,
     ]
     return {f.__name__: f for f in found}

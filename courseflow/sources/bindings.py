@@ -70,7 +70,10 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("if(p_partkey % 2 = 0, 'approved', 'draft')").alias("approval_status"),
         F.expr("array(concat('src_', p_partkey % 200), concat('src_', p_size))").alias("source_ref"),
         F.expr("if(p_partkey % 4 = 0, array(concat('ku_', p_partkey + 1), 'ku_missing'), cast(array() as array<string>))").alias("prerequisite_links"),
+        F.expr("if(p_size % 2 = 0, 'text', 'pdf')").alias("source_type"),
+        F.expr("1 + p_size % 3").alias("version_number"),
         F.expr(f"timestampadd(SECOND, cast(p_partkey as int), {BASE})").alias("updated_at"),
+        F.expr(f"timestampadd(SECOND, cast(p_partkey % 50 as int), {BASE})").alias("created_at"),
     )
 
 
@@ -92,3 +95,9 @@ def requests(spark: SparkSession) -> DataFrame:
     """Topic requests, with null, empty, several and unreadable values."""
     rows = [("r1", None, None, "ring", None, "lesson"), ("r2", "Brand#1", None, "red", None, "quiz"), ("r3", "Brand#2", "", "blue,gear", None, None), ("r4", None, "week_3", "!!!", None, None), ("r5", "Brand#3", None, "", "easy", None), ("r6", None, None, "economy widget", "hard", "deck"), ("r7", "none", None, "ring", None, None)]
     return spark.createDataFrame(rows, "request_id string, module string, week string, topic string, difficulty_level string, generation_target string")
+
+
+def headed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as texts with headings: whole texts, every third sentence on a line of its own as one."""
+    sentences = F.transform(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("# "), x)).otherwise(x))
+    return read(spark, sf_dir, "documents").select(F.expr("concat('src_', doc_id)").alias("source_id"), F.expr("concat('doc_', doc_id, '.txt')").alias("filename"), F.array_join(sentences, "\n").alias("text"))

@@ -12,6 +12,9 @@ from courseflow.functions import text as fx
 FIRST_ACTION = {"missing_prerequisite": "add_prerequisite_slide", "misconception": "add_misconception_warning", "confusion": "add_example", "concept_confusion": "rewrite_explanation", "weak_mathematical_foundation": "add_prerequisite_slide", "expression_unclear": "rewrite_explanation", "pacing_mismatch": "split_dense_slide", "theory_practice_gap": "add_example"}
 ACTION_WEIGHT = {"add_prerequisite_slide": 95, "rewrite_explanation": 90, "add_misconception_warning": 85, "add_example": 80, "split_dense_slide": 70, "regenerate_deck_section": 65, "mark_for_kb_review": 60}
 LISTS = [("weak_topic", "weak_topics", None), ("confusion", "repeated_confusion_points", 75), ("misconception", "misconception_clusters", 80), ("missing_prerequisite", "missing_prerequisite_patterns", 88)]
+#: What is said of an issue of each kind, and of a whole section.
+RATIONALE = {"weak_topic": "Topic '%s' appears in weak_topics and is repeatedly problematic.", "confusion": "Students repeatedly confused about: %s", "misconception": "Recurring misconception: %s", "missing_prerequisite": "Missing prerequisite knowledge: %s"}
+SECTION_RATIONALE = "Multiple issue types across same section."
 
 
 def _lookup(table: dict, key: Column, default) -> Column:
@@ -28,41 +31,61 @@ def _topic_of(text: Column) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.get("weak_topics", F.lit(0)), F.lit("unknown"))
 
 
-def issues(signals: DataFrame) -> DataFrame:
-    """(deck_id, issue_type, topic, issue_text, score, severity, rank): the four lists of each signal,
-    by score, ties in list order."""
-    parts = []
-    for seq, (kind, column, fixed) in enumerate(LISTS):
-        e = signals.select("*", F.posexplode(column).alias("pos", "issue_text"))
-        text = F.col("issue_text")
-        score = F.lit(fixed) if fixed else 60 + F.when(_related(text, "repeated_confusion_points"), 10).otherwise(0) + F.when(_related(text, "misconception_clusters"), 10).otherwise(0) + F.when(F.size("missing_prerequisite_patterns") > 0, 5).otherwise(0)
-        parts.append(e.select("deck_id", F.lit(kind).alias("issue_type"), F.lit(column).alias("source_field"), F.lit(seq).alias("kind_seq"), "pos", "issue_text", (text if kind == "weak_topic" else _topic_of(text)).alias("topic"), score.cast("int").alias("score"), F.slice("recommended_revision_targets", 1, 3).alias("targets")))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+def issues(signals: DataFrame, decks: DataFrame | None = None) -> DataFrame:
+    """(deck_id, issue_type, topic, issue_text, score, severity, rank, …): the four lists of each signal, exploded in one
+    pass, by score, ties in list order. Every issue carries all slides of its deck (``decks``: deck_id, slide_refs)
+    and the signal's evidence."""
+    none = F.array().cast("array<string>")
+    of = lambda seq, kind, column: F.transform(column, lambda t, i: F.struct(F.lit(kind).alias("issue_type"), F.lit(column).alias("source_field"), F.lit(seq).alias("kind_seq"), i.alias("pos"), t.alias("issue_text")))
+    tagged = [of(seq, kind, column) for seq, (kind, column, _) in enumerate(LISTS)]
+    with_slides = signals if decks is None else signals.join(decks.select("deck_id", "slide_refs"), "deck_id", "left")
+    slides = F.coalesce("slide_refs", none) if "slide_refs" in with_slides.columns else none
+    evidence = F.coalesce("evidence_refs", none) if "evidence_refs" in signals.columns else none
+    e = with_slides.select("*", F.explode(F.concat(*tagged)).alias("i"))
+    text, kind = F.col("i.issue_text"), F.col("i.issue_type")
+    score = 60 + F.when(_related(text, "repeated_confusion_points"), 10).otherwise(0) + F.when(_related(text, "misconception_clusters"), 10).otherwise(0) + F.when(F.size("missing_prerequisite_patterns") > 0, 5).otherwise(0)
+    said = F.lit(None).cast("string")
+    for name, _, fixed in LISTS:
+        score = F.when(kind == name, fixed).otherwise(score) if fixed else score
+        said = F.when(kind == name, F.format_string(RATIONALE[name], text)).otherwise(said)
+    rows = e.select("deck_id", "i.*", F.when(kind == "weak_topic", text).otherwise(_topic_of(text)).alias("topic"), score.cast("int").alias("score"), F.slice("recommended_revision_targets", 1, 3).alias("targets"), slides.alias("slide_refs"), evidence.alias("evidence_refs"), said.alias("rationale"))
     rank = F.row_number().over(W.partitionBy("deck_id").orderBy(F.desc("score"), "kind_seq", "pos"))
-    return rows.select("*", fx.severity(F.col("score")).alias("severity"), rank.alias("rank"), F.format_string("ISS_%03d", rank).alias("issue_id"))
+    return rows.select("*", fx.severity(F.col("score")).alias("severity"), rank.alias("rank"), _issue_id(rank).alias("issue_id"))
+
+
+def _issue_id(rank: Column) -> Column:
+    return F.format_string("ISS_%03d", rank)
 
 
 def recommendations(found: DataFrame) -> DataFrame:
     """The best recommendation of each action, first of equals; order by score, ties by the action's
-    first appearance. A deck of four issues or more also gets one for its whole section."""
+    first appearance. A deck of four issues or more also gets one for its whole section, last in line; the
+    deck's fourth issue brings it along, so the issues are read once."""
     action = _lookup(FIRST_ACTION, F.col("issue_type"), "mark_for_kb_review")
-    each = found.withColumn("action", action).select("deck_id", "action", F.least(F.lit(100), F.col("score") + F.floor(_lookup(ACTION_WEIGHT, F.col("action"), 50) / 10)).cast("int").alias("score"), F.col("rank").alias("seq"), F.col("targets").alias("target_knowledge_ids"), F.array("issue_id").alias("source_issue_ids")).withColumn("priority", fx.priority(F.col("score")))
-    first = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", "issue_id")))), lambda x: x["issue_id"]), 1, 3)
-    section = found.groupBy("deck_id").agg(F.count("*").alias("n"), first.alias("source_issue_ids")).where("n >= 4")
-    section = section.select("deck_id", F.lit("regenerate_deck_section").alias("action"), F.lit(68).alias("score"), (F.col("n") + 1).cast("int").alias("seq"), F.array().cast("array<string>").alias("target_knowledge_ids"), "source_issue_ids", F.lit("medium").alias("priority"))
-    every = each.unionByName(section)
-    row = F.struct("score", "priority", "target_knowledge_ids", "source_issue_ids")
-    best = every.groupBy("deck_id", "action").agg(F.max_by(row, F.struct("score", -F.col("seq"))).alias("b"), F.min("seq").alias("first_seq")).select("deck_id", "action", "b.*", "first_seq")
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("deck_id").orderBy(F.desc("score"), "first_seq")))
+    none = F.array().cast("array<string>")
+    score = F.least(F.lit(100), F.col("score") + F.floor(_lookup(ACTION_WEIGHT, action, 50) / 10)).cast("int")
+
+    def row(action, score, seq, priority, slides, targets, ids, rationale):
+        return F.struct(action.alias("action"), score.alias("score"), seq.alias("seq"), priority.alias("priority"), slides.alias("target_slide_refs"), targets.alias("target_knowledge_ids"), ids.alias("source_issue_ids"), rationale.alias("rationale"), F.col("evidence_refs"))
+
+    own = row(action, score, F.col("rank"), fx.priority(score), F.col("slide_refs"), F.col("targets"), F.array("issue_id"), F.col("rationale"))
+    section = row(F.lit("regenerate_deck_section"), F.lit(68), F.lit(2**31 - 1), F.lit("medium"), F.col("targets"), none, F.array(*[_issue_id(F.lit(i)) for i in (1, 2, 3)]), F.lit(SECTION_RATIONALE))
+    every = found.select("deck_id", F.explode(F.array_compact(F.array(own, F.when(F.col("rank") == 4, section)))).alias("r"))
+    best = every.groupBy("deck_id", "r.action").agg(F.max_by("r", F.struct("r.score", -F.col("r.seq"))).alias("b"), F.min("r.seq").alias("first_seq"))
+    fields = ("score", "priority", "target_slide_refs", "target_knowledge_ids", "source_issue_ids", "rationale", "evidence_refs")
+    flat = best.select("deck_id", "action", *[f"b.{c}" for c in fields], "first_seq")
+    return flat.withColumn("rank", F.row_number().over(W.partitionBy("deck_id").orderBy(F.desc("score"), "first_seq")))
 
 
 def proposals(recs: DataFrame) -> DataFrame:
-    return recs.where(F.col("priority").isin("high", "critical")).select("deck_id", F.col("action").alias("recommended_action"), F.col("priority").alias("suggested_priority"), "score", F.col("source_issue_ids").alias("based_on_issue_ids"), "target_knowledge_ids")
+    return recs.where(F.col("priority").isin("high", "critical")).select("deck_id", F.col("action").alias("recommended_action"), F.col("priority").alias("suggested_priority"), "score", F.col("source_issue_ids").alias("based_on_issue_ids"), "target_knowledge_ids", "rationale", "evidence_refs")
 
 
 def issue_clusters(found: DataFrame) -> DataFrame:
-    """Topics and issue types that two or more issues of a deck share."""
-    keyed = found.select("deck_id", "issue_id", F.explode(F.array(F.struct(F.lit("T").alias("dimension"), F.col("topic").alias("value")), F.struct(F.lit("C").alias("dimension"), F.col("issue_type").alias("value")))).alias("k")).select("deck_id", "issue_id", "k.*")
+    """Topics, slides and issue types (concepts) that two or more issues of a deck share."""
+    one = lambda dimension, value: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"))
+    keys = F.concat(F.array(one("T", F.col("topic")), one("C", F.col("issue_type"))), F.transform(F.array_distinct("slide_refs"), lambda s: one("S", s)))
+    keyed = found.select("deck_id", "issue_id", F.explode(keys).alias("k")).select("deck_id", "issue_id", "k.*")
     groups = keyed.groupBy("deck_id", "dimension", "value").agg(F.count("*").alias("n_issues"), F.array_sort(F.collect_list("issue_id")).alias("issue_ids")).where("n_issues >= 2")
     number = F.row_number().over(W.partitionBy("deck_id", "dimension").orderBy(F.desc("n_issues"), "value"))
     return groups.withColumn("cluster_id", F.format_string("CLU_%s_%03d", "dimension", number))
@@ -77,26 +100,49 @@ def profile_coverage(runs: DataFrame) -> DataFrame:
 
 
 def normalized_issues(found: DataFrame) -> DataFrame:
-    """One row for each distinct normalized text of a deck's issues."""
+    """One row for each distinct normalized text of a deck's issues: type and topic of the first, slides and evidence
+    of all, numbered in the order of their first."""
     keyed = found.withColumn("norm", fx.normalize_topic(F.col("issue_text")))
-    first = F.min_by(F.struct("issue_type", "topic"), F.struct("kind_seq", "pos")).alias("f")
-    rows = keyed.groupBy("deck_id", "norm").agg(first, F.min(F.struct("kind_seq", "pos")).alias("seq"), F.count("*").alias("merged"))
-    number = F.row_number().over(W.partitionBy("deck_id").orderBy("seq"))
-    return rows.select("deck_id", F.format_string("ISS_%03d", number).alias("issue_id"), "norm", "f.issue_type", "f.topic", "merged")
+    per = keyed.groupBy("deck_id", "norm").agg(F.array_sort(F.collect_list(F.struct("kind_seq", "pos", "issue_type", "topic", "issue_text", "slide_refs", "evidence_refs"))).alias("all"))
+    first = F.get("all", F.lit(0))
+    union = lambda name: F.array_distinct(F.flatten(F.transform("all", lambda x: x[name])))
+    number = F.row_number().over(W.partitionBy("deck_id").orderBy(first["kind_seq"], first["pos"]))
+    return per.select("deck_id", _issue_id(number).alias("issue_id"), "norm", first["issue_type"].alias("issue_type"), first["topic"].alias("topic"), first["issue_text"].alias("description"), union("slide_refs").alias("affected_slides"), union("evidence_refs").alias("source_evidence"), F.size("all").cast("long").alias("merged"))
 
 
 def regenerate_hints(recs: DataFrame) -> DataFrame:
-    """One hint for each target and action of the promoted recommendations."""
-    each = recs.where("priority in ('high', 'critical')").select("deck_id", "action", F.explode("target_knowledge_ids").alias("target")).distinct()
-    return each.withColumn("hint", F.format_string("Apply %s to %s.", F.replace("action", F.lit("_"), F.lit(" ")), "target"))
+    """One hint for each slide and action of the promoted recommendations."""
+    each = recs.where("priority in ('high', 'critical')").select("deck_id", "action", F.explode("target_slide_refs").alias("target_slide")).distinct()
+    return each.withColumn("hint", F.format_string("Apply %s to %s.", F.replace("action", F.lit("_"), F.lit(" ")), "target_slide"))
 
 
 def cohort_insight(found: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Per deck: topics by best score, number of clusters, issues."""
-    topics = found.groupBy("deck_id", "topic").agg(F.max("score").alias("score"), F.min("rank").alias("rank"))
-    ranked = topics.groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]).alias("topic_ranking"))
-    sizes = clusters.groupBy("deck_id").agg(F.count("*").alias("clusters"), F.sum("n_issues").alias("clustered_issues"))
-    return ranked.join(sizes, "deck_id", "left").na.fill(0, ["clusters", "clustered_issues"])
+    """Per deck: topics by best score, concept clusters with their numbers of issues, missing prerequisites and affected
+    slides, each in the order of the ranked issues. A deck has few issues, so they fit one row."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "topic", "score", "severity", "issue_type", "issue_text", "slide_refs")))
+    per = found.groupBy("deck_id").agg(rows.alias("all"))
+    topics = F.transform(F.array_distinct(F.transform("all", lambda x: x["topic"])), lambda t: F.element_at(F.filter("all", lambda x: x["topic"] == t), 1))
+    ranking = F.transform(topics, lambda x: F.struct(x["topic"].alias("topic"), x["severity"].alias("severity"), x["score"].alias("score")))
+    missing = F.array_distinct(F.transform(F.filter("all", lambda x: x["issue_type"] == "missing_prerequisite"), lambda x: x["issue_text"]))
+    slides = F.array_distinct(F.flatten(F.transform("all", lambda x: x["slide_refs"])))
+    label = F.struct("cluster_id", F.col("value").alias("label"), F.col("n_issues").alias("issue_count"))
+    grouped = clusters.where("dimension = 'C'").groupBy("deck_id").agg(F.array_sort(F.collect_list(label)).alias("c"))
+    insight = per.select("deck_id", ranking.alias("weak_topic_rankings"), missing.alias("missing_prerequisites"), slides.alias("affected_slide_refs")).join(grouped, "deck_id", "left")
+    return insight.withColumn("confusion_clusters", F.coalesce("c", F.array().cast("array<struct<cluster_id: string, label: string, issue_count: bigint>>"))).drop("c")
+
+
+def export_documents(signals: DataFrame, found: DataFrame, recs: DataFrame) -> DataFrame:
+    """(deck_id, document): issues, recommendations and proposals of each deck as one JSON document."""
+    def listed(df: DataFrame, order: str, name: str) -> DataFrame:
+        body = [c for c in df.columns if c not in ("deck_id", order)]
+        return df.groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*body).alias("row")))), lambda x: x["row"]).alias(name))
+
+    kept = recs.drop("first_seq")
+    parts = [listed(found.drop("kind_seq", "pos", "targets"), "rank", "issues"), listed(kept, "rank", "recommendations"), listed(proposals(recs.select("*")).join(recs.select("deck_id", F.col("action").alias("recommended_action"), "rank"), ["deck_id", "recommended_action"]), "rank", "proposal_candidates")]
+    every = signals.select("deck_id")
+    for part in parts:
+        every = every.join(part, "deck_id", "left")
+    return every.select("deck_id", F.to_json(F.struct("deck_id", "issues", "recommendations", "proposal_candidates")).alias("document"))
 
 
 def completeness(signals: DataFrame) -> DataFrame:

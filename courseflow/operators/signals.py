@@ -107,14 +107,22 @@ def evidence_refs(runs: DataFrame) -> DataFrame:
 
 
 def cohort_signal(runs: DataFrame, slides: DataFrame) -> DataFrame:
-    """One row a deck: top labels of every kind, revision target labels and slide ids, run ids in order."""
+    """One row a deck: top labels of every kind, revision target labels, the runs that represent its profiles, and the
+    number of answered runs. The runs themselves stay in flat rows (``evidence_refs``)."""
     labels = top_labels(tag_counts(runs)).groupBy("deck_id").pivot("kind", ["weak_topic", "confusion", "misconception", "prerequisite"]).agg(F.first("labels"))
     targets = revision_targets(runs, slides).groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("recommended_revision_targets"))
-    ids = answered(runs).groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run_seq", "run_id"))), lambda x: x["run_id"]).alias("run_ids"))
+    evidence = representative_evidence(runs).groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "run_id"))), lambda x: x["run_id"]).alias("evidence_refs"))
+    counted = answered(runs).groupBy("deck_id").agg(F.count("*").alias("n_runs"))
     none = F.array().cast("array<string>")
-    joined = ids.join(labels, "deck_id", "left").join(targets, "deck_id", "left")
+    joined = counted.join(labels, "deck_id", "left").join(targets, "deck_id", "left").join(evidence, "deck_id", "left")
     named = {"weak_topic": "weak_topics", "confusion": "repeated_confusion_points", "misconception": "misconception_clusters", "prerequisite": "missing_prerequisite_patterns"}
-    return joined.select("deck_id", F.concat(F.lit("signal_"), "deck_id").alias("signal_id"), *[F.coalesce(k, none).alias(v) for k, v in named.items()], F.coalesce("recommended_revision_targets", none).alias("recommended_revision_targets"), "run_ids")
+    lists = {**named, "recommended_revision_targets": "recommended_revision_targets", "evidence_refs": "evidence_refs"}
+    return joined.select("deck_id", F.concat(F.lit("signal_"), "deck_id").alias("signal_id"), *[F.coalesce(k, none).alias(v) for k, v in lists.items()], "n_runs")
+
+
+def deck_slides(slides: DataFrame) -> DataFrame:
+    """(deck_id, slide_refs): the slides of each deck in order."""
+    return slides.groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slide_pos", "slide_id"))), lambda x: x["slide_id"]).alias("slide_refs"))
 
 
 def evaluation_grid(slides: DataFrame, profiles: tuple[str, ...] = PROFILES, tasks: tuple[str, ...] = TASKS) -> DataFrame:
@@ -149,8 +157,11 @@ def rule_tags(grid: DataFrame) -> DataFrame:
 
 
 def flatten_runs(runs: DataFrame) -> DataFrame:
-    """Answer fields on the run row."""
-    return runs.select("run_id", "run_seq", "deck_id", "status", F.col("answer.main_answer").alias("answer_text"), "answer.confusion_tags", "answer.missed_prerequisites", "answer.misconception_flags", fx.or_else(F.col("answer.evidence_slide_refs"), F.col("slide_refs")).alias("evidence_slides"))
+    """Answer fields on the run row, with one reference to its evidence; a run that failed or has no answer says so."""
+    evidence = fx.or_else(F.col("answer.evidence_slide_refs"), F.col("slide_refs"))
+    ref = F.struct("run_id", evidence.alias("slide_refs"), "task_type", "student_profile")
+    message = F.when(F.col("status") == "failed", F.coalesce("answer.main_answer", F.lit("Run failed."))).when(F.col("answer").isNull(), "No answer yet.")
+    return runs.select("run_id", "run_seq", "deck_id", "status", F.col("answer.main_answer").alias("answer_text"), "answer.confusion_tags", "answer.missed_prerequisites", "answer.misconception_flags", evidence.alias("evidence_slides"), F.array(ref).alias("evidence_refs"), message.alias("error_message"))
 
 
 def job_status(runs: DataFrame, job: str = "deck_id") -> DataFrame:

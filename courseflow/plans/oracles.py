@@ -54,13 +54,15 @@ targets AS (
   FROM slide_ranks r LEFT JOIN types USING (deck_id, slide_id) LEFT JOIN affected USING (deck_id, slide_id) WHERE r.rank <= 5),
 scored AS (
   SELECT *, 100 * (len(confusion) + len(prerequisite) + len(misconception)) + length(CASE WHEN length(main_answer) <= 300 THEN main_answer ELSE rtrim(main_answer[1:297]) || '...' END) + 20 * len(evidence) AS score FROM done),
+represented AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY deck_id, student_profile ORDER BY score DESC, run_seq) AS nth FROM scored) JOIN firsts USING (deck_id, student_profile) WHERE nth = 1),
 signals AS (
   SELECT d.deck_id,
     coalesce((SELECT items FROM labels l WHERE l.deck_id = d.deck_id AND kind = 'weak_topic'), []) AS weak_topics,
     coalesce((SELECT items FROM labels l WHERE l.deck_id = d.deck_id AND kind = 'confusion'), []) AS repeated_confusion_points,
     coalesce((SELECT items FROM labels l WHERE l.deck_id = d.deck_id AND kind = 'misconception'), []) AS misconception_clusters,
     coalesce((SELECT items FROM labels l WHERE l.deck_id = d.deck_id AND kind = 'prerequisite'), []) AS missing_prerequisite_patterns,
-    (SELECT list(label ORDER BY rank) FROM targets t WHERE t.deck_id = d.deck_id) AS recommended_revision_targets, count(*) AS n_runs
+    (SELECT list(label ORDER BY rank) FROM targets t WHERE t.deck_id = d.deck_id) AS recommended_revision_targets, count(*) AS n_runs,
+    (SELECT list(run_id ORDER BY first_seq) FROM represented p WHERE p.deck_id = d.deck_id) AS evidence_refs
   FROM done d GROUP BY d.deck_id),
 raw_issues AS (
   SELECT deck_id, 'weak_topic' AS issue_type, 0 AS ks, unnest(weak_topics) AS issue_text, unnest(range(len(weak_topics))) AS pos, weak_topics AS wt, repeated_confusion_points AS rc, misconception_clusters AS mc, missing_prerequisite_patterns AS mp FROM signals
@@ -77,15 +79,19 @@ issues AS (
   SELECT deck_id, issue_type, ks, pos, topic, issue_text, CAST(score AS BIGINT) AS score,
     CASE WHEN score >= 85 THEN 'critical' WHEN score >= 75 THEN 'high' WHEN score >= 65 THEN 'medium' ELSE 'low' END AS severity,
     row_number() OVER (PARTITION BY deck_id ORDER BY score DESC, ks, pos) AS rank FROM scored_issues),
-named_issues AS (SELECT *, 'ISS_' || lpad(CAST(rank AS VARCHAR), 3, '0') AS issue_id FROM issues),
+named_issues AS (
+  SELECT i.*, 'ISS_' || lpad(CAST(rank AS VARCHAR), 3, '0') AS issue_id, ['weak_topics', 'repeated_confusion_points', 'misconception_clusters', 'missing_prerequisite_patterns'][ks + 1] AS source_field,
+    ['s1', 's2', 's3', 's4', 's5'] AS slide_refs, coalesce(recommended_revision_targets[1:3], []) AS targets, evidence_refs,
+    ['Topic ' || chr(39) || issue_text || chr(39) || ' appears in weak_topics and is repeatedly problematic.', 'Students repeatedly confused about: ' || issue_text, 'Recurring misconception: ' || issue_text, 'Missing prerequisite knowledge: ' || issue_text][ks + 1] AS rationale
+  FROM issues i JOIN signals USING (deck_id)),
 every_rec AS (
-  SELECT deck_id, CASE issue_type WHEN 'missing_prerequisite' THEN 'add_prerequisite_slide' WHEN 'misconception' THEN 'add_misconception_warning' WHEN 'confusion' THEN 'add_example' ELSE 'mark_for_kb_review' END AS action,
+  SELECT deck_id, slide_refs AS target_slide_refs, targets AS target_knowledge_ids, evidence_refs, rationale, CASE issue_type WHEN 'missing_prerequisite' THEN 'add_prerequisite_slide' WHEN 'misconception' THEN 'add_misconception_warning' WHEN 'confusion' THEN 'add_example' ELSE 'mark_for_kb_review' END AS action,
     least(100, score + CASE issue_type WHEN 'missing_prerequisite' THEN 9 WHEN 'misconception' THEN 8 WHEN 'confusion' THEN 8 ELSE 6 END) AS score, rank AS seq, issue_id AS source_issue_ids, NULL AS fixed FROM named_issues
-  UNION ALL SELECT deck_id, 'regenerate_deck_section', 68, count(*) + 1, string_agg(issue_id, '|' ORDER BY rank) FILTER (WHERE rank <= 3), 'medium' FROM named_issues GROUP BY deck_id HAVING count(*) >= 4),
+  UNION ALL SELECT deck_id, any_value(targets), CAST([] AS VARCHAR[]), any_value(evidence_refs), 'Multiple issue types across same section.', 'regenerate_deck_section', 68, count(*) + 1, string_agg(issue_id, '|' ORDER BY rank) FILTER (WHERE rank <= 3), 'medium' FROM named_issues GROUP BY deck_id HAVING count(*) >= 4),
 best_rec AS (
   SELECT *, min(seq) OVER (PARTITION BY deck_id, action) AS first_seq, row_number() OVER (PARTITION BY deck_id, action ORDER BY score DESC, seq) AS nth FROM every_rec),
 recs AS (
-  SELECT deck_id, action, score, coalesce(fixed, CASE WHEN score >= 85 THEN 'high' WHEN score >= 70 THEN 'medium' ELSE 'low' END) AS priority, source_issue_ids,
+  SELECT deck_id, array_to_string(target_slide_refs, '|') AS target_slide_refs, array_to_string(target_knowledge_ids, '|') AS target_knowledge_ids, array_to_string(evidence_refs, '|') AS evidence_refs, rationale, action, score, coalesce(fixed, CASE WHEN score >= 85 THEN 'high' WHEN score >= 70 THEN 'medium' ELSE 'low' END) AS priority, source_issue_ids,
     row_number() OVER (PARTITION BY deck_id ORDER BY score DESC, first_seq) AS rank FROM best_rec WHERE nth = 1)"""
 
 QA = """
@@ -177,19 +183,30 @@ def oracle_sql() -> dict[str, str]:
   array_to_string(evidence, '|') AS evidence_slide_refs, row_number() OVER (PARTITION BY deck_id ORDER BY first_seq) AS position
 FROM (SELECT *, row_number() OVER (PARTITION BY deck_id, student_profile ORDER BY score DESC, run_seq) AS nth FROM scored) JOIN firsts USING (deck_id, student_profile) WHERE nth = 1""",
         "evidence_refs": r + "SELECT deck_id, run_id, 0::BIGINT AS pos, array_to_string(cited, '|') AS slide_refs, task_type, student_profile FROM done",
-        "flatten_runs": r + "SELECT run_id, status, CASE WHEN answered THEN main_answer END AS answer_text, CASE WHEN answered THEN array_to_string(confusion, '|') ELSE 'none' END AS confusion_tags, CASE WHEN answered AND len(evidence) > 0 THEN array_to_string(evidence, '|') ELSE array_to_string(slide_refs, '|') END AS evidence_slides FROM runs",
+        "flatten_runs": r + "SELECT run_id, status, CASE WHEN answered THEN main_answer END AS answer_text, CASE WHEN answered THEN array_to_string(confusion, '|') ELSE 'none' END AS confusion_tags, CASE WHEN answered AND len(evidence) > 0 THEN array_to_string(evidence, '|') ELSE array_to_string(slide_refs, '|') END AS evidence_slides, run_id || '~' || array_to_string(CASE WHEN answered AND len(evidence) > 0 THEN evidence ELSE slide_refs END, '+') || '~' || task_type || '~' || student_profile AS evidence_ref, CASE WHEN status = 'failed' THEN CASE WHEN answered THEN main_answer ELSE 'Run failed.' END WHEN answered THEN 'none' ELSE 'No answer yet.' END AS error_message FROM runs",
         "evaluation_grid": r + "SELECT deck_id, student_profile, task_type, 5::BIGINT AS n FROM (SELECT DISTINCT deck_id FROM runs), (VALUES ('weak'), ('average'), ('strong')) p(student_profile), (VALUES ('explain_back'), ('short_qa'), ('confusion_report'), ('coverage_check')) t(task_type) WHERE task_type <> 'coverage_check' OR student_profile = 'strong'",
         "job_status": r + "SELECT deck_id, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed, bool_and(status IN ('completed', 'failed')) AS complete FROM runs GROUP BY deck_id",
         "profile_coverage": r + """SELECT deck_id, tag, CASE WHEN len(p) = 3 THEN 'all profiles' WHEN p = ['weak'] THEN 'weak only' ELSE array_to_string(list_reverse(p), ' + ') END AS coverage, runs
 FROM (SELECT deck_id, tag, list_sort(list(DISTINCT student_profile)) AS p, count(DISTINCT run_seq) AS runs FROM tags WHERE kind = 'confusion' GROUP BY ALL)""",
-        "cohort_signal": r + "SELECT deck_id, 'signal_' || deck_id AS signal_id, " + ", ".join(f"array_to_string({x}, '|') AS {x}" for x in ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns", "recommended_revision_targets")) + ", n_runs FROM signals",
+        "cohort_signal": r + "SELECT deck_id, 'signal_' || deck_id AS signal_id, " + ", ".join(f"array_to_string({x}, '|') AS {x}" for x in ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns", "recommended_revision_targets", "evidence_refs")) + ", n_runs FROM signals",
         "signal_completeness": r + "SELECT deck_id, " + ", ".join(f"len({x}) > 0 AS has_{x}" for x in ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns")) + " FROM signals",
-        "issues_ranked": r + "SELECT deck_id, issue_type, topic, issue_text, score, severity, rank FROM issues",
-        "recommendations": r + "SELECT deck_id, action, score, priority, source_issue_ids, rank FROM recs",
-        "proposals": r + "SELECT deck_id, action AS recommended_action, priority AS suggested_priority, score, source_issue_ids AS based_on_issue_ids FROM recs WHERE priority IN ('high', 'critical')",
+        "issues_ranked": r + "SELECT deck_id, issue_type, topic, issue_text, score, severity, rank, source_field, array_to_string(slide_refs, '|') AS slide_refs, array_to_string(evidence_refs, '|') AS evidence_refs, rationale FROM named_issues",
+        "recommendations": r + "SELECT deck_id, action, score, priority, source_issue_ids, rank, target_slide_refs, target_knowledge_ids, evidence_refs, rationale FROM recs",
+        "proposals": r + "SELECT deck_id, action AS recommended_action, priority AS suggested_priority, score, source_issue_ids AS based_on_issue_ids, target_knowledge_ids, evidence_refs, rationale FROM recs WHERE priority IN ('high', 'critical')",
+        "unknown_actions": r + "SELECT deck_id, action || '_x' AS action FROM recs WHERE rank % 2 = 0",
+        "trace_totals": "SELECT 'deck_' || l_orderkey AS deck_id, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS elapsed, CAST(sum(l_partkey) AS BIGINT) AS prompt_tokens, CAST(sum(l_suppkey) AS BIGINT) AS completion_tokens FROM lineitem GROUP BY l_orderkey",
+        "normalized_issues": r + f"""SELECT deck_id, 'ISS_' || lpad(CAST(row_number() OVER (PARTITION BY deck_id ORDER BY seq) AS VARCHAR), 3, '0') AS issue_id, norm, issue_type, topic, description, affected_slides, source_evidence, merged
+FROM (SELECT deck_id, {_norm('issue_text')} AS norm, min(ks * 100 + pos) AS seq, arg_min(issue_type, ks * 100 + pos) AS issue_type, arg_min(topic, ks * 100 + pos) AS topic, arg_min(issue_text, ks * 100 + pos) AS description,
+  any_value(array_to_string(slide_refs, '|')) AS affected_slides, any_value(array_to_string(evidence_refs, '|')) AS source_evidence, count(*) AS merged FROM named_issues GROUP BY ALL)""",
+        "regenerate_hints": r + "SELECT deck_id, action, target_slide, 'Apply ' || replace(action, '_', ' ') || ' to ' || target_slide || '.' AS hint FROM (SELECT DISTINCT deck_id, action, unnest(string_split(target_slide_refs, '|')) AS target_slide FROM recs WHERE priority IN ('high', 'critical'))",
+        "cohort_insight": r + """SELECT deck_id, weak_topic_rankings, coalesce(confusion_clusters, '') AS confusion_clusters, missing_prerequisites, 's1|s2|s3|s4|s5' AS affected_slide_refs
+FROM (SELECT deck_id, string_agg(topic || '~' || severity || '~' || score, '|' ORDER BY rank) FILTER (WHERE nth = 1) AS weak_topic_rankings, coalesce(string_agg(issue_text, '|' ORDER BY rank) FILTER (WHERE issue_type = 'missing_prerequisite'), '') AS missing_prerequisites
+  FROM (SELECT *, row_number() OVER (PARTITION BY deck_id, topic ORDER BY rank) AS nth FROM named_issues) GROUP BY deck_id)
+LEFT JOIN (SELECT deck_id, string_agg('CLU_C_' || lpad(CAST(nth AS VARCHAR), 3, '0') || '~' || issue_type || '~' || n, '|' ORDER BY nth) AS confusion_clusters
+  FROM (SELECT deck_id, issue_type, count(*) AS n, row_number() OVER (PARTITION BY deck_id ORDER BY count(*) DESC, issue_type) AS nth FROM named_issues GROUP BY deck_id, issue_type HAVING count(*) >= 2) GROUP BY deck_id) USING (deck_id)""",
         "issue_clusters": r + """SELECT *, 'CLU_' || dimension || '_' || lpad(CAST(row_number() OVER (PARTITION BY deck_id, dimension ORDER BY n_issues DESC, value) AS VARCHAR), 3, '0') AS cluster_id
 FROM (SELECT deck_id, dimension, value, count(*) AS n_issues, string_agg(issue_id, '|' ORDER BY issue_id) AS issue_ids
-  FROM (SELECT deck_id, 'T' AS dimension, topic AS value, issue_id FROM named_issues UNION ALL SELECT deck_id, 'C', issue_type, issue_id FROM named_issues) GROUP BY ALL HAVING count(*) >= 2)""",
+  FROM (SELECT deck_id, 'T' AS dimension, topic AS value, issue_id FROM named_issues UNION ALL SELECT deck_id, 'C', issue_type, issue_id FROM named_issues UNION ALL SELECT deck_id, 'S', unnest(slide_refs), issue_id FROM named_issues) GROUP BY ALL HAVING count(*) >= 2)""",
         "qa_passes": q + "SELECT benchmark_id, stage, count(*) FILTER (WHERE is_correct) AS correct_count, count(*) AS total, round(count(*) FILTER (WHERE is_correct) / count(*), 9) AS accuracy FROM answers GROUP BY ALL",
         "qa_delta": q + "SELECT *, after_correct - before_correct AS delta FROM (SELECT benchmark_id, count(*) FILTER (WHERE is_correct AND stage = 'before') AS before_correct, count(*) FILTER (WHERE is_correct AND stage = 'after') AS after_correct FROM answers GROUP BY ALL)",
         "qa_handoff": q + "SELECT benchmark_id, count(*) FILTER (WHERE stage = 'after' AND NOT is_correct) AS unresolved_count, coalesce(string_agg(question_id, '|' ORDER BY question_id) FILTER (WHERE stage = 'after' AND NOT is_correct), '') AS items FROM answers GROUP BY ALL",

@@ -62,7 +62,7 @@ def evidence_refs(s: SparkSession, d: str) -> DataFrame:
 
 
 def flatten_runs(s: SparkSession, d: str) -> DataFrame:
-    return signals.flatten_runs(b.runs(s, d)).select("run_id", "status", "answer_text", F.coalesce(F.array_join("confusion_tags", "|"), F.lit("none")).alias("confusion_tags"), F.coalesce(F.array_join("evidence_slides", "|"), F.lit("none")).alias("evidence_slides"))
+    return signals.flatten_runs(b.runs(s, d)).select("run_id", "status", "answer_text", F.coalesce(F.array_join("confusion_tags", "|"), F.lit("none")).alias("confusion_tags"), F.coalesce(F.array_join("evidence_slides", "|"), F.lit("none")).alias("evidence_slides"), F.transform("evidence_refs", lambda r: F.concat_ws("~", r["run_id"], F.array_join(r["slide_refs"], "+"), r["task_type"], r["student_profile"])).getItem(0).alias("evidence_ref"), F.coalesce("error_message", F.lit("none")).alias("error_message"))
 
 
 def evaluation_grid(s: SparkSession, d: str) -> DataFrame:
@@ -97,40 +97,57 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
 
 def cohort_signal(s: SparkSession, d: str) -> DataFrame:
     lists = ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns", "recommended_revision_targets")
-    return _signals(s, d).select("deck_id", "signal_id", *[_joined(c) for c in lists], F.size("run_ids").cast("long").alias("n_runs"))
+    return _signals(s, d).select("deck_id", "signal_id", *[_joined(c) for c in lists], _joined("evidence_refs"), "n_runs")
 
 
 def signal_completeness(s: SparkSession, d: str) -> DataFrame:
     return analytics.completeness(_signals(s, d))
 
 
+def _issues(s: SparkSession, d: str) -> DataFrame:
+    return analytics.issues(_signals(s, d), signals.deck_slides(b.slides(s, d)))
+
+
 def issues_ranked(s: SparkSession, d: str) -> DataFrame:
-    return analytics.issues(_signals(s, d)).select("deck_id", "issue_type", "topic", "issue_text", F.col("score").cast("long").alias("score"), "severity", F.col("rank").cast("long").alias("rank"))
+    return _issues(s, d).select("deck_id", "issue_type", "topic", "issue_text", F.col("score").cast("long").alias("score"), "severity", F.col("rank").cast("long").alias("rank"), "source_field", _joined("slide_refs"), _joined("evidence_refs"), "rationale")
 
 
 def recommendations(s: SparkSession, d: str) -> DataFrame:
-    return analytics.recommendations(analytics.issues(_signals(s, d))).select("deck_id", "action", F.col("score").cast("long").alias("score"), "priority", _joined("source_issue_ids"), F.col("rank").cast("long").alias("rank"))
+    return analytics.recommendations(_issues(s, d)).select("deck_id", "action", F.col("score").cast("long").alias("score"), "priority", _joined("source_issue_ids"), F.col("rank").cast("long").alias("rank"), _joined("target_slide_refs"), _joined("target_knowledge_ids"), _joined("evidence_refs"), "rationale")
 
 
 def proposals(s: SparkSession, d: str) -> DataFrame:
-    return analytics.proposals(analytics.recommendations(analytics.issues(_signals(s, d)))).select("deck_id", "recommended_action", "suggested_priority", F.col("score").cast("long").alias("score"), _joined("based_on_issue_ids"))
+    return analytics.proposals(analytics.recommendations(_issues(s, d))).select("deck_id", "recommended_action", "suggested_priority", F.col("score").cast("long").alias("score"), _joined("based_on_issue_ids"), _joined("target_knowledge_ids"), _joined("evidence_refs"), "rationale")
+
+
+def unknown_actions(s: SparkSession, d: str) -> DataFrame:
+    recs = analytics.recommendations(_issues(s, d))
+    renamed = recs.withColumn("action", F.when(F.col("rank") % 2 == 0, F.concat("action", F.lit("_x"))).otherwise(F.col("action")))
+    return analytics.unknown_actions(renamed).select("deck_id", "action")
 
 
 def issue_clusters(s: SparkSession, d: str) -> DataFrame:
-    return analytics.issue_clusters(analytics.issues(_signals(s, d))).select("deck_id", "dimension", "value", "n_issues", _joined("issue_ids"), "cluster_id")
+    return analytics.issue_clusters(_issues(s, d)).select("deck_id", "dimension", "value", "n_issues", _joined("issue_ids"), "cluster_id")
 
 
 def normalized_issues(s: SparkSession, d: str) -> DataFrame:
-    return analytics.normalized_issues(analytics.issues(_signals(s, d)))
+    return analytics.normalized_issues(_issues(s, d)).select("deck_id", "issue_id", "norm", "issue_type", "topic", "description", _joined("affected_slides"), _joined("source_evidence"), "merged")
 
 
 def regenerate_hints(s: SparkSession, d: str) -> DataFrame:
-    return analytics.regenerate_hints(analytics.recommendations(analytics.issues(_signals(s, d))))
+    return analytics.regenerate_hints(analytics.recommendations(_issues(s, d)))
 
 
 def cohort_insight(s: SparkSession, d: str) -> DataFrame:
-    found = analytics.issues(_signals(s, d))
-    return analytics.cohort_insight(found, analytics.issue_clusters(found)).select("deck_id", _joined("topic_ranking"), "clusters", "clustered_issues")
+    found = _issues(s, d)
+    told = lambda name, *fields: F.array_join(F.transform(name, lambda x: F.concat_ws("~", *[x[f].cast("string") for f in fields])), "|").alias(name)
+    return analytics.cohort_insight(found, analytics.issue_clusters(found)).select("deck_id", told("weak_topic_rankings", "topic", "severity", "score"), told("confusion_clusters", "cluster_id", "label", "issue_count"), _joined("missing_prerequisites"), _joined("affected_slide_refs"))
+
+
+def trace_totals(s: SparkSession, d: str) -> DataFrame:
+    step = F.struct(F.expr("cast(l_quantity as bigint)").alias("elapsed"), F.col("l_partkey").cast("long").alias("prompt_tokens"), F.col("l_suppkey").cast("long").alias("completion_tokens"))
+    results = b.read(s, d, "lineitem").groupBy(F.expr("concat('deck_', l_orderkey)").alias("deck_id")).agg(F.collect_list(step).alias("trace"))
+    return analytics.trace_totals(results)
 
 
 def qa_passes(s: SparkSession, d: str) -> DataFrame:
@@ -358,7 +375,7 @@ def model_answers(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         weak_topics_top5, tag_counts, tag_counts_by_profile, tag_counts_all_levels, top_labels_all, tag_shares, slide_issue_counts, revision_targets, representative_evidence, evidence_refs, flatten_runs, evaluation_grid, rule_tags, structured_slides, job_status, profile_coverage, cohort_signal, signal_completeness,
-        issues_ranked, recommendations, proposals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units,
+        issues_ranked, recommendations, proposals, unknown_actions, trace_totals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units,
         topic_search, text_query, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, graph_nodes, graph_edges, graph_neighbours, visible_nodes, visible_edges, visible_in_week, top_topics, facets, model_answers,
     ]
     return {f.__name__: f for f in found}

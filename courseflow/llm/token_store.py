@@ -14,6 +14,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,8 @@ from courseflow.llm.shared import materialise, scratch, text_batches
 END_ID = 2
 KEYS_PER_BUCKET = 200_000
 GAMMA, LEVELS = 2.0, 64
-SLOT_BITS, MOST_KNOWN, LONGEST = 21, 1_000_000, 48  # known pieces: at most 48 MB of text, about 100 MB in all
+SLOT_BITS, MOST_KNOWN, LONGEST = 20, 700_000, 48  # known pieces: at most 34 MB of text, about 80 MB in all
+PART = 3 << 17  # bytes of text that are encoded at once, about
 STRETCH = 64 << 20  # bytes that a task reads back, or writes as a shard, about
 _HEAD = struct.Struct("<4sIQ")
 _ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n", "<i8"), ("start", "<i8")])
@@ -74,17 +76,39 @@ class Encoder:
     A byte-level pre-tokenizer splits wherever white space follows another character, and neither side of
     such a place changes how the other is encoded; added tokens hold no white space. So a text is cut
     there into pieces of leading white space and what follows. Known pieces are found by a 64-bit hash in
-    a table of slots and compared byte by byte; longer ones than ``LONGEST`` are always encoded anew."""
+    a table of slots and compared byte by byte; longer ones than ``LONGEST`` are always encoded anew. New
+    pieces are encoded in one text, for the library takes long over many short ones, and told apart by the
+    bytes of their tokens; those that may not follow another piece are encoded each as a text."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # a byte-level token has a character for each byte
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.n_bytes[i] = len(token.content.encode())
+        self.ids, self.bytes = Lists(np.uint32), Lists(np.uint8)
+        self.hash, self.again = np.zeros(MOST_KNOWN, np.uint64), np.zeros(MOST_KNOWN, bool)
+        self._forget(np.zeros(0, np.int64))
 
-    def _forget(self) -> None:
+    def _forget(self, kept: np.ndarray) -> None:
+        """Leaves only the pieces of these numbers."""
         self.slots, self.number = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        ids, pieces = self.ids.take(kept), self.bytes.take(kept)
         self.ids, self.bytes = Lists(np.uint32), Lists(np.uint8)
+        self.again[:] = False
+        self._learn(self.hash[kept], *ids, *pieces)
+
+    def _learn(self, h: np.ndarray, ids: np.ndarray, n_ids: np.ndarray, raw: np.ndarray, n_bytes: np.ndarray) -> None:
+        first = self.ids.n
+        self.ids.append(ids, n_ids)
+        self.bytes.append(raw, n_bytes)
+        self.hash[first : first + len(h)] = h
+        self._settle(h, np.arange(first, first + len(h), dtype=np.int32))
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 if it is not known."""
@@ -108,7 +132,24 @@ class Encoder:
             self.number[slot[here]] = numbers[here]
             h, numbers, slot = h[~here], numbers[~here], (slot[~here] + 1) & ((1 << SLOT_BITS) - 1)
 
-    def _encoded(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and how many each has."""
+        joint = np.flatnonzero(tb.SEPARATOR[raw[start]] & solid(raw, stop - 1))
+        ends = np.cumsum(stop[joint] - start[joint])
+        text = raw[ranges(start[joint], stop[joint] - start[joint])].tobytes().decode()
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        at = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends)  # the last token of each piece
+        sizes = np.zeros(len(start), np.int64)
+        sizes[joint] = np.diff(at + 1, prepend=0)
+        if len(joint) < len(start):
+            alone = np.setdiff1d(np.arange(len(start)), joint)
+            own, sizes[alone] = self._alone(raw, start[alone], stop[alone])
+            first, out = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.uint32)
+            out[ranges(first[joint], sizes[joint])], out[ranges(first[alone], sizes[alone])] = ids, own
+            ids = out
+        return ids, sizes
+
+    def _alone(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bounds, part = np.concatenate([[0], np.cumsum(end - start)]), raw[ranges(start, end - start)]
         texts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(part)).to_pylist()
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -123,17 +164,16 @@ class Encoder:
         number = np.full(len(start), -1, np.int32)
         short = np.flatnonzero(stop - start <= LONGEST)
         number[short] = self._find(h[short])
+        if self.ids.n + (number[short] < 0).sum() > MOST_KNOWN:
+            self._forget(np.flatnonzero(self.again[: self.ids.n])[-MOST_KNOWN // 2 :])  # what was met once goes first
+            number[short] = self._find(h[short])
+        self.again[number[short[number[short] >= 0]]] = True
         new = short[number[short] < 0]
         if len(new):
-            distinct, first = np.unique(h[new], return_index=True)
-            if self.ids.n + len(distinct) > MOST_KNOWN:
-                self._forget()
-                distinct, first = np.unique(h[short], return_index=True)
-                new = short
+            distinct, first = (x[: MOST_KNOWN - self.ids.n] for x in np.unique(h[new], return_index=True))  # of a giant text not all
             first = new[first]
-            self.ids.append(*self._encoded(raw, start[first], stop[first]))
-            self.bytes.append(raw[ranges(start[first], stop[first] - start[first])], stop[first] - start[first])
-            self._settle(distinct, np.arange(self.ids.n - len(distinct), self.ids.n, dtype=np.int32))
+            size = stop[first] - start[first]
+            self._learn(distinct, *self._encoded(raw, start[first], stop[first]), raw[ranges(start[first], size)], size)
             number[new] = self._find(h[new])
         number[short[~self._same(raw, start[short], stop[short], number[short])]] = -1
         known, other = self.ids.n, np.flatnonzero(number < 0)
@@ -156,16 +196,19 @@ class Encoder:
         return same
 
 
+def solid(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each byte is surely no white space: of the longer characters those that
+    begin like a white space of Unicode are not."""
+    last, one, two = raw[at], raw[np.maximum(at - 1, 0)], raw[np.maximum(at - 2, 0)]
+    odd = (one == 0xC2) | ((two == 0xE1) & (one == 0x9A)) | ((two == 0xE2) & ((one == 0x80) | (one == 0x81))) | ((two == 0xE3) & (one == 0x80))
+    return ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~odd)
+
+
 def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where pieces start: at texts, and at white space after a character that is surely none."""
     space = np.flatnonzero(tb.SEPARATOR[raw[1:]]) + 1
-    last = raw[space - 1]
-    one, two = raw[np.maximum(space - 2, 0)], raw[np.maximum(space - 3, 0)]
-    # Of the longer characters those that begin like a Unicode white space are not cut after.
-    odd = (one == 0xC2) | ((two == 0xE1) & (one == 0x9A)) | ((two == 0xE2) & ((one == 0x80) | (one == 0x81))) | ((two == 0xE3) & (one == 0x80))
-    solid = ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~odd)
     cut = np.zeros(len(raw) + 1, bool)
-    cut[at[:-1]] = cut[space[solid]] = True
+    cut[at[:-1]] = cut[space[solid(raw, space - 1)]] = True
     return np.flatnonzero(cut[:-1])
 
 
@@ -184,7 +227,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end: int = END_ID, v
         def payload():
             at, last, ordinal = 0, None, -1
             for batch in batches:
-                for part in tb.parts(batch, "text"):
+                for part in tb.parts(batch, "text", PART):
                     ids, n = encoder.encode(*tb.texts(part.column("text")), end)
                     offset = at + np.concatenate([[0], np.cumsum(n)[:-1]]) * np.dtype(item).itemsize
                     ordinals = []

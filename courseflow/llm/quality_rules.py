@@ -172,20 +172,19 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, threshold:
 
 def _fit(ids: list, freq: list, y: np.ndarray, steps: int = 150, decay: float = 1e-5) -> np.ndarray:
     """Logistic regression by full-batch Adam over the hashed features; the last weight is the bias."""
-    row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    col, val = np.concatenate(ids), np.concatenate(freq).astype(float)
-    used, col = np.unique(col, return_inverse=True)
-    w, m, v, bias = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1), len(used)
+    lengths = np.array([len(i) for i in ids])
+    col, val, first = np.concatenate(ids).astype(np.intp), np.concatenate(freq), np.cumsum(lengths) - lengths
+    some, n = lengths > 0, (4 << BITS) + 1
+    w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
     balance = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
     for t in range(1, steps + 1):
-        z = np.bincount(row, val * w[col], len(ids)) + w[bias]
+        z = np.full(len(y), w[-1])
+        z[some] += np.add.reduceat(val * w[col], first[some]) if some.any() else 0
         g = balance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        grad = np.append(np.bincount(col, val * g[row], len(used)), g.sum()) + decay * w
+        grad = np.append(np.bincount(col, val * np.repeat(g.astype(np.float32), lengths), n - 1), g.sum()) + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= 0.5 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    full = np.zeros((4 << BITS) + 1)
-    full[used], full[-1] = w[:-1], w[-1]
-    return full
+    return w
 
 
 def _platt(z: np.ndarray, y: np.ndarray, importance: np.ndarray) -> tuple[float, float]:

@@ -207,7 +207,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     signed = materialise(signatures(docs, k), "signatures")
     known = signed.where("doc_id is not null and n > 0")
     same = ["n", "sig_a", "sig_b"]
-    classes = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    classes = materialise(known.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")  # plain tables, so that large classes can be split in the join
     members = materialise(known.join(classes, same).select("doc_id", "rep", *same).distinct(), "members")
     grams = signed.agg(F.sum("n").alias("n")).first()["n"] or 0
     reps = members.where("doc_id = rep").select("doc_id", *same)

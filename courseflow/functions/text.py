@@ -197,7 +197,12 @@ def embedding(text: Column, embed: Callable[[pd.Series], pd.Series] | None = Non
     is shared by all indices, which built-in functions cannot do: ``plain_hash_embedding`` takes 40 ms a row,
     this 0.1."""
     f = embed or _hashed
-    return F.pandas_udf(lambda texts: f(texts), T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR)(text)
+
+    def vectors(texts: pd.Series) -> pd.Series:
+        return f(texts)
+
+    vectors.__annotations__ = {"texts": pd.Series, "return": pd.Series}  # not the names of types
+    return F.pandas_udf(vectors, T.ArrayType(T.DoubleType()))(text)
 
 
 def hash_embedding(text: Column) -> Column:
@@ -209,7 +214,7 @@ def plain_hash_embedding(text: Column) -> Column:
     part = lambda i: F.conv(F.substring(F.sha2(F.concat(F.encode(text, "utf-8"), F.unhex(F.lpad(F.hex(i), 4, "0"))), 256), 1, 8), 16, 10).cast("double") / 2.0**32
     v = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(DIMENSIONS - 1).cast("long")), part)
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda n, x: n + x * x))
-    return F.transform(v, lambda x: x / length)
+    return F.when(text.isNotNull(), F.transform(v, lambda x: x / length))
 
 
 def query_text(module: Column, week: Column, topics: Column, target: Column) -> Column:

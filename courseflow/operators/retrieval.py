@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 
 from courseflow.functions import text as fx
 
-MOST_QUERIES = 10_000
-QUERY_BLOCK, RECORD_BLOCK = 256, 4096
+REQUEST_BLOCK, QUERY_BLOCK, RECORD_BLOCK = 256, 256, 4096
+TOPK_UNITS, TOPK_CHUNKS = (8, 4), 24  # fixed values: units asked for at least and for each topic, chunks asked for
 ROLE_ORDER = {"concept": 0, "example": 1, "caution": 2, "prerequisite": 3}
 
 
@@ -45,20 +45,34 @@ def look_up(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return ids.join(rows.withColumn("_there", F.lit(True)), key, "left").withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there")
 
 
+def _fits(r: str, u: str) -> str:
+    """Whether a unit meets a request's module, week and difficulty; what a request leaves empty meets all."""
+    return " and ".join(f"(coalesce({r}{want}, '') = '' or {r}{want} = {u}{have})" for want, have in (("module", "module_tag"), ("week", "week_tag"), ("difficulty_level", "difficulty_level")))
+
+
 def matches(requests: DataFrame, units: DataFrame) -> DataFrame:
-    """Approved units that meet each request's metadata, with their topic score. Requests may be many:
-    those with a module meet units on it, only the others meet every unit, and they must be few."""
+    """Approved units that meet each request's metadata and topics (all that meet the metadata, if it names none), with
+    their topic score; unit columns start with ``u_``.
+
+    Requests with a module meet units on it. The others are dealt to blocks, and each unit meets each block over
+    its number: what a request matches is found within the row, so only matches become rows."""
     r = requests.withColumn("scope", fx.parse_scope(F.col("topic")))
     fine = units.where("approval_status = 'approved'")
-    rest = "(coalesce(r.week, '') = '' or r.week = u.week_tag) and (coalesce(r.difficulty_level, '') = '' or r.difficulty_level = u.difficulty_level)"
-    named = r.where("coalesce(module, '') <> ''").alias("r").join(fine.alias("u"), F.expr("r.module = u.module_tag and " + rest))
-    # Every unit carries the open requests as one array, bounded by MOST_QUERIES.
-    open_ = r.where("coalesce(module, '') = ''").limit(MOST_QUERIES + 1).agg(F.collect_list(F.struct(*r.columns)).alias("all"))
-    open_ = open_.where(F.assert_true(F.size("all") <= MOST_QUERIES, F.lit("too many requests without a module")).isNull())
-    every = fine.join(F.broadcast(open_)).withColumn("r", F.explode("all")).drop("all")
-    every = every.select("r.*", *[F.col(f"`{c}`").alias(f"u_{c}") for c in fine.columns]).where("(coalesce(week, '') = '' or week = u_week_tag) and (coalesce(difficulty_level, '') = '' or difficulty_level = u_difficulty_level)")
-    flat = named.select(*[F.col(f"r.{c}") for c in r.columns], *[F.col(f"u.{c}").alias(f"u_{c}") for c in fine.columns])
-    return flat.unionByName(every).withColumn("topic_score", fx.scope_score(F.col("scope"), F.col("u_title"), F.col("u_topic_tags")))
+    fine = fine.select(*[F.col(f"`{c}`").alias(f"u_{c}") for c in fine.columns])
+    named, open_ = (r.where(f"coalesce(module, '') {x} ''") for x in ("<>", "="))
+    flat = named.join(fine, F.expr("module = u_module_tag and " + _fits("", "u_"))).withColumn("topic_score", fx.scope_score(F.col("scope"), F.col("u_title"), F.col("u_topic_tags")))
+    blocks = max(1, -(-open_.count() // REQUEST_BLOCK))
+    dealt = open_.groupBy(F.pmod(F.xxhash64("request_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*r.columns)).alias("all"))
+    every = fine.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
+    meets = F.filter("all", lambda x: F.expr("true") & _meets(x, "week", "u_week_tag") & _meets(x, "difficulty_level", "u_difficulty_level"))
+    scored = F.transform(meets, lambda x: F.struct(x.alias("r"), fx.scope_score(x["scope"], F.col("u_title"), F.col("u_topic_tags")).alias("topic_score")))
+    hit = F.filter(scored, lambda x: (F.size(x["r"]["scope"]) == 0) | x["topic_score"].isNotNull())
+    each = every.withColumn("m", F.explode(hit)).select("m.r.*", *fine.columns, "m.topic_score")
+    return flat.where("size(scope) = 0 or topic_score is not null").unionByName(each)
+
+
+def _meets(x: Column, wanted: str, column: str) -> Column:
+    return (F.coalesce(x[wanted], F.lit("")) == "") | (x[wanted] == F.col(column))
 
 
 def vector_topk(queries: DataFrame, records: DataFrame, k: Column | int, filters: dict[str, str] | None = None) -> DataFrame:
@@ -110,28 +124,48 @@ def vector_topk(queries: DataFrame, records: DataFrame, k: Column | int, filters
 
 
 def request_vectors(requests: DataFrame) -> DataFrame:
-    """(query_id, vector, k, module, week): requests with a topic scope, as vector queries."""
+    """(query_id, vector, query_text, k, module, week, difficulty_level): requests with a topic scope, as vector queries."""
     scope = fx.parse_scope(F.col("topic"))
     rows = requests.withColumn("scope", scope).where(F.size("scope") > 0)
     text = fx.query_text(F.col("module"), F.col("week"), F.col("scope"), F.col("generation_target"))
-    return rows.select(F.col("request_id").alias("query_id"), fx.hash_embedding(text).alias("vector"), F.greatest(F.lit(8), 4 * F.size("scope")).alias("k"), "module", "week")
+    return rows.select(F.col("request_id").alias("query_id"), fx.hash_embedding(text).alias("vector"), text.alias("query_text"), F.greatest(F.lit(TOPK_UNITS[0]), TOPK_UNITS[1] * F.size("scope")).alias("k"), "module", "week", "difficulty_level")
+
+
+def unit_hits(requests: DataFrame, units: DataFrame) -> DataFrame:
+    """Approved units of largest cosine for each request with topics, of its module, week and difficulty (an empty text
+    is a filter here, null is none)."""
+    fine = units.where("approval_status = 'approved'")
+    text = fx.embedding_text(F.col("title"), F.col("summary"), F.col("body_text"), F.col("topic_tags"), F.col("pedagogical_role"))
+    records = fine.select(F.col("knowledge_id").alias("id"), fx.hash_embedding(text).alias("embedding"), "module_tag", "week_tag", "difficulty_level")
+    return vector_topk(request_vectors(requests), records, F.col("k"), {"module_tag": "module", "week_tag": "week", "difficulty_level": "difficulty_level"})
+
+
+def chunk_hits(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks (chunk_id, chunk_text, module_tag, week_tag) of largest cosine for each request with topics."""
+    records = chunks.select(F.col("chunk_id").alias("id"), fx.hash_embedding(F.col("chunk_text")).alias("embedding"), "module_tag", "week_tag")
+    return vector_topk(request_vectors(requests), records, TOPK_CHUNKS, {"module_tag": "module", "week_tag": "week"})
 
 
 def bundle(requests: DataFrame, units: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """(request_id, position, knowledge_id, topic_score, semantic_rank): each request's units in order.
-    With a scope a unit must match a topic or be a semantic hit; without one all that fit come."""
+    """(request_id, position, knowledge_id, topic_score, semantic_rank, …): each request's units in order. With topics
+    a unit must match one or be a semantic hit that meets the metadata; without, all that fit come."""
     rows = matches(requests, units)
     if hits is None:
         rows = rows.withColumn("semantic_rank", F.lit(None).cast("int"))
     else:
         h = hits.select(F.col("query_id").alias("request_id"), F.col("id").alias("u_knowledge_id"), (F.col("rank") - 1).alias("semantic_rank"))
-        rows = rows.join(h, ["request_id", "u_knowledge_id"], "left")
-    rows = rows.where("size(scope) = 0 or topic_score is not null or semantic_rank is not null").dropDuplicates(["request_id", "u_knowledge_id"])
+        fine = units.where("approval_status = 'approved'")
+        fine = fine.select(*[F.col(f"`{c}`").alias(f"u_{c}") for c in fine.columns])
+        told = h.join(requests.withColumn("scope", fx.parse_scope(F.col("topic"))), "request_id").join(fine, "u_knowledge_id").where(_fits("", "u_"))
+        told = told.withColumn("topic_score", fx.scope_score(F.col("scope"), F.col("u_title"), F.col("u_topic_tags")))
+        rows = rows.join(h, ["request_id", "u_knowledge_id"], "left").unionByName(told.select(*rows.columns, "semantic_rank"))
+    rows = rows.dropDuplicates(["request_id", "u_knowledge_id"])  # one that is both has equal rows
     role = F.lit(99)
     for name, place in ROLE_ORDER.items():
         role = F.when(F.col("u_pedagogical_role") == name, place).otherwise(role)
     order = W.partitionBy("request_id").orderBy(F.coalesce("topic_score", F.lit(9999)), role, F.coalesce("semantic_rank", F.lit(9999)), F.desc("u_updated_at"), "u_knowledge_id")
-    return rows.select("request_id", F.row_number().over(order).alias("position"), F.col("u_knowledge_id").alias("knowledge_id"), "topic_score", "semantic_rank", F.col("u_source_ref").alias("source_ref"))
+    known = [c for c in rows.columns if c.startswith("u_") and c not in ("u_updated_at", "u_knowledge_id")]
+    return rows.select("request_id", F.row_number().over(order).alias("position"), F.col("u_knowledge_id").alias("knowledge_id"), "topic_score", "semantic_rank", *[F.col(c).alias(c[2:]) for c in known])
 
 
 def bundle_sources(bundled: DataFrame, sources: DataFrame) -> DataFrame:
@@ -142,25 +176,60 @@ def bundle_sources(bundled: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def supporting_chunks(hits: DataFrame, chunks: DataFrame, refs: DataFrame, most: int = 8) -> DataFrame:
-    """Of each request's chunk hits, those of its bundle's sources, the first eight."""
-    rows = hits.join(chunks.select(F.col("chunk_id").alias("id"), "source_id"), "id").join(refs.select(F.col("request_id").alias("query_id"), "source_id"), ["query_id", "source_id"], "left_semi")
+    """Of each request's chunk hits, those of its bundle's sources, the first eight, with the fields of the chunk."""
+    fields = [c for c in ("source_type", "chunk_index", "char_start", "char_end", "page_start", "page_end", "chunk_text") if c in chunks.columns]
+    rows = hits.join(chunks.select(F.col("chunk_id").alias("id"), "source_id", *fields), "id").join(refs.select(F.col("request_id").alias("query_id"), "source_id").distinct(), ["query_id", "source_id"], "left_semi")
     again = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
-    return rows.withColumn("position", again).where(F.col("position") <= most).select(F.col("query_id").alias("request_id"), F.col("id").alias("chunk_id"), "source_id", F.round("score", 6).alias("score"), "position")
+    return rows.withColumn("position", again).where(F.col("position") <= most).select(F.col("query_id").alias("request_id"), F.col("id").alias("chunk_id"), "source_id", *fields, F.round("score", 6).alias("similarity_score"), "position")
+
+
+ITEM = ("knowledge_id", "title", "summary", "body_text", "pedagogical_role", "topic_tags", "prerequisite_links", "source_ref", "approval_status", "version_number")
+CHUNK = ("chunk_id", "source_id", "source_type", "chunk_index", "char_start", "char_end", "page_start", "page_end", "chunk_text", "similarity_score")
+SOURCE = ("source_id", "filename", "source_type", "module_tag", "week_tag", "uploader", "hash", "created_at")
+UNIT_VECTORS, CHUNK_VECTORS = "knowledge_units", "source_chunks"
+
+
+def _listed(rows: DataFrame, fields: tuple[str, ...], name: str) -> DataFrame:
+    each = F.struct("position", F.struct(*[c for c in fields if c in rows.columns]).alias("row"))
+    return rows.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["row"]).alias(name))
+
+
+def served(requests: DataFrame, bundled: DataFrame, sources: DataFrame, supporting: DataFrame | None = None) -> DataFrame:
+    """One row a request, as it is answered: units, supporting chunks and source rows as arrays in order (empty where there
+    are none), and the trace: filters, vector collections asked, query text, unit and chunk ids."""
+    r = requests.withColumn("topic_scope", fx.parse_scope(F.col("topic")))
+    text = fx.query_text(F.col("module"), F.col("week"), F.col("topic_scope"), F.col("generation_target"))
+    refs = bundle_sources(bundled, sources).join(sources, "source_id")
+    parts = {"approved_context_bundle": (bundled, ITEM), "source_registry_refs": (refs, SOURCE)}
+    if supporting is not None:
+        parts["supporting_source_chunks"] = (supporting, CHUNK)
+    out = r
+    for name, (rows, fields) in parts.items():
+        part = _listed(rows, fields, name)
+        out = out.join(part, "request_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    asked = (F.size("topic_scope") > 0) & F.lit(supporting is not None)
+    cited = F.exists("approved_context_bundle", lambda u: F.size(u["source_ref"]) > 0)
+    collections = F.array_compact(F.array(F.when(asked, UNIT_VECTORS), F.when(asked & cited, CHUNK_VECTORS)))
+    chunk_ids = F.transform("supporting_source_chunks", lambda c: c["chunk_id"]) if supporting is not None else F.array().cast("array<string>")
+    filters = F.struct(F.col("module").alias("module_tag"), F.col("week").alias("week_tag"), "topic_scope", F.lit("approved").alias("approval_status"), "difficulty_level")
+    trace = F.struct(filters.alias("metadata_filters"), asked.alias("vector_search_used"), collections.alias("vector_collections_queried"), F.when(F.size("topic_scope") > 0, text).alias("semantic_query_text"), F.transform("approved_context_bundle", lambda u: u["knowledge_id"]).alias("approved_knowledge_ids"), chunk_ids.alias("supporting_chunk_ids"))
+    return out.select("request_id", F.col("module").alias("module_tag"), F.col("week").alias("week_tag"), "topic_scope", "generation_target", *parts, trace.alias("retrieval_trace"))
 
 
 def assemble(requests: DataFrame, bundled: DataFrame) -> DataFrame:
-    """(request_id, unit_ids, source_ids, used_scope): the trace of each request, empty lists included."""
+    """(request_id, unit_ids, source_ids, used_scope): the ids of each request, empty lists included."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct("position", "knowledge_id"))), lambda x: x["knowledge_id"])
     per = bundled.groupBy("request_id").agg(ids.alias("unit_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_ref")))).alias("source_ids"))
     none = F.array().cast("array<string>")
     return requests.join(per, "request_id", "left").select("request_id", F.coalesce("unit_ids", none).alias("unit_ids"), F.coalesce("source_ids", none).alias("source_ids"), (F.size(fx.parse_scope(F.col("topic"))) > 0).alias("used_scope"))
 
 
-def bulk_selection(units: DataFrame, module: str | None = None, topic: str | None = None, ids: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def bulk_selection(units: DataFrame, module: str | None = None, topic: str | None = None, ids: DataFrame | None = None, limit: int | None = None, week: str | None = None, pedagogical_role: str | None = None, difficulty_level: str | None = None) -> DataFrame:
     """Drafts that a bulk approval takes, newest first, at most ``limit``."""
     rows = units.where("approval_status = 'draft'")
-    if module:
-        rows = rows.where(F.col("module_tag") == module)
+    for column, value in {"module_tag": module, "week_tag": week, "pedagogical_role": pedagogical_role, "difficulty_level": difficulty_level}.items():
+        if value:
+            rows = rows.where(F.col(column) == value)
     if ids is not None:
         rows = rows.join(ids.select("knowledge_id").distinct(), "knowledge_id", "left_semi")
     scope = fx.parse_scope(F.lit(topic or ""))
@@ -175,6 +244,19 @@ def approve(units: DataFrame, chosen: DataFrame, now: Column) -> DataFrame:
     return marked.withColumn("updated_at", F.when(moves, now).otherwise(F.col("updated_at"))).withColumn("approval_status", F.when(moves, "approved").otherwise(F.col("approval_status"))).drop("_chosen")
 
 
+#: Why a requested unit is not approved.
+REASONS = {"status": "Only draft -> approved transitions are supported in the MVP", "unknown": "Knowledge unit not found", "moved": "Only draft knowledge units can be approved"}
+
+
+def approval_outcome(requested: DataFrame, units: DataFrame) -> DataFrame:
+    """(request_id, pos, knowledge_id, approved, reason) for rows (request_id, target_status, ids): each requested unit in
+    order, repeats kept, and why it is not approved, if it is not."""
+    each = requested.select("request_id", "target_status", F.posexplode("ids").alias("pos", "knowledge_id"))
+    known = each.join(units.select("knowledge_id", "approval_status"), "knowledge_id", "left")
+    reason = F.when(F.coalesce("target_status", F.lit("")) != "approved", REASONS["status"]).when(F.col("approval_status").isNull(), REASONS["unknown"]).when(F.col("approval_status") != "draft", REASONS["moved"])
+    return known.select("request_id", "pos", "knowledge_id", reason.isNull().alias("approved"), reason.alias("reason"))
+
+
 def skipped(requested: DataFrame, chosen: DataFrame) -> DataFrame:
     """(request_id, pos, knowledge_id): requested ids (request_id, ids) that were not approved, in order."""
     return requested.select("request_id", F.posexplode("ids").alias("pos", "knowledge_id")).join(chosen.select("knowledge_id"), "knowledge_id", "left_anti")

@@ -119,6 +119,39 @@ chapters AS (SELECT source_id, c, key AS chapter_key, anchor AS chapter_title FR
 placed AS (SELECT k.*, chapter_key, chapter_title, printed + gap AS pdf_page FROM keyed k JOIN offsets USING (source_id) LEFT JOIN chapters h ON k.source_id = h.source_id AND k.c = h.c)"""
 
 
+PAGES = rf"""
+page_rows AS (SELECT source AS source_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, coalesce(text, '') AS text FROM documents),
+ranges AS (SELECT source_id, page_number, coalesce(sum(length(text) + 2) OVER (PARTITION BY source_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin, length(text) AS n FROM page_rows WHERE text <> ''),
+joined AS (SELECT source_id, {strip("string_agg(text, chr(10) || chr(10) ORDER BY page_number)")} AS t FROM page_rows WHERE text <> '' GROUP BY source_id),
+starts AS (SELECT source_id, t, unnest(range(0, greatest(0, CAST(ceil((length(t) - 1000) / 900.0) AS BIGINT)) * 900 + 1, 900)) AS s FROM joined WHERE t <> ''),
+pieces AS (SELECT source_id, s AS char_start, least(s + 1000, length(t)) AS char_end, {strip("substring(t, s + 1, 1000)")} AS chunk_text FROM starts),
+chunks AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY char_start) - 1 AS chunk_index FROM pieces WHERE chunk_text <> ''),
+paged AS (
+  SELECT c.source_id, chunk_index, char_start, char_end, any_value(chunk_text) AS chunk_text, min(page_number) AS page_start, max(page_number) AS page_end
+  FROM chunks c LEFT JOIN ranges r ON c.source_id = r.source_id AND char_start <= begin + n AND char_end >= begin GROUP BY ALL)"""
+
+SLIDES = rf"""
+slide_lines AS (SELECT source AS deck_id, 's' || doc_id AS slide_id, list_filter(list_transform(regexp_split_to_array(text, '{BREAK}'), lambda x: {strip("x")}), lambda x: x <> '') AS lines FROM documents),
+words AS (
+  SELECT slide_id, unnest(w) AS w, unnest(range(len(w))) AS pos
+  FROM (SELECT slide_id, list_transform(regexp_split_to_array(replace(array_to_string(lines, ' '), '/', ' '), '\s+'), lambda t: regexp_replace(t, '^[ ,.:;()]+|[ ,.:;()]+$', '', 'g')) AS w FROM slide_lines)),
+firsts AS (SELECT slide_id, arg_min(w, pos) AS w, min(pos) AS pos FROM words WHERE length(w) >= 4 AND regexp_matches(w, '^[\p{{L}}\p{{N}}]') GROUP BY slide_id, lower(w)),
+terms AS (SELECT slide_id, list(w ORDER BY pos) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY pos) AS nth FROM firsts) WHERE nth <= 6 GROUP BY slide_id),
+slides AS (
+  SELECT deck_id, l.slide_id, coalesce(lines[1], 'Slide ' || l.slide_id) AS title, lines[2:6] AS key_points, coalesce(terms, []) AS terms,
+    list_filter(lines[2:], lambda x: contains(lower(x), 'example') OR contains(lower(x), 'e.g.'))[1:3] AS examples, array_to_string(lines, chr(10)) AS raw_text
+  FROM slide_lines l LEFT JOIN terms t ON l.slide_id = t.slide_id),
+grid AS (
+  SELECT s.*, p AS student_profile, t AS task_type, lower(concat_ws(' ', title, array_to_string(key_points, ' '), array_to_string(terms, ' '), array_to_string(examples, ' '), raw_text)) AS blob
+  FROM slides s, (VALUES ('weak'), ('average'), ('strong')) a(p), (VALUES ('explain_back'), ('short_qa'), ('confusion_report'), ('coverage_check')) b(t) WHERE t <> 'coverage_check' OR p = 'strong'),
+tagged AS (
+  SELECT deck_id, student_profile, task_type, 'confusion' AS kind, unnest([CASE WHEN contains(blob, 'supervised') THEN 'label_usage' END, CASE WHEN contains(blob, 'pattern') THEN 'pattern_definition' END,
+    CASE WHEN task_type = 'confusion_report' AND NOT contains(blob, 'example') THEN 'needs_worked_example' END, CASE student_profile WHEN 'weak' THEN 'terminology_overload' WHEN 'average' THEN 'pace_jump' END]) AS tag FROM grid
+  UNION ALL SELECT deck_id, student_profile, task_type, 'prerequisite', unnest(list_distinct([CASE WHEN contains(blob, 'model') OR contains(blob, 'algorithm') THEN 'basic_statistics' END, CASE WHEN student_profile = 'weak' THEN terms[1] END])) FROM grid
+  UNION ALL SELECT deck_id, student_profile, task_type, 'misconception', unnest([CASE WHEN task_type = 'coverage_check' THEN 'missing_boundary_conditions' END, CASE WHEN student_profile = 'strong' THEN 'oversimplified_explanation' END,
+    CASE WHEN student_profile = 'strong' AND len(examples) = 0 THEN 'missing_counterexample' END]) FROM grid)"""
+
+
 def oracle_sql() -> dict[str, str]:
     c = f"WITH {COMPILED}\n"
     return {
@@ -131,6 +164,10 @@ def oracle_sql() -> dict[str, str]:
 FROM headed h LEFT JOIN compiled k ON h.source_id = k.source_id LEFT JOIN (SELECT * FROM compiled WHERE source_id NOT LIKE '%7') f ON k.source_id = f.source_id AND k.key = f.key GROUP BY h.source_id""",
         "compile_summary": c + "SELECT source_id, count(*) AS generated_unit_count, string_agg(title, '|' ORDER BY entry) FILTER (WHERE nth <= 20) AS titles FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY entry) AS nth FROM compiled) GROUP BY source_id",
         "existing_units": c + "SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY knowledge_id) AS position, knowledge_id, title FROM stored",
+        "chunk_pages": f"WITH {PAGES}\nSELECT source_id, chunk_index, page_start, page_end FROM paged",
+        "chunk_manifest": f"WITH {PAGES}\nSELECT 'src::' || source_id || '::chunk::' || chunk_index AS chunk_id, source_id, 'pdf' AS source_type, 'books' AS module_tag, '' AS week_tag, chunk_index, char_start, char_end, page_start, page_end, md5(chunk_text) AS text_md5 FROM paged",
+        "structured_slides": f"WITH {SLIDES}\nSELECT deck_id, slide_id, title, len(key_points)::BIGINT AS n_key_points, array_to_string(terms, '|') AS terms, len(examples)::BIGINT AS n_examples FROM slides",
+        "rule_tags": f"WITH {SLIDES}\nSELECT deck_id, student_profile, task_type, kind, tag, count(*) AS n FROM tagged WHERE tag <> '' GROUP BY ALL",
         "printed_offsets": f"WITH {BOOK}\nSELECT source_id, gap AS printed_offset FROM offsets",
         "toc_entries": f"WITH {BOOK}\nSELECT source_id, entry, CASE WHEN is_chapter THEN 'chapter' ELSE 'section' END AS kind, key, title, anchor, chapter_key, pdf_page FROM placed",
     }

@@ -112,6 +112,10 @@ edges AS (
   UNION ALL SELECT source, target, 'prerequisite' FROM (SELECT unnest(prerequisite_links) AS source, knowledge_id AS target FROM units) WHERE source IN (SELECT knowledge_id FROM units))"""
 
 
+APPROVALS = """, approvals AS (
+  SELECT 'req_' || s_suppkey AS request_id, CASE WHEN s_suppkey % 5 = 0 THEN 'archived' ELSE 'approved' END AS target_status, unnest(['ku_' || s_suppkey, 'ku_' || (s_suppkey * 2 + 1), 'ku_none', 'ku_' || s_suppkey]) AS knowledge_id, unnest([0, 1, 2, 3])::BIGINT AS pos FROM supplier)
+"""
+
 NODES = """
 nodes AS (
   SELECT 'src_' || doc_id AS node_id, 'source' AS node_type, 'doc_' || doc_id || '.txt' AS label, NULL AS summary, 'text' AS source_type, lang AS module_tag, source AS week_tag, 'tester' AS uploader,
@@ -140,9 +144,9 @@ def _score(query: str, candidate: str) -> str:
 
 
 REQUESTS = """
-requests(request_id, module, week, topic, difficulty_level) AS (VALUES
-  ('r1', NULL, NULL, 'ring', NULL), ('r2', 'Brand#1', NULL, 'red', NULL), ('r3', 'Brand#2', '', 'blue,gear', NULL), ('r4', NULL, 'week_3', '!!!', NULL),
-  ('r5', 'Brand#3', NULL, '', 'easy'), ('r6', NULL, NULL, 'economy widget', 'hard'), ('r7', 'none', NULL, 'ring', NULL)),
+requests(request_id, module, week, topic, difficulty_level, generation_target) AS (VALUES
+  ('r1', NULL, NULL, 'ring', NULL, 'lesson'), ('r2', 'Brand#1', NULL, 'red', NULL, 'quiz'), ('r3', 'Brand#2', '', 'blue,gear', NULL, NULL), ('r4', NULL, 'week_3', '!!!', NULL, NULL),
+  ('r5', 'Brand#3', NULL, '', 'easy', NULL), ('r6', NULL, NULL, 'economy widget', 'hard', 'deck'), ('r7', 'none', NULL, 'ring', NULL, NULL)),
 topics AS (SELECT request_id, trim(t) AS t FROM (SELECT request_id, unnest(string_split(topic, ',')) AS t FROM requests) WHERE trim(t) <> ''),
 fits AS (
   SELECT r.request_id, r.topic, u.* FROM requests r JOIN units u ON u.approval_status = 'approved'
@@ -156,6 +160,43 @@ bundle AS (
     CASE pedagogical_role WHEN 'concept' THEN 0 WHEN 'example' THEN 1 WHEN 'caution' THEN 2 WHEN 'prerequisite' THEN 3 ELSE 99 END, p_partkey DESC, f.knowledge_id) AS position
   FROM fits f LEFT JOIN scores USING (request_id, knowledge_id) WHERE topic_score IS NOT NULL OR f.topic = '')""".replace("{title}", _score("t", "title")).replace("{tag1}", _score("t", "topic_tags[1]")).replace("{tag2}", _score("t", "topic_tags[2]"))
 
+def embedding(text: str) -> str:
+    """64 values: the first four bytes of SHA-256(text, index) / 2^32."""
+    return f"list_transform(range(64), lambda i: ('0x' || substr(sha256(encode({text}) || unhex(format('{{:04x}}', i))), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+def unit_text(x: str = "") -> str:
+    return f"'Title: ' || {x}title || chr(10) || 'Summary: ' || {x}summary || chr(10) || 'Body: ' || {x}body_text[1:3000] || chr(10) || 'Topic Tags: ' || array_to_string({x}topic_tags, ', ') || chr(10) || 'Pedagogical Role: ' || {x}pedagogical_role"
+
+
+HITS = f"""
+scopes AS (SELECT r.*, list_filter(list_transform(string_split(topic, ','), lambda t: trim(t)), lambda t: t <> '') AS scope FROM requests r),
+asked AS (SELECT *, array_to_string(list_filter([coalesce(module, ''), coalesce(week, ''), array_to_string(scope, ', '), coalesce(generation_target, '')], lambda x: x <> ''), ' | ') AS query_text FROM scopes WHERE len(scope) > 0),
+vectors AS (SELECT *, {embedding("query_text")} AS q FROM asked),
+unit_vectors AS (SELECT u.*, {embedding(unit_text())} AS v FROM units u WHERE approval_status = 'approved'),
+unit_hits AS (
+  SELECT request_id, knowledge_id, score, rank FROM (
+    SELECT request_id, knowledge_id, scope, list_cosine_similarity(q, v) AS score, row_number() OVER (PARTITION BY request_id ORDER BY list_cosine_similarity(q, v) DESC, knowledge_id) AS rank
+    FROM vectors r JOIN unit_vectors u ON (r.module IS NULL OR r.module = u.module_tag) AND (r.week IS NULL OR r.week = u.week_tag) AND (r.difficulty_level IS NULL OR r.difficulty_level = u.difficulty_level))
+  WHERE rank <= greatest(8, 4 * len(scope))),
+mixed AS (
+  SELECT f.*, topic_score, rank - 1 AS semantic_rank, row_number() OVER (PARTITION BY f.request_id ORDER BY coalesce(topic_score, 9999),
+    CASE pedagogical_role WHEN 'concept' THEN 0 WHEN 'example' THEN 1 WHEN 'caution' THEN 2 WHEN 'prerequisite' THEN 3 ELSE 99 END, coalesce(rank - 1, 9999), p_partkey DESC, f.knowledge_id) AS position
+  FROM fits f LEFT JOIN scores USING (request_id, knowledge_id) LEFT JOIN unit_hits USING (request_id, knowledge_id) WHERE topic_score IS NOT NULL OR f.topic = '' OR rank IS NOT NULL)"""
+
+CHUNK_HITS = f"""
+chunk_vectors AS (SELECT c.*, 'src::' || c.source_id || '::chunk::' || chunk_index AS chunk_id, lang, source, {embedding("chunk_text")} AS v FROM chunks c JOIN documents d ON c.source_id = 'src_' || d.doc_id),
+chunk_hits AS (
+  SELECT * FROM (SELECT r.request_id, c.*, list_cosine_similarity(q, v) AS score, row_number() OVER (PARTITION BY r.request_id ORDER BY list_cosine_similarity(q, v) DESC, chunk_id) AS rank
+    FROM vectors r JOIN chunk_vectors c ON (r.module IS NULL OR r.module = c.lang) AND (r.week IS NULL OR r.week = c.source)) WHERE rank <= 24)"""
+
+
+def supporting(bundle: str) -> str:
+    return f"""
+supporting AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank) AS position FROM chunk_hits WHERE (request_id, source_id) IN (SELECT request_id, unnest(source_ref) FROM {bundle})) WHERE position <= 8)
+"""
+
+
 CHUNKS = r"""
 stripped AS (SELECT 'src_' || doc_id AS source_id, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS t FROM documents),
 starts AS (SELECT source_id, t, unnest(range(0, greatest(0, CAST(ceil((length(t) - 1000) / 900.0) AS BIGINT)) * 900 + 1, 900)) AS s FROM stripped WHERE t <> ''),
@@ -168,6 +209,7 @@ pages AS (SELECT source AS source_id, row_number() OVER (PARTITION BY source ORD
 
 def oracle_sql() -> dict[str, str]:
     r, q, u, c, p = (f"WITH {x}\n" for x in (RUNS, QA, UNITS, CHUNKS, PAGES))
+    hits = f"WITH {UNITS},{REQUESTS},{HITS}\n"
     bundle, n = f"WITH {UNITS},{REQUESTS}\n", f"WITH {UNITS},{NODES}"
     search = f"(SELECT *, least(list_min([{_score("'ring'", 'title')}, {_score("'red widget'", 'title')}]), 3 + list_min(list_filter([{_score("'ring'", 'topic_tags[1]')}, {_score("'ring'", 'topic_tags[2]')}, {_score("'red widget'", 'topic_tags[1]')}, {_score("'red widget'", 'topic_tags[2]')}], lambda x: x IS NOT NULL))) AS topic_score FROM units)"
     return compile_oracles.oracle_sql() | {
@@ -224,13 +266,45 @@ FROM (SELECT page_id, filename, lower(regexp_extract(filename, '\\.([^./]+)$', 1
         "bulk_approval": u + f"SELECT knowledge_id, CASE WHEN moved THEN 'approved' ELSE approval_status END AS approval_status, moved FROM (SELECT *, approval_status = 'draft' AND coalesce({_score("'ring'", 'title')}, {_score("'ring'", 'topic_tags[1]')}, {_score("'ring'", 'topic_tags[2]')}) IS NOT NULL AS moved FROM units)",
         "knowledge_summary": u + "SELECT (SELECT count(*) FROM documents) AS sources, count(*) FILTER (WHERE approval_status = 'draft') AS drafts, count(*) FILTER (WHERE approval_status = 'approved') AS approved, 1704067200 + greatest(max(p_partkey), (SELECT max(doc_id) FROM documents)) AS latest_s FROM units",
         "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS score
-  FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id < 20)
+  FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id % 50 = 0)
 SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS nth FROM s) WHERE nth <= 8""",
         "vector_upsert": "SELECT id, document, write_seq FROM (SELECT 'ku::' || (vec_id % 100) || '::v1' AS id, 'document ' || vec_id AS document, vec_id AS write_seq, row_number() OVER (PARTITION BY vec_id % 100 ORDER BY vec_id DESC) AS nth FROM embeddings) WHERE nth = 1",
         "context_bundle": bundle + "SELECT request_id, position, knowledge_id, CAST(coalesce(topic_score, -1) AS BIGINT) AS topic_score FROM bundle",
         "bundle_sources": bundle + "SELECT request_id, source_id, row_number() OVER (PARTITION BY request_id ORDER BY doc_id, source_id) AS position FROM (SELECT DISTINCT request_id, unnest(source_ref) AS source_id FROM bundle) JOIN (SELECT doc_id, 'src_' || doc_id AS source_id FROM documents) USING (source_id)",
         "bundle_trace": bundle + """SELECT r.request_id, coalesce(len(ids), 0)::BIGINT AS n_units, md5(coalesce(array_to_string(ids, '|'), '')) AS units_md5, md5(coalesce(array_to_string(refs, '|'), '')) AS sources_md5, trim(topic) <> '' AS used_scope
 FROM requests r LEFT JOIN (SELECT request_id, list(knowledge_id ORDER BY position) AS ids, list_sort(list_distinct(flatten(list(source_ref)))) AS refs FROM bundle GROUP BY 1) b ON r.request_id = b.request_id""",
+        "hash_embedding": u + f"""SELECT knowledge_id, round(v[1] / n, 9) AS v0, round(v[64] / n, 9) AS v63, round(list_sum(v) / n, 6) AS total
+FROM (SELECT knowledge_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT knowledge_id, {embedding(unit_text())} AS v FROM units))""",
+        "unit_hits": hits + "SELECT request_id, knowledge_id, round(score, 6) AS score, rank FROM unit_hits",
+        "context_bundle_semantic": hits + "SELECT request_id, position, knowledge_id, CAST(coalesce(topic_score, -1) AS BIGINT) AS topic_score, CAST(coalesce(semantic_rank, -1) AS BIGINT) AS semantic_rank FROM mixed",
+        "supporting_chunks": f"WITH {UNITS},{REQUESTS},{HITS},{CHUNKS},{CHUNK_HITS},{supporting('bundle')}" + "SELECT request_id, chunk_id, source_id, 'text' AS source_type, chunk_index, char_start, char_end, position, md5(chunk_text) AS text_md5, round(score, 6) AS similarity_score FROM supporting",
+        "bundle_served": f"WITH {UNITS},{REQUESTS},{HITS},{CHUNKS},{CHUNK_HITS},{supporting('mixed')}" + """, items AS (
+  SELECT request_id, count(*) AS n, string_agg(knowledge_id || '~' || title || '~' || summary || '~' || body_text || '~' || pedagogical_role || '~' || array_to_string(topic_tags, '+') || '~' || array_to_string(prerequisite_links, '+') || '~' || array_to_string(source_ref, '+') || '~' || approval_status || '~' || version_number, '|' ORDER BY position) AS told,
+    string_agg(knowledge_id, '|' ORDER BY position) AS ids FROM mixed GROUP BY request_id),
+refs AS (SELECT request_id, string_agg('src_' || doc_id || '~doc_' || doc_id || '.txt~' || source, '|' ORDER BY doc_id) AS told FROM (SELECT DISTINCT request_id, unnest(source_ref) AS source_id FROM mixed) JOIN documents ON source_id = 'src_' || doc_id GROUP BY request_id),
+found AS (SELECT request_id, string_agg(chunk_id || '~' || char_start, '|' ORDER BY position) AS told, string_agg(chunk_id, '|' ORDER BY position) AS ids FROM supporting GROUP BY request_id)
+SELECT r.request_id, array_to_string(r.scope, ',') AS topic_scope, coalesce(i.n, 0) AS n_items, md5(coalesce(i.told, '')) AS items_md5, coalesce(f.told, '') AS chunks, md5(coalesce(s.told, '')) AS sources_md5, len(r.scope) > 0 AS vector_search_used,
+  CASE WHEN len(r.scope) = 0 THEN '' WHEN i.n > 0 THEN 'knowledge_units|source_chunks' ELSE 'knowledge_units' END AS collections, coalesce(a.query_text, 'none') AS query_text, md5(coalesce(i.ids, '')) AS ids_md5, coalesce(f.ids, '') AS chunk_ids, coalesce(r.difficulty_level, 'none') AS difficulty
+FROM scopes r LEFT JOIN asked a USING (request_id) LEFT JOIN items i USING (request_id) LEFT JOIN refs s USING (request_id) LEFT JOIN found f USING (request_id)""",
+        "bulk_filtered": u + f"SELECT knowledge_id, title FROM units WHERE approval_status = 'draft' AND week_tag = 'week_3' AND pedagogical_role = 'concept' AND coalesce({_score("'ring'", 'title')}, {_score("'ring'", 'topic_tags[1]')}, {_score("'ring'", 'topic_tags[2]')}, {_score("'red'", 'title')}, {_score("'red'", 'topic_tags[1]')}, {_score("'red'", 'topic_tags[2]')}) IS NOT NULL ORDER BY p_partkey DESC LIMIT 7",
+        "approval_outcome": u + APPROVALS + """SELECT request_id, pos, a.knowledge_id, reason IS NULL AS approved, coalesce(reason, 'none') AS reason FROM (
+  SELECT a.*, CASE WHEN target_status <> 'approved' THEN 'Only draft -> approved transitions are supported in the MVP' WHEN approval_status IS NULL THEN 'Knowledge unit not found' WHEN approval_status <> 'draft' THEN 'Only draft knowledge units can be approved' END AS reason
+  FROM approvals a LEFT JOIN units u USING (knowledge_id)) a""",
+        "skipped_ids": u + APPROVALS + f"SELECT request_id, pos, knowledge_id FROM approvals WHERE knowledge_id NOT IN (SELECT knowledge_id FROM units WHERE approval_status = 'draft' AND coalesce({_score("'ring'", 'title')}, {_score("'ring'", 'topic_tags[1]')}, {_score("'ring'", 'topic_tags[2]')}) IS NOT NULL)",
+        "unit_lookup": u + "SELECT i.knowledge_id, u.title IS NOT NULL AS found, coalesce(u.title, 'none') AS title FROM (SELECT 'ku_' || (s_suppkey * 40) AS knowledge_id FROM supplier) i LEFT JOIN units u USING (knowledge_id)",
+        "selected_profiles": "SELECT request_id, pos - 1 AS pos, student_profile FROM (SELECT n_nationkey AS request_id, unnest([p, 'none', 'strong', p]) AS student_profile, unnest([1, 2, 3, 4])::BIGINT AS pos FROM (SELECT n_nationkey, ['weak', 'average', 'strong'][n_nationkey % 3 + 1] AS p FROM nation)) WHERE student_profile IN (SELECT ['weak', 'average', 'strong'][user_id % 3 + 1] FROM events)",
+        "job_runs": r + "SELECT job_id, pos, run_id, status FROM (SELECT 'job_' || o_orderkey AS job_id, unnest(['run_' || o_orderkey, 'run_' || o_custkey, 'run_none', 'run_' || o_orderkey]) AS run_id, unnest([0, 1, 2, 3])::BIGINT AS pos FROM orders) JOIN runs USING (run_id)",
+        "json_lists": u + "SELECT knowledge_id, dumped, CASE WHEN ends_with(knowledge_id, '5') OR ends_with(knowledge_id, '6') OR dumped = '[]' THEN '' ELSE array_to_string(topic_tags, '|') END AS loaded FROM (SELECT knowledge_id, topic_tags, CASE WHEN ends_with(knowledge_id, '7') THEN '[]' ELSE CAST(to_json(topic_tags) AS VARCHAR) END AS dumped FROM units)",
+        "handoff_items": q + """SELECT benchmark_id, 'high' AS priority, question_id AS target_ref, 'incorrect_after_support|content_revision_candidate' AS issue_types, ['weak', 'average', 'strong'][n % 3 + 1] AS affected_profiles,
+  'Student still answered incorrectly after QA support in the after pass.' AS reason, 'Revise the related slide content to address the missed concepts, then regenerate or update the question support materials.' AS suggestion, question_id, 'Question ' || n AS prompt, 'Said ' || (n % 11) AS student_answer, 'Key ' || (n % 7) AS correct_answer,
+  'Student still answered incorrectly after QA support.' AS failure_reason, 'concept_' || (n % 5) AS missed_concepts, 'Update the slide explanation, add a clearer worked example, and tighten terminology around the missed concepts.' AS recommended_followup, 's' || (n % 7 + 1) AS slide_refs
+FROM (SELECT *, CAST(question_id[3:] AS BIGINT) AS n FROM answers WHERE stage = 'after' AND NOT is_correct)""",
+        "normalized_answers": """SELECT 'q_' || l_orderkey || '_' || l_linenumber AS question_id, round(CASE WHEN l_linenumber % 4 = 0 THEN 0.5 ELSE least(1.0, greatest(0.0, CAST(l_tax * 30 - 0.5 AS DOUBLE))) END, 6) AS confidence,
+  CASE WHEN l_linenumber % 3 = 0 OR l_linenumber % 5 = 0 THEN 'No answer returned.' ELSE 'said ' || l_partkey END AS student_answer,
+  CASE WHEN l_returnflag <> 'R' THEN '' WHEN l_partkey % 2 = 0 THEN 'missed_' || (l_partkey % 9) WHEN l_partkey % 3 = 0 THEN 'tag_' || (l_partkey % 4) ELSE 'concept_gap' END AS missed_concepts,
+  CASE WHEN l_suppkey % 2 = 0 THEN 's' || (l_suppkey % 6) WHEN l_suppkey % 3 = 0 THEN 'q' || (l_suppkey % 8) ELSE 's1' END AS evidence_slide_refs FROM lineitem""",
+        "model_answers": r + """SELECT conv_id || ':' || turn AS run_id, true AS is_fallback, 'model_output_failure' AS confusion_tags, 's1' AS evidence FROM conversations
+UNION ALL SELECT run_id, false, array_to_string(confusion, '|'), array_to_string(evidence, '|') FROM done""",
         "graph_nodes": n + "SELECT node_id, node_type, label, summary, source_type, module_tag, week_tag, uploader, approval_status, pedagogical_role, array_to_string(topic_tags, '|') AS topic_tags, array_to_string(source_ref, '|') AS source_ref, updated_at FROM nodes",
         "graph_edges": u + "SELECT source, target, edge_type, edge_type || ':' || source || '->' || target AS edge_id FROM edges",
         "graph_neighbours": u + "SELECT node_id, count(*) AS degree, min(neighbour) AS first_neighbour FROM (SELECT source AS node_id, target AS neighbour FROM edges UNION SELECT target, source FROM edges) WHERE node_id <> neighbour GROUP BY node_id",

@@ -162,6 +162,16 @@ def qa_handoff(s: SparkSession, d: str) -> DataFrame:
     return qa.handoff(b.qa_answers(s, d)).select("benchmark_id", "unresolved_count", _joined("items"))
 
 
+def handoff_items(s: SparkSession, d: str) -> DataFrame:
+    lists = ("issue_types", "affected_profiles", "missed_concepts", "slide_refs")
+    rows = qa.handoff_items(b.qa_records(s, d))
+    return rows.select(*[_joined(c) if c in lists else c for c in rows.columns])
+
+
+def normalized_answers(s: SparkSession, d: str) -> DataFrame:
+    return qa.normalized_answers(b.raw_answers(s, d)).select("question_id", F.round("confidence", 6).alias("confidence"), "student_answer", _joined("missed_concepts"), _joined("evidence_slide_refs"))
+
+
 def source_registry(s: SparkSession, d: str) -> DataFrame:
     pages = b.read(s, d, "pages")
     path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^https?://[^/]*/?", "/")
@@ -190,6 +200,13 @@ def chunk_pages(s: SparkSession, d: str) -> DataFrame:
     return found.select("source_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "page_start", "page_end")])
 
 
+def chunk_manifest(s: SparkSession, d: str) -> DataFrame:
+    pages = b.page_texts(s, d)
+    books = pages.select("source_id").distinct().select("source_id", F.lit("pdf").alias("source_type"), F.lit("books").alias("module_tag"), F.lit(None).cast("string").alias("week_tag"))
+    rows = chunks.chunk_manifest(chunks.text_chunks(chunks.joined_texts(pages)), chunks.page_chunk_pages(pages), books)
+    return rows.select("chunk_id", "source_id", "source_type", "module_tag", "week_tag", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end", "page_start", "page_end")], F.md5("chunk_text").alias("text_md5"))
+
+
 def extraction_summary(s: SparkSession, d: str) -> DataFrame:
     return chunks.extraction_summary(b.page_texts(s, d))
 
@@ -279,7 +296,7 @@ def knowledge_summary(s: SparkSession, d: str) -> DataFrame:
 
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
     e = b.read(s, d, "embeddings")
-    asked = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("label"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("label"))
     records = e.select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("label"))
     return retrieval.vector_topk(asked, records, 8, {"label": "label"}).select(F.col("query_id").cast("long").alias("query_id"), F.col("id").cast("long").alias("id"), F.round("score", 6).alias("score"))
 
@@ -304,13 +321,16 @@ def context_bundle(s: SparkSession, d: str) -> DataFrame:
     return _bundle(s, d).select("request_id", F.col("position").cast("long").alias("position"), "knowledge_id", F.coalesce("topic_score", F.lit(-1)).cast("long").alias("topic_score"))
 
 
+def unit_hits(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.unit_hits(b.requests(s), b.units(s, d)).select(F.col("query_id").alias("request_id"), F.col("id").alias("knowledge_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _semantic_bundle(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.bundle(b.requests(s), b.units(s, d), retrieval.unit_hits(b.requests(s), b.units(s, d)))
+
+
 def context_bundle_semantic(s: SparkSession, d: str) -> DataFrame:
-    u = b.units(s, d).where("approval_status = 'approved'")
-    text = fx.embedding_text(F.col("title"), F.col("summary"), F.col("body_text"), F.col("topic_tags"), F.col("pedagogical_role"))
-    records = u.select(F.col("knowledge_id").alias("id"), fx.hash_embedding(text).alias("embedding"), "module_tag", "week_tag")
-    asked = retrieval.request_vectors(b.requests(s))
-    hits = retrieval.vector_topk(asked, records, 8, {"module_tag": "module", "week_tag": "week"})
-    return retrieval.bundle(b.requests(s), b.units(s, d), hits).select("request_id", "position", "knowledge_id", "topic_score", "semantic_rank")
+    return _semantic_bundle(s, d).select("request_id", F.col("position").cast("long").alias("position"), "knowledge_id", F.coalesce("topic_score", F.lit(-1)).cast("long").alias("topic_score"), F.coalesce("semantic_rank", F.lit(-1)).cast("long").alias("semantic_rank"))
 
 
 def bundle_sources(s: SparkSession, d: str) -> DataFrame:
@@ -321,12 +341,63 @@ def bundle_trace(s: SparkSession, d: str) -> DataFrame:
     return retrieval.assemble(b.requests(s), _bundle(s, d)).select("request_id", F.size("unit_ids").cast("long").alias("n_units"), F.md5(F.array_join("unit_ids", "|")).alias("units_md5"), F.md5(F.array_join("source_ids", "|")).alias("sources_md5"), "used_scope")
 
 
+def _chunk_rows(s: SparkSession, d: str) -> DataFrame:
+    about = b.sources(s, d).select("source_id", "source_type", "module_tag", "week_tag")
+    return chunks.text_chunks(_texts(s, d)).join(about, "source_id")
+
+
+def _supporting(s: SparkSession, d: str, bundled: DataFrame) -> DataFrame:
+    pieces = _chunk_rows(s, d)
+    refs = bundled.select("request_id", F.explode("source_ref").alias("source_id"))
+    return retrieval.supporting_chunks(retrieval.chunk_hits(b.requests(s), pieces), pieces, refs)
+
+
 def supporting_chunks(s: SparkSession, d: str) -> DataFrame:
-    pieces = chunks.text_chunks(_texts(s, d))
-    records = pieces.select(F.col("chunk_id").alias("id"), fx.hash_embedding(F.col("chunk_text")).alias("embedding"))
-    hits = retrieval.vector_topk(retrieval.request_vectors(b.requests(s)), records, 24)
-    refs = _bundle(s, d).select("request_id", F.explode("source_ref").alias("source_id")).distinct()
-    return retrieval.supporting_chunks(hits, pieces, refs)
+    return _supporting(s, d, _bundle(s, d)).select("request_id", "chunk_id", "source_id", "source_type", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end", "position")], F.md5("chunk_text").alias("text_md5"), "similarity_score")
+
+
+def bundle_served(s: SparkSession, d: str) -> DataFrame:
+    bundled = _semantic_bundle(s, d).persist()  # used four times
+    out = retrieval.served(b.requests(s), bundled, b.sources(s, d), _supporting(s, d, bundled))
+    item = lambda u: F.concat_ws("~", *[u[c] for c in ("knowledge_id", "title", "summary", "body_text", "pedagogical_role")], *[F.array_join(u[c], "+") for c in ("topic_tags", "prerequisite_links", "source_ref")], u["approval_status"], u["version_number"].cast("string"))
+    digest = lambda name, f: F.md5(F.array_join(F.transform(name, f), "|"))
+    t = "retrieval_trace."
+    return out.select("request_id", F.array_join("topic_scope", ",").alias("topic_scope"), F.size("approved_context_bundle").cast("long").alias("n_items"), digest("approved_context_bundle", item).alias("items_md5"), F.array_join(F.transform("supporting_source_chunks", lambda c: F.concat_ws("~", c["chunk_id"], c["char_start"].cast("string"))), "|").alias("chunks"), digest("source_registry_refs", lambda r: F.concat_ws("~", r["source_id"], r["filename"], r["week_tag"])).alias("sources_md5"), F.col(t + "vector_search_used").alias("vector_search_used"), F.array_join(t + "vector_collections_queried", "|").alias("collections"), F.coalesce(t + "semantic_query_text", F.lit("none")).alias("query_text"), F.md5(F.array_join(t + "approved_knowledge_ids", "|")).alias("ids_md5"), F.array_join(t + "supporting_chunk_ids", "|").alias("chunk_ids"), F.coalesce(t + "metadata_filters.difficulty_level", F.lit("none")).alias("difficulty"))
+
+
+def bulk_filtered(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.bulk_selection(b.units(s, d), week="week_3", topic="red,ring", pedagogical_role="concept", limit=7).select("knowledge_id", "title")
+
+
+def approval_outcome(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.approval_outcome(b.approval_requests(s, d), b.units(s, d)).select("request_id", F.col("pos").cast("long").alias("pos"), "knowledge_id", "approved", F.coalesce("reason", F.lit("none")).alias("reason"))
+
+
+def skipped_ids(s: SparkSession, d: str) -> DataFrame:
+    chosen = retrieval.bulk_selection(b.units(s, d), topic="ring")
+    return retrieval.skipped(b.approval_requests(s, d), chosen).select("request_id", F.col("pos").cast("long").alias("pos"), "knowledge_id")
+
+
+def unit_lookup(s: SparkSession, d: str) -> DataFrame:
+    ids = b.read(s, d, "supplier").select(F.expr("concat('ku_', s_suppkey * 40)").alias("knowledge_id"))
+    return retrieval.look_up(b.units(s, d), ids, "knowledge_id").select("knowledge_id", "found", F.coalesce("title", F.lit("none")).alias("title"))
+
+
+def selected_profiles(s: SparkSession, d: str) -> DataFrame:
+    names = "array(element_at(array('weak', 'average', 'strong'), cast(n_nationkey % 3 + 1 as int)), 'none', 'strong', element_at(array('weak', 'average', 'strong'), cast(n_nationkey % 3 + 1 as int)))"
+    asked = b.read(s, d, "nation").select(F.col("n_nationkey").alias("request_id"), F.expr(names).alias("names"))
+    return signals.select_requested(asked, b.runs(s, d).select("student_profile").distinct(), "student_profile").select("request_id", F.col("pos").cast("long").alias("pos"), "student_profile")
+
+
+def job_runs(s: SparkSession, d: str) -> DataFrame:
+    jobs = b.read(s, d, "orders").select(F.expr("concat('job_', o_orderkey)").alias("job_id"), F.expr("array(concat('run_', o_orderkey), concat('run_', o_custkey), 'run_none', concat('run_', o_orderkey))").alias("run_ids"))
+    return signals.job_runs(jobs, b.runs(s, d)).select("job_id", F.col("pos").cast("long").alias("pos"), "run_id", "status")
+
+
+def json_lists(s: SparkSession, d: str) -> DataFrame:
+    u = b.units(s, d).select("knowledge_id", fx.dump_list(F.when(F.col("knowledge_id").endswith("7"), None).otherwise(F.col("topic_tags"))).alias("dumped"))
+    said = F.when(F.col("knowledge_id").endswith("5"), "{\"a\": 1}").when(F.col("knowledge_id").endswith("6"), "no list").otherwise(F.col("dumped"))
+    return u.select("knowledge_id", "dumped", F.array_join(fx.load_list(said), "|").alias("loaded"))
 
 
 def _nodes(s: SparkSession, d: str) -> DataFrame:
@@ -375,7 +446,7 @@ def model_answers(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         weak_topics_top5, tag_counts, tag_counts_by_profile, tag_counts_all_levels, top_labels_all, tag_shares, slide_issue_counts, revision_targets, representative_evidence, evidence_refs, flatten_runs, evaluation_grid, rule_tags, structured_slides, job_status, profile_coverage, cohort_signal, signal_completeness,
-        issues_ranked, recommendations, proposals, unknown_actions, trace_totals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units,
-        topic_search, text_query, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, graph_nodes, graph_edges, graph_neighbours, visible_nodes, visible_edges, visible_in_week, top_topics, facets, model_answers,
+        issues_ranked, recommendations, proposals, unknown_actions, trace_totals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, handoff_items, normalized_answers, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, chunk_manifest, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units,
+        topic_search, text_query, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, unit_hits, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, bundle_served, bulk_filtered, approval_outcome, skipped_ids, unit_lookup, selected_profiles, job_runs, json_lists, graph_nodes, graph_edges, graph_neighbours, visible_nodes, visible_edges, visible_in_week, top_topics, facets, model_answers,
     ]
     return {f.__name__: f for f in found}

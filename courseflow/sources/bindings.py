@@ -101,3 +101,25 @@ def headed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as texts with headings: whole texts, every third sentence on a line of its own as one."""
     sentences = F.transform(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("# "), x)).otherwise(x))
     return read(spark, sf_dir, "documents").select(F.expr("concat('src_', doc_id)").alias("source_id"), F.expr("concat('doc_', doc_id, '.txt')").alias("filename"), F.array_join(sentences, "\n").alias("text"))
+
+
+def qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``qa_answers`` with what was asked and said, derived from the question."""
+    n = "cast(substring(question_id, 3) as long)"
+    return qa_answers(spark, sf_dir).select("*", F.expr(f"element_at(array('weak', 'average', 'strong'), cast({n} % 3 + 1 as int))").alias("student_profile"), F.expr(f"concat('Question ', {n})").alias("prompt"), F.expr(f"concat('Said ', {n} % 11)").alias("student_answer"), F.expr(f"concat('Key ', {n} % 7)").alias("correct_answer"), F.expr(f"array(concat('concept_', {n} % 5))").alias("missed_concepts"), F.expr(f"array(concat('s', {n} % 7 + 1))").alias("evidence_slide_refs"))
+
+
+def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers from ``lineitem`` before they are normalized: missing, blank and out-of-range fields."""
+    none = "cast(array() as array<string>)"
+    return read(spark, sf_dir, "lineitem").select(
+        F.expr("concat('q_', l_orderkey, '_', l_linenumber)").alias("question_id"), F.expr("l_returnflag <> 'R'").alias("is_correct"),
+        F.expr("if(l_linenumber % 4 = 0, null, cast(l_tax * 30 - 0.5 as double))").alias("confidence"), F.expr("case when l_linenumber % 3 = 0 then '  ' when l_linenumber % 5 = 0 then null else concat(' said ', l_partkey, ' ') end").alias("student_answer"),
+        F.expr(f"if(l_partkey % 2 = 0, array(concat('missed_', l_partkey % 9)), {none})").alias("missed_concepts"), F.expr(f"if(l_partkey % 3 = 0, array(concat('tag_', l_partkey % 4)), {none})").alias("concept_tags"),
+        F.expr(f"if(l_suppkey % 2 = 0, array(concat('s', l_suppkey % 6)), {none})").alias("evidence_slide_refs"), F.expr(f"if(l_suppkey % 3 = 0, array(concat('q', l_suppkey % 8)), {none})").alias("slide_refs"), F.lit("s1").alias("first_slide"))
+
+
+def approval_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests from ``supplier`` to approve units, some unknown, some twice, some to another status."""
+    ids = "array(concat('ku_', s_suppkey), concat('ku_', s_suppkey * 2 + 1), 'ku_none', concat('ku_', s_suppkey))"
+    return read(spark, sf_dir, "supplier").select(F.expr("concat('req_', s_suppkey)").alias("request_id"), F.expr("if(s_suppkey % 5 = 0, 'archived', 'approved')").alias("target_status"), F.expr(ids).alias("ids"))

@@ -31,7 +31,8 @@ def register_files(spark: SparkSession, path: str, module_tag: str, uploader: st
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): whole files as UTF-8, invalid bytes replaced, empty files as null."""
+    """(path, text): whole files as UTF-8, invalid bytes replaced. Spark's file sources skip empty files, so they have
+    no row: joined to registered sources their text is null."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.nullif(F.make_valid_utf8(F.col("content").cast("string")), F.lit("")).alias("text"))
 
@@ -40,6 +41,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, PAGE_TEXTS).withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Page texts (source_id, page_number, text) as JSON lines with their number of characters."""
+    text = F.coalesce("text", F.lit(""))
+    pages.select("source_id", "page_number", F.length(text).alias("char_count"), text.alias("text")).write.json(path)
+
+
 def complete_sources(pages: DataFrame, expected: DataFrame) -> DataFrame:
     """Sources whose page rows reach the expected number (source_id, page_count), or have none expected."""
     counts = pages.groupBy("source_id").agg(F.count("*").alias("pages"))
@@ -77,8 +84,9 @@ def run_payloads(decks: DataFrame, grid: DataFrame) -> DataFrame:
 def qa_payloads(questions: DataFrame, slides: DataFrame, stages: DataFrame) -> DataFrame:
     """(question_id, stage, payload): a question with its slides, all of the deck's if it names none; the
     support text goes along in the after stage only. ``stages`` holds (stage, support)."""
+    fields = [c for c in ("slide_id", "title", "key_points", "terms", "examples", "raw_text") if c in slides.columns]
     wanted = F.expr("q.deck_id = s.deck_id and (coalesce(size(q.slide_refs), 0) <= 0 or array_contains(q.slide_refs, s.slide_id))")
-    context = questions.alias("q").join(slides.alias("s"), wanted, "left").groupBy("q.deck_id", "q.question_id", "q.prompt").agg(F.array_sort(F.collect_list(F.struct("s.slide_pos", "s.slide_id", "s.title"))).alias("slides"))
+    context = questions.alias("q").join(slides.alias("s"), wanted, "left").groupBy("q.deck_id", "q.question_id", "q.prompt").agg(F.transform(F.array_sort(F.collect_list(F.struct("s.slide_pos", F.struct(*[f"s.{c}" for c in fields]).alias("slide")))), lambda x: x["slide"]).alias("slides"))
     staged = context.withColumn("st", F.explode(F.array(F.lit("before"), F.lit("after")))).join(F.broadcast(stages.limit(2)), F.col("st") == F.col("stage"))
     support = F.when(F.col("stage") == "after", F.col("support"))
     return staged.select("deck_id", "question_id", "stage", F.to_json(F.struct("question_id", "prompt", "slides", support.alias("support"))).alias("payload"))

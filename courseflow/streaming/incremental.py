@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,10 +21,20 @@ def stream_sources(spark: SparkSession, path: str, out: str, checkpoint: str, mo
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
 
 
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, empty if nothing has been written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_new_units(batch: DataFrame, units_path: str) -> None:
     """foreachBatch: stores only units whose (source, title) is not yet in the table."""
     spark = batch.sparkSession
-    stored = spark.read.schema("source_ref array<string>, title string").parquet(units_path)
+    stored = _stored(spark, units_path, "source_ref array<string>, title string")
     comp.new_units(batch, stored).withColumn("source_ref", F.array("source_id")).write.mode("append").parquet(units_path)
 
 
@@ -33,7 +44,7 @@ def upsert_records(batch: DataFrame, path: str, buckets: int = 64) -> None:
     keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).persist()
     touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
     try:
-        old = spark.read.schema(keyed.schema).parquet(path).where(F.col("bucket").isin(touched)) if touched else keyed.limit(0)
+        old = _stored(spark, path, keyed.schema).where(F.col("bucket").isin(touched))
         merged = tables.upsert(old, keyed.select(*old.columns))
         fresh = f"{path.rstrip('/')}-next"
         merged.write.mode("overwrite").parquet(fresh)

@@ -1,9 +1,9 @@
 """Personal data and secrets replaced by keyed surrogates, in built-in functions only.
 
-Found: e-mail addresses, telephone numbers, card numbers, social security numbers, IPv4 addresses, access
-keys, long hexadecimal tokens, assigned secrets (password=..., token = "...") and names after a form of
-address. A surrogate is drawn from SHA-512 of (key, type, canonical entity, attempt) and keeps its
-type's form: character classes, separators, prefixes, country code, Luhn validity; names keep form of
+Found: e-mail addresses, telephone numbers, card numbers, social security numbers, IPv4 and IPv6 addresses,
+bank accounts (IBAN), access keys, long hexadecimal tokens, assigned secrets (password=..., token = "..."),
+and names after forms of address or that begin with a given name of the lists below. A surrogate is drawn from SHA-512 of (key, type, canonical entity, attempt) and keeps its
+type's form: character classes, separators, prefixes, country code, Luhn and IBAN check digits; names keep form of
 address, gender, script, case and number of parts. Equal entities get equal surrogates in all documents;
 spellings that differ in case only, or telephone and card numbers in separators only, stay the same person.
 Names are keyed by their family name (the last word, without form of address, dot and 's), given names by
@@ -29,6 +29,7 @@ KEY, ATTEMPTS = "courseflow-surrogates-1", 40
 #: Forms of address by gender, given names by gender and script, name syllables by script.
 MALE = "Mr Herr Monsieur Señor Don Sir г-н Господин"
 FEMALE = "Mrs Ms Miss Frau Madame Mme Señora Señorita Doña г-жа Госпожа"
+EITHER = "Dr Prof Doctor Professor Профессор Доктор"
 GIVEN = {
     ("f", "latin"): "Anna Clara Elena Julia Laura Maria Nora Olivia Paula Rosa Sofia Vera",
     ("m", "latin"): "Adam Bruno David Erik Felix Hugo Jonas Leon Martin Oscar Paul Victor",
@@ -37,14 +38,20 @@ GIVEN = {
 }
 SYLLABLES = {"latin": "ba den fel gor han kel lin mar nel por ran sel tor val wen zim", "cyrillic": "ба ден фел гор хан кел лин мар нел пор ран сел тор вал вен зим"}
 
-_TITLE = "|".join((MALE + " " + FEMALE).split())
+_ONE_TITLE = "|".join((MALE + " " + FEMALE + " " + EITHER).split())
+_TITLE = rf"(?:(?:{_ONE_TITLE})\.? )++"
+_GIVEN = "|".join(" ".join(GIVEN.values()).split())
+_WORD = r"\p{Lu}[\p{L}'-]+"
 _LETTERS = "|".join(
     [
         r"(?=[pPsStTaA])(?i:password|passwd|secret|token|api_?key)[\"']?[ ]?[=:][ ]?[\"']?[^\s\"',;]{6,}",
         r"(?<![_%+-])(?<![\p{IsLatin}0-9._%+-]\.)(?!\.)[\p{IsLatin}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
         r"(?<!\d\.)[0-9a-f]{32,64}(?![A-Za-z0-9])",
-        rf"(?=[MHSDFгГ])(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+        rf"(?=[MHSDFPгГДП])(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{N}}]){_TITLE}{_WORD}(?: {_WORD})?",
+        rf"(?=[A-Zа-яА-Я])(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{N}}])(?:{_GIVEN}) (?:\p{{Lu}}\. )?{_WORD}",
+        r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![A-Za-z0-9:])",
+        r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     ]
 )
 _DIGITS = "|".join(
@@ -60,7 +67,7 @@ _DIGITS = "|".join(
 )
 #: The look-aheads only spare the longer tests at most characters. Letters of other scripts and a full stop may
 #: touch an entity, but a number may not be the fraction of another one.
-ENTITY = rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9._%+(\-гГ])(?:{_LETTERS}|(?=[+(\d])(?<!\d\.)(?:{_DIGITS}))"
+ENTITY = rf"(?<![A-Za-z0-9])(?=[A-Za-z0-9._%+(\-\p{{IsCyrillic}}])(?:{_LETTERS}|(?=[+(\d])(?<!\d\.)(?:{_DIGITS}))"
 #: A word that may be a family name standing alone, and what may follow a family name within its word.
 _BARE, _AFTER = r"(?<!\p{L})\p{Lu}\p{L}*(?:['-]\p{Lu}\p{L}*)*", r"(?:'[sS]|['-])+$"
 _FAMILY = "\u0001"  # before a family name among the pairs of a text
@@ -77,7 +84,9 @@ def kind_of(entity: Column) -> Column:
         .when(entity.contains("@"), "email")
         .when(entity.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$"), "access_key")
         .when(entity.rlike("^[0-9a-f]{32,64}$") & entity.rlike("[a-f]"), "hex")
-        .when(entity.rlike(rf"^({_TITLE})\.? "), "name")
+        .when(entity.rlike(rf"^{_TITLE}") | entity.rlike(rf"^(?:{_GIVEN}) "), "name")
+        .when(entity.rlike(r"^[A-Z]{2}\d{2}[ A-Z0-9]{11,}$"), "iban")
+        .when(entity.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f]*:[0-9A-Fa-f:]*$"), "ipv6")
         .when(entity.rlike(r"^(\d{1,3}\.){3}\d{1,3}$"), "ip")
         .when(entity.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(entity.rlike(r"^(\d{4}[ -]?){3}\d{1,7}$"), "card")
@@ -95,6 +104,11 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(weighed, F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(x: Column) -> Column:
+    """Remainder by 97 of digits and capital letters, which count as 10 to 35."""
+    return F.aggregate(F.split(x, ""), F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.try_cast("int")) % 97).when(c == "", r).otherwise((r * 100 + F.ascii(c) - 55) % 97))
+
+
 def _pick(words: str, number: Column) -> Column:
     values = words.split()
     return F.element_at(F.array(*[F.lit(w) for w in values]), (number % len(values) + 1).cast("int"))
@@ -109,6 +123,7 @@ def surrogate(entity: Column, kind: Column, canonical: Column, attempt: int, key
         F.when(kind == "secret", F.length(F.regexp_extract(entity, r"(?i)^(password|passwd|secret|token|api_?key)[\"']?[ ]?[=:][ ]?[\"']?", 0)))
         .when(kind == "access_key", 4)
         .when(kind == "card", 1)
+        .when(kind == "iban", 2)
         .when((kind == "phone") & entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .-])|^\+\d", 0)))
         .when((kind == "phone") & entity.rlike(r"^\d{1,3}[ .-]\("), F.length(F.regexp_extract(entity, r"^\d{1,3}", 0)))
         .otherwise(0)
@@ -116,11 +131,11 @@ def surrogate(entity: Column, kind: Column, canonical: Column, attempt: int, key
     last_kept = F.when(kind == "email", F.length(F.substring_index(entity, ".", -1))).otherwise(0)
     size = F.length(entity)
     value = F.substring(entity, first_kept + 1, size)
-    only_hex = (kind == "hex") | ((kind == "secret") & ~value.rlike("[g-zG-Z]"))
+    only_hex = kind.isin("hex", "ipv6") | ((kind == "secret") & ~value.rlike("[g-zG-Z]"))
 
     def one(c: Column, i: Column) -> Column:
         # Numbers count their digits from the end, so separators and country codes do not matter.
-        at = F.when(kind.isin("phone", "card"), F.length(_digits(F.substring(entity, i + 1, size)))).otherwise(i)
+        at = F.when(kind.isin("phone", "card"), F.length(_digits(F.substring(entity, i + 1, size)))).when(kind == "iban", F.length(F.replace(F.substring(entity, i + 1, size), F.lit(" "), F.lit("")))).otherwise(i)
         v = byte(at)
         digit = F.when(kind == "phone", v % 8 + 2).otherwise(v % 10).cast("string")
         lower, upper = F.char((v % F.when(only_hex, 6).otherwise(26) + 97).cast("long")), F.char((v % F.when(only_hex, 6).otherwise(26) + 65).cast("long"))
@@ -131,6 +146,7 @@ def surrogate(entity: Column, kind: Column, canonical: Column, attempt: int, key
     body = F.substring(scrambled, F.lit(1), size - 1)
     need = F.pmod(F.lit(10) - F.pmod(_luhn(F.concat(_digits(body), F.lit("0"))), F.lit(10)), F.lit(10))
     card = F.when(F.pmod(_luhn(_digits(entity)), F.lit(10)) == 0, F.concat(body, need.cast("string"))).otherwise(scrambled)
+    account = F.concat(F.substring(entity, 1, 2), F.lpad((98 - _mod97(F.concat(F.replace(F.substring(scrambled, F.lit(5), size), F.lit(" "), F.lit("")), F.substring(entity, 1, 2), F.lit("00")))).cast("string"), 2, "0"), F.substring(scrambled, F.lit(5), size))
     ip = F.concat_ws(".", *[(byte(F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
     cyrillic = canonical.rlike(r"\p{IsCyrillic}")
     drawn = lambda first, n: F.when(cyrillic, F.concat(*[_pick(SYLLABLES["cyrillic"], number(first + i)) for i in range(n)])).otherwise(F.concat(*[_pick(SYLLABLES["latin"], number(first + i)) for i in range(n)]))
@@ -141,12 +157,12 @@ def surrogate(entity: Column, kind: Column, canonical: Column, attempt: int, key
     given = given if attempt < 3 else F.concat(given, drawn(1, min(attempt // 3, 14)))
     given = F.concat(F.regexp_extract(canonical, r"^.*\|", 0), given)
     family = F.concat(F.lit(_FAMILY), drawn(1, min(3 + attempt // 3, 14)))
-    return F.when(kind == "ip", ip).when(kind == "family", family).when(kind == "given", given).when(kind == "card", card).otherwise(scrambled)
+    return F.when(kind == "ip", ip).when(kind == "family", family).when(kind == "given", given).when(kind == "card", card).when(kind == "iban", account).otherwise(scrambled)
 
 
 def name_parts(entity: Column) -> dict[str, Column]:
     """Form of address, given name (empty if none), family name, and what follows it in its word."""
-    title = F.regexp_extract(entity, rf"^({_TITLE})\.? ", 0)
+    title = F.regexp_extract(entity, rf"^{_TITLE}", 0)
     said = F.substring(entity, F.length(title) + 1, F.length(entity))
     after, core = F.regexp_extract(said, _AFTER, 0), F.regexp_replace(said, _AFTER, "")
     return {"title": title, "given": F.when(core.contains(" "), F.substring_index(core, " ", 1)).otherwise(""), "family": F.substring_index(core, " ", -1), "after": after}
@@ -158,14 +174,16 @@ def _cased(new: Column, like: Column) -> Column:
 
 
 def canonical(entity: Column, kind: Column) -> Column:
-    return F.when(kind == "phone", F.substring(_digits(entity), F.greatest(F.length(_digits(entity)) - 9, F.lit(1)), F.lit(10))).when(kind == "card", _digits(entity)).otherwise(F.lower(entity))
+    return F.when(kind == "phone", F.substring(_digits(entity), F.greatest(F.length(_digits(entity)) - 9, F.lit(1)), F.lit(10))).when(kind == "card", _digits(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(F.lower(entity))
 
 
 def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     """(entity, kind, surrogate) for distinct rows of (entity), and for the families among them."""
     kinds = materialise(found.select("entity", kind_of(F.col("entity")).alias("kind")).distinct(), "kinds")
     title, given, family = (name_parts(F.col("entity"))[x] for x in ("title", "given", "family"))
-    gender = F.when(F.regexp_replace(F.trim(title), r"\.$", "").isin(*FEMALE.split()), "f").otherwise("m")
+    said = lambda words: title.rlike(rf"(?:^| )(?:{'|'.join(words.split())})\.? ")
+    women = " ".join(names for (of, _), names in GIVEN.items() if of == "f").lower().split()
+    gender = F.when(said(FEMALE), "f").when(said(MALE), "m").when(F.lower(given).isin(*women), "f").otherwise("m")
     names = kinds.where("kind = 'name'").select("entity", F.concat(F.lit(_FAMILY), F.lower(family)).alias("family"), F.when(given != "", F.concat_ws("|", gender, F.lower(family), F.lower(given))).alias("given"))
     others = kinds.where("kind <> 'name'")
     for part in ("family", "given"):

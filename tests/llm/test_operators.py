@@ -329,3 +329,20 @@ def test_piece_sample_scores_of_enumerable_texts(spark):
     texts_many = spark.createDataFrame([(i, "to be") for i in range(3000)], "doc_id long, text string")
     total = sum(math.exp(r.log_prob - r.log_inclusion) for r in piece_sampling.sampled_pieces(texts_many, path, k).collect())
     assert abs(total / 3000 - 1) < 0.06
+
+
+def test_surrogates_of_titles_names_accounts_and_addresses(spark):
+    mod97 = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+    text = "Dr. Adam Lee and Prof. Dr. Anna Berg met Anna Berg, Victor M. Stone and Prof Lee. IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000, GB82WEST12345698765432; host 2001:db8:85a3::8a2e:370:7334 and fe80:0:0:0:1:2:3:4. At 10:20:30 std::vector runs, The Dr said."
+    out = {r.doc_id: r for r in surrogates.pseudonymise(spark.createDataFrame([(1, text), (2, "Adam is a name alone; Prof Dr nobody")], "doc_id long, text string"), count_as="found").collect()}
+    new = out[1].text
+    for hidden in ("Lee", "Berg", "Stone", "3704", "WEST", "85a3", "fe80"):
+        assert hidden not in new, hidden
+    assert out[1].found == 10 and out[2].found == 0 and out[2].text == "Adam is a name alone; Prof Dr nobody"
+    words = new.replace(",", "").replace(".", "").replace(";", "").split()
+    lee, berg, anna = words[2], words[7], words[6]
+    assert words[9:11] == [anna, berg] and words[14:16] == ["Prof", lee] and len({lee, berg, words[12]}) == 3
+    accounts = new.split("IBAN ")[1].split(";")[0].replace(" or ", "|").replace(", ", "|").split("|")
+    assert accounts[0].replace(" ", "") == accounts[1] and accounts[0].count(" ") == 5 and all(mod97(a.replace(" ", "")) == 1 for a in accounts)
+    assert accounts[0].startswith("DE") and accounts[2].startswith("GB") and accounts[2][4:8].isalpha()
+    assert "At 10:20:30 std::vector runs, The Dr said." in new and new.split("host ")[1].split(" ")[0].count(":") == 6

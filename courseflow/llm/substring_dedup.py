@@ -28,7 +28,7 @@ from courseflow.llm import textblock as tb
 from courseflow.llm.shared import free_name, materialise, text_batches
 
 WINDOW, SKETCH_ROWS = 13, 2
-HOT, HOT_SHARE = 200, 20_000  # a window estimated to occur so often, and to be so large a part of all, is split over tasks
+HOT, HOT_SHARE = 200, 20_000  # a window that occurs so often, and is so large a part of all, is counted first
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -36,51 +36,82 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, marks): the windows of each document that also start in one of smaller id, each packed
     as first word << 32 | 32 bits of its hash.
 
-    Windows that the sketch shows to be very frequent are pre-aggregated to their least doc_id and joined
-    back, which the adaptive join may split; the others meet under their hash in a window function."""
+    Windows that are a large part of all (there can be ``HOT_SHARE`` of them at most) are counted first, so
+    that every task knows their least doc_id; the others meet under their hash in a window function."""
     docs = text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    width = sketch.width_for(size // 6)
+    words = (docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // 6
+    hot = max(HOT, words // HOT_SHARE)
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in tb.parts(batch, "text"):
             words = tb.Words(*tb.texts(part.column("text")))
             yield words.window_hash(words.windows(k), k)
 
-    bits = sketch.repeated(docs, hashes, SKETCH_ROWS, width, max(HOT, size // 6 // HOT_SHARE))
-    some_hot = bool(bits[-1].any())
-    shared = docs.sparkSession.sparkContext.broadcast(bits if some_hot else bits[:-1])
-
-    def emit(hot: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in tb.parts(batch, "text"):
-                    words = tb.Words(*tb.texts(part.column("text")))
-                    at = words.windows(k)
-                    a = words.window_hash(at, k)
-                    keep = sketch.may_repeat(a, shared.value[:SKETCH_ROWS])
-                    at, a = at[keep], a[keep]
-                    if some_hot:
-                        keep = sketch.may_be_hot(a, shared.value[-1]) == hot
-                        at, a = at[keep], a[keep]
-                    b = (words.window_hash(at, k, 1) >> np.uint64(32)).astype(np.uint32)
-                    ids = part.column("doc_id").to_numpy(zero_copy_only=False)[words.row[at]]
-                    mark = ((at - words.first[words.row[at]]).astype(np.int64) << 32) | b
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(mark), pa.array(ids.astype(np.int64))], ["a", "mark", "doc_id"])
-
-        return docs.mapInArrow(run, "a long, mark long, doc_id long")
-
-    b = F.expr("cast(mark & 4294967295 as long)").alias("b")
+    bits = sketch.repeated(docs, hashes, SKETCH_ROWS, sketch.width_for(words), hot)
+    heavy = _heavy(docs, k, bits[-1], hot) if bits[-1].any() else np.zeros(0, HEAVY)
+    shared = docs.sparkSession.sparkContext.broadcast((bits[:SKETCH_ROWS], heavy))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, heavy = shared.value
+        for batch in batches:
+            for part in tb.parts(batch, "text"):
+                words, at, a, ids = _windows(part, k)
+                keep = np.flatnonzero(sketch.may_repeat(a, bits))
+                at, a, ids = at[keep], a[keep], ids[keep]
+                b = _second(words, at, k)
+                known = np.zeros(len(a), bool)
+                if len(heavy):
+                    i = np.minimum(np.searchsorted(heavy["a"], a), len(heavy) - 1)
+                    known = (heavy["a"][i] == a) & (heavy["b"][i] == b)
+                    keep = np.flatnonzero(~known | (ids > heavy["least"][i]))
+                    at, a, ids, b, known = at[keep], a[keep], ids[keep], b[keep], known[keep]
+                mark = ((at - words.first[words.row[at]]).astype(np.int64) << 32) | b
+                # Where the least doc_id is known the hash has done its work; any value spreads these rows.
+                a = np.where(known, tb.mix(mark.view(np.uint64) ^ tb.mix(ids.view(np.uint64), 2), 9), a)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(mark), pa.array(ids), pa.array(known)], ["a", "mark", "doc_id", "known"])
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = emit(False).repartition(parts, "a").select("a", b, "mark", "doc_id")  # b travels within the mark
-    later = dealt.withColumn("least", F.min("doc_id").over(W.partitionBy("a", "b"))).where("doc_id > least").select("doc_id", "mark")
-    if some_hot:
-        frequent = materialise(emit(True).select("a", b, "mark", "doc_id"), "hot-windows")
-        least = frequent.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
-        later = later.unionByName(frequent.join(least, ["a", "b"]).where("doc_id > least").select("doc_id", "mark"))
+    dealt = docs.mapInArrow(emit, "a long, mark long, doc_id long, known boolean").repartition(parts, "a").select("a", F.expr("cast(mark & 4294967295 as long)").alias("b"), "mark", "doc_id", "known")  # b travels within the mark
+    later = dealt.withColumn("least", F.min("doc_id").over(W.partitionBy("a", "b", "known"))).where("known or doc_id > least").select("doc_id", "mark")
     return later.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
 
+HEAVY = np.dtype([("a", np.uint64), ("b", np.uint32), ("least", np.int64)])
+
+
+def _windows(part: pa.RecordBatch, k: int) -> tuple[tb.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a part, first word, hash and doc_id of each window."""
+    words = tb.Words(*tb.texts(part.column("text")))
+    at = words.windows(k)
+    return words, at, words.window_hash(at, k), part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[words.row[at]]
+
+
+def _second(words: tb.Words, at: np.ndarray, k: int) -> np.ndarray:
+    return (words.window_hash(at, k, 1) >> np.uint64(32)).astype(np.uint32)
+
+
+def _heavy(docs: DataFrame, k: int, bits: np.ndarray, hot: int) -> np.ndarray:
+    """(a, b, least) of the windows that occur ``hot`` times or more, in the order of a: as each of them is so large a part
+    of all windows, no more than HOT_SHARE rows come to the driver, whatever the table's size."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tb.parts(batch, "text"):
+                words, at, a, ids = _windows(part, k)
+                keep = np.flatnonzero(sketch.may_be_hot(a, shared.value))
+                b = _second(words, at[keep], k)
+                order = np.lexsort((b, a[keep]))
+                a, b, ids = a[keep][order], b[order], ids[keep][order]
+                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+                least = np.minimum.reduceat(ids, first) if len(a) else ids
+                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].astype(np.int64)), pa.array(least), pa.array(np.diff(np.append(first, len(a))))], ["a", "b", "least", "n"])
+
+    counted = docs.mapInArrow(count, "a long, b long, least long, n long").groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("n").alias("n")).where(F.col("n") >= hot)
+    rows = [(r["a"] & (2**64 - 1), r["b"], r["least"]) for r in counted.collect()]
+    return np.sort(np.array(rows, HEAVY), order=["a", "b"])
+
+
 def _strip(text: pa.Array, marks: pa.Array, k: int) -> pa.StructArray:
     words = tb.Words(*tb.texts(text))
     n, cover = np.diff(words.first), np.zeros(len(words.hash) + 1, np.int32)

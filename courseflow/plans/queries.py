@@ -184,7 +184,7 @@ def source_listing(s: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
-    return b.read(s, d, "documents").select(F.expr("concat('src_', doc_id)").alias("source_id"), "text")
+    return tables.spread(b.read(s, d, "documents").select(F.expr("concat('src_', doc_id)").alias("source_id"), "text"))
 
 
 def text_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -264,7 +264,7 @@ def _book(s: SparkSession, d: str) -> DataFrame:
 
 
 def toc_entries(s: SparkSession, d: str) -> DataFrame:
-    return comp.toc_entries(_book(s, d)).select("source_id", F.col("entry").cast("long").alias("entry"), "kind", "key", "title", "anchor", "chapter_key", "pdf_page")
+    return comp.toc_entries(_book(s, d).persist()).select("source_id", F.col("entry").cast("long").alias("entry"), "kind", "key", "title", "anchor", "chapter_key", "pdf_page")
 
 
 def printed_offsets(s: SparkSession, d: str) -> DataFrame:
@@ -272,7 +272,7 @@ def printed_offsets(s: SparkSession, d: str) -> DataFrame:
 
 
 def toc_units(s: SparkSession, d: str) -> DataFrame:
-    return comp.toc_units(_book(s, d)).select("source_id", "entry", "key", "title", _joined("topic_tags"), "pedagogical_role", "prerequisite_key", F.md5("body_text").alias("body_md5"))
+    return comp.toc_units(_book(s, d).persist()).select("source_id", "entry", "key", "title", _joined("topic_tags"), "pedagogical_role", "prerequisite_key", F.md5("body_text").alias("body_md5"))
 
 
 def topic_search(s: SparkSession, d: str) -> DataFrame:

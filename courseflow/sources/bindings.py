@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courseflow.functions import text as fx
+from courseflow.sources import tables
 
 BASE = "timestamp '2024-01-01 00:00:00'"
 
@@ -100,7 +101,7 @@ def requests(spark: SparkSession) -> DataFrame:
 def headed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as texts with headings: whole texts, every third sentence on a line of its own as one."""
     sentences = F.transform(F.split(F.coalesce("text", F.lit("")), r"\. "), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("# "), x)).otherwise(x))
-    return read(spark, sf_dir, "documents").select(F.expr("concat('src_', doc_id)").alias("source_id"), F.expr("concat('doc_', doc_id, '.txt')").alias("filename"), F.array_join(sentences, "\n").alias("text"))
+    return tables.spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.expr("concat('src_', doc_id)").alias("source_id"), F.expr("concat('doc_', doc_id, '.txt')").alias("filename"), F.array_join(sentences, "\n").alias("text"))
 
 
 def qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,13 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan gives fewer partitions than there are: for work within the row that costs more
+    than an exchange of the rows. Large tables have more partitions and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def register_files(spark: SparkSession, path: str, module_tag: str, uploader: str, created_at: Column, week_tag: str | None = None) -> DataFrame:
     """One ``sources`` row for each file under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -37,7 +37,9 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_format.chat_digest(materialise(chat_format.chat_segments(rows), "chat"))
+    segments = materialise(chat_format.chat_segments(rows), "chat")
+    turns, examples = (materialise(f(segments), name) for f, name in ((chat_format.chat_turns, "chat-turns"), (chat_format.chat_examples, "chat-examples")))
+    return chat_format.chat_digest(turns, examples).drop("contexts_fit")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,14 +42,19 @@ def test_clashing_column_names(spark):
     assert substring_dedup.substring_digest(odd).count() == len(rows)
 
 
+def _digest(rows):
+    segments = chat_format.chat_segments(rows)
+    return chat_format.chat_digest(chat_format.chat_turns(segments), chat_format.chat_examples(segments))
+
+
 def test_extra_columns_and_empty_tables(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0], "x", 1, 2) for i in range(60)], "vec_id long, embedding array<float>, score string, rank int, query_id int")
     assert sorted(map(tuple, topk_search.top_k(vectors).collect())) == sorted(brute.op2([(i, [float(i % 7), 1.0]) for i in range(60)]))
     pages = spark.createDataFrame([(1, "u", "x", "a", 3), (2, "u", "x", "b", 4)], "page_id long, url string, html string, record_type string, offset int")
     assert sorted(tuple(r)[:5] for r in warc.warc_round_trip(pages).collect()) == sorted(brute.op6([(1, "x"), (2, "x")]))
     turns = spark.createDataFrame([(1, 0, "user", "a", "p", 5), (1, 1, "assistant", "b", "q", 6)], "conv_id long, turn long, role string, text string, piece string, start long")
-    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.chat_digest(chat_format.chat_segments(turns)).collect()} == brute.op4([(1, 0, "user", "a"), (1, 1, "assistant", "b")])
-    assert chat_format.chat_digest(chat_format.chat_segments(turns.limit(0))).count() == 0
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in _digest(turns).collect()} == brute.op4([(1, 0, "user", "a"), (1, 1, "assistant", "b")])
+    assert _digest(turns.limit(0)).count() == 0
 
 
 LONG = [(1, _text(22_000)), (2, "字" * 30_000), (3, "x" * 60_000), (4, "line of words\n" * 6_000), (5, "ann@corp.example.org " * 3_000), (6, _text(22_000) + " tail")]

@@ -103,9 +103,10 @@ def test_chat(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a \\ b <|end|> <|turn|>"), (1, 1, "assistant", "tie"), (1, 3, "user", None), (2, None, None, "x"), (None, 0, "assistant", "\\<\\[INST]")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     segments = chat_format.chat_segments(df)
-    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.chat_digest(segments).collect()}
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.chat_digest(chat_format.chat_turns(segments), chat_format.chat_examples(segments)).collect()}
     assert got == brute.op4(rows)
-    example = [r for r in chat_format.expanded(segments).collect() if r.conv_id == 1]
+    assert all(r.contexts_fit for r in chat_format.chat_digest(chat_format.chat_turns(segments), chat_format.chat_examples(segments)).collect())
+    example = [r for r in chat_format.expanded(chat_format.chat_turns(segments), chat_format.chat_examples(segments)).collect() if r.conv_id == 1]
     assert len(example) == 2 and all(r.text[: r.target_end].endswith(r.text[r.target_start : r.target_end]) for r in example)
 
 

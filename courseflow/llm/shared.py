@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 BATCH_BYTES = 2 << 20
+STRETCH = 64 << 20  # bytes that a task reads or writes of its own files, about
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -42,6 +43,11 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tasks_for(spark: SparkSession, size: int) -> int:
+    """Tasks of about STRETCH bytes each, as many as the session's shuffles have at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // STRETCH))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores added while a column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -30,14 +30,13 @@ from pyspark.sql import Window as W
 
 from courseflow.llm import textblock as tb
 from courseflow.llm.files import open_ranges, write_whole
-from courseflow.llm.shared import materialise, scratch, text_batches
+from courseflow.llm.shared import STRETCH, materialise, scratch, tasks_for, text_batches
 
 END_ID = 2
 KEYS_PER_BUCKET = 200_000
 GAMMA, LEVELS = 2.0, 64
 SLOT_BITS, MOST_KNOWN, LONGEST = 20, 700_000, 48  # known pieces: at most 34 MB of text, about 80 MB in all
 PART = 3 << 17  # bytes of text that are encoded at once, about
-STRETCH = 64 << 20  # bytes that a task reads back, or writes as a shard, about
 _HEAD = struct.Struct("<4sIQ")
 _ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<i4"), ("offset", "<i8"), ("n", "<i8"), ("start", "<i8")])
 
@@ -341,11 +340,6 @@ def look_up(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     return _hashed(keys, meta["buckets"]).groupBy("bucket").applyInPandas(probe, "doc_id long, ordinal long, shard int, offset long, n long, start long")
 
 
-def tasks_for(spark: SparkSession, size: int) -> int:
-    """Tasks of about STRETCH bytes each, as many as the session's shuffles have at least."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // STRETCH))
-
-
 def read_ids(spark: SparkSession, path: str, found: DataFrame, digest: bool = False) -> DataFrame:
     """The ids of looked-up keys, or their CRC-32 as 32-bit integers; rows of a shard in file order."""
     item = np.dtype(spark.read.schema("buckets long, item string").json(f"{path}/meta").first()["item"])

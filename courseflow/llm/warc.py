@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from courseflow.llm import textblock as tb
 from courseflow.llm.files import open_ranges, write_whole
-from courseflow.llm.shared import materialise, scratch, text_batches
+from courseflow.llm.shared import STRETCH, materialise, scratch, tasks_for, text_batches
 
-MOST_GAP, MOST_READ, STRETCH = 64 << 10, 8 << 20, 64 << 20
+MOST_GAP, MOST_READ = 64 << 10, 8 << 20
 _INDEX = "page_id long, url string, digest string, record_type string, shard string, offset long, length long"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, html string"
 
@@ -131,7 +131,8 @@ def read_records(spark: SparkSession, path: str, index: DataFrame, payloads: boo
 
     names = [f.split()[0] for f in _RECORD.split(", ")]
     schema = pa.schema([(n, pa.int64() if n in ("page_id", "refers_to", "payload_bytes") else pa.string()) for n in names])
-    dealt = index.select("shard", "offset", "length").repartition("shard", F.expr(f"offset div {STRETCH}")).sortWithinPartitions("shard", "offset")
+    size = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    dealt = index.select("shard", "offset", "length").repartition(tasks_for(spark, size), "shard", F.expr(f"offset div {STRETCH}")).sortWithinPartitions("shard", "offset")
     return dealt.mapInArrow(read, _RECORD)
 
 

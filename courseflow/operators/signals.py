@@ -11,6 +11,10 @@ from courseflow.functions import text as fx
 
 PROFILES = ("weak", "average", "strong")
 TASKS = ("explain_back", "short_qa", "confusion_report", "coverage_check")
+#: What is said of a slide to revise.
+TARGET_REASON = "Slide %s appears in %d issue-linked run(s)."
+TARGET_SUGGESTION = "Clarify %s with prerequisite reminders, tighter definitions, and at least one worked example."
+TARGET_LABEL = "[P%d] slide:%s - %s"
 
 
 def answered(runs: DataFrame) -> DataFrame:
@@ -81,8 +85,8 @@ def slide_evidence(runs: DataFrame) -> DataFrame:
 def revision_targets(runs: DataFrame, slides: DataFrame, limit: int = 5) -> DataFrame:
     none = F.array().cast("array<string>")
     top = slide_issue_counts(runs, slides).where(F.col("rank") <= limit).join(slide_evidence(runs), ["deck_id", "slide_id"], "left")
-    reason = F.format_string("Slide %s appears in %d issue-linked run(s).", "slide_title", "n")
-    return top.select("deck_id", "slide_id", "rank", F.col("n").alias("priority"), F.coalesce("issue_types", none).alias("issue_types"), F.coalesce("affected_profiles", none).alias("affected_profiles"), reason.alias("reason"), F.format_string("Clarify %s with prerequisite reminders, tighter definitions, and at least one worked example.", "slide_title").alias("suggestion"), F.format_string("[P%d] slide:%s - %s", "n", "slide_id", reason).alias("label"))
+    reason = F.format_string(TARGET_REASON, "slide_title", "n")
+    return top.select("deck_id", "slide_id", "rank", F.col("n").alias("priority"), F.coalesce("issue_types", none).alias("issue_types"), F.coalesce("affected_profiles", none).alias("affected_profiles"), reason.alias("reason"), F.format_string(TARGET_SUGGESTION, "slide_title").alias("suggestion"), F.format_string(TARGET_LABEL, "n", "slide_id", reason).alias("label"))
 
 
 def evidence_score() -> Column:

@@ -119,6 +119,31 @@ chapters AS (SELECT source_id, c, key AS chapter_key, anchor AS chapter_title FR
 placed AS (SELECT k.*, chapter_key, chapter_title, printed + gap AS pdf_page FROM keyed k JOIN offsets USING (source_id) LEFT JOIN chapters h ON k.source_id = h.source_id AND k.c = h.c)"""
 
 
+#: The search for titles goes from entry to entry, as each begins where the one before ended.
+LOCATED = rf"""
+cleaned AS (SELECT source_id, page_number, {clean_block("text")} AS text FROM book),
+page_starts AS (SELECT source_id, page_number, coalesce(sum(length(text) + 2) OVER (PARTITION BY source_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM cleaned),
+whole AS (SELECT source_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number) AS text FROM cleaned GROUP BY source_id),
+wanted AS (
+  SELECT p.source_id, p.entry, p.anchor, o.begin AS own, coalesce(f.begin, length(w.text)) AS following, w.text, '\b' || array_to_string(regexp_extract_all(p.anchor, '[A-Za-z0-9]+(?:[''’][A-Za-z0-9]+)?'), '\s+') || '\b' AS pattern
+  FROM (SELECT *, lead(pdf_page) OVER (PARTITION BY source_id ORDER BY entry) AS next_page FROM placed) p JOIN whole w USING (source_id)
+  LEFT JOIN page_starts o ON p.source_id = o.source_id AND p.pdf_page = o.page_number LEFT JOIN page_starts f ON p.source_id = f.source_id AND p.next_page = f.page_number),
+found AS (
+  SELECT source_id, 0::BIGINT AS entry, 0::BIGINT AS free, CAST(NULL AS BIGINT) AS start FROM whole
+  UNION ALL
+  SELECT source_id, entry, CASE WHEN hit THEN greatest(free, low + length(regexp_extract(part, '(?is)^(.*?)' || pattern)))  ELSE free END, CASE WHEN hit THEN low + length(regexp_extract(part, '(?is)^(.*?)' || pattern, 1)) END
+  FROM (SELECT *, regexp_matches(part, '(?i)' || pattern) AS hit FROM (
+    SELECT w.source_id, w.entry, f.free, w.pattern, greatest(f.free, coalesce(w.own, f.free)) AS low, w.text[greatest(f.free, coalesce(w.own, f.free)) + 1 : least(length(w.text), greatest(w.following + 20000, coalesce(w.own, f.free) + 30000))] AS part
+    FROM found f JOIN wanted w ON f.source_id = w.source_id AND w.entry = f.entry + 1))),
+bodies AS (
+  SELECT p.*, {clean_block("body")} AS body FROM placed p JOIN (
+    SELECT source_id, entry, text[start + 1 : coalesce(lead(start) OVER (PARTITION BY source_id ORDER BY entry), length(text))] AS body FROM found JOIN whole USING (source_id) WHERE start IS NOT NULL) b USING (source_id, entry)),
+kept AS (SELECT *, {tags("anchor", "chapter_title")} AS candidates FROM bodies WHERE length(body) >= 80),
+toc_units AS (
+  SELECT source_id, entry, key, title, {first_tags("candidates")} AS topic_tags, {role("title", "is_chapter")} AS pedagogical_role, md5({truncate("body", 9000)}) AS body_md5,
+    CASE WHEN is_chapter THEN lag(key) OVER (PARTITION BY source_id, is_chapter ORDER BY entry) WHEN chapter_key IS NOT NULL THEN coalesce(lag(key) OVER (PARTITION BY source_id, is_chapter, chapter_key ORDER BY entry), chapter_key) END AS prerequisite_key
+  FROM kept)"""
+
 PAGES = rf"""
 page_rows AS (SELECT source AS source_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page_number, coalesce(text, '') AS text FROM documents),
 ranges AS (SELECT source_id, page_number, coalesce(sum(length(text) + 2) OVER (PARTITION BY source_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin, length(text) AS n FROM page_rows WHERE text <> ''),
@@ -169,5 +194,6 @@ FROM headed h LEFT JOIN compiled k ON h.source_id = k.source_id LEFT JOIN (SELEC
         "structured_slides": f"WITH {SLIDES}\nSELECT deck_id, slide_id, title, len(key_points)::BIGINT AS n_key_points, array_to_string(terms, '|') AS terms, len(examples)::BIGINT AS n_examples FROM slides",
         "rule_tags": f"WITH {SLIDES}\nSELECT deck_id, student_profile, task_type, kind, tag, count(*) AS n FROM tagged WHERE tag <> '' GROUP BY ALL",
         "printed_offsets": f"WITH {BOOK}\nSELECT source_id, gap AS printed_offset FROM offsets",
+        "toc_units": f"WITH RECURSIVE {BOOK},{LOCATED}\nSELECT source_id, entry, key, title, topic_tags, pedagogical_role, prerequisite_key, body_md5 FROM toc_units",
         "toc_entries": f"WITH {BOOK}\nSELECT source_id, entry, CASE WHEN is_chapter THEN 'chapter' ELSE 'section' END AS kind, key, title, anchor, chapter_key, pdf_page FROM placed",
     }

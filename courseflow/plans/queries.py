@@ -272,7 +272,7 @@ def printed_offsets(s: SparkSession, d: str) -> DataFrame:
 
 
 def toc_units(s: SparkSession, d: str) -> DataFrame:
-    return comp.toc_units(_book(s, d).persist()).select("source_id", "entry", "key", "title", _joined("topic_tags"), "pedagogical_role", "prerequisite_key", F.md5("body_text").alias("body_md5"))
+    return comp.toc_units(_book(s, d).persist()).select("source_id", F.col("entry").cast("long").alias("entry"), "key", "title", _joined("topic_tags"), "pedagogical_role", "prerequisite_key", F.md5("body_text").alias("body_md5"))
 
 
 def topic_search(s: SparkSession, d: str) -> DataFrame:

@@ -317,20 +317,24 @@ class Tile:
         linked = _links(self.n[:, None], other.n[None, :], self.overlaps(other), percent)
         linked &= self.component[:, None] != other.component[None, :]
         x, y = np.nonzero(linked)
-        a, b = self.node[x], other.node[y]
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
-        while True:
-            least = np.minimum(root[x], root[y])
-            new = root.copy()
-            np.minimum.at(new, x, least)
-            np.minimum.at(new, y, least)
-            new = new[new]
-            if np.array_equal(new, root):
-                break
-            root = new
-        below = np.flatnonzero(root != np.arange(len(nodes)))
-        return nodes[root[below]], nodes[below]
+        return forest(self.node[x], other.node[y])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node): a forest of the links a - b, each node under the least node of its tree."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[below]], nodes[below]
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

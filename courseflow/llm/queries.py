@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courseflow.llm import chat_format, jaccard_join, mixing, piece_sampling, quality_rules, substring_dedup, surrogates, token_store, topk_search, warc
+from courseflow.llm import centroid_clustering, chat_format, jaccard_join, merkle_manifest, mixing, piece_sampling, quality_rules, simhash_dedup, substring_dedup, surrogates, token_store, topk_search, warc
 from courseflow.llm.shared import materialise
 
 
@@ -66,6 +66,20 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), count_as="n_entities")
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.components(_read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(picked, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest.manifest(_read(spark, sf_dir, "documents"), tampered).drop("proof")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_store, op2_topk_search, op3_quality_rules, op4_chat_format, op5_jaccard_join, op6_warc, op7_substring_dedup, op8_mixing, op9_piece_sampling, op10_surrogates)
+    found = (op1_token_store, op2_topk_search, op3_quality_rules, op4_chat_format, op5_jaccard_join, op6_warc, op7_substring_dedup, op8_mixing, op9_piece_sampling, op10_surrogates, op11_simhash_dedup, op12_centroid_clustering, op13_merkle_manifest)
     return {f.__name__: f for f in found}

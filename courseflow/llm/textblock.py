@@ -72,7 +72,7 @@ class Words:
     """Words of a block: ``start`` and ``end`` byte positions, ``row`` and a 64-bit ``hash`` of each;
     ``first[i]`` to ``first[i + 1]`` are those of row i."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, hashed: bool = True):
         self.raw, self.at = raw, at
         inside = np.zeros(len(raw) + 1, bool)
         inside[:-1] = ~SEPARATOR[raw]
@@ -86,7 +86,8 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, at)
         self.row = np.repeat(np.arange(len(at) - 1), np.diff(self.first))
-        self.hash = span_hash(raw, self.start, self.end)
+        if hashed:
+            self.hash = span_hash(raw, self.start, self.end)
 
     def windows(self, k: int) -> np.ndarray:
         """Index of the first word of each window of k words of one row."""

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -155,3 +157,80 @@ def mix_plan(rows, whole=False, cap=3):
                 at += size
     out.sort(key=lambda x: x[:3])
     return [(t, c, d, n) for t, c, _, d, n in out]
+
+
+def simhash(text, k=3):
+    w = words((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    shingles = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def op11(rows, radius=2):
+    prints = [(d, simhash(t)) for d, t in rows]
+    known = [(d, x) for d, x in prints if d is not None]
+    least = {d: d for d, _ in known}
+    changed = True
+    while changed:
+        changed = False
+        for d, x in known:
+            for e, y in known:
+                if (d == e or (x ^ y).bit_count() <= radius) and least[e] < least[d]:
+                    least[d], changed = least[e], True
+    return [(d, f"{x:016x}", least.get(d)) for d, x in prints]
+
+
+def op12(rows, count=8, rounds=10, scale=1024):
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [math.floor(Fraction(float(x)) * scale) for x in v]))
+    first = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1]))
+    centroids = [v for _, v in first[:count]]
+    nearest = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), i) for i, c in enumerate(centroids))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[nearest(v)[1]].append(v)
+        centroids = [[sum(x) // len(groups[i]) for x in zip(*groups[i])] if i in groups else c for i, c in enumerate(centroids)]
+    fits = lambda x: x if x is not None and x < 1 << 63 else None
+    add = lambda values: None if any(fits(x) is None for x in values) else sum(values)
+    placed = [(i, *nearest(v)) for i, v in kept]
+    sums = {c: add([d for _, d, k in placed if k == c]) for c in {k for *_, k in placed}}
+    total = None if None in sums.values() else sum(sums.values())
+    return [(i, c, fits(d), fits(sums[c]), fits(total), hashlib.sha256(",".join(map(str, centroids[c])).encode()).hexdigest()) for i, d, c in placed]
+
+
+def op13(rows):
+    """Rows are (doc_id, source, lang, n_chars, text)."""
+    digest = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    leaf = lambda row: digest(*["-" if x is None else f"{len(str(x).encode())}:{x}" for x in row])
+
+    def tree(nodes):
+        paths, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for i, path in enumerate(paths):
+                first = at[i] - at[i] % 3
+                path.append(("".join(nodes[first : at[i]]), "".join(nodes[at[i] + 1 : first + 3])))
+                at[i] //= 3
+            nodes = [digest(*nodes[i : i + 3]) for i in range(0, len(nodes), 3)]
+        return nodes[0], paths
+
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[1]].append(((row[0] is not None, row[0] or 0, leaf(row)), row))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    members = [sorted(groups[s], key=lambda x: x[0]) for s in order]
+    trees = [tree([key[2] for key, _ in m]) for m in members]
+    root, tops = tree([sub for sub, _ in trees])
+    out = []
+    for m, (sub, paths), top in zip(members, trees, tops):
+        for (key, row), path in zip(m, paths):
+            doc_id, text = row[0], row[4]
+            if doc_id is not None and text is not None and zlib.crc32(str(doc_id).encode()) % 2 == 0:
+                text = text.replace("\n", "")
+            folded = leaf((*row[:4], text))
+            for before, after in path + top:
+                folded = digest(before, folded, after)
+            out.append((doc_id, key[2], sub, root, digest(*[a + b for a, b in path + top]), folded, folded == root))
+    return out

@@ -90,12 +90,12 @@ stored AS (
 BOOK = rf"""
 numbered_pages AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents),
 opened AS (
-  SELECT source || '#' || ((page - 1) // 30) AS source_id, (page - 1) % 30 + 1 AS n, coalesce(text, '') AS text,
+  SELECT source || '#' || ((page - 1) // 30) AS source_id, (page - 1) % 30 + 1 AS n, (page - 1) // 30 % 3 + 1 AS front, coalesce(text, '') AS text,
     string_split({flat("regexp_replace(coalesce(text, ''), '[^A-Za-z ]', ' ', 'g')")}, ' ')[1:4] AS words FROM numbered_pages),
 titled AS (SELECT *, CASE WHEN n % 5 = 1 THEN 'Chapter ' || n || ': ' ELSE '' END || array_to_string(words, ' ') AS heading FROM opened),
 book AS (
   SELECT source_id, 1 AS page_number, 'Table of Contents' || chr(10) || string_agg(heading || ' ' || n, chr(10) ORDER BY n) || chr(10) || 'Index 99' AS text FROM titled WHERE array_to_string(words, '') <> '' GROUP BY source_id
-  UNION ALL SELECT source_id, n + 1, '[ ' || n || ' ]' || chr(10) || array_to_string(words, ' ') || chr(10) || text FROM titled),
+  UNION ALL SELECT source_id, n + front + CASE WHEN n % 11 = 0 THEN 1000 ELSE 0 END, CASE WHEN n % 4 = 0 THEN '' ELSE '[ ' || n || ' ]' || chr(10) END || array_to_string(words, ' ') || chr(10) || text FROM titled),
 book_lines AS (SELECT source_id, page_number, unnest(regexp_split_to_array(text, '{BREAK}')) AS raw, unnest(range(len(regexp_split_to_array(text, '{BREAK}')))) AS pos FROM book),
 gaps AS (SELECT source_id, page_number - CAST(regexp_extract({strip("raw")}, '^\[\s*(\d+)\s*\]$', 1) AS BIGINT) AS gap, page_number * 100 + pos AS seen FROM book_lines WHERE pos < 6 AND regexp_matches({strip("raw")}, '^\[\s*(\d+)\s*\]$')),
 offsets AS (SELECT source_id, gap FROM (SELECT source_id, gap, row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, min(seen)) AS nth FROM gaps WHERE gap BETWEEN 0 AND 40 GROUP BY source_id, gap) WHERE nth = 1),

@@ -196,14 +196,14 @@ def chunk_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_pages(s: SparkSession, d: str) -> DataFrame:
-    found = chunks.page_chunk_pages(b.page_texts(s, d))
+    found = chunks.page_chunks(b.page_texts(s, d))
     return found.select("source_id", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "page_start", "page_end")])
 
 
 def chunk_manifest(s: SparkSession, d: str) -> DataFrame:
     pages = b.page_texts(s, d)
     books = pages.select("source_id").distinct().select("source_id", F.lit("pdf").alias("source_type"), F.lit("books").alias("module_tag"), F.lit(None).cast("string").alias("week_tag"))
-    rows = chunks.chunk_manifest(chunks.text_chunks(chunks.joined_texts(pages)), chunks.page_chunk_pages(pages), books)
+    rows = chunks.chunk_manifest(chunks.page_chunks(pages), books)
     return rows.select("chunk_id", "source_id", "source_type", "module_tag", "week_tag", *[F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end", "page_start", "page_end")], F.md5("chunk_text").alias("text_md5"))
 
 
@@ -253,18 +253,22 @@ def existing_units(s: SparkSession, d: str) -> DataFrame:
 
 def _book(s: SparkSession, d: str) -> DataFrame:
     """Books with a table of contents derived from ``documents``: page 1 lists every page's first words. A
-    source is as many books of 30 pages as it needs, so every document takes part."""
-    pages = b.page_texts(s, d).withColumn("words", F.slice(F.split(fx.collapse(F.regexp_replace("text", "[^A-Za-z ]", " ")), " "), 1, 4))
+    source is as many books of 30 pages as it needs, so every document takes part. Books differ in their pages before
+    number 1; every fourth page has no printed number; pages 11 and 22 are bound in far behind the place that is listed."""
+    start = F.regexp_extract("text", r"^[^A-Za-z]*((?:[A-Za-z]+[^A-Za-z]*){0,4})", 1)  # as far as four words go
+    pages = b.page_texts(s, d).withColumn("words", F.split(fx.collapse(F.regexp_replace(start, "[^A-Za-z ]", " ")), " "))
     book = F.floor((F.col("page_number") - 1) / 30)
-    numbered = pages.withColumn("n", (F.col("page_number") - 1) % 30 + 1).withColumn("source_id", F.concat_ws("#", "source_id", book.cast("string")))
+    numbered = pages.withColumn("n", (F.col("page_number") - 1) % 30 + 1).withColumn("front", book % 3 + 1).withColumn("source_id", F.concat_ws("#", "source_id", book.cast("string")))
     titled = numbered.withColumn("heading", F.concat(F.when(F.col("n") % 5 == 1, F.concat(F.lit("Chapter "), "n", F.lit(": "))).otherwise(F.lit("")), F.array_join("words", " ")))
     index = titled.where("array_join(words, '') <> ''").groupBy("source_id").agg(F.concat(F.lit("Table of Contents\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat("heading", F.lit(" "), "n").alias("line")))), lambda x: x["line"]), "\n"), F.lit("\nIndex 99")).alias("text")).withColumn("page_number", F.lit(1))
-    bodies = titled.select("source_id", F.concat(F.lit("[ "), "n", F.lit(" ]\n"), F.array_join("words", " "), F.lit("\n"), "text").alias("text"), (F.col("n") + 1).alias("page_number"))
+    printed = F.when(F.col("n") % 4 == 0, "").otherwise(F.concat(F.lit("[ "), "n", F.lit(" ]\n")))
+    place = F.col("n") + F.col("front") + F.when(F.col("n") % 11 == 0, 1000).otherwise(0)
+    bodies = titled.select("source_id", F.concat(printed, F.array_join("words", " "), F.lit("\n"), "text").alias("text"), place.cast("int").alias("page_number"))
     return index.select("source_id", "page_number", "text").unionByName(bodies.select("source_id", "page_number", "text"))
 
 
 def toc_entries(s: SparkSession, d: str) -> DataFrame:
-    return comp.toc_entries(_book(s, d).persist()).select("source_id", F.col("entry").cast("long").alias("entry"), "kind", "key", "title", "anchor", "chapter_key", "pdf_page")
+    return comp.toc_entries(_book(s, d)).select("source_id", F.col("entry").cast("long").alias("entry"), "kind", "key", "title", "anchor", "chapter_key", "pdf_page")
 
 
 def printed_offsets(s: SparkSession, d: str) -> DataFrame:
@@ -272,7 +276,7 @@ def printed_offsets(s: SparkSession, d: str) -> DataFrame:
 
 
 def toc_units(s: SparkSession, d: str) -> DataFrame:
-    return comp.toc_units(_book(s, d).persist()).select("source_id", F.col("entry").cast("long").alias("entry"), "key", "title", _joined("topic_tags"), "pedagogical_role", "prerequisite_key", F.md5("body_text").alias("body_md5"))
+    return comp.toc_units(_book(s, d)).select("source_id", F.col("entry").cast("long").alias("entry"), "key", "title", _joined("topic_tags"), "pedagogical_role", "prerequisite_key", F.md5("body_text").alias("body_md5"))
 
 
 def topic_search(s: SparkSession, d: str) -> DataFrame:

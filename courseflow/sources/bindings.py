@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from courseflow.functions import text as fx
 from courseflow.sources import tables
@@ -85,11 +86,11 @@ def qa_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one ``source`` as the pages of a book."""
-    from pyspark.sql import Window as W
-
+    """Documents of one ``source`` as the pages of a book. Pages are counted without their texts."""
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("source_id"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
+    order = W.partitionBy("source").orderBy("doc_id")
+    numbers = d.select(F.col("doc_id").alias("of"), F.col("source").alias("source_id"), F.row_number().over(order).alias("page_number"))
+    return tables.spread(d.select("doc_id", "text")).join(numbers, F.col("doc_id") == F.col("of")).select("source_id", "page_number", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def requests(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +26,33 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; where that is empty, a local session gets a temporary
+    folder, and a cluster, whose executors would not share one, an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="courseflow-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: what is used several times is computed once, and its lineage ends."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SPREAD = 8  # scan partitions, of at most spark.sql.files.maxPartitionBytes each
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, if its scan gives fewer partitions than there are: for work within the row that costs more
-    than an exchange of the rows. Large tables have more partitions and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    than an exchange of the rows. A scan of more than ``SPREAD`` partitions (1 GB by default) stays as it is."""
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts < cores and parts <= SPREAD else df
 
 
 def register_files(spark: SparkSession, path: str, module_tag: str, uploader: str, created_at: Column, week_tag: str | None = None) -> DataFrame:

@@ -125,19 +125,55 @@ def test_rule_tags_keep_all_kinds(spark, tmp_path):
     assert {k[-1] for k in got if k[3] == "prerequisite"} > {"basic_statistics"}
 
 
-def test_chunk_pages_without_a_joined_text(spark):
-    from courseflow.plans import queries
-
+def _plain_chunks(pages, size=1000, overlap=100):
+    """(source, index, start, end, first page, last page, text) from each source's joined text."""
+    by, out = {}, []
+    for source, number, text in sorted(pages, key=lambda p: (p[0] or "", p[1])):
+        if text:
+            by.setdefault(source, []).append((number, text))
+    for source, own in by.items():
+        joined, ranges = "", []
+        for number, text in own:
+            at = len(joined) + 2 * bool(joined)
+            joined = f"{joined}\n\n{text}" if joined else text
+            ranges.append((number, at, at + len(text)))
+        whole, index, at = joined.strip(), 0, 0
+        while whole:
+            end = min(at + size, len(whole))
+            if whole[at:end].strip():
+                met = [n for n, a, z in ranges if at <= z and end >= a]
+                out.append((source, index, at, end, min(met, default=None), max(met, default=None), whole[at:end].strip()))
+                index += 1
+            if end == len(whole):
+                break
+            at += size - overlap
+    return out
+
+
+def test_page_chunks_equal_those_of_joined_texts(spark):
     pages = [("a", i, t) for i, t in enumerate(["", " \n  ", "  lead " + "x" * 2500, " " * 3000, "y " * 700, "", "é" * 99, "z", "q" * 1400 + "  \n"], 1)]
     pages += [("b", i, "w" * (i * 37 % 400)) for i in range(1, 60)] + [("c", 1, "  "), ("d", 1, "one"), ("e", 1, "p" * 1000), ("e", 2, "p" * 898), ("e", 3, "x"), ("f", 1, " " * 2500 + "x" * 50), (None, 1, "text")]
+    pages += [("hot", i, f"page {i} " * (i * 7919 % 50)) for i in range(1, 1200)] + [("gap", 1, "a" * 950), ("gap", 2, " " * 4000 + "b"), ("gap", 3, " " * 40 + "c" * 3000)]
     df = spark.createDataFrame(pages, "source_id string, page_number int, text string")
     key = lambda r: (r[0] or "", r[1])
-    rows = lambda f: sorted((tuple(r) for r in f.select("source_id", "chunk_index", "char_start", "char_end", "page_start", "page_end").collect()), key=key)
-    new = chunks.page_chunk_pages(df)
-    want = rows(chunks.chunk_pages(chunks.text_chunks(chunks.joined_texts(df)), chunks.page_ranges(df)))
-    assert [r for r in rows(new) if r[0]] == [r for r in want if r[0]]
-    assert [r for r in rows(new) if not r[0]] == [(None, 0, 0, 4, 1, 1)]
-    assert "chunk_text" not in queries.chunk_pages.__code__.co_names and "joined_texts" not in queries.chunk_pages.__code__.co_names
+    got = chunks.page_chunks(df).select("source_id", "chunk_index", "char_start", "char_end", "page_start", "page_end", "chunk_text")
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(_plain_chunks(pages), key=key)
+    small = chunks.page_chunks(df.where("source_id in ('a', 'e')"), 50, 49)
+    assert sorted((r.source_id, r.chunk_index, r.chunk_text) for r in small.collect()) == sorted((s, i, x) for s, i, *_, x in _plain_chunks([p for p in pages if p[0] in ("a", "e")], 50, 49))
+    assert chunks.page_chunks(df.limit(0)).count() == 0
+
+
+def test_running_sums_are_dealt_by_rows_not_by_source(spark):
+    from courseflow.operators import offsets
+
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("n"))
+    got = offsets.running(df, "g", "o", before=F.col("n"), nth=F.lit(1)).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r.o):
+        n, rows = seen.get(r.g, (0, 0))
+        assert (r.before, r.nth) == (n, rows)
+        seen[r.g] = (n + r.n, rows + 1)
+    assert len(got) == 5000
 
 
 def test_qa_uplift(spark):

@@ -41,7 +41,7 @@ def test_pages_come_back_and_are_complete(spark, tmp_path):
 def test_chunk_manifest_has_the_fields_of_its_source(spark):
     pages = spark.createDataFrame([("a", 1, "x" * 1500), ("a", 2, "y" * 200)], "source_id string, page_number int, text string")
     sources = spark.createDataFrame([("a", "pdf", "m", None)], "source_id string, source_type string, module_tag string, week_tag string")
-    rows = chunks.chunk_manifest(chunks.text_chunks(chunks.joined_texts(pages)), chunks.page_chunk_pages(pages), sources).orderBy("chunk_index").collect()
+    rows = chunks.chunk_manifest(chunks.page_chunks(pages), sources).orderBy("chunk_index").collect()
     assert [(r.chunk_id, r.week_tag, r.page_start, r.page_end) for r in rows] == [("src::a::chunk::0", "", 1, 1), ("src::a::chunk::1", "", 1, 2)]
 
 
@@ -182,17 +182,6 @@ def test_requests_without_a_module_come_in_any_number(spark):
     assert exact.count() == 10_300 and exact.where("u_title <> topic").count() == 0
 
 
-def test_entry_places_follow_the_rule():
-    text = "x " * 200 + "Alpha\n beta " + "y " * 10 + "alpha beta gamma " + "z " * 16_000 + "Late title " + "w " * 20_000 + "Too late"
-    first, second, late, far = (text.index(t) for t in ("Alpha\n", "alpha beta", "Late title", "Too late"))
-    assert comp.entry_places(["Alpha Beta"], [0], [10], text) == [(first, first + len("Alpha\n beta"))]
-    assert comp.entry_places(["Alpha beta", "ALPHA-BETA"], [0, None], [0, 0], text) == [(first, first + len("Alpha\n beta")), (second, second + len("alpha beta"))]
-    assert comp.entry_places(["alpha beta"], [first + 1], [0], text)[0][0] == second
-    assert comp.entry_places(["late title"], [0], [late - 20_000], text) == [None] and comp.entry_places(["late title"], [3_000], [0], text)[0][0] == late
-    assert comp.entry_places(["gone", "too late"], [0, far - 29_000], [0, 0], text) == [None, (far, len(text))]
-    assert comp.title_pattern("It's (a) test: 2").pattern.endswith(r"test\s+2\b")
-
-
 def test_contents_without_a_printed_page_number_are_no_route(spark):
     body = "This body is long enough to be kept as a unit of its own, since it has more than one hundred and twenty characters in its only line."
     pages = spark.createDataFrame([("b", 1, f"Table of Contents\nAlpha 1\nIndex 9\nAlpha\n{body}")], "source_id string, page_number int, text string")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from courseflow.functions import text as fx
+from courseflow.operators import postings
+from courseflow.operators.vectors import vector_topk
+from courseflow.sources import tables
 
-REQUEST_BLOCK, QUERY_BLOCK, RECORD_BLOCK = 256, 256, 4096
 TOPK_UNITS, TOPK_CHUNKS = (8, 4), 24  # fixed values: units asked for at least and for each topic, chunks asked for
 ROLE_ORDER = {"concept": 0, "example": 1, "caution": 2, "prerequisite": 3}
 
@@ -47,80 +45,48 @@ def look_up(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def _fits(r: str, u: str) -> str:
     """Whether a unit meets a request's module, week and difficulty; what a request leaves empty meets all."""
-    return " and ".join(f"(coalesce({r}{want}, '') = '' or {r}{want} = {u}{have})" for want, have in (("module", "module_tag"), ("week", "week_tag"), ("difficulty_level", "difficulty_level")))
+    return " and ".join(f"(coalesce({r}{want}, '') = '' or {r}{want} = {u}{have})" for want, have in _META)
+
+
+_META = (("module", "module_tag"), ("week", "week_tag"), ("difficulty_level", "difficulty_level"))
+
+
+def _approved(units: DataFrame) -> DataFrame:
+    fine = units.where("approval_status = 'approved'")
+    return fine.select(*[F.col(f"`{c}`").alias(f"u_{c}") for c in fine.columns])
+
+
+def _by_metadata(asked: DataFrame, units: DataFrame) -> DataFrame:
+    """Every request with every unit that it fits: joined on the first field that the request names, if it names one."""
+    given = [F.coalesce(want, F.lit("")) != "" for want, _ in _META]
+    unnamed, out = F.lit(True), None
+    for (want, have), named in zip(_META, given):
+        part = asked.where(unnamed & named).join(units, F.expr(f"{want} = u_{have} and " + _fits("", "u_")))
+        out, unnamed = part if out is None else out.unionByName(part), unnamed & ~named
+    return out.unionByName(postings.paired(units, asked.where(unnamed)), allowMissingColumns=False)
 
 
 def matches(requests: DataFrame, units: DataFrame) -> DataFrame:
     """Approved units that meet each request's metadata and topics (all that meet the metadata, if it names none), with
     their topic score; unit columns start with ``u_``.
 
-    Requests with a module meet units on it. The others are dealt to blocks, and each unit meets each block over
-    its number: what a request matches is found within the row, so only matches become rows."""
-    r = requests.withColumn("scope", fx.parse_scope(F.col("topic")))
-    fine = units.where("approval_status = 'approved'")
-    fine = fine.select(*[F.col(f"`{c}`").alias(f"u_{c}") for c in fine.columns])
-    named, open_ = (r.where(f"coalesce(module, '') {x} ''") for x in ("<>", "="))
-    flat = named.join(fine, F.expr("module = u_module_tag and " + _fits("", "u_"))).withColumn("topic_score", fx.scope_score(F.col("scope"), F.col("u_title"), F.col("u_topic_tags")))
-    blocks = max(1, -(-open_.count() // REQUEST_BLOCK))
-    dealt = open_.groupBy(F.pmod(F.xxhash64("request_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*r.columns)).alias("all"))
-    every = fine.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
-    meets = F.filter("all", lambda x: F.expr("true") & _meets(x, "week", "u_week_tag") & _meets(x, "difficulty_level", "u_difficulty_level"))
-    scored = F.transform(meets, lambda x: F.struct(x.alias("r"), fx.scope_score(x["scope"], F.col("u_title"), F.col("u_topic_tags")).alias("topic_score")))
-    hit = F.filter(scored, lambda x: (F.size(x["r"]["scope"]) == 0) | x["topic_score"].isNotNull())
-    each = every.withColumn("m", F.explode(hit)).select("m.r.*", *fine.columns, "m.topic_score")
-    return flat.where("size(scope) = 0 or topic_score is not null").unionByName(each)
-
-
-def _meets(x: Column, wanted: str, column: str) -> Column:
-    return (F.coalesce(x[wanted], F.lit("")) == "") | (x[wanted] == F.col(column))
-
-
-def vector_topk(queries: DataFrame, records: DataFrame, k: Column | int, filters: dict[str, str] | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k records of largest cosine for each query, ties by id.
-
-    Blocks of ``queries`` (query_id, vector) meet blocks of records over an explicit key; each pair of blocks
-    keeps a query's own k rows, and a window merges them. ``filters`` maps record to query columns."""
-    filters = filters or {}
-    n_filters = len(filters)
-    own = F.lit(k) if isinstance(k, int) else k
-    fits = [F.col(q).alias(f"f{i}") for i, q in enumerate(filters.values())]
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), own.cast("int").alias("k"), *fits)
-    kept = records.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), *[F.coalesce(c, F.lit("")).alias(f"f{i}") for i, c in enumerate(filters)])
-    parts, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (records, RECORD_BLOCK)))
-    dealt = lambda df, n, key: df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block"))
-    q = dealt(asked, parts, "query_id").agg(F.collect_list(F.struct(*asked.columns)).alias("q")).withColumnRenamed("block", "part")
-    r = dealt(kept, blocks, "id").agg(F.collect_list(F.struct(*kept.columns)).alias("r")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    pairs = r.repartition(max(1, min(10_000, parts * blocks)), "part", "block").join(q, "part").select("q", "r")
-
-    def unit(rows: list) -> np.ndarray:
-        v = np.array([list(x) for x in rows], float)
-        n = np.linalg.norm(v, axis=1)
-        return v / np.where(n == 0, 1.0, n)[:, None]
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1).to_pylist()[0]
-                ids = np.array([x["id"] for x in one["r"]], object)
-                score = unit([x["embedding"] for x in one["r"]]) @ unit([x["vector"] for x in one["q"]]).T
-                columns = [np.array([x[f"f{n}"] for x in one["r"]], object) for n in range(n_filters)]
-                names, found, scores, most = [], [], [], []
-                for j, x in enumerate(one["q"]):
-                    fit = np.ones(len(ids), bool)
-                    for n, values in enumerate(columns):
-                        if x[f"f{n}"] is not None:
-                            fit &= values == x[f"f{n}"]
-                    at = np.flatnonzero(fit)
-                    at = at[np.lexsort((ids[at], -score[at, j]))[: x["k"]]]
-                    names += [x["query_id"]] * len(at)
-                    found += ids[at].tolist()
-                    scores += score[at, j].tolist()
-                    most += [x["k"]] * len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(most, pa.int32())], ["query_id", "id", "score", "k"])
-
-    hits = pairs.mapInArrow(best, "query_id string, id string, score double, k int")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= F.col("k")).drop("k")
+    Every different topic is looked up once, under its rarest gram; what it matches is joined to the requests that ask for
+    it. Requests without topics, or with one that has no letters or digits, meet units on their metadata."""
+    r = tables.written(requests.withColumn("scope", fx.parse_scope(F.col("topic"))), "requests")
+    fine = tables.written(_approved(units), "approved")
+    meta = fine.select("u_knowledge_id", "u_module_tag", "u_week_tag", "u_difficulty_level")
+    fields = ["request_id", *[want for want, _ in _META]]
+    asked = r.withColumn("q", F.transform("scope", fx.normalize_topic))
+    every = (F.size("q") == 0) | F.array_contains("q", "")
+    topics = asked.where(~every).select(*fields, F.explode(F.array_distinct("q")).alias("q"))
+    found = postings.topic_scores(fine.select(F.col("u_knowledge_id").alias("id"), F.col("u_title").alias("title"), F.col("u_topic_tags").alias("tags")), topics.select("q").distinct())
+    told = tables.written(found.withColumnRenamed("id", "u_knowledge_id").join(meta, "u_knowledge_id"), "topic-scores")
+    named = F.coalesce("module", F.lit("")) != ""
+    on_module = topics.where(named).join(told.withColumnRenamed("q", "its_q"), F.expr("q = its_q and module = u_module_tag and " + _fits("", "u_")))
+    on_topic = topics.where(~named).join(told.withColumnRenamed("q", "its_q"), F.expr("q = its_q and " + _fits("", "u_")))
+    scored = on_module.unionByName(on_topic).groupBy("request_id", "u_knowledge_id").agg(F.min("score").alias("topic_score"))
+    plain = _by_metadata(asked.where(every).select(*fields, F.when(F.size("q") > 0, 0).alias("topic_score")), meta).select("request_id", "u_knowledge_id", "topic_score")
+    return scored.unionByName(plain).join(r, "request_id").join(fine, "u_knowledge_id").select(*r.columns, *fine.columns, "topic_score")
 
 
 def request_vectors(requests: DataFrame) -> DataFrame:
@@ -154,12 +120,11 @@ def bundle(requests: DataFrame, units: DataFrame, hits: DataFrame | None = None)
         rows = rows.withColumn("semantic_rank", F.lit(None).cast("int"))
     else:
         h = hits.select(F.col("query_id").alias("request_id"), F.col("id").alias("u_knowledge_id"), (F.col("rank") - 1).alias("semantic_rank"))
-        fine = units.where("approval_status = 'approved'")
-        fine = fine.select(*[F.col(f"`{c}`").alias(f"u_{c}") for c in fine.columns])
+        fine = _approved(units)
         told = h.join(requests.withColumn("scope", fx.parse_scope(F.col("topic"))), "request_id").join(fine, "u_knowledge_id").where(_fits("", "u_"))
         told = told.withColumn("topic_score", fx.scope_score(F.col("scope"), F.col("u_title"), F.col("u_topic_tags")))
         rows = rows.join(h, ["request_id", "u_knowledge_id"], "left").unionByName(told.select(*rows.columns, "semantic_rank"))
-    rows = rows.dropDuplicates(["request_id", "u_knowledge_id"])  # one that is both has equal rows
+        rows = rows.dropDuplicates(["request_id", "u_knowledge_id"])  # one that is both has equal rows
     role = F.lit(99)
     for name, place in ROLE_ORDER.items():
         role = F.when(F.col("u_pedagogical_role") == name, place).otherwise(role)

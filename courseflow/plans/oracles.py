@@ -144,9 +144,12 @@ def _score(query: str, candidate: str) -> str:
 
 
 REQUESTS = """
-requests(request_id, module, week, topic, difficulty_level, generation_target) AS (VALUES
-  ('r1', NULL, NULL, 'ring', NULL, 'lesson'), ('r2', 'Brand#1', NULL, 'red', NULL, 'quiz'), ('r3', 'Brand#2', '', 'blue,gear', NULL, NULL), ('r4', NULL, 'week_3', '!!!', NULL, NULL),
-  ('r5', 'Brand#3', NULL, '', 'easy', NULL), ('r6', NULL, NULL, 'economy widget', 'hard', 'deck'), ('r7', 'none', NULL, 'ring', NULL, NULL)),
+requests AS (
+  SELECT 'r' || k AS request_id, CASE WHEN k % 32 = 0 AND k % 10 <> 4 OR k % 1000 IN (203, 404) THEN NULL WHEN k % 40 = 17 THEN '' WHEN k % 50 = 9 THEN 'none' ELSE 'Brand#' || (k % 25 + 1) END AS module,
+    CASE WHEN k % 6 = 1 THEN 'week_' || (k % 12) WHEN k % 7 = 3 THEN '' END AS week,
+    (['ring', 'red', 'blue,gear', '!!!', '', 'economy widget', 'small ring, hot', 'an', 'o', 'old bolt,anvil'])[k % 10 + 1] AS topic,
+    CASE k % 5 WHEN 2 THEN 'easy' WHEN 4 THEN 'hard' END AS difficulty_level, (['lesson', 'quiz', 'deck', NULL])[k % 4 + 1] AS generation_target
+  FROM (SELECT c_custkey AS k FROM customer)),
 topics AS (SELECT request_id, trim(t) AS t FROM (SELECT request_id, unnest(string_split(topic, ',')) AS t FROM requests) WHERE trim(t) <> ''),
 fits AS (
   SELECT r.request_id, r.topic, u.* FROM requests r JOIN units u ON u.approval_status = 'approved'
@@ -265,6 +268,8 @@ FROM (SELECT page_id, filename, lower(regexp_extract(filename, '\\.([^./]+)$', 1
         "text_query": u + f"SELECT knowledge_id, title, module_tag FROM units WHERE difficulty_level = 'easy' AND contains({_norm("title || ' ' || summary || ' ' || body_text")}, 'economy red')",
         "bulk_approval": u + f"SELECT knowledge_id, CASE WHEN moved THEN 'approved' ELSE approval_status END AS approval_status, moved FROM (SELECT *, approval_status = 'draft' AND coalesce({_score("'ring'", 'title')}, {_score("'ring'", 'topic_tags[1]')}, {_score("'ring'", 'topic_tags[2]')}) IS NOT NULL AS moved FROM units)",
         "knowledge_summary": u + "SELECT (SELECT count(*) FROM documents) AS sources, count(*) FILTER (WHERE approval_status = 'draft') AS drafts, count(*) FILTER (WHERE approval_status = 'approved') AS approved, 1704067200 + greatest(max(p_partkey), (SELECT max(doc_id) FROM documents)) AS latest_s FROM units",
+        "unit_text_matches": u + f"SELECT search_id, knowledge_id FROM (SELECT 'q' || s_suppkey AS search_id, CASE WHEN s_suppkey % 100 = 57 THEN ' ?' ELSE (['Economy RED', 'small', 'of brand', 'an', 'o', 'PROMO-old ring', 'brand 2', 'ing of', 'zz', 'about hot gear'])[s_suppkey % 10 + 1] END AS q FROM supplier) JOIN (SELECT knowledge_id, {_norm("title || ' ' || summary || ' ' || body_text")} AS t FROM units) ON contains(t, {_norm('q')})",
+        "document_text_matches": f"SELECT search_id, doc_id FROM (SELECT 'b' || item_id AS search_id, {_norm('substring(text, item_id % 30 + 1, CASE WHEN item_id % 50 = 0 THEN 2 ELSE 25 END)')} AS q FROM benchmark) JOIN (SELECT doc_id, {_norm("coalesce(text, '')")} AS t FROM documents) ON contains(t, q)",
         "vector_topk": """WITH s AS (SELECT q.vec_id AS query_id, r.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])) AS score
   FROM embeddings q JOIN embeddings r ON q.label = r.label WHERE q.vec_id % 50 = 0)
 SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS nth FROM s) WHERE nth <= 8""",

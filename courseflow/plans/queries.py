@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from courseflow.functions import text as fx
-from courseflow.operators import analytics, chunks, graph, qa, retrieval, signals
+from courseflow.operators import analytics, chunks, graph, postings, qa, retrieval, signals
 from courseflow.operators import compile as comp
 from courseflow.sources import bindings as b
 from courseflow.sources import tables
@@ -287,6 +287,16 @@ def text_query(s: SparkSession, d: str) -> DataFrame:
     return retrieval.search(b.units(s, d), q="Economy RED", difficulty_level="easy").select("knowledge_id", "title", "module_tag")
 
 
+def unit_text_matches(s: SparkSession, d: str) -> DataFrame:
+    rows = b.units(s, d).select(F.col("knowledge_id").alias("id"), F.concat_ws(" ", "title", "summary", "body_text").alias("text"))
+    return postings.text_matches(rows, b.unit_searches(s, d)).select("search_id", F.col("id").alias("knowledge_id"))
+
+
+def document_text_matches(s: SparkSession, d: str) -> DataFrame:
+    rows = tables.spread(b.read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return postings.text_matches(rows, b.text_searches(s, d)).select("search_id", F.col("id").alias("doc_id"))
+
+
 def bulk_approval(s: SparkSession, d: str) -> DataFrame:
     units = b.units(s, d)
     chosen = retrieval.bulk_selection(units, topic="ring")
@@ -318,7 +328,7 @@ def vector_upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bundle(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bundle(b.requests(s), b.units(s, d))
+    return retrieval.bundle(b.requests(s, d), b.units(s, d))
 
 
 def context_bundle(s: SparkSession, d: str) -> DataFrame:
@@ -326,11 +336,11 @@ def context_bundle(s: SparkSession, d: str) -> DataFrame:
 
 
 def unit_hits(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.unit_hits(b.requests(s), b.units(s, d)).select(F.col("query_id").alias("request_id"), F.col("id").alias("knowledge_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.unit_hits(b.requests(s, d), b.units(s, d)).select(F.col("query_id").alias("request_id"), F.col("id").alias("knowledge_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _semantic_bundle(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bundle(b.requests(s), b.units(s, d), retrieval.unit_hits(b.requests(s), b.units(s, d)))
+    return retrieval.bundle(b.requests(s, d), b.units(s, d), retrieval.unit_hits(b.requests(s, d), b.units(s, d)))
 
 
 def context_bundle_semantic(s: SparkSession, d: str) -> DataFrame:
@@ -342,7 +352,7 @@ def bundle_sources(s: SparkSession, d: str) -> DataFrame:
 
 
 def bundle_trace(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.assemble(b.requests(s), _bundle(s, d)).select("request_id", F.size("unit_ids").cast("long").alias("n_units"), F.md5(F.array_join("unit_ids", "|")).alias("units_md5"), F.md5(F.array_join("source_ids", "|")).alias("sources_md5"), "used_scope")
+    return retrieval.assemble(b.requests(s, d), _bundle(s, d)).select("request_id", F.size("unit_ids").cast("long").alias("n_units"), F.md5(F.array_join("unit_ids", "|")).alias("units_md5"), F.md5(F.array_join("source_ids", "|")).alias("sources_md5"), "used_scope")
 
 
 def _chunk_rows(s: SparkSession, d: str) -> DataFrame:
@@ -351,9 +361,9 @@ def _chunk_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _supporting(s: SparkSession, d: str, bundled: DataFrame) -> DataFrame:
-    pieces = _chunk_rows(s, d)
+    pieces = tables.written(_chunk_rows(s, d), "chunks")  # searched, and shown
     refs = bundled.select("request_id", F.explode("source_ref").alias("source_id"))
-    return retrieval.supporting_chunks(retrieval.chunk_hits(b.requests(s), pieces), pieces, refs)
+    return retrieval.supporting_chunks(retrieval.chunk_hits(b.requests(s, d), pieces), pieces, refs)
 
 
 def supporting_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -361,8 +371,8 @@ def supporting_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def bundle_served(s: SparkSession, d: str) -> DataFrame:
-    bundled = _semantic_bundle(s, d).persist()  # used four times
-    out = retrieval.served(b.requests(s), bundled, b.sources(s, d), _supporting(s, d, bundled))
+    bundled = tables.written(_semantic_bundle(s, d), "bundles")  # used four times
+    out = retrieval.served(b.requests(s, d), bundled, b.sources(s, d), _supporting(s, d, bundled))
     item = lambda u: F.concat_ws("~", *[u[c] for c in ("knowledge_id", "title", "summary", "body_text", "pedagogical_role")], *[F.array_join(u[c], "+") for c in ("topic_tags", "prerequisite_links", "source_ref")], u["approval_status"], u["version_number"].cast("string"))
     digest = lambda name, f: F.md5(F.array_join(F.transform(name, f), "|"))
     t = "retrieval_trace."
@@ -451,6 +461,6 @@ def queries() -> dict[str, Query]:
     found = [
         weak_topics_top5, tag_counts, tag_counts_by_profile, tag_counts_all_levels, top_labels_all, tag_shares, slide_issue_counts, revision_targets, representative_evidence, evidence_refs, flatten_runs, evaluation_grid, rule_tags, structured_slides, job_status, profile_coverage, cohort_signal, signal_completeness,
         issues_ranked, recommendations, proposals, unknown_actions, trace_totals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, handoff_items, normalized_answers, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, chunk_manifest, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units,
-        topic_search, text_query, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, unit_hits, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, bundle_served, bulk_filtered, approval_outcome, skipped_ids, unit_lookup, selected_profiles, job_runs, json_lists, graph_nodes, graph_edges, graph_neighbours, visible_nodes, visible_edges, visible_in_week, top_topics, facets, model_answers,
+        topic_search, text_query, unit_text_matches, document_text_matches, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, unit_hits, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, bundle_served, bulk_filtered, approval_outcome, skipped_ids, unit_lookup, selected_profiles, job_runs, json_lists, graph_nodes, graph_edges, graph_neighbours, visible_nodes, visible_edges, visible_in_week, top_topics, facets, model_answers,
     ]
     return {f.__name__: f for f in found}

@@ -93,10 +93,29 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.spread(d.select("doc_id", "text")).join(numbers, F.col("doc_id") == F.col("of")).select("source_id", "page_number", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def requests(spark: SparkSession) -> DataFrame:
-    """Topic requests, with null, empty, several and unreadable values."""
-    rows = [("r1", None, None, "ring", None, "lesson"), ("r2", "Brand#1", None, "red", None, "quiz"), ("r3", "Brand#2", "", "blue,gear", None, None), ("r4", None, "week_3", "!!!", None, None), ("r5", "Brand#3", None, "", "easy", None), ("r6", None, None, "economy widget", "hard", "deck"), ("r7", "none", None, "ring", None, None)]
-    return spark.createDataFrame(rows, "request_id string, module string, week string, topic string, difficulty_level string, generation_target string")
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic requests, one a row of ``customer``, with null, empty, several and unreadable values."""
+    k = "c_custkey"
+    topics = "'ring', 'red', 'blue,gear', '!!!', '', 'economy widget', 'small ring, hot', 'an', 'o', 'old bolt,anvil'"
+    return read(spark, sf_dir, "customer").select(
+        F.expr(f"concat('r', {k})").alias("request_id"),
+        F.expr(f"case when {k} % 32 = 0 and {k} % 10 <> 4 or {k} % 1000 in (203, 404) then null when {k} % 40 = 17 then '' when {k} % 50 = 9 then 'none' else concat('Brand#', {k} % 25 + 1) end").alias("module"),
+        F.expr(f"case when {k} % 6 = 1 then concat('week_', {k} % 12) when {k} % 7 = 3 then '' end").alias("week"),
+        F.expr(f"element_at(array({topics}), cast({k} % 10 + 1 as int))").alias("topic"),
+        F.expr(f"case {k} % 5 when 2 then 'easy' when 4 then 'hard' end").alias("difficulty_level"),
+        F.expr(f"element_at(array('lesson', 'quiz', 'deck', null), cast({k} % 4 + 1 as int))").alias("generation_target"),
+    )
+
+
+def unit_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-text searches for units, one a row of ``supplier``: two words, one, parts of words, and now and then nothing."""
+    words = "array('Economy RED', 'small', 'of brand', 'an', 'o', 'PROMO-old ring', 'brand 2', 'ing of', 'zz', 'about hot gear')"
+    return read(spark, sf_dir, "supplier").select(F.expr("concat('q', s_suppkey)").alias("search_id"), F.expr(f"if(s_suppkey % 100 = 57, ' ?', element_at({words}, cast(s_suppkey % 10 + 1 as int)))").alias("q"))
+
+
+def text_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches for documents, one a row of ``benchmark``: a stretch of its text, of two characters for every 50th."""
+    return read(spark, sf_dir, "benchmark").select(F.expr("concat('b', item_id)").alias("search_id"), F.expr("substring(text, cast(item_id % 30 + 1 as int), if(item_id % 50 = 0, 2, 25))").alias("q"))
 
 
 def headed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from courseflow.llm import textblock as tb
 
 BLOCK_BITS, LEAST_WIDTH, MOST_WIDTH = 20, 20, 28
 FLUSH = 2_000_000
-MOST_SENT = 255  # touches of one cell that a flush sends; a cell touched as often is frequent in any case
+MANY = 255  # touches of a cell in a flush from which on they are sent as a whole number
 
 
 def width_for(count: int) -> int:
@@ -32,14 +32,19 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def _pack(gaps: np.ndarray, counts: np.ndarray) -> bytes:
-    """Byte planes of 32-bit gaps, then the counts: the upper planes and the counts are nearly constant
-    and compress away."""
-    return np.concatenate([gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel(), counts.astype(np.uint8)]).tobytes()
+    """Their number, byte planes of 32-bit gaps, a byte for each count, and whole counts where a byte is not enough: the upper
+    planes and the counts are nearly constant and compress away."""
+    most = counts >= MANY
+    planes = [gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel(), np.where(most, MANY, counts).astype(np.uint8), counts[most].astype("<u8").view(np.uint8)]
+    return len(gaps).to_bytes(4, "little") + np.concatenate(planes).tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(raw, np.uint8).reshape(5, -1)
-    return np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), planes[4]
+    n = int.from_bytes(raw[:4], "little")
+    planes, more = np.frombuffer(raw, np.uint8, 5 * n, 4).reshape(5, n), np.frombuffer(raw, "<u8", -1, 4 + 5 * n)
+    counts = planes[4].astype(np.int64)
+    counts[counts == MANY] = more
+    return np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), counts
 
 
 def _partials(touched: list[list[np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
@@ -49,7 +54,7 @@ def _partials(touched: list[list[np.ndarray]], width: int) -> Iterator[pa.Record
         found.sort()
         first = np.concatenate([[True], found[1:] != found[:-1]])
         at = np.flatnonzero(first)
-        unique, times = found[at], np.minimum(np.diff(np.append(at, len(found))), MOST_SENT)
+        unique, times = found[at], np.diff(np.append(at, len(found)))
         cut = np.searchsorted(unique, np.arange(1, 1 << (width - BLOCK_BITS), dtype=np.uint64) << np.uint64(BLOCK_BITS))
         block, payload = [], []
         for b, (u, t) in enumerate(zip(np.split(unique, cut), np.split(times, cut))):

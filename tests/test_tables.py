@@ -25,7 +25,37 @@ def test_texts_are_read_with_invalid_bytes_replaced(spark, tmp_path):
     for name, raw in (("a.txt", "é\n".encode()), ("b.txt", b"x\xffy"), ("c.txt", b"")):
         (tmp_path / name).write_bytes(raw)
     got = {r.path.rpartition("/")[2]: r.text for r in tables.read_texts(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "é\n", "b.txt": "x�y"}
+    assert got == {"a.txt": "é\n", "b.txt": "x�y", "c.txt": None}
+
+
+def test_empty_uploads_have_a_row_and_the_hash_of_no_bytes(spark, tmp_path):
+    import hashlib
+
+    from courseflow.sources import files
+
+    (tmp_path / "deep").mkdir()
+    for name, raw in (("empty.txt", b""), ("deep/b.txt", b"b"), ("deep/empty.md", b""), (".hidden", b"x"), ("_SUCCESS", b"")):
+        (tmp_path / name).write_bytes(raw)
+    found = files.read_files(spark, str(tmp_path), 2)
+    assert found.rdd.getNumPartitions() == 2
+    plain = {r.path: bytes(r.content) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).collect()}
+    got = {r.path: bytes(r.content) for r in found.collect()}
+    assert len(got) == 3 and plain.items() <= got.items()
+    rows = {r.filename: r for r in tables.register_files(spark, str(tmp_path), "m", "me", F.current_timestamp()).collect()}
+    assert rows["empty.txt"].hash == "sha256_" + hashlib.sha256(b"").hexdigest() == rows["empty.md"].hash and rows["empty.txt"].source_id != rows["empty.md"].source_id
+
+
+def test_database_tables_are_read_in_ranges_and_merged(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    first = spark.range(1, 101).selectExpr("id", "cast(id * 2 as int) as n")
+    tables.write_database(first, url, "numbers", driver=driver)
+    back = tables.read_database(spark, url, "numbers", "id", 5, driver=driver)
+    assert back.rdd.getNumPartitions() == 5 and sorted(map(tuple, back.collect())) == [(i, 2 * i) for i in range(1, 101)]
+    change = spark.range(91, 121).selectExpr("id", "cast(-id as int) as n")
+    for _ in range(2):  # a repeated write changes nothing
+        tables.merge_database(change, url, "numbers", "id", driver=driver)
+    want = [(i, 2 * i if i < 91 else -i) for i in range(1, 121)]
+    assert sorted(map(tuple, tables.read_database(spark, url, "numbers", driver=driver).collect())) == want
 
 
 def test_pages_come_back_and_are_complete(spark, tmp_path):

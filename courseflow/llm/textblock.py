@@ -125,3 +125,17 @@ def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0
     for i in np.flatnonzero(long).tolist():
         h[i] = xxhash.xxh64_intdigest(raw[start[i] : end[i]].tobytes(), seed + 1)
     return h
+
+
+_BYTE_CODES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_BYTE_BASE = U(0x9E3779B97F4A7C15)
+_BYTE_BACK = U(pow(int(_BYTE_BASE), -1, 1 << 64))
+
+
+def quick_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A cheaper 64-bit hash of each span, a polynomial modulo 2**64: for lookups that compare the bytes afterwards."""
+    n = len(raw)
+    pw = powers(_BYTE_BASE, n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum(_BYTE_CODES[raw] * pw[:n], out=total[1:])
+    return mix((total[end] - total[start]) * powers(_BYTE_BACK, n + 1)[start] + (end - start).astype(U))

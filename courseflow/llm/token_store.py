@@ -159,7 +159,7 @@ class Encoder:
         """All ids in a row, and the number of ids of each text, the end id included."""
         start = cuts(raw, at)
         stop = np.append(start[1:], len(raw))
-        h = np.maximum(tb.span_hash(raw, start, stop), np.uint64(1))
+        h = np.maximum(tb.quick_hash(raw, start, stop), np.uint64(1))
         number = np.full(len(start), -1, np.int32)
         short = np.flatnonzero(stop - start <= LONGEST)
         number[short] = self._find(h[short])

@@ -36,7 +36,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("pii", private_data), ("mixing", mix), ("sentencepiece", pieces)]
 
-#: A fitted classifier and seeded sampling are beyond SQL; tests check run()'s columns, decoding and document ids only.
+#: A fitted classifier and seeded sampling are beyond SQL; a test compares run() row by row with a plain version of the stages.
 ORACLE_SQL = None
 
 

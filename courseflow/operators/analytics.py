@@ -15,6 +15,12 @@ LISTS = [("weak_topic", "weak_topics", None), ("confusion", "repeated_confusion_
 #: What is said of an issue of each kind, and of a whole section.
 RATIONALE = {"weak_topic": "Topic '%s' appears in weak_topics and is repeatedly problematic.", "confusion": "Students repeatedly confused about: %s", "misconception": "Recurring misconception: %s", "missing_prerequisite": "Missing prerequisite knowledge: %s"}
 SECTION_RATIONALE = "Multiple issue types across same section."
+#: What a signal may bring along: the evidence list of a stored one, or the runs that represent its profiles.
+CARRIED = ("evidence_refs", "representative_run_ids")
+
+
+def _carried(df: DataFrame) -> list[str]:
+    return [c for c in CARRIED if c in df.columns]
 
 
 def _lookup(table: dict, key: Column, default) -> Column:
@@ -34,13 +40,12 @@ def _topic_of(text: Column) -> Column:
 def issues(signals: DataFrame, decks: DataFrame | None = None) -> DataFrame:
     """(deck_id, issue_type, topic, issue_text, score, severity, rank, …): the four lists of each signal, exploded in one
     pass, by score, ties in list order. Every issue carries all slides of its deck (``decks``: deck_id, slide_refs)
-    and the signal's evidence."""
+    and what the signal brings along of ``CARRIED``; all evidence of its deck is in ``evidence_of``."""
     none = F.array().cast("array<string>")
     of = lambda seq, kind, column: F.transform(column, lambda t, i: F.struct(F.lit(kind).alias("issue_type"), F.lit(column).alias("source_field"), F.lit(seq).alias("kind_seq"), i.alias("pos"), t.alias("issue_text")))
     tagged = [of(seq, kind, column) for seq, (kind, column, _) in enumerate(LISTS)]
     with_slides = signals if decks is None else signals.join(decks.select("deck_id", "slide_refs"), "deck_id", "left")
     slides = F.coalesce("slide_refs", none) if "slide_refs" in with_slides.columns else none
-    evidence = F.coalesce("evidence_refs", none) if "evidence_refs" in signals.columns else none
     e = with_slides.select("*", F.explode(F.concat(*tagged)).alias("i"))
     text, kind = F.col("i.issue_text"), F.col("i.issue_type")
     score = 60 + F.when(_related(text, "repeated_confusion_points"), 10).otherwise(0) + F.when(_related(text, "misconception_clusters"), 10).otherwise(0) + F.when(F.size("missing_prerequisite_patterns") > 0, 5).otherwise(0)
@@ -48,7 +53,7 @@ def issues(signals: DataFrame, decks: DataFrame | None = None) -> DataFrame:
     for name, _, fixed in LISTS:
         score = F.when(kind == name, fixed).otherwise(score) if fixed else score
         said = F.when(kind == name, F.format_string(RATIONALE[name], text)).otherwise(said)
-    rows = e.select("deck_id", "i.*", F.when(kind == "weak_topic", text).otherwise(_topic_of(text)).alias("topic"), score.cast("int").alias("score"), F.slice("recommended_revision_targets", 1, 3).alias("targets"), slides.alias("slide_refs"), evidence.alias("evidence_refs"), said.alias("rationale"))
+    rows = e.select("deck_id", "i.*", F.when(kind == "weak_topic", text).otherwise(_topic_of(text)).alias("topic"), score.cast("int").alias("score"), F.slice("recommended_revision_targets", 1, 3).alias("targets"), slides.alias("slide_refs"), *[F.coalesce(c, none).alias(c) for c in _carried(signals)], said.alias("rationale"))
     rank = F.row_number().over(W.partitionBy("deck_id").orderBy(F.desc("score"), "kind_seq", "pos"))
     return rows.select("*", fx.severity(F.col("score")).alias("severity"), rank.alias("rank"), _issue_id(rank).alias("issue_id"))
 
@@ -66,19 +71,28 @@ def recommendations(found: DataFrame) -> DataFrame:
     score = F.least(F.lit(100), F.col("score") + F.floor(_lookup(ACTION_WEIGHT, action, 50) / 10)).cast("int")
 
     def row(action, score, seq, priority, slides, targets, ids, rationale):
-        return F.struct(action.alias("action"), score.alias("score"), seq.alias("seq"), priority.alias("priority"), slides.alias("target_slide_refs"), targets.alias("target_knowledge_ids"), ids.alias("source_issue_ids"), rationale.alias("rationale"), F.col("evidence_refs"))
+        return F.struct(action.alias("action"), score.alias("score"), seq.alias("seq"), priority.alias("priority"), slides.alias("target_slide_refs"), targets.alias("target_knowledge_ids"), ids.alias("source_issue_ids"), rationale.alias("rationale"), *_carried(found))
 
     own = row(action, score, F.col("rank"), fx.priority(score), F.col("slide_refs"), F.col("targets"), F.array("issue_id"), F.col("rationale"))
     section = row(F.lit("regenerate_deck_section"), F.lit(68), F.lit(2**31 - 1), F.lit("medium"), F.col("targets"), none, F.array(*[_issue_id(F.lit(i)) for i in (1, 2, 3)]), F.lit(SECTION_RATIONALE))
     every = found.select("deck_id", F.explode(F.array_compact(F.array(own, F.when(F.col("rank") == 4, section)))).alias("r"))
     best = every.groupBy("deck_id", "r.action").agg(F.max_by("r", F.struct("r.score", -F.col("r.seq"))).alias("b"), F.min("r.seq").alias("first_seq"))
-    fields = ("score", "priority", "target_slide_refs", "target_knowledge_ids", "source_issue_ids", "rationale", "evidence_refs")
+    fields = ("score", "priority", "target_slide_refs", "target_knowledge_ids", "source_issue_ids", "rationale", *_carried(found))
     flat = best.select("deck_id", "action", *[f"b.{c}" for c in fields], "first_seq")
     return flat.withColumn("rank", F.row_number().over(W.partitionBy("deck_id").orderBy(F.desc("score"), "first_seq")))
 
 
 def proposals(recs: DataFrame) -> DataFrame:
-    return recs.where(F.col("priority").isin("high", "critical")).select("deck_id", F.col("action").alias("recommended_action"), F.col("priority").alias("suggested_priority"), "score", F.col("source_issue_ids").alias("based_on_issue_ids"), "target_knowledge_ids", "rationale", "evidence_refs")
+    return recs.where(F.col("priority").isin("high", "critical")).select("deck_id", F.col("action").alias("recommended_action"), F.col("priority").alias("suggested_priority"), "score", F.col("source_issue_ids").alias("based_on_issue_ids"), "target_knowledge_ids", "rationale", *_carried(recs))
+
+
+def evidence_of(rows: DataFrame, key: str, refs: DataFrame, salts: int = 16) -> DataFrame:
+    """(deck_id, ``key``, run_id, pos, slide_refs, task_type, student_profile): issues, recommendations or proposals of a deck,
+    each with every evidence reference of the deck's runs (``signals.evidence_refs``). A deck has few rows of ``key`` (20
+    issues at most) and may have a third of all runs, so its runs are dealt over ``salts`` parts and its keys sent to each."""
+    few = rows.groupBy("deck_id").agg(F.array_sort(F.collect_set(key)).alias("_keys")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = refs.withColumn("_salt", F.pmod(F.xxhash64("run_seq", "pos"), F.lit(salts)).cast("int"))
+    return dealt.join(few, ["deck_id", "_salt"]).select("deck_id", F.explode("_keys").alias(key), "run_id", "pos", "slide_refs", "task_type", "student_profile")
 
 
 def issue_clusters(found: DataFrame) -> DataFrame:
@@ -103,11 +117,11 @@ def normalized_issues(found: DataFrame) -> DataFrame:
     """One row for each distinct normalized text of a deck's issues: type and topic of the first, slides and evidence
     of all, numbered in the order of their first."""
     keyed = found.withColumn("norm", fx.normalize_topic(F.col("issue_text")))
-    per = keyed.groupBy("deck_id", "norm").agg(F.array_sort(F.collect_list(F.struct("kind_seq", "pos", "issue_type", "topic", "issue_text", "slide_refs", "evidence_refs"))).alias("all"))
+    per = keyed.groupBy("deck_id", "norm").agg(F.array_sort(F.collect_list(F.struct("kind_seq", "pos", "issue_type", "topic", "issue_text", "slide_refs", *_carried(found)))).alias("all"))
     first = F.get("all", F.lit(0))
     union = lambda name: F.array_distinct(F.flatten(F.transform("all", lambda x: x[name])))
     number = F.row_number().over(W.partitionBy("deck_id").orderBy(first["kind_seq"], first["pos"]))
-    return per.select("deck_id", _issue_id(number).alias("issue_id"), "norm", first["issue_type"].alias("issue_type"), first["topic"].alias("topic"), first["issue_text"].alias("description"), union("slide_refs").alias("affected_slides"), union("evidence_refs").alias("source_evidence"), F.size("all").cast("long").alias("merged"))
+    return per.select("deck_id", _issue_id(number).alias("issue_id"), "norm", first["issue_type"].alias("issue_type"), first["topic"].alias("topic"), first["issue_text"].alias("description"), union("slide_refs").alias("affected_slides"), F.array_distinct(F.concat(F.array().cast("array<string>"), *[union(c) for c in _carried(found)])).alias("source_evidence"), F.size("all").cast("long").alias("merged"))
 
 
 def regenerate_hints(recs: DataFrame) -> DataFrame:

@@ -64,7 +64,11 @@ def cited_slides(runs: DataFrame) -> DataFrame:
 
 def slide_issue_counts(runs: DataFrame, slides: DataFrame) -> DataFrame:
     """(deck_id, slide_id, slide_title, n, rank)."""
-    counts = cited_slides(runs).groupBy("deck_id", "slide_id").agg(F.count("*").alias("n"), F.min(F.struct("run_seq", "pos")).alias("first_seen"))
+    return ranked_slides(cited_slides(runs).groupBy("deck_id", "slide_id").agg(F.count("*").alias("n"), F.min(F.struct("run_seq", "pos")).alias("first_seen")), slides)
+
+
+def ranked_slides(counts: DataFrame, slides: DataFrame) -> DataFrame:
+    """Counts of slides (deck_id, slide_id, n, first_seen) with their titles and ranks."""
     titles = slides.groupBy("deck_id", "slide_id").agg(F.max_by("title", "slide_pos").alias("title"))
     order = W.partitionBy("deck_id").orderBy(F.desc("n"), "first_seen")
     return counts.join(titles, ["deck_id", "slide_id"], "left").select("deck_id", "slide_id", F.coalesce("title", "slide_id").alias("slide_title"), "n", F.row_number().over(order).alias("rank"))
@@ -83,8 +87,12 @@ def slide_evidence(runs: DataFrame) -> DataFrame:
 
 
 def revision_targets(runs: DataFrame, slides: DataFrame, limit: int = 5) -> DataFrame:
+    return targets_of(slide_issue_counts(runs, slides), slide_evidence(runs), limit)
+
+
+def targets_of(ranked: DataFrame, evidence: DataFrame, limit: int = 5) -> DataFrame:
     none = F.array().cast("array<string>")
-    top = slide_issue_counts(runs, slides).where(F.col("rank") <= limit).join(slide_evidence(runs), ["deck_id", "slide_id"], "left")
+    top = ranked.where(F.col("rank") <= limit).join(evidence, ["deck_id", "slide_id"], "left")
     reason = F.format_string(TARGET_REASON, "slide_title", "n")
     return top.select("deck_id", "slide_id", "rank", F.col("n").alias("priority"), F.coalesce("issue_types", none).alias("issue_types"), F.coalesce("affected_profiles", none).alias("affected_profiles"), reason.alias("reason"), F.format_string(TARGET_SUGGESTION, "slide_title").alias("suggestion"), F.format_string(TARGET_LABEL, "n", "slide_id", reason).alias("label"))
 
@@ -112,15 +120,19 @@ def evidence_refs(runs: DataFrame) -> DataFrame:
 
 def cohort_signal(runs: DataFrame, slides: DataFrame) -> DataFrame:
     """One row a deck: top labels of every kind, revision target labels, the runs that represent its profiles, and the
-    number of answered runs. The runs themselves stay in flat rows (``evidence_refs``)."""
-    labels = top_labels(tag_counts(runs)).groupBy("deck_id").pivot("kind", ["weak_topic", "confusion", "misconception", "prerequisite"]).agg(F.first("labels"))
-    targets = revision_targets(runs, slides).groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("recommended_revision_targets"))
-    evidence = representative_evidence(runs).groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "run_id"))), lambda x: x["run_id"]).alias("evidence_refs"))
+    number of answered runs. The evidence itself, of every run, is ``evidence_refs`` in flat rows."""
     counted = answered(runs).groupBy("deck_id").agg(F.count("*").alias("n_runs"))
+    return assembled(counted, top_labels(tag_counts(runs)), revision_targets(runs, slides), representative_evidence(runs))
+
+
+def assembled(counted: DataFrame, tops: DataFrame, targets: DataFrame, representative: DataFrame) -> DataFrame:
+    labels = tops.groupBy("deck_id").pivot("kind", ["weak_topic", "confusion", "misconception", "prerequisite"]).agg(F.first("labels"))
+    targets = targets.groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("recommended_revision_targets"))
+    best = representative.groupBy("deck_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "run_id"))), lambda x: x["run_id"]).alias("representative_run_ids"))
     none = F.array().cast("array<string>")
-    joined = counted.join(labels, "deck_id", "left").join(targets, "deck_id", "left").join(evidence, "deck_id", "left")
+    joined = counted.join(labels, "deck_id", "left").join(targets, "deck_id", "left").join(best, "deck_id", "left")
     named = {"weak_topic": "weak_topics", "confusion": "repeated_confusion_points", "misconception": "misconception_clusters", "prerequisite": "missing_prerequisite_patterns"}
-    lists = {**named, "recommended_revision_targets": "recommended_revision_targets", "evidence_refs": "evidence_refs"}
+    lists = {**named, "recommended_revision_targets": "recommended_revision_targets", "representative_run_ids": "representative_run_ids"}
     return joined.select("deck_id", F.concat(F.lit("signal_"), "deck_id").alias("signal_id"), *[F.coalesce(k, none).alias(v) for k, v in lists.items()], "n_runs")
 
 

@@ -62,7 +62,7 @@ signals AS (
     coalesce((SELECT items FROM labels l WHERE l.deck_id = d.deck_id AND kind = 'misconception'), []) AS misconception_clusters,
     coalesce((SELECT items FROM labels l WHERE l.deck_id = d.deck_id AND kind = 'prerequisite'), []) AS missing_prerequisite_patterns,
     (SELECT list(label ORDER BY rank) FROM targets t WHERE t.deck_id = d.deck_id) AS recommended_revision_targets, count(*) AS n_runs,
-    (SELECT list(run_id ORDER BY first_seq) FROM represented p WHERE p.deck_id = d.deck_id) AS evidence_refs
+    (SELECT list(run_id ORDER BY first_seq) FROM represented p WHERE p.deck_id = d.deck_id) AS representative_run_ids
   FROM done d GROUP BY d.deck_id),
 raw_issues AS (
   SELECT deck_id, 'weak_topic' AS issue_type, 0 AS ks, unnest(weak_topics) AS issue_text, unnest(range(len(weak_topics))) AS pos, weak_topics AS wt, repeated_confusion_points AS rc, misconception_clusters AS mc, missing_prerequisite_patterns AS mp FROM signals
@@ -81,17 +81,17 @@ issues AS (
     row_number() OVER (PARTITION BY deck_id ORDER BY score DESC, ks, pos) AS rank FROM scored_issues),
 named_issues AS (
   SELECT i.*, 'ISS_' || lpad(CAST(rank AS VARCHAR), 3, '0') AS issue_id, ['weak_topics', 'repeated_confusion_points', 'misconception_clusters', 'missing_prerequisite_patterns'][ks + 1] AS source_field,
-    ['s1', 's2', 's3', 's4', 's5'] AS slide_refs, coalesce(recommended_revision_targets[1:3], []) AS targets, evidence_refs,
+    ['s1', 's2', 's3', 's4', 's5'] AS slide_refs, coalesce(recommended_revision_targets[1:3], []) AS targets, representative_run_ids,
     ['Topic ' || chr(39) || issue_text || chr(39) || ' appears in weak_topics and is repeatedly problematic.', 'Students repeatedly confused about: ' || issue_text, 'Recurring misconception: ' || issue_text, 'Missing prerequisite knowledge: ' || issue_text][ks + 1] AS rationale
   FROM issues i JOIN signals USING (deck_id)),
 every_rec AS (
-  SELECT deck_id, slide_refs AS target_slide_refs, targets AS target_knowledge_ids, evidence_refs, rationale, CASE issue_type WHEN 'missing_prerequisite' THEN 'add_prerequisite_slide' WHEN 'misconception' THEN 'add_misconception_warning' WHEN 'confusion' THEN 'add_example' ELSE 'mark_for_kb_review' END AS action,
+  SELECT deck_id, slide_refs AS target_slide_refs, targets AS target_knowledge_ids, representative_run_ids, rationale, CASE issue_type WHEN 'missing_prerequisite' THEN 'add_prerequisite_slide' WHEN 'misconception' THEN 'add_misconception_warning' WHEN 'confusion' THEN 'add_example' ELSE 'mark_for_kb_review' END AS action,
     least(100, score + CASE issue_type WHEN 'missing_prerequisite' THEN 9 WHEN 'misconception' THEN 8 WHEN 'confusion' THEN 8 ELSE 6 END) AS score, rank AS seq, issue_id AS source_issue_ids, NULL AS fixed FROM named_issues
-  UNION ALL SELECT deck_id, any_value(targets), CAST([] AS VARCHAR[]), any_value(evidence_refs), 'Multiple issue types across same section.', 'regenerate_deck_section', 68, count(*) + 1, string_agg(issue_id, '|' ORDER BY rank) FILTER (WHERE rank <= 3), 'medium' FROM named_issues GROUP BY deck_id HAVING count(*) >= 4),
+  UNION ALL SELECT deck_id, any_value(targets), CAST([] AS VARCHAR[]), any_value(representative_run_ids), 'Multiple issue types across same section.', 'regenerate_deck_section', 68, count(*) + 1, string_agg(issue_id, '|' ORDER BY rank) FILTER (WHERE rank <= 3), 'medium' FROM named_issues GROUP BY deck_id HAVING count(*) >= 4),
 best_rec AS (
   SELECT *, min(seq) OVER (PARTITION BY deck_id, action) AS first_seq, row_number() OVER (PARTITION BY deck_id, action ORDER BY score DESC, seq) AS nth FROM every_rec),
 recs AS (
-  SELECT deck_id, array_to_string(target_slide_refs, '|') AS target_slide_refs, array_to_string(target_knowledge_ids, '|') AS target_knowledge_ids, array_to_string(evidence_refs, '|') AS evidence_refs, rationale, action, score, coalesce(fixed, CASE WHEN score >= 85 THEN 'high' WHEN score >= 70 THEN 'medium' ELSE 'low' END) AS priority, source_issue_ids,
+  SELECT deck_id, array_to_string(target_slide_refs, '|') AS target_slide_refs, array_to_string(target_knowledge_ids, '|') AS target_knowledge_ids, array_to_string(representative_run_ids, '|') AS representative_run_ids, rationale, action, score, coalesce(fixed, CASE WHEN score >= 85 THEN 'high' WHEN score >= 70 THEN 'medium' ELSE 'low' END) AS priority, source_issue_ids,
     row_number() OVER (PARTITION BY deck_id ORDER BY score DESC, first_seq) AS rank FROM best_rec WHERE nth = 1)"""
 
 QA = """
@@ -233,16 +233,23 @@ FROM (SELECT *, row_number() OVER (PARTITION BY deck_id, student_profile ORDER B
         "job_status": r + "SELECT deck_id, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed, bool_and(status IN ('completed', 'failed')) AS complete FROM runs GROUP BY deck_id",
         "profile_coverage": r + """SELECT deck_id, tag, CASE WHEN len(p) = 3 THEN 'all profiles' WHEN p = ['weak'] THEN 'weak only' ELSE array_to_string(list_reverse(p), ' + ') END AS coverage, runs
 FROM (SELECT deck_id, tag, list_sort(list(DISTINCT student_profile)) AS p, count(DISTINCT run_seq) AS runs FROM tags WHERE kind = 'confusion' GROUP BY ALL)""",
-        "cohort_signal": r + "SELECT deck_id, 'signal_' || deck_id AS signal_id, " + ", ".join(f"array_to_string({x}, '|') AS {x}" for x in ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns", "recommended_revision_targets", "evidence_refs")) + ", n_runs FROM signals",
+        "cohort_signal": r + "SELECT deck_id, 'signal_' || deck_id AS signal_id, " + ", ".join(f"array_to_string({x}, '|') AS {x}" for x in ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns", "recommended_revision_targets", "representative_run_ids")) + ", n_runs FROM signals",
+        "merged_signal": r + "SELECT deck_id, 'signal_' || deck_id AS signal_id, " + ", ".join(f"array_to_string({x}, '|') AS {x}" for x in ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns", "recommended_revision_targets", "representative_run_ids")) + ", n_runs FROM signals",
+        "signal_fields": r + """SELECT deck_id, CASE kind WHEN 'weak_topic' THEN 'weak_topic_counts' ELSE kind || '_tag_counts' END AS field, '' AS profile, row_number() OVER (PARTITION BY deck_id, kind ORDER BY n DESC, seen) AS position, tag AS label, n FROM counts
+UNION ALL SELECT deck_id, kind || '_by_profile', student_profile, row_number() OVER (PARTITION BY deck_id, kind, student_profile ORDER BY n DESC, seen), tag, n
+  FROM (SELECT deck_id, kind, student_profile, tag, count(*) AS n, min(run_seq * 1000 + lp * 100 + pos) AS seen FROM tags GROUP BY ALL)
+UNION ALL SELECT deck_id, 'slide_issue_counts', '', rank, slide_id, n FROM slide_ranks""",
+        "issue_evidence": r + "SELECT deck_id, issue_id, run_id, array_to_string(cited, '|') AS slide_refs, task_type, student_profile FROM done JOIN named_issues i USING (deck_id)",
+        "proposal_evidence": r + "SELECT deck_id, action AS recommended_action, run_id, array_to_string(cited, '|') AS slide_refs, task_type, student_profile FROM done JOIN recs USING (deck_id) WHERE priority IN ('high', 'critical')",
         "signal_completeness": r + "SELECT deck_id, " + ", ".join(f"len({x}) > 0 AS has_{x}" for x in ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns")) + " FROM signals",
-        "issues_ranked": r + "SELECT deck_id, issue_type, topic, issue_text, score, severity, rank, source_field, array_to_string(slide_refs, '|') AS slide_refs, array_to_string(evidence_refs, '|') AS evidence_refs, rationale FROM named_issues",
-        "recommendations": r + "SELECT deck_id, action, score, priority, source_issue_ids, rank, target_slide_refs, target_knowledge_ids, evidence_refs, rationale FROM recs",
-        "proposals": r + "SELECT deck_id, action AS recommended_action, priority AS suggested_priority, score, source_issue_ids AS based_on_issue_ids, target_knowledge_ids, evidence_refs, rationale FROM recs WHERE priority IN ('high', 'critical')",
+        "issues_ranked": r + "SELECT deck_id, issue_type, topic, issue_text, score, severity, rank, source_field, array_to_string(slide_refs, '|') AS slide_refs, array_to_string(representative_run_ids, '|') AS representative_run_ids, rationale FROM named_issues",
+        "recommendations": r + "SELECT deck_id, action, score, priority, source_issue_ids, rank, target_slide_refs, target_knowledge_ids, representative_run_ids, rationale FROM recs",
+        "proposals": r + "SELECT deck_id, action AS recommended_action, priority AS suggested_priority, score, source_issue_ids AS based_on_issue_ids, target_knowledge_ids, representative_run_ids, rationale FROM recs WHERE priority IN ('high', 'critical')",
         "unknown_actions": r + "SELECT deck_id, action || '_x' AS action FROM recs WHERE rank % 2 = 0",
         "trace_totals": "SELECT 'deck_' || l_orderkey AS deck_id, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS elapsed, CAST(sum(l_partkey) AS BIGINT) AS prompt_tokens, CAST(sum(l_suppkey) AS BIGINT) AS completion_tokens FROM lineitem GROUP BY l_orderkey",
         "normalized_issues": r + f"""SELECT deck_id, 'ISS_' || lpad(CAST(row_number() OVER (PARTITION BY deck_id ORDER BY seq) AS VARCHAR), 3, '0') AS issue_id, norm, issue_type, topic, description, affected_slides, source_evidence, merged
 FROM (SELECT deck_id, {_norm('issue_text')} AS norm, min(ks * 100 + pos) AS seq, arg_min(issue_type, ks * 100 + pos) AS issue_type, arg_min(topic, ks * 100 + pos) AS topic, arg_min(issue_text, ks * 100 + pos) AS description,
-  any_value(array_to_string(slide_refs, '|')) AS affected_slides, any_value(array_to_string(evidence_refs, '|')) AS source_evidence, count(*) AS merged FROM named_issues GROUP BY ALL)""",
+  any_value(array_to_string(slide_refs, '|')) AS affected_slides, any_value(array_to_string(representative_run_ids, '|')) AS source_evidence, count(*) AS merged FROM named_issues GROUP BY ALL)""",
         "regenerate_hints": r + "SELECT deck_id, action, target_slide, 'Apply ' || replace(action, '_', ' ') || ' to ' || target_slide || '.' AS hint FROM (SELECT DISTINCT deck_id, action, unnest(string_split(target_slide_refs, '|')) AS target_slide FROM recs WHERE priority IN ('high', 'critical'))",
         "cohort_insight": r + """SELECT deck_id, weak_topic_rankings, coalesce(confusion_clusters, '') AS confusion_clusters, missing_prerequisites, 's1|s2|s3|s4|s5' AS affected_slide_refs
 FROM (SELECT deck_id, string_agg(topic || '~' || severity || '~' || score, '|' ORDER BY rank) FILTER (WHERE nth = 1) AS weak_topic_rankings, coalesce(string_agg(issue_text, '|' ORDER BY rank) FILTER (WHERE issue_type = 'missing_prerequisite'), '') AS missing_prerequisites

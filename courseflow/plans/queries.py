@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from courseflow.functions import text as fx
-from courseflow.operators import analytics, chunks, graph, postings, qa, retrieval, signals
+from courseflow.operators import analytics, chunks, deck_state, graph, postings, qa, retrieval, signals
 from courseflow.operators import compile as comp
 from courseflow.sources import bindings as b
 from courseflow.sources import tables
@@ -97,7 +97,32 @@ def _signals(s: SparkSession, d: str) -> DataFrame:
 
 def cohort_signal(s: SparkSession, d: str) -> DataFrame:
     lists = ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns", "recommended_revision_targets")
-    return _signals(s, d).select("deck_id", "signal_id", *[_joined(c) for c in lists], _joined("evidence_refs"), "n_runs")
+    return _signals(s, d).select("deck_id", "signal_id", *[_joined(c) for c in lists], _joined("representative_run_ids"), "n_runs")
+
+
+def _merged_state(s: SparkSession, d: str) -> DataFrame:
+    """The decks' state as it grows by three batches of runs, written before it is read several times."""
+    runs = b.runs(s, d)
+    parts = [deck_state.state(runs.where(F.col("run_seq") % 3 == i)) for i in range(3)]
+    return tables.written(deck_state.merged(deck_state.merged(parts[0], parts[1]), parts[2]), "deck_state")
+
+
+def merged_signal(s: SparkSession, d: str) -> DataFrame:
+    lists = ("weak_topics", "repeated_confusion_points", "misconception_clusters", "missing_prerequisite_patterns", "recommended_revision_targets")
+    return deck_state.cohort_signal(_merged_state(s, d), b.slides(s, d)).select("deck_id", "signal_id", *[_joined(c) for c in lists], _joined("representative_run_ids"), "n_runs")
+
+
+def signal_fields(s: SparkSession, d: str) -> DataFrame:
+    return deck_state.signal_fields(_merged_state(s, d), b.slides(s, d)).select("deck_id", "field", "profile", F.col("position").cast("long").alias("position"), "label", "n")
+
+
+def issue_evidence(s: SparkSession, d: str) -> DataFrame:
+    return analytics.evidence_of(_issues(s, d), "issue_id", signals.evidence_refs(b.runs(s, d))).select("deck_id", "issue_id", "run_id", _joined("slide_refs"), "task_type", "student_profile")
+
+
+def proposal_evidence(s: SparkSession, d: str) -> DataFrame:
+    made = analytics.proposals(analytics.recommendations(_issues(s, d)))
+    return analytics.evidence_of(made, "recommended_action", signals.evidence_refs(b.runs(s, d))).select("deck_id", "recommended_action", "run_id", _joined("slide_refs"), "task_type", "student_profile")
 
 
 def signal_completeness(s: SparkSession, d: str) -> DataFrame:
@@ -109,15 +134,15 @@ def _issues(s: SparkSession, d: str) -> DataFrame:
 
 
 def issues_ranked(s: SparkSession, d: str) -> DataFrame:
-    return _issues(s, d).select("deck_id", "issue_type", "topic", "issue_text", F.col("score").cast("long").alias("score"), "severity", F.col("rank").cast("long").alias("rank"), "source_field", _joined("slide_refs"), _joined("evidence_refs"), "rationale")
+    return _issues(s, d).select("deck_id", "issue_type", "topic", "issue_text", F.col("score").cast("long").alias("score"), "severity", F.col("rank").cast("long").alias("rank"), "source_field", _joined("slide_refs"), _joined("representative_run_ids"), "rationale")
 
 
 def recommendations(s: SparkSession, d: str) -> DataFrame:
-    return analytics.recommendations(_issues(s, d)).select("deck_id", "action", F.col("score").cast("long").alias("score"), "priority", _joined("source_issue_ids"), F.col("rank").cast("long").alias("rank"), _joined("target_slide_refs"), _joined("target_knowledge_ids"), _joined("evidence_refs"), "rationale")
+    return analytics.recommendations(_issues(s, d)).select("deck_id", "action", F.col("score").cast("long").alias("score"), "priority", _joined("source_issue_ids"), F.col("rank").cast("long").alias("rank"), _joined("target_slide_refs"), _joined("target_knowledge_ids"), _joined("representative_run_ids"), "rationale")
 
 
 def proposals(s: SparkSession, d: str) -> DataFrame:
-    return analytics.proposals(analytics.recommendations(_issues(s, d))).select("deck_id", "recommended_action", "suggested_priority", F.col("score").cast("long").alias("score"), _joined("based_on_issue_ids"), _joined("target_knowledge_ids"), _joined("evidence_refs"), "rationale")
+    return analytics.proposals(analytics.recommendations(_issues(s, d))).select("deck_id", "recommended_action", "suggested_priority", F.col("score").cast("long").alias("score"), _joined("based_on_issue_ids"), _joined("target_knowledge_ids"), _joined("representative_run_ids"), "rationale")
 
 
 def unknown_actions(s: SparkSession, d: str) -> DataFrame:
@@ -459,7 +484,7 @@ def model_answers(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        weak_topics_top5, tag_counts, tag_counts_by_profile, tag_counts_all_levels, top_labels_all, tag_shares, slide_issue_counts, revision_targets, representative_evidence, evidence_refs, flatten_runs, evaluation_grid, rule_tags, structured_slides, job_status, profile_coverage, cohort_signal, signal_completeness,
+        weak_topics_top5, tag_counts, tag_counts_by_profile, tag_counts_all_levels, top_labels_all, tag_shares, slide_issue_counts, revision_targets, representative_evidence, evidence_refs, flatten_runs, evaluation_grid, rule_tags, structured_slides, job_status, profile_coverage, cohort_signal, merged_signal, signal_fields, issue_evidence, proposal_evidence, signal_completeness,
         issues_ranked, recommendations, proposals, unknown_actions, trace_totals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, handoff_items, normalized_answers, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, chunk_manifest, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units,
         topic_search, text_query, unit_text_matches, document_text_matches, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, unit_hits, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, bundle_served, bulk_filtered, approval_outcome, skipped_ids, unit_lookup, selected_profiles, job_runs, json_lists, graph_nodes, graph_edges, graph_neighbours, visible_nodes, visible_edges, visible_in_week, top_topics, facets, model_answers,
     ]

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from courseflow.functions import text as fx
 from courseflow.operators import compile as comp
-from courseflow.operators import signals
+from courseflow.operators import deck_state, signals
 from courseflow.sources import tables
 from courseflow.streaming import versions
 
@@ -50,8 +50,21 @@ def stored_records(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return versions.load(spark, path, schema)
 
 
+def update_decks(runs: DataFrame, batch_id: int, path: str, buckets: int = 64) -> None:
+    """foreachBatch: adds a batch of runs to the decks' state at ``path``. Earlier runs are not read, and a batch that is
+    delivered again is not counted again. A run counts when it has its answer, and should come once with it."""
+    versions.merge(deck_state.state(runs), path, "deck_id", deck_state.merged, buckets, batch_id)
+
+
+def deck_signals(path: str, slides: DataFrame, decks: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """Signals from the state at ``path``, of all decks or of ``decks``, whose buckets alone are read then."""
+    schema = deck_state.schema()
+    found = versions.load(slides.sparkSession, path, schema) if decks is None else versions.load_keys(decks, path, "deck_id", schema, buckets)
+    return deck_state.cohort_signal(found, slides)
+
+
 def refresh_decks(batch: DataFrame, runs: DataFrame, slides: DataFrame) -> DataFrame:
-    """Signals of only the decks that a batch of runs touches."""
+    """Signals of only the decks that a batch of runs touches, from all their runs (``update_decks`` keeps a state instead)."""
     touched = batch.select("deck_id").distinct()
     return signals.cohort_signal(runs.join(touched, "deck_id", "left_semi"), slides.join(touched, "deck_id", "left_semi"))
 

@@ -195,5 +195,10 @@ FROM headed h LEFT JOIN compiled k ON h.source_id = k.source_id LEFT JOIN (SELEC
         "rule_tags": f"WITH {SLIDES}\nSELECT deck_id, student_profile, task_type, kind, tag, count(*) AS n FROM tagged WHERE tag <> '' GROUP BY ALL",
         "printed_offsets": f"WITH {BOOK}\nSELECT source_id, gap AS printed_offset FROM offsets",
         "toc_units": f"WITH RECURSIVE {BOOK},{LOCATED}\nSELECT source_id, entry, key, title, topic_tags, pedagogical_role, prerequisite_key, body_md5 FROM toc_units",
+        "routed_units": f"""WITH owners AS (SELECT concat_ws('#', source, CAST(n // 30 AS VARCHAR)) AS book, 'src_' || doc_id AS owner FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents) WHERE n % 30 = 0),
+contents AS MATERIALIZED (SELECT owner AS source_id, t.* EXCLUDE (source_id) FROM (WITH RECURSIVE {BOOK},{LOCATED}\nSELECT * FROM toc_units) t JOIN owners ON t.source_id = book),
+plain AS (SELECT * FROM (WITH {COMPILED}\nSELECT source_id, entry, key, title, {first_tags('candidates')} AS topic_tags, pedagogical_role, prerequisite_key, md5(body_text) AS body_md5 FROM compiled))
+SELECT source_id, entry, key, title, topic_tags, pedagogical_role, prerequisite_key, body_md5 FROM contents
+UNION ALL SELECT source_id, entry, key, title, topic_tags, pedagogical_role, prerequisite_key, body_md5 FROM plain WHERE source_id NOT IN (SELECT source_id FROM contents)""",
         "toc_entries": f"WITH {BOOK}\nSELECT source_id, entry, CASE WHEN is_chapter THEN 'chapter' ELSE 'section' END AS kind, key, title, anchor, chapter_key, pdf_page FROM placed",
     }

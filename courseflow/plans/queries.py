@@ -304,6 +304,13 @@ def toc_units(s: SparkSession, d: str) -> DataFrame:
     return comp.toc_units(_book(s, d)).select("source_id", F.col("entry").cast("long").alias("entry"), "key", "title", _joined("topic_tags"), "pedagogical_role", "prerequisite_key", F.md5("body_text").alias("body_md5"))
 
 
+def routed_units(s: SparkSession, d: str) -> DataFrame:
+    """Every document is a source with its text; the first document of each book also has the book's pages."""
+    owners = b.book_owners(s, d)
+    pages = _book(s, d).withColumnRenamed("source_id", "book").join(owners, "book").drop("book")
+    return comp.compiled_units(b.headed_texts(s, d), pages).select("source_id", F.col("entry").cast("long").alias("entry"), "key", "title", _joined("topic_tags"), "pedagogical_role", "prerequisite_key", F.md5("body_text").alias("body_md5"))
+
+
 def topic_search(s: SparkSession, d: str) -> DataFrame:
     return retrieval.search(b.units(s, d), topic="ring, red widget", approval_status="approved").select("knowledge_id", "title", F.col("topic_score").cast("long").alias("topic_score"))
 
@@ -485,7 +492,7 @@ def model_answers(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         weak_topics_top5, tag_counts, tag_counts_by_profile, tag_counts_all_levels, top_labels_all, tag_shares, slide_issue_counts, revision_targets, representative_evidence, evidence_refs, flatten_runs, evaluation_grid, rule_tags, structured_slides, job_status, profile_coverage, cohort_signal, merged_signal, signal_fields, issue_evidence, proposal_evidence, signal_completeness,
-        issues_ranked, recommendations, proposals, unknown_actions, trace_totals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, handoff_items, normalized_answers, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, chunk_manifest, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units,
+        issues_ranked, recommendations, proposals, unknown_actions, trace_totals, issue_clusters, normalized_issues, regenerate_hints, cohort_insight, qa_passes, qa_delta, qa_handoff, handoff_items, normalized_answers, source_registry, source_listing, text_chunks, chunk_summary, chunk_pages, chunk_manifest, extraction_summary, text_sections, compiled_units, new_units, unit_prerequisites, compile_status, compile_summary, existing_units, printed_offsets, toc_entries, toc_units, routed_units,
         topic_search, text_query, unit_text_matches, document_text_matches, bulk_approval, knowledge_summary, vector_topk, hash_embedding, vector_upsert, unit_hits, context_bundle, context_bundle_semantic, bundle_sources, bundle_trace, supporting_chunks, bundle_served, bulk_filtered, approval_outcome, skipped_ids, unit_lookup, selected_profiles, job_runs, json_lists, graph_nodes, graph_edges, graph_neighbours, visible_nodes, visible_edges, visible_in_week, top_topics, facets, model_answers,
     ]
     return {f.__name__: f for f in found}

@@ -93,6 +93,14 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.spread(d.select("doc_id", "text")).join(numbers, F.col("doc_id") == F.col("of")).select("source_id", "page_number", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def book_owners(spark: SparkSession, sf_dir: str, pages: int = 30) -> DataFrame:
+    """(book, source_id): books of so many documents of a ``source``, and the source id of the first of each."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "source")
+    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    numbered = d.withColumn("n", n).where(F.col("n") % pages == 0)
+    return numbered.select(F.concat_ws("#", "source", F.floor(F.col("n") / pages).cast("string")).alias("book"), F.expr("concat('src_', doc_id)").alias("source_id"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic requests, one a row of ``customer``, with null, empty, several and unreadable values."""
     k = "c_custkey"

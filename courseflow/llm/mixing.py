@@ -12,7 +12,7 @@ span gives the span's training position. Placements are range-sorted by position
 
 Prefix sums run over (source, hash bucket) first, so that a source holding a third of all rows is dealt
 over many tasks. Defined cases: null text has size 0 and is never taken; a null source is a source; a
-null key hashes as empty; repeated rows are separate documents; an empty table gives no rows; further
+null key hashes as empty; repeated rows are separate documents, and texts of one key are ordered by size and hash; an empty table gives no rows; further
 columns ride along in ``mixed``.
 """
 
@@ -60,7 +60,7 @@ def bucket_digits(rows: int) -> int:
 def stream(docs: DataFrame) -> DataFrame:
     """Each document with its source's target and its place ``begin`` in the source's stream."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("hash")), "mix-sizes")
+    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("hash"), F.xxhash64("text").alias("text_hash")), "mix-sizes")
     return _stream(sized.withColumn("bucket", F.substring("hash", 1, bucket_digits(sized.count()))))
 
 
@@ -68,7 +68,7 @@ def _stream(sized: DataFrame) -> DataFrame:
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
     before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     places = buckets.select("source", "bucket", before.alias("before")).alias("p").join(source_targets(buckets).alias("t"), F.expr("p.source <=> t.source")).select("p.*", "source_size", "weight", "target")
-    within = W.partitionBy("source", "bucket").orderBy("hash", "size")
+    within = W.partitionBy("source", "bucket").orderBy("hash", "size", "text_hash")  # whatever order the rows come in
     rows = sized.withColumn("nth", F.row_number().over(within)).withColumn("inner", F.coalesce(F.sum("size").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     joined = rows.alias("r").join(places.alias("p"), F.expr("r.source <=> p.source and r.bucket = p.bucket"))
     return joined.select("r.doc_id", "r.source", "r.bucket", "nth", "size", "source_size", "weight", "target", (F.col("before") + F.col("inner")).alias("begin"))
@@ -109,7 +109,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     rank, key, source, bucket, nth, position, copy = (free_name(docs, f"mix_{x}") for x in ("rank", "key", "source", "bucket", "nth", "position", "copy"))
     digits = bucket_digits(docs.count())
     key_of = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    same = W.partitionBy("source", F.substring(F.col(f"`{key}`"), 1, digits)).orderBy(F.col(f"`{key}`"), n_words(F.col("text")))
+    same = W.partitionBy("source", F.substring(F.col(f"`{key}`"), 1, digits)).orderBy(F.col(f"`{key}`"), n_words(F.col("text")), F.xxhash64("text"))
     numbered = docs.withColumn(key, key_of).withColumn(rank, F.row_number().over(same))
     chosen = placements(docs, "whole").where("copy is not null").select(F.col("source").alias(source), F.col("bucket").alias(bucket), F.col("nth").alias(nth), F.col("position").alias(position), F.col("copy").alias(copy))
     joined = numbered.join(chosen, F.expr(f"source <=> `{source}` and substring(`{key}`, 1, {digits}) = `{bucket}` and `{rank}` = `{nth}`"))

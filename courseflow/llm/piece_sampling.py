@@ -294,7 +294,7 @@ def _stretches(text: str) -> list[str]:
     return list(filter(None, marked.split(CUT))) if text else []
 
 
-def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int):
+def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int, no_key: np.ndarray | None = None):
     """The lattice and, best first, samples of all rows; a row without a further one has value -inf."""
     cuts = list(map(_stretches, texts))
     counts = np.fromiter(map(len, cuts), np.int64, len(cuts))
@@ -308,6 +308,8 @@ def sample_texts(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, see
     bounds = np.concatenate([[0], np.cumsum(counts)])
     nth = np.arange(len(kind)) - bounds[row]
     seeds = tb.mix(keys.astype(np.int64).view(tb.U) ^ np.uint64(seed), 8)
+    if no_key is not None:  # a null key has a seed that no key has by rule
+        seeds = np.where(no_key, tb.mix(seeds ^ _BACK), seeds)
     value = -np.log(-np.log(_uniform(_seed(seeds, 3))))
     edge, n = _walk(lattice, lattice.start[kind], _seed(seeds[row], 0, nth << 20))
     starts = np.concatenate([[0], np.cumsum(n)])[bounds]
@@ -376,7 +378,8 @@ def sampled_pieces(docs: DataFrame, model: str, k: int = SAMPLES, seed: int = SE
             for part in tb.parts(batch, "text", PART):
                 texts = part.column("text").fill_null("").to_pylist()
                 keys = part.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                lattice, samples = sample_texts(texts, keys, pieces, k, seed)
+                no_key = part.column("doc_id").is_null().to_numpy(zero_copy_only=False) if part.column("doc_id").null_count else None
+                lattice, samples = sample_texts(texts, keys, pieces, k, seed, no_key)
                 left = np.max([s.best for s in samples], axis=0)
                 for j, s in enumerate(samples):
                     real = np.isfinite(s.value)

@@ -139,6 +139,24 @@ def test_mixing_positions_and_order(spark):
     assert [r.doc_id for r in mixing.mixed(df).collect()] == [d for _, _, d, _ in brute.mix_plan(rows, whole=True)]
 
 
+def test_mixing_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(k, "a" if k else None, f"w{i} x y") for i in range(12) for k in (7, None)]
+    orders = [spark.createDataFrame(r, "doc_id long, source string, text string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 3), (rows[5:] + rows[:5], 2))]
+    got = [[tuple(r) for r in mixing.mixed(df).collect()] for df in orders]
+    assert got[0] == got[1] == got[2] and len(got[0]) >= len(rows)
+
+
+def test_a_null_key_is_a_key_of_its_own(spark):
+    text = "several words of which each has many segmentations"
+    rows = [(-1, text), (None, text), (-1, text), (None, text), (0, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {}
+    for r in piece_sampling.sampled_pieces(df, tokenizer_path("piece_bpe_32k.model")).collect():
+        got.setdefault(r.doc_id, set()).add((r["sample"], r.perturbed))
+    assert len(got[None]) == len(got[-1]) == piece_sampling.SAMPLES  # repeated rows repeat their samples
+    assert not got[None] & got[-1] and not got[None] & got[0] and not got[-1] & got[0]
+
+
 @pytest.fixture
 def corpus(spark, tmp_path):
     draw = random.Random(23)

@@ -7,6 +7,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from courseflow.llm import chat_format, jaccard_join, mixing, piece_sampling, quality_rules, substring_dedup, surrogates, token_store, topk_search, warc
 from courseflow.llm.queries import tokenizer_path
@@ -110,6 +111,29 @@ def test_chat(spark):
     assert len(example) == 2 and all(r.text[: r.target_end].endswith(r.text[r.target_start : r.target_end]) for r in example)
 
 
+def test_chat_examples_are_whole_prefixes(spark):
+    rows = [(1, 0, "user", "<|end|>?"), (1, 1, "assistant", "one\\"), (1, 2, "user", "<"), (1, 3, "assistant", "two"), (1, 4, "user", "bye"), (2, 0, "user", "alone"), (3, 0, "assistant", ""), (None, 0, "user", "x"), (None, 1, "assistant", "<|turn|>\r\u2028\x00\x85\"{😀")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segments = chat_format.chat_segments(df)
+    pieces = {}
+    for r in sorted(chat_format.chat_turns(segments).collect(), key=lambda r: r.pos):
+        pieces.setdefault(r.conv_id, []).append(r.piece)
+    examples = chat_format.written(chat_format.chat_examples(segments))
+    got = {(r.conv_id, r.pos): r for r in examples.collect()}
+    assert set(got) == {(1, 1), (1, 3), (1, 4), (2, 0), (3, 0), (None, 1)}
+    for (conv, pos), r in got.items():
+        assert r.text == "".join(pieces[conv][: pos + 1]) and r.whole == (pos + 1 == len(pieces[conv]))
+        assert r.text[r.context_chars :] == pieces[conv][pos]
+    assert {k for k, r in got.items() if r.number is None} == {(1, 4), (2, 0)}
+    digest = lambda e: {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.example_digest(e).collect()}
+    assert digest(examples) == brute.op4(rows)
+    # What is said is read from the examples' strings, each reply from its own one.
+    other = examples.withColumn("text", F.expr("if(number = 1 and conv_id = 1, replace(text, 'one', 'ONE'), replace(text, 'bye', 'BYE'))"))
+    want = {**brute.op4(rows), 1: (*brute.op4([(1, 0, "user", "<|end|>?"), (1, 1, "assistant", "one\\"), (1, 2, "user", "<"), (1, 3, "assistant", "two"), (1, 4, "user", "BYE")])[1][:2], *brute.op4([(1, 0, "assistant", "ONE\\"), (1, 1, "assistant", "two")])[1][2:])}
+    assert digest(other) == want
+    assert {r.conv_id: r.contexts_fit for r in chat_format.chat_digest(chat_format.chat_turns(segments), other).collect()} == {1: False, 2: True, 3: True, None: True}
+
+
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (2, 60)])
 def test_jaccard(spark, docs, empty, k, percent):
     rows = list(ROWS)

@@ -12,7 +12,7 @@ holds the overlap of every two rows; size-derived bounds leave out most of it:
 
 Rows that meet are multiplied in blocks over all their columns, and the accumulated overlap decides. First
 every row meets, of the smallest rows under its keys, the HUBS with which it shares most keys; after these
-links are joined to components, rows that share a key but not a component are multiplied tile by tile (all
+links are joined to components, rows that share a key and near sizes but not a component are multiplied tile by tile (all
 links between components are found, those within a component are not needed), and each product of two
 tiles returns a forest of its links, never more rows than the tiles have.
 
@@ -223,21 +223,32 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     extra = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     edges = materialise(_hub_links(stars, sets, percent).unionByName(extra), "edges")
     joined = connected(edges)
-    late = materialise(_across(shared, joined, sets, percent), "late-edges")
+    late = materialise(_across(shared, joined, sets, stars, percent), "late-edges")
     if late.limit(1).count():
         joined = connected(edges.unionByName(late))
     placed = members.groupBy("doc_id").agg(F.min("rep").alias("node")).join(joined, "node", "left").select("doc_id", F.least("doc_id", F.coalesce("component", "node")).alias("component_id"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(shared: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the components of rows that share a key but not a component.
+def _banded(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (key, n), each twice, under a key of its band of sizes and of the next one: sizes that allow the
+    similarity are at most one band apart, so that rows with such sizes have a key in common and most others none."""
+    scale = 1 / max(1.001 * math.log(100 / percent), 1e-3) if percent > 0 else 0.0  # a little wider than the bound: logarithms are rounded
+    band = F.floor(F.log("n") * F.lit(scale))
+    return rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("key", F.xxhash64("key", "band")).drop("band")
+
+
+def _across(shared: DataFrame, joined: DataFrame, sets: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of rows that share a key and near sizes but not a component.
 
     Rows are dealt to tiles of bounded size, by the most common of their keys and apart from the component
-    of most rows there; two tiles that share a key are multiplied in one piece."""
-    rows = shared.select("key", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
-    major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.count("*").alias("parts")).where("parts > 1").select("key", "rows", "grams", F.col("top.component").alias("major"))
+    of most rows there; two tiles that share a key are multiplied in one piece. A key of two rows that are a
+    pair (a, b) of ``tested`` has nothing left to find."""
+    rows = _banded(shared.select("key", "node", "n"), percent).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("parts > 1")
+    pair = (F.col("rows") == 2) & (F.col("lo") == F.col("a")) & (F.col("hi") == F.col("b"))
+    major = major.join(tested, pair, "left_anti").select("key", "rows", "grams", F.col("top.component").alias("major"))
     major = materialise(major, "open-keys")  # a plain table, so that a frequent key can be split in the join
     open_ = rows.join(major, "key").groupBy("node", "component").agg(F.max(F.struct("rows", "grams", "key", "major")).alias("most"), F.collect_set("key").alias("keys"))
     piece = F.expr(f"pmod(xxhash64(node), ceil(greatest(most.rows / {TILE_ROWS}, most.grams / {TILE_GRAMS})))")

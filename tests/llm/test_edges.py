@@ -213,3 +213,44 @@ def test_pipeline_equals_a_plain_version_of_its_stages(spark, corpus):
             want[d, j + 1, zlib.crc32(ids.astype("<i4").tobytes())] += 1
     got = corpus_pipeline.run(spark, path).collect()
     assert Counter((r.doc_id, r.sample, r.ids_crc32) for r in got) == want and all(r.decoded for r in got)
+
+
+def test_links_across_size_bands_and_untested_pairs(spark, monkeypatch):
+    """Rows that share a key: sizes that allow a link only just are compared, others are not, nor are pairs compared before."""
+    draw = random.Random(5)
+    base = [f"b{i}" for i in range(400)]
+    docs, at = [], 0
+    for n in (17, 34, 51, 85, 170, 289, 340):  # n of m n-grams is 85 % sharp, a band apart or near its edge
+        m = n * 20 // 17
+        for length in (n, m, m + 1):
+            docs.append((at := at + 1, " ".join([f"x{n}_{i}" for i in range(length + 3)])))
+    for i in range(24):  # one run of words in texts of all sizes
+        docs.append((at := at + 1, " ".join([*base[:8], *[f"y{i}_{j}" for j in range(draw.randint(5, 600))]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    seen = []
+    across = jaccard_join._across
+
+    def nothing_met_before(shared, joined, sets, tested, percent):
+        alone = shared.select("node").distinct().withColumn("component", shared["node"])
+        late = across(shared, alone, sets, tested.limit(0), percent)
+        kept = across(shared, alone, sets, tested, percent)
+        seen.append(({tuple(r) for r in late.collect()}, {tuple(r) for r in kept.collect()}))
+        return across(shared, joined, sets, tested, percent)
+
+    monkeypatch.setattr(jaccard_join, "_across", nothing_met_before)
+    got = sorted(map(tuple, jaccard_join.components(df, 4, 85).collect()))
+    assert got == brute.op5(docs, 4, 85)
+    linked = {d for d, _, c in got if d != c}
+    (late, kept), = seen
+    assert {b for _, b in late} == linked and linked  # every link is found without the hubs' help
+    assert kept <= late
+
+    sizes = spark.createDataFrame([(1, n) for n in range(1, 3000)], "key long, n long")
+    for percent in (85, 80, 60, 100):
+        bands = {}
+        for r in jaccard_join._banded(sizes, percent).collect():
+            bands.setdefault(r.n, set()).add(r.key)
+        for n in range(1, 3000):
+            for m in (n, n * 100 // percent):
+                assert m >= 3000 or bands[n] & bands[m]
+        assert not bands[10] & bands[100]

@@ -9,8 +9,11 @@ holds the overlap of every two rows; size-derived bounds leave out most of it:
   count-min sketch saw a column: once, a few times, often; within that by hash. Columns seen once take up
   keys and match nothing, so a document with enough text of its own has no key to be shuffled.
 * Two rows meet only under a common key and if their sizes allow the similarity.
+* Each row with keys has marks, a bit for one or two columns: the parity of its columns in each cell. Marks of two rows differ in no more
+  cells than the rows do in columns, which bounds the overlap from above. Marks travel to where rows meet, at
+  an eighth of a byte or so a column; the columns follow only of rows that this bound leaves.
 
-Rows that meet are multiplied in blocks over all their columns, and the accumulated overlap decides. First
+Rows that meet and may link are multiplied in blocks over all their columns, and the accumulated overlap decides. First
 every row meets, of the smallest rows under its keys, the HUBS with which it shares most keys; after these
 links are joined to components, rows that share a key and near sizes but not a component are multiplied tile by tile (all
 links between components are found, those within a component are not needed), and each product of two
@@ -25,7 +28,7 @@ met by the exact comparison in integers; further columns pass through ``keep_one
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,7 @@ HUBS = 3  # smallest rows that each row meets first; the comparison across compo
 TILE_ROWS, TILE_GRAMS = 1024, 400_000  # rows that are multiplied as one block, about
 DENSE = 8192  # products of a column's two counts above which it is multiplied densely
 PART = 1 << 19  # bytes of text that are cut into n-grams at once, about
+MARK_BITS = 64, 1 << 16  # cells of a row's marks: the next power of two above its columns, within these
 FEW = 32  # a column seen less often comes before more frequent ones
 
 
@@ -73,6 +77,14 @@ class Sets:
         np.cumsum(tb.mix(self.hash, seed), out=total[1:])
         return tb.mix(total[self.first[1:]] - total[self.first[:-1]] + self.n.astype(tb.U), seed)
 
+    def marks(self) -> pa.BinaryArray:
+        """For every row the parity of its columns in as many cells as its size calls for."""
+        width = mark_width(self.n)
+        first = np.concatenate([[0], np.cumsum(width)])
+        cell = (tb.mix(self.hash, 5) & (width - 1).astype(tb.U)[self.row]).astype(np.int64) + first[self.row]
+        odd = np.packbits((np.bincount(cell, minlength=first[-1]) & 1).astype(bool))
+        return pa.Array.from_buffers(pa.binary(), self.rows, [None, pa.py_buffer((first // 8).astype(np.int32)), pa.py_buffer(odd)])
+
     def keys(self, percent: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, key): the first columns of every row, without those seen once."""
         cell = sketch.cells(self.hash, 0, sketch.width_of(bits))
@@ -88,6 +100,10 @@ class Sets:
         return self.row[at], self.hash[at]
 
 
+def mark_width(n: np.ndarray) -> np.ndarray:
+    return 1 << np.ceil(np.log2(np.clip(n, *MARK_BITS))).astype(np.int64)
+
+
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     """Lists of 64-bit values by row; ``row`` ascends."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
@@ -117,39 +133,44 @@ def _size_and_hash(sets: Sets) -> list[pa.Array]:
     return [pa.array(sets.n.astype(np.int64)), *[pa.array(sets.signature(seed).view(np.int64)) for seed in (1, 2)]]
 
 
-def row_keys(docs: DataFrame, k: int, percent: int, grams: int) -> DataFrame:
-    """(doc_id, n, sig_a, sig_b, keys) of the documents that have keys; ``grams`` is the sum of all sizes."""
+def row_keys(docs: DataFrame, k: int, percent: int, grams: int, reps: DataFrame) -> DataFrame:
+    """(doc_id, n, sig_a, sig_b, keys, marks) of the documents that have keys, among those in ``reps`` (node) and few others, as exact
+    copies make no column more frequent; ``grams`` is the sum of their sizes."""
+    rows, some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _passing(reps)
     width = sketch.width_for(grams // 2)
     load = grams / 2**width
     often = max(FEW, math.ceil(load + 6 * math.sqrt(load)) + 1)  # what chance alone puts in few cells
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in tb.parts(batch, "text", PART):
+        for part in tb.parts(batch.filter(pa.array(some(batch))), "text", PART):
             yield Sets(part.column("text"), k).hash
 
-    bits = sketch.repeated(text_batches(docs.select("text")), hashes, 1, width, often)
+    bits = sketch.repeated(text_batches(rows), hashes, 1, width, often)
     shared = docs.sparkSession.sparkContext.broadcast(bits)  # two bits a cell: 64 MB at most
 
     def cut(part: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
         row, key = sets.keys(percent, shared.value)
-        batch = pa.RecordBatch.from_arrays([part.column("doc_id"), *_size_and_hash(sets), _lists(row, key, sets.rows)], ["doc_id", "n", "sig_a", "sig_b", "keys"])
+        batch = pa.RecordBatch.from_arrays([part.column("doc_id"), *_size_and_hash(sets), _lists(row, key, sets.rows), sets.marks()], ["doc_id", "n", "sig_a", "sig_b", "keys", "marks"])
         return batch.filter(pa.array(np.bincount(row, minlength=sets.rows) > 0))
 
-    return _mapped(docs.where("doc_id is not null"), k, cut, "doc_id long, n long, sig_a long, sig_b long, keys array<long>")
+    return _mapped(rows, k, cut, "doc_id long, n long, sig_a long, sig_b long, keys array<long>, marks binary", some)
+
+
+def _passing(wanted: DataFrame) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Which rows of a batch with doc_id are of the documents in ``wanted`` (node), or of few others: a bit filter of bounded size."""
+    ids = lambda batch, name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    bits = sketch.members(wanted, lambda batch: ids(batch, "node"), wanted.count())
+    shared = wanted.sparkSession.sparkContext.broadcast(bits)
+    return lambda batch: sketch.may_repeat(ids(batch, "doc_id"), shared.value)
 
 
 def gram_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, n, grams): the rows of the incidence matrix of the documents in ``wanted`` (node). A bit filter of
     the wanted ids, of bounded size, keeps most other texts from being cut up; texts are not shuffled."""
-    ids_in = lambda batch, name: batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    bits = sketch.members(wanted, lambda batch: ids_in(batch, "node"), wanted.count())
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
     def read(part: pa.RecordBatch, sets: Sets) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.n.astype(np.int64)), _lists(sets.row, sets.hash, sets.rows)], ["node", "n", "grams"])
 
-    some = lambda batch: sketch.may_repeat(ids_in(batch, "doc_id"), shared.value)
-    return _mapped(docs.where("doc_id is not null"), k, read, "node long, n long, grams array<long>", some).join(wanted, "node", "left_semi")
+    return _mapped(docs.where("doc_id is not null"), k, read, "node long, n long, grams array<long>", _passing(wanted)).join(wanted, "node", "left_semi")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -209,21 +230,22 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     same = ["n", "sig_a", "sig_b"]
     classes = materialise(known.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")  # plain tables, so that large classes can be split in the join
     members = materialise(known.join(classes, same).select("doc_id", "rep", *same).distinct(), "members")
-    grams = signed.agg(F.sum("n").alias("n")).first()["n"] or 0
+    grams = classes.agg(F.sum("n").alias("n")).first()["n"] or 0
     reps = members.where("doc_id = rep").select("doc_id", *same)
-    keys = row_keys(docs, k, percent, grams).join(reps, ["doc_id", *same], "left_semi")
-    keyed = materialise(keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n"), "keys")
+    keys = row_keys(docs, k, percent, grams, classes.select(F.col("rep").alias("node"))).join(reps, ["doc_id", *same], "left_semi")
+    rows = materialise(keys.select(F.col("doc_id").alias("node"), "n", "keys", "marks"), "keys")
+    keyed, marked = rows.select(F.explode("keys").alias("key"), "node", "n"), Rows(docs, k, rows.select("node", "n", "marks"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node < last").select("key", "hub")
     shared = materialise(keyed.join(hubs, "key"), "shared-keys")
     stars = shared.where(f"node <> hub.node and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("agree"))
     best = F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))
     stars = materialise(stars.withColumn("nth", best).where(f"nth <= {HUBS}").select("a", "b"), "stars")
-    sets = materialise(gram_sets(docs, materialise(shared.select("node").distinct(), "wanted"), k), "sets")
+    near = materialise(_near(stars, marked.marks, percent), "near-stars")
     several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id")
     extra = members.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    edges = materialise(_hub_links(stars, sets, percent).unionByName(extra), "edges")
+    edges = materialise(_hub_links(near, marked.sets(near.select(F.explode(F.array("a", "b")).alias("node"))), percent).unionByName(extra), "edges")
     joined = connected(edges)
-    late = materialise(_across(shared, joined, sets, stars, percent), "late-edges")
+    late = materialise(_across(shared, joined, marked, stars, percent), "late-edges")
     if late.limit(1).count():
         joined = connected(edges.unionByName(late))
     placed = members.groupBy("doc_id").agg(F.min("rep").alias("node")).join(joined, "node", "left").select("doc_id", F.least("doc_id", F.coalesce("component", "node")).alias("component_id"))
@@ -238,12 +260,52 @@ def _banded(rows: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("key", F.xxhash64("key", "band")).drop("band")
 
 
-def _across(shared: DataFrame, joined: DataFrame, sets: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+class Rows:
+    """Rows of the incidence matrix: marks (node, n, marks) of those with keys, and the columns of those that are asked for."""
+
+    def __init__(self, docs: DataFrame, k: int, marks: DataFrame):
+        self.docs, self.k, self.marks = docs, k, marks
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, n, grams) of the rows in ``wanted`` (node), written."""
+        return materialise(gram_sets(self.docs, materialise(wanted.distinct(), "wanted"), self.k), "sets")
+
+
+def _at_most(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bounds of the overlaps of rows of n and rows of m columns, from their marks x and y as rows of words."""
+    return (n + m - np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)) // 2
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Marks (rows, words) as those of fewer cells: a cell is the low bits of a hash, so halves fall together."""
+    while x.shape[-1] > words:
+        x = x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2 :]
+    return x
+
+
+def _near(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may reach the similarity, as far as their marks tell."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "n", "m"))
+            x, y = ([np.frombuffer(v, "<u8") for v in batch.column(c).to_pylist()] for c in ("x", "y"))
+            most = [_at_most(n[i], m[i], _folded(x[i], len(y[i])), _folded(y[i], len(x[i]))) for i in range(len(a))]
+            good = _links(n, m, np.array(most, np.int64), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+
+    left = marks.select(F.col("node").alias("a"), "n", F.col("marks").alias("x"))
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("marks").alias("y"))
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y")
+    return text_batches(met).mapInArrow(test, "a long, b long").distinct()
+
+
+def _across(shared: DataFrame, joined: DataFrame, marked: Rows, tested: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join the components of rows that share a key and near sizes but not a component.
 
     Rows are dealt to tiles of bounded size, by the most common of their keys and apart from the component
-    of most rows there; two tiles that share a key are multiplied in one piece. A key of two rows that are a
-    pair (a, b) of ``tested`` has nothing left to find."""
+    of most rows there; of two tiles that share a key the marks are compared, and if these leave a link possible, the tiles
+    are multiplied in one piece. A key of two rows that are a pair (a, b) of ``tested`` has nothing left to find."""
     rows = _banded(shared.select("key", "node", "n"), percent).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = rows.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     major = counted.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("top"), F.sum("rows").alias("rows"), F.sum("grams").alias("grams"), F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("parts > 1")
@@ -253,20 +315,81 @@ def _across(shared: DataFrame, joined: DataFrame, sets: DataFrame, tested: DataF
     open_ = rows.join(major, "key").groupBy("node", "component").agg(F.max(F.struct("rows", "grams", "key", "major")).alias("most"), F.collect_set("key").alias("keys"))
     piece = F.expr(f"pmod(xxhash64(node), ceil(greatest(most.rows / {TILE_ROWS}, most.grams / {TILE_GRAMS})))")
     dealt = materialise(open_.withColumn("tile", F.xxhash64("most.key", F.expr("component = most.major"), piece)).drop("most"), "open-rows")
-    grouped = dealt.select("node", "component", "tile").join(sets, "node").groupBy("tile").agg(F.collect_list(F.struct("node", "n", "component", "grams")).alias("rows"))
-    tiles = materialise(text_batches(grouped).mapInArrow(_packed, "tile long, rows binary"), "tiles")
     keys = dealt.select("tile", "component", F.explode("keys").alias("key")).groupBy("key", "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     other = keys.select("key", *[F.col(c).alias(f"{c}_y") for c in ("tile", "lo", "hi")])
     meet = keys.join(other, "key").where("tile <= tile_y and not (lo = hi and lo_y = hi_y and lo = lo_y)").select("tile", "tile_y").distinct()
-    sides = meet.join(tiles.withColumnRenamed("rows", "x"), "tile").join(tiles.select(F.col("tile").alias("tile_y"), F.col("rows").alias("y")), "tile_y").select("x", "y")
+    placed = dealt.select("node", "component", "tile")
+    told = materialise(_tiles(placed.join(marked.marks, "node"), "marks", _packed_marks), "tile-marks")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            good = [Marks(x[i]).may_link(Marks(y[i]), percent) for i in range(len(x))]
+            yield batch.select(["tile", "tile_y"]).filter(pa.array(good, pa.bool_()))
+
+    met = materialise(text_batches(_sides(meet, told)).mapInArrow(compare, "tile long, tile_y long"), "near-tiles")
+    near = placed.join(met.select(F.explode(F.array("tile", "tile_y")).alias("tile")).distinct(), "tile", "left_semi")
+    near = materialise(near, "near-rows")
+    tiles = materialise(_tiles(near.join(marked.sets(near.select("node")), "node"), "grams", _packed), "tiles")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = Tile(batch.column(0)[i].as_py()).links(Tile(batch.column(1)[i].as_py()), percent)
+                a, b = Tile(batch.column("x")[i].as_py()).links(Tile(batch.column("y")[i].as_py()), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return text_batches(sides).mapInArrow(multiply, "a long, b long").distinct()
+    return text_batches(_sides(met, tiles)).mapInArrow(multiply, "a long, b long").distinct()
+
+
+def _tiles(rows: DataFrame, cells: str, pack) -> DataFrame:
+    """(tile, rows): the rows (tile, node, n, component, cells) of each tile in one value."""
+    grouped = rows.groupBy("tile").agg(F.collect_list(F.struct("node", "n", "component", cells)).alias("rows"))
+    return text_batches(grouped).mapInArrow(pack, "tile long, rows binary")
+
+
+def _sides(meet: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(tile, tile_y, x, y): the pairs of ``meet`` (tile, tile_y) with what both tiles hold."""
+    return meet.join(tiles.withColumnRenamed("rows", "x"), "tile").join(tiles.select(F.col("tile").alias("tile_y"), F.col("rows").alias("y")), "tile_y").select("tile", "tile_y", "x", "y")
+
+
+def _packed_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each tile as 64-bit integers: number of rows; n, component, words of marks by row; all words."""
+    for batch in batches:
+        payload = []
+        for i in range(batch.num_rows):
+            table = batch.column("rows").slice(i, 1).flatten()
+            marks = table.field("marks").to_pylist()
+            by_row = [table.field(c).to_numpy(zero_copy_only=False) for c in ("n", "component")]
+            payload.append(np.concatenate([[len(marks)], *by_row, [len(x) // 8 for x in marks]]).astype("<i8").tobytes() + b"".join(marks))
+        yield pa.RecordBatch.from_arrays([batch.column("tile"), pa.array(payload, pa.binary())], ["tile", "rows"])
+
+
+class Marks:
+    """The marks of some rows, those of one width together."""
+
+    def __init__(self, packed: bytes):
+        head = np.frombuffer(packed, "<i8")
+        rows = int(head[0])
+        n, component, words = head[1 : 1 + 3 * rows].reshape(3, -1)
+        first = 1 + 3 * rows + np.cumsum(words) - words
+        flat = head.view("<u8")
+        self.groups = []
+        for w in np.unique(words):
+            at = np.flatnonzero(words == w)
+            self.groups.append((n[at], component[at], flat[first[at][:, None] + np.arange(w)]))
+
+    def may_link(self, other: Marks, percent: int) -> bool:
+        """Whether a row of this tile and one of the other, of different components, may reach the similarity."""
+        for n, c, x in self.groups:
+            for m, d, y in other.groups:
+                fewer, step = min(x.shape[1], y.shape[1]), max(1, (1 << 20) // y.size)
+                folded = _folded(y, fewer)
+                for at in range(0, len(n), step):  # about a million words at a time
+                    some = slice(at, at + step)
+                    most = _at_most(n[some, None], m[None, :], _folded(x[some], fewer)[:, None, :], folded[None, :, :])
+                    if (_links(n[some, None], m[None, :], most, percent) & (c[some, None] != d[None, :])).any():
+                        return True
+        return False
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -254,3 +254,31 @@ def test_links_across_size_bands_and_untested_pairs(spark, monkeypatch):
             for m in (n, n * 100 // percent):
                 assert m >= 3000 or bands[n] & bands[m]
         assert not bands[10] & bands[100]
+
+
+def test_marks_bound_the_overlap():
+    sets = jaccard_join.Sets(pa.array([" ".join(DRAW.sample("abcdefghijklmnopqrstuvwxyz", n % 26 + 1) * (1 + n % 5) + [f"w{n // 4}_{i}" for i in range(n * n // 7)]) for n in range(60)]), 2)
+    rows = [(int(sets.n[i]), np.frombuffer(m, "<u8"), set(sets.hash[sets.first[i] : sets.first[i + 1]].tolist())) for i, m in enumerate(sets.marks().to_pylist())]
+    assert all(len(x) * 64 == jaccard_join.mark_width(n) for n, x, _ in rows)
+    for n, x, a in rows:
+        for m, y, b in rows:
+            most = jaccard_join._at_most(n, m, jaccard_join._folded(x, len(y)), jaccard_join._folded(y, len(x)))
+            assert most >= len(a & b) and (a != b or most == n)
+
+
+def test_columns_of_rows_that_cannot_link_are_not_read(spark, monkeypatch):
+    """Each text shares half of its words with the next one, so all have common keys; only one pair is near."""
+    half = [_text(60) for _ in range(41)]
+    rows = [(i, f"{half[i]} {half[(i + 1) % 40]}") for i in range(40)] + [(40, f"{half[0]} {half[1]} end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    read, write = [], jaccard_join.materialise
+
+    def noted(df, name):
+        out = write(df, name)
+        if name == "sets":
+            read.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialise", noted)
+    assert sorted(map(tuple, jaccard_join.components(df).collect())) == brute.op5(rows)
+    assert sum(read) == 2
